@@ -75,3 +75,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, share: int = 1000) -> DataFrame:
+    """rows joined with the one row of groups that has their key; no key lands in one task whole.
+
+    Keys with more than total / share of the rows are fewer than share, whatever the input: they are broadcast. The rest is
+    joined by a shuffle. Rows without a group drop out.
+    """
+    hot = F.broadcast(groups.where(F.col(size) > total // share))
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(groups.where(F.col(size) <= total // share), key))

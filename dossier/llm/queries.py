@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, packing, secret_scan, topk_search, warc
+from . import exact_dedup, language_id, lm_score, mixing, near_dedup, packing, secret_scan, topk_search, warc
 from .common import new_path, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -22,6 +22,10 @@ def crc_mod(n: int, id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), crc_mod(5) == 1).withColumnRenamed("id", "doc_id")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias("n_" + kind)
@@ -44,6 +48,11 @@ select doc_id, keep_id, cast(group_size as bigint) as group_size, r = 1 as kept,
 """
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = language_id.learn(docs, crc_mod(4) != 2)
@@ -106,7 +115,7 @@ from f join p using (source, lang, topic)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_scan, op3_exact_dedup, op6_language_id, op7_topk_search, op8_packing, op9_warc, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_exact_dedup, op4_minhash_dedup, op6_language_id, op7_topk_search, op8_packing, op9_warc, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
