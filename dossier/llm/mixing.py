@@ -14,7 +14,7 @@ from .common import ASCII_SPACE, stored, text_or_empty
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Targets where none are given: shares proportional to the observed share to this power.
-TEMPER = 0.5
+TEMPER = 0.8
 ROUNDS = 12
 #: Rounds after which the cells are written, which cuts the plan.
 ROUNDS_AT_ONCE = 3

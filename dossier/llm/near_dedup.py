@@ -273,8 +273,29 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     return with_groups(signed.select("id", "key"), known, "key", "members", total).select("id", "key", "class_id", "class_size")
 
 
+def _keyed(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, hashed, counts = shingles(batch.column(batch.num_columns - 1), size)
+            ends = np.searchsorted(of, np.arange(batch.num_rows + 1))
+            keys = [_set_key(hashed[a:b], counts[a:b], False) for a, b in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.binary())], names=[*batch.schema.names[:-1], "key_"])
+
+    return run
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that name their class, with all their columns."""
-    found = classes(docs, id_col, text_col)
-    kept, _ = stored(found.where(F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("kept_id_")).distinct(), "kept")
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("kept_id_")), "left_semi")
+    """The rows of docs that name their class, with all their columns; of rows that share an id and a set one stays."""
+    found, _ = stored(classes(docs, id_col, text_col).select("id", "key", F.col("id").eqNullSafe(F.col("class_id")).alias("names")), "near-decided")
+    repeated, _ = stored(found.groupBy("id").count().where("count > 1").select(F.col("id").alias("again_id_")), "repeated")
+    kept = found.where("names").select(F.col("id").alias("kept_id_"), F.col("key").alias("kept_key_"))
+    own = F.col(id_col).cast("long")
+    stay = docs.join(kept.select("kept_id_"), own.eqNullSafe(F.col("kept_id_")), "left_semi")
+    if repeated.isEmpty():
+        return stay
+    # rows that share an id are told apart by their sets
+    again = stay.join(repeated, own.eqNullSafe(F.col("again_id_")), "left_semi").withColumn("key_text_", text_or_empty(text_col))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", key_ binary"
+    keyed = again.mapInArrow(_keyed(SHINGLE), schema)
+    keyed = keyed.join(kept, own.eqNullSafe(F.col("kept_id_")) & (F.col("key_") == F.col("kept_key_")), "left_semi")
+    return stay.join(repeated, own.eqNullSafe(F.col("again_id_")), "left_anti").unionByName(keyed.dropDuplicates([id_col, "key_"]).drop("key_"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, lm_score, mixing, near_dedup, packing, secret_scan, topk_search, warc
+from . import exact_dedup, language_id, lm_score, mixing, near_dedup, packing, secret_scan, token_counts, topk_search, warc
 from .common import new_path, table
 
-WORD_BPE = "word_bpe_49k.json"
+WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -53,6 +53,11 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = token_counts.Vocabulary.from_sentencepiece(tokenizer_path(PIECES))
+    return token_counts.count(table(spark, sf_dir, "documents"), vocabulary).withColumnRenamed("id", "doc_id")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = language_id.learn(docs, crc_mod(4) != 2)
@@ -97,8 +102,8 @@ def _mixing_sql(rounds: int = mixing.ROUNDS) -> str:
             name = f"r{k}_{d}"
             steps.append(f"{name} as materialized (select * replace (case when sum(w) over (partition by {d}) > 0 then w * t_{d} / sum(w) over (partition by {d}) else 0 end as w) from {last})")
             last = name
-    target = lambda d: f"(select sum(sqrt(s)) from (select sum(tokens) as s from c group by {d}))"
-    targets = ", ".join(f"sqrt(cast(sum(tokens) over (partition by {d}) as double)) / {target(d)} as t_{d}" for d in mixing.DIMENSIONS)
+    target = lambda d: f"(select sum(pow(cast(s as double), {mixing.TEMPER})) from (select sum(tokens) as s from c group by {d}))"
+    targets = ", ".join(f"pow(cast(sum(tokens) over (partition by {d}) as double), {mixing.TEMPER}) / {target(d)} as t_{d}" for d in mixing.DIMENSIONS)
     return rf"""
 with d as (select doc_id, coalesce(source, '(null)') as source, coalesce(lang, '(null)') as lang, coalesce(text, '') as text from documents),
 f as (select doc_id, source, lang, case when trim(text) = '' then 'blank' when contains(text, '!! ') then 'shout' when contains(text, ' | ') then 'table'
@@ -115,7 +120,7 @@ from f join p using (source, lang, topic)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_exact_dedup, op4_minhash_dedup, op6_language_id, op7_topk_search, op8_packing, op9_warc, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_exact_dedup, op4_minhash_dedup, op5_token_counts, op6_language_id, op7_topk_search, op8_packing, op9_warc, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
