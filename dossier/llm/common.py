@@ -7,6 +7,9 @@ import tempfile
 import uuid
 import zipfile
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +89,11 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     hot = F.broadcast(groups.where(F.col(size) > total // share))
     rest = rows.join(hot.select(key), key, "left_anti")
     return rows.join(hot, key).unionByName(rest.join(groups.where(F.col(size) <= total // share), key))
+
+
+def lower_ascii(texts: pa.Array) -> pa.Array:
+    """Texts with A-Z lower-cased, as large strings."""
+    texts = texts.cast(pa.large_string())
+    if len(texts) and (texts.offset or np.frombuffer(texts.buffers()[1], np.int64, 1)[0]):  # ascii_lower misplaces the offsets of a slice
+        texts = texts.take(pa.array(np.arange(len(texts))))
+    return pc.ascii_lower(texts)

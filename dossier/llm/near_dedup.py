@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, ship, stored, text_or_empty, with_groups
+from .common import discard, lower_ascii, ship, stored, text_or_empty, with_groups
 from .topk_search import small_batches
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -91,7 +91,7 @@ def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
 
     Words are what stands between white space, A-Z lower-cased; a text of fewer words than size is one shingle of all its words.
     """
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    lists = pc.ascii_split_whitespace(lower_ascii(texts))
     flat = lists.flatten()
     text = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
     full = pc.binary_length(flat).to_numpy() > 0

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_or_empty
+from .common import lower_ascii, ship, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -134,7 +134,7 @@ def trigrams_of(query) -> set[str]:
 
 def postings(texts: pa.Array, trigrams: list[str]) -> dict[str, np.ndarray]:
     """For each trigram the sorted places of the texts that hold it, in either case of ASCII letters."""
-    low = pc.ascii_lower(texts.cast(pa.large_string()))
+    low = lower_ascii(texts)
     ends = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
     data = np.frombuffer(low.buffers()[2], np.uint8) if low.buffers()[2] else np.zeros(0, np.uint8)
     number = np.zeros(1 << 24, np.uint16)
