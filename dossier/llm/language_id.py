@@ -6,7 +6,7 @@ with every dictionary; the smallest result names the language, and a narrow lead
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -18,18 +18,44 @@ from .common import ship
 UNKNOWN = "und"
 #: Training texts for each language at most (expected number), and characters cut from each of them: the
 #: bound on what the driver gathers. A dictionary holds DICTIONARY_BYTES at most.
-TEXTS_PER_LANGUAGE, SLICE_CHARS, DICTIONARY_BYTES = 160, 1500, 112 * 1024
-LEVEL = 3
+TEXTS_PER_LANGUAGE, SLICE_CHARS, DICTIONARY_BYTES = 600, 400, 112 * 1024
+LEVEL = 7
 #: A text is rejected if the best size is not below the second by this share of it.
-MIN_MARGIN = 0.0
+MIN_MARGIN = 0.002
+
+
+def _packers(dictionaries: dict[str, bytes]) -> list[tuple[str, Callable[[bytes], bytes]]]:
+    packers = []
+    for name, data in dictionaries.items():
+        content = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        content.precompute_compress(level=LEVEL)
+        packers.append((name, zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_dict_id=False).compress))
+    return packers
+
+
+def _joined(found: dict[str, list[str]]) -> dict[str, bytes]:
+    return {lang: "\n".join(texts).encode()[-DICTIONARY_BYTES:] for lang, texts in found.items() if texts}
+
+
+def _confirmed(found: dict[str, list[str]]) -> dict[str, list[str]]:
+    """The texts that dictionaries of the other half of the sample give to their own language: wrong labels go."""
+    kept: dict[str, list[str]] = {lang: [] for lang in found}
+    for half in (0, 1):
+        packers = _packers(_joined({lang: texts[1 - half :: 2] for lang, texts in found.items()}))
+        for lang, texts in found.items():
+            for text in texts[half::2]:
+                sizes = {name: len(pack(text.encode())) for name, pack in packers}
+                if lang not in sizes or sizes[lang] == min(sizes.values()):
+                    kept[lang].append(text)
+    return {lang: kept[lang] or texts for lang, texts in found.items()}
 
 
 def learn(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, bytes]:
-    """Raw-content dictionaries by language, from a bounded sample of the labelled rows that training selects.
+    """Raw-content dictionaries by language, the most frequent first, from a bounded sample of the labelled rows that training selects.
 
     The sample of a language is what a hash of the id selects at the rate TEXTS_PER_LANGUAGE / rows of the language, one
-    slice of SLICE_CHARS from a hashed place of each text. Rows with null text or language are no training rows.
-    Without training rows the result is empty.
+    slice of SLICE_CHARS from a hashed place of each text. Texts that contradict their label are left out. Rows with null text or language
+    are no training rows. Without training rows the result is empty.
     """
     rows = docs.where(training & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
@@ -40,20 +66,15 @@ def learn(docs: DataFrame, training: Column, text_col: str = "text", lang_col: s
     chance = F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / float(1 << 30)
     place = F.pmod(F.xxhash64("i", F.lit(1)), F.greatest(F.lit(1), F.length("t") - SLICE_CHARS + 1)).cast("int") + 1
     picked = rows.where(chance < rate[F.col("l")]).select("l", "i", F.lower(F.substring("t", place, F.lit(SLICE_CHARS))).alias("t"))
-    found: dict[str, list[tuple]] = {lang: [] for lang in sizes}
-    for r in picked.orderBy("l", "i", "t").collect():
+    found: dict[str, list[str]] = {lang: [] for lang in sorted(sizes, key=lambda lang: (-sizes[lang], lang))}
+    for r in picked.distinct().orderBy("l", F.xxhash64("i"), "t").collect():
         found[r.l].append(r.t)
-    return {lang: "\n".join(texts).encode()[-DICTIONARY_BYTES:] for lang, texts in sorted(found.items()) if texts}
+    return _joined(_confirmed(found))
 
 
 def _classify(dictionaries: dict[str, bytes], min_margin: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = list(dictionaries)
-        packers = []
-        for name in names:
-            content = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=LEVEL)
-            packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_dict_id=False).compress)
+        names, packers = list(dictionaries), [pack for _, pack in _packers(dictionaries)]
         for batch in batches:
             langs, scores, rejected = [], [], []
             for text in batch.column(1).to_pylist():
@@ -63,7 +84,7 @@ def _classify(dictionaries: dict[str, bytes], min_margin: float):
                     rejected.append(True)
                     continue
                 data = text.lower().encode()
-                sizes = [pack(data).__len__() for pack in packers]
+                sizes = [len(pack(data)) for pack in packers]
                 best = min(range(len(names)), key=sizes.__getitem__)
                 rest = min((s for k, s in enumerate(sizes) if k != best), default=len(data) + 16)
                 margin = max(0.0, (rest - sizes[best]) / rest)
@@ -82,7 +103,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
     """id, lang_pred, score (the relative lead of the smallest over the next size, 0 to 1), rejected.
 
     Whole texts are compressed, lower-cased. A null, empty or letterless text, or having no dictionary at all,
-    gives ``und`` with score 0, rejected. Equal sizes go to the first language in code-point order. One row for each
+    gives ``und`` with score 0, rejected. Equal sizes go to the language that comes first among the dictionaries. One row for each
     row of docs, repeated ones too; an empty table gives none; other columns are not read.
     """
     ship(docs.sparkSession)
