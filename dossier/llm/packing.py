@@ -9,6 +9,7 @@ pieces of one length that fit windows of one capacity are placed in one step. Pi
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,16 +19,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stored, text_or_empty
+from .common import lower_ascii, ship, stored, text_or_empty
 
 WINDOW = 4096
 END_ID = 2
-#: Words that a worker remembers at most, and characters of text that it handles at once.
-REMEMBERED, CHARS_AT_ONCE = 300_000, 2_000_000
+#: Words that a worker remembers at most, and bytes of text that it handles at once.
+REMEMBERED, BYTES_AT_ONCE = 1_000_000, 8_000_000
 #: Pieces of one length that are ranked in one task, about.
 RANKED_AT_ONCE = 20_000
 
 
+#: Between an ASCII letter or digit and such a mark the tokenizer always cuts.
+MARKS = r"([0-9A-Za-z])([.,!?;:])"
+#: A word of these letters is one word to the tokenizer, too.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+WORDS_AT_ONCE = 2000
+
+
 class _Words:
     """Token ids of the words between ASCII white space, which never share a token; each distinct word is encoded once."""
 
@@ -35,49 +43,86 @@ class _Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.forget()
 
     def forget(self):
         self.known: dict[str, int] = {}
-        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.ids, self.ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+
+    def _add(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        first = len(self.known)
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+        self.ids.append(ids.astype(np.uint32))
+        self.ends.append(self.ends[-1][-1] + ends)
+
+    def _add_each(self, words: list[str]) -> None:
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self._add(words, np.fromiter((i for x in lists for i in x), np.uint32), np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists))))
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        """The number of each word, by which ids and ends know it."""
+        """The number of each word, by which flat() knows it."""
         if len(self.known) > REMEMBERED:
             self.forget()
         new = [w for w in words if w not in self.known]
-        if new:
-            lists = [e.ids for e in self.encode(new, add_special_tokens=False)]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        plain = [w for w in new if LETTERS.fullmatch(w)]
+        for at in range(0, len(plain), WORDS_AT_ONCE):
+            some = plain[at : at + WORDS_AT_ONCE]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some):
+                self._add(some, ids, ends)
+            else:
+                self._add_each(some)
+        if rest := [w for w in new if not LETTERS.fullmatch(w)]:
+            self._add_each(rest)
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after the other, and where each begins."""
+        self.ids, self.ends = [np.concatenate(self.ids)], [np.concatenate(self.ends)]
+        return self.ids[0], self.ends[0]
+
+
+_known: dict[str, _Words] = {}
+
+
+def _words(path: str) -> _Words:
+    """One for each worker, kept from task to task."""
+    if path not in _known:
+        _known[path] = _Words(path)
+    return _known[path]
+
 
 def token_ids(texts: pa.Array, words: _Words) -> tuple[np.ndarray, np.ndarray]:
     """All ids one after the other and the number of each text, without end ids."""
-    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+    texts = texts.cast(pa.large_string())
+    if not pc.any(pc.match_substring(texts, "<|")).as_py():  # the special tokens are told apart by case
+        texts = lower_ascii(texts)
+    lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, MARKS, r"\1 \2"))
     flat = lists.flatten()
     text = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
     full = pc.binary_length(flat).to_numpy() > 0
     coded = flat.filter(pa.array(full)).dictionary_encode()
     number = words(coded.dictionary.to_pylist())
+    ids, begin = words.flat()
     codes = coded.indices.to_numpy()
-    starts, sizes = words.ends[number][codes], (words.ends[number + 1] - words.ends[number])[codes]
+    starts, sizes = begin[number][codes], (begin[number + 1] - begin[number])[codes]
     ends = np.cumsum(sizes)
     place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
-    return words.ids[place], np.bincount(text[full], weights=sizes, minlength=len(texts)).astype(np.int64)
+    return ids[place], np.bincount(text[full], weights=sizes, minlength=len(texts)).astype(np.int64)
 
 
 def _cut(path: str, window: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(path)
+        words = _words(path)
         for whole in batches:
             size = np.cumsum(pc.binary_length(whole.column(1)).to_numpy())
             total = int(size[-1]) if len(size) else 0
-            marks = np.unique(np.minimum(np.searchsorted(size, np.arange(CHARS_AT_ONCE, total, CHARS_AT_ONCE)) + 1, len(size)))
+            marks = np.unique(np.minimum(np.searchsorted(size, np.arange(BYTES_AT_ONCE, total, BYTES_AT_ONCE)) + 1, len(size)))
             for a, b in zip([0, *marks], [*marks, len(size)], strict=True):
                 batch = whole.slice(int(a), int(b - a))
                 if not batch.num_rows:
