@@ -34,7 +34,7 @@ def completeness(cases: DataFrame, evidence: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     joined = cases.join(facts, "case_id", "left").withColumn("roles", F.coalesce("roles", none)).fillna({"approvals": 0, "files": 0})
     present = F.size(F.array_intersect("required", "roles"))
-    numbered = F.col("case_name").rlike(r"_\d{2}$")
+    numbered = F.col("case_name").rlike(r"^.*_\d{2}$")
     score = F.struct(
         present.alias("required_present"),
         ((F.col("approvals") > 0) | (F.col("status") == "approved")).cast("int").alias("approved"),
@@ -139,8 +139,8 @@ def file_links(files: Column) -> Column:
 
     base = lambda p: F.regexp_extract(p, r"([^/]*)$", 1)
     return F.transform(
-        F.filter(files, lambda f: F.coalesce(f.path, F.lit("")) != ""),
-        lambda f: F.struct(F.coalesce(F.nullif(f.name, F.lit("")), base(f.path)).alias("text"), relative_href(f.path).alias("href"), f.path.alias("path")),
+        F.filter(files, lambda f: F.coalesce(f["path"], F.lit("")) != ""),
+        lambda f: F.struct(F.coalesce(F.nullif(f["name"], F.lit("")), base(f["path"])).alias("text"), relative_href(f["path"]).alias("href"), f["path"].alias("path")),
     )
 
 

@@ -7,9 +7,11 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.dates import labelled_dates_match
 from ..functions.text import labelled_field, normalize_match_text, normalize_ocr_text
+from ..materialize import materialised
 
 #: Length of the grams that anchor keys in texts.
 GRAM = 5
@@ -18,9 +20,13 @@ CONTENT_ENDS = ("施工负责人", "影响改动消防", "影响堵塞", "危险
 FUZZY_LEAST, FUZZY_LEAD = 0.60, 0.15
 
 
-def _grams(text: Column, size: int) -> Column:
-    count = F.length(text) - size + 1
-    return F.when(count > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+def _with_grams(rows: DataFrame, text_col: str, size: int) -> DataFrame:
+    """rows with gram, one row for each distinct gram of the text; linear in its length."""
+    chars = rows.withColumn("chars_", F.split(text_col, ""))
+    count = F.size("chars_") - size + 1
+    gram = lambda i: F.concat(*[F.get("chars_", i + k) for k in range(size)])
+    grams = chars.where(count > 0).withColumn("grams_", F.transform(F.sequence(F.lit(0), count - 1), gram))
+    return grams.withColumn("gram", F.explode(F.array_distinct("grams_"))).drop("chars_", "grams_")
 
 
 def containment_pairs(texts: DataFrame, id_col: str, text_col: str, keys: DataFrame, key_col: str) -> DataFrame:
@@ -31,14 +37,14 @@ def containment_pairs(texts: DataFrame, id_col: str, text_col: str, keys: DataFr
     """
     keys = keys.select(F.col(key_col).alias("key")).where("key <> ''").distinct()
     rows = texts.select(id_col, F.col(text_col).alias("text_")).where("text_ <> ''").distinct()
-    own = keys.where(F.length("key") >= GRAM).select("key", F.explode(_grams(F.col("key"), GRAM)).alias("gram"))
+    own = _with_grams(keys.where(F.length("key") >= GRAM), "key", GRAM).select("key", "gram")
     shared = own.groupBy("gram").agg(F.count("*").alias("n"))
     anchors = own.join(shared, "gram").groupBy("key").agg(F.min(F.struct("n", "gram")).alias("a")).select("key", F.col("a.gram").alias("gram"))
-    hits = rows.select(id_col, F.explode(_grams(F.col("text_"), GRAM)).alias("gram")).join(anchors, "gram").select(id_col, "key")
+    hits = _with_grams(rows, "text_", GRAM).select(id_col, "gram").join(anchors, "gram").select(id_col, "key")
     short = keys.where(F.length("key") < GRAM)
     for (size,) in short.select(F.length("key")).distinct().collect():
         whole = short.where(F.length("key") == size)
-        hits = hits.unionByName(rows.select(id_col, F.explode(_grams(F.col("text_"), size)).alias("key")).join(whole, "key").select(id_col, "key"))
+        hits = hits.unionByName(_with_grams(rows, "text_", size).select(id_col, F.col("gram").alias("key")).join(whole, "key").select(id_col, "key"))
     return hits.distinct().join(rows, id_col).where(F.contains("text_", "key")).select(id_col, "key").distinct()
 
 
@@ -55,8 +61,8 @@ def containment_links(documents: DataFrame, cases: DataFrame) -> DataFrame:
 
 def document_keys(documents: DataFrame) -> DataFrame:
     """doc_id, text with text_key and content_key, the forms that containment compares."""
-    text = normalize_match_text(F.col("text"))
-    return documents.withColumn("text_key", normalize_ocr_text(F.col("text"))).withColumn("content_key", labelled_field(text, "施工内容", CONTENT_ENDS))
+    keyed = documents.withColumn("t_", normalize_match_text(F.col("text"))).withColumn("text_key", normalize_ocr_text(F.col("text")))
+    return keyed.withColumn("content_key", labelled_field(F.col("t_"), "施工内容", CONTENT_ENDS)).drop("t_")
 
 
 def case_keys(cases: DataFrame) -> DataFrame:
@@ -65,7 +71,7 @@ def case_keys(cases: DataFrame) -> DataFrame:
 
 def strict_containment_join(documents: DataFrame, cases: DataFrame) -> DataFrame:
     """doc_id, case_id: area in the text, content in the content field, and dates as labelled or both present."""
-    found = containment_links(document_keys(documents).drop("text"), case_keys(cases).select("case_id", "area_key", "content_key", "start_date", "end_date"))
+    found = containment_links(materialised(document_keys(documents).drop("text")), case_keys(cases).select("case_id", "area_key", "content_key", "start_date", "end_date"))
     found = found.join(documents.select("doc_id", "text"), "doc_id")
     return found.where(labelled_dates_match(F.col("text"), F.col("start_date"), F.col("end_date"))).select("doc_id", "case_id")
 
@@ -90,7 +96,7 @@ def unique_match_resolution(documents: DataFrame, pairs: DataFrame) -> DataFrame
     return documents.select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.when(n == 1, F.col("only")).alias("case_id"), n.cast("long").alias("candidates"), reason.alias("reason"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def gestalt_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two texts; order matters."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
@@ -103,7 +109,7 @@ def fuzzy_margin_join(documents: DataFrame, cases: DataFrame) -> DataFrame:
     the only one that lacks the role; otherwise the best ratio of at least FUZZY_LEAST that leads by FUZZY_LEAD.
     documents: doc_id, text; cases: case_id, area, content, start_date, end_date, role_missing. Ratios are worked out once for each distinct pair of contents.
     """
-    docs, keyed = document_keys(documents), case_keys(cases)
+    docs, keyed = materialised(document_keys(documents)), case_keys(cases)
     areas = containment_pairs(docs, "doc_id", "text_key", keyed, "area_key").withColumnRenamed("key", "area_key")
     texts = docs.select("doc_id", "text", F.col("content_key").alias("image")).where("image <> ''")
     found = areas.join(keyed.where("content_key <> ''"), "area_key").join(texts, "doc_id")

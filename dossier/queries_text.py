@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import classify, dates, ids, text
+from .operators.review import with_approval_fields
 from .views import views, with_views
 
 QUERIES: dict = {}
@@ -114,7 +115,7 @@ ENDS = ("施工负责人", "影响改动消防", "影响堵塞", "危险作业",
 @query(f"select doc_id, {sql_field(sql_match('text'), '施工内容', ENDS)} as content, {sql_field(sql_match('text'), '施工区域', ('施工开始时间', '施工开始日期'))} as area from v_approvals")
 def extract_labelled_field(spark, sf_dir):
     (a,) = views(spark, sf_dir, "v_approvals")
-    t = text.normalize_match_text(F.col("text"))
+    a, t = a.withColumn("t", text.normalize_match_text(F.col("text"))), F.col("t")
     return a.select("doc_id", text.labelled_field(t, "施工内容", ENDS).alias("content"), text.labelled_field(t, "施工区域", ("施工开始时间", "施工开始日期")).alias("area"))
 
 
@@ -122,7 +123,11 @@ def _cap(x: str, a: str, b: str) -> str:
     return rf"trim(regexp_replace(regexp_extract({x}, '(?s){a}\s*(.*?)\s*{b}', 1), '\s+', ' ', 'g'))"
 
 
-_D = r"(\d{4})年(\d{1,2})月(\d{1,2})日~(\d{4})年(\d{1,2})月(\d{1,2})日"
+@query(f"""select doc_id, {sql_field(sql_match('text'), '施工区域', ('施工开始时间', '施工开始日期'))} as area, cast(regexp_replace(regexp_extract(text, '施工开始时间：(\\d+年\\d+月\\d+)', 1), '[年月]', '-', 'g') as date) as doc_start,
+ cast(regexp_replace(regexp_extract(text, '施工结束时间：(\\d+年\\d+月\\d+)', 1), '[年月]', '-', 'g') as date) as doc_end, {sql_field(sql_match('text'), '施工内容', ENDS)} as content from v_approvals""")
+def approval_fields(spark, sf_dir):
+    (a,) = views(spark, sf_dir, "v_approvals")
+    return with_approval_fields(a).drop("text")
 
 
 @query(rf"""select case_id, {_cap('form_text', '项目名称：', '质保单位（盖章）：')} as project, {_cap('form_text', '质保单位（盖章）：', '分包单位：')} as unit,
