@@ -186,21 +186,29 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, int
         rank, left = 0, histogram[length]
         while left:
             capacity = tightest(length)
-            if capacity is None:
-                first, n, capacity = windows, left, window
+            fresh = capacity is None
+            capacity = window if fresh else capacity
+            each = capacity // length  # a window that has taken one stays the tightest while it holds another
+            if fresh:
+                first, n = windows, -(-left // each)
                 windows += n
             else:
                 first, n = open_at[capacity].pop()
-                if n > left:
-                    open_at[capacity].append((first + left, n - left))
-                    n = left
                 if not open_at[capacity]:
                     mark(capacity, False)
-            steps.append((length, rank, n, first, window - capacity))
-            if rest := capacity - length:
-                open_at.setdefault(rest, []).append((first, n))
-                mark(rest, True)
-            rank, left = rank + n, left - n
+            full, more = min(n, left // each), 0
+            if full < n:
+                more = left - full * each
+            for at, some, times in ((first, full, each), (first + full, 1 if more else 0, more)):
+                for k in range(times if some else 0):
+                    steps.append((length, rank, some, at, window - capacity + k * length))
+                    rank, left = rank + some, left - some
+                if some and (rest := capacity - times * length):
+                    open_at.setdefault(rest, []).append((at, some))
+                    mark(rest, True)
+            if unused := n - full - (1 if more else 0):
+                open_at.setdefault(capacity, []).append((first + n - unused, unused))
+                mark(capacity, True)
     return steps
 
 
