@@ -17,9 +17,9 @@ _CJK_DATE = r"cast(regexp_replace(regexp_extract(text, '{0}：(\d+年\d+月\d+)'
 _POINTS = "(case when {0} is null then 0 when {0} <= 0 then {1} when {0} <= 3 then {1} - 2 when {0} <= 7 then greatest(0, {1} - 4) when {0} <= 14 then greatest(0, {1} - 7) when {0} <= 31 then greatest(0, {1} - 10) else 0 end)"
 
 
-def candidates_sql(status: str = "status = 'open'") -> str:
+def candidates_sql(status: str = "status = 'open'", start: str = "start_date") -> str:
     return f"""a as (select doc_id, {sql_ocr('text')} as tk, {sql_field(sql_match('text'), '施工内容', ENDS)} as ck, {_CJK_DATE.format('施工开始时间')} as ds, {_CJK_DATE.format('施工结束时间')} as de from v_approvals),
-c as (select case_id, {sql_ocr('area')} as ak, {sql_match('content')} as kk, start_date, end_date from v_cases where {status}),
+c as (select case_id, {sql_ocr('area')} as ak, {sql_match('content')} as kk, {start} as start_date, end_date from v_cases where {status}),
 areas as (select doc_id, ak from a join (select distinct ak from c) x on contains(a.tk, x.ak)),
 contents as (select doc_id, kk from a join (select distinct kk from c) x on contains(a.ck, x.kk)),
 deltas as (select doc_id, case_id, cast(abs(start_date - ds) as integer) as start_delta, cast(abs(end_date - de) as integer) as end_delta, start_date = ds and end_date = de as same
@@ -30,19 +30,25 @@ best as (select *, confidence - runner_up as gap, cast(case when runner_up is nu
 
 
 CAND = candidates_sql()
+# Cases that are not closed, with the start dates that the approvals carry.
+LIVE = candidates_sql("status <> 'terminated'", "start_date + cast(case_id % 40 as int)")
 LEVEL = "case when chosen >= 95 then 'high' when chosen >= 85 then 'middle' else 'low' end"
 EXCLUDED = "doc_id % 10 = 3 and (doc_id + case_id) % 5 = 0"
 
 
+def live(cases):
+    return cases.where("status <> 'terminated'").withColumn("start_date", F.expr("date_add(start_date, cast(case_id % 40 as int))"))
+
+
 def _open(spark, sf_dir):
     a, c = views(spark, sf_dir, "v_approvals", "v_cases")
     return a, c.where("status = 'open'")
 
 
-@query("with " + candidates_sql("status <> 'terminated'") + " select doc_id, case_id from pairs where same")
+@query("with " + LIVE + " select doc_id, case_id from pairs where same")
 def strict_containment_join(spark, sf_dir):
     a, c = views(spark, sf_dir, "v_approvals", "v_cases")
-    return J.strict_containment_join(a, c.where("status <> 'terminated'"))
+    return J.strict_containment_join(a, live(c))
 
 
 @query("select d.doc_id, b.item_id from documents d join benchmark b on b.text <> '' and contains(d.text, b.text)")
@@ -64,11 +70,11 @@ def matched_name_list(spark, sf_dir):
     return J.matched_name_list(pairs.withColumn("name", F.concat(F.lit("case_"), F.col("case_id").cast("string"))), "doc_id", "case_id", "name")
 
 
-@query("with " + candidates_sql("status <> 'terminated'") + """, s as (select doc_id, count(*) as n, min(case_id) as only_ from pairs where same group by doc_id)
+@query("with " + LIVE + """, s as (select doc_id, count(*) as n, min(case_id) as only_ from pairs where same group by doc_id)
 select a.doc_id, case when n = 1 then only_ end as case_id, coalesce(n, 0) as candidates, case when n = 1 then 'linked' when n is null then 'no_candidate' else 'several_candidates' end as reason from a left join s using (doc_id)""")
 def unique_match_resolution(spark, sf_dir):
     a, c = views(spark, sf_dir, "v_approvals", "v_cases")
-    return J.unique_match_resolution(a, J.strict_containment_join(a, c.where("status <> 'terminated'")))
+    return J.unique_match_resolution(a, J.strict_containment_join(a, live(c)))
 
 
 def _excluded(spark, sf_dir):

@@ -12,7 +12,7 @@ from .operators import evidence as E
 from .operators import joins as J
 from .operators import review as R
 from .plans import pipelines as P
-from .queries_link import CAND, LEVEL, REASON, _nested, _open, _scored, candidates_sql
+from .queries_link import CAND, LEVEL, LIVE, REASON, _nested, _open, _scored, live
 from .queries_text import _form_columns, query
 from .sources import files as S
 from .streaming.intake import take_in
@@ -136,11 +136,11 @@ def deduplicate_cases(spark, sf_dir):
     return P.deduplicate_cases(cases, files, ["key"], score)[1].select("case_id", "file_id", "moved")
 
 
-@query("with " + candidates_sql("status <> 'terminated'") + """, s as (select doc_id, count(*) as n, min(case_id) as only_ from pairs where same group by doc_id)
+@query("with " + LIVE + """, s as (select doc_id, count(*) as n, min(case_id) as only_ from pairs where same group by doc_id)
 select a.doc_id, case when n = 1 then only_ end as case_id, coalesce(n, 0) as candidates, case when n = 1 then 'linked' when n is null then 'no_candidate' else 'several_candidates' end as reason from a left join s using (doc_id) where a.doc_id % 3 <> 0""")
 def ingest_approvals(spark, sf_dir):
     a, c = views(spark, sf_dir, "v_approvals", "v_cases")
-    return P.ingest_approvals(a, c.where("status <> 'terminated'"), a.where("doc_id % 3 = 0"))
+    return P.ingest_approvals(a, live(c), a.where("doc_id % 3 = 0"))
 
 
 def _decided(spark, sf_dir, faulty):
@@ -226,11 +226,11 @@ def stream_route_batches(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda rows: rows.withColumn("kind", F.lit("material"))).select("sha256", "kind")
 
 
-@query("with " + candidates_sql("status <> 'terminated'") + " select doc_id, case_id from pairs where same")
+@query("with " + LIVE + " select doc_id, case_id from pairs where same")
 def stream_link(spark, sf_dir):
     a, c = views(spark, sf_dir, "v_approvals", "v_cases")
     source, store, checkpoint = (_folder(spark, x) for x in ("drop", "store", "stream"))
     a.write.parquet(source)
-    cases = materialised(c.where("status <> 'terminated'"))
+    cases = materialised(live(c))
     take_in(spark, source, "doc_id long, text string", "doc_id", store, checkpoint, lambda rows: J.strict_containment_join(rows, cases))
     return spark.read.schema("doc_id long, case_id long").parquet(store).select("doc_id", "case_id")
