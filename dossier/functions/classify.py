@@ -16,6 +16,18 @@ WORK_TYPES = ("动火作业", "有限空间作业", "5米以上高处作业", "
 CHECKED = "0052"
 STOPS = ("一、", "二、", "三、", "会投工程部意见：", "分公司工程部意见：")
 BASE_ROLES = ("word", "signed_application", "worker_list", "safety_agreement")
+LIST_COLUMNS = ("姓名", "性别", "电话")
+# Each kind of text: words that name it, options that are ticked on it.
+TEXT_ROLES = (
+    ("worker_list", ("工人名单", "人员名单"), ()),
+    ("signed_application", ("质保作业申请单", "质保申请单"), ()),
+    ("confined_space", ("有限空间作业申请",), ("有限空间作业",)),
+    ("high_altitude", ("高处作业申请", "高空作业申请"), ("5米以上高处作业", "5米以上高空作业")),
+    ("special_work", ("动火作业申请", "危大工程专项方案", "配电室接电申请"), ("动火作业", "危大工程", "配电室接电")),
+)
+# What of a file name behind the case name tells its role.
+NAME_ROLES = (("worker_list", ("工人名单", "人员名单")), ("confined_space", ("有限空间",)), ("high_altitude", ("高处", "高空")))
+TITLE, SHORT_TITLE, NUMBER_LABELS = "工程类主体质保施工", "主体质保施工", ("申请编号", "审批编号")
 HAZARDS = (("有限空间", "confined_space"), ("高处", "high_altitude"), ("动火", "special_work"), ("危大工程", "special_work"), ("配电室", "special_work"))
 
 
@@ -35,38 +47,36 @@ def option_is_checked(text: Column, option: str) -> Column:
 def text_role(text: Column) -> Column:
     """The kind of evidence a recognised text is, by the first rule that holds; null if none does."""
     t = normalize_match_text(text)
-    checked = lambda *options: F.greatest(*[option_is_checked(text, o) for o in options], F.lit(False))
-    return (
-        F.when(contains_any(t, ("工人名单", "人员名单")) | (t.contains("姓名") & t.contains("性别") & t.contains("电话")), "worker_list")
-        .when(contains_any(t, ("质保作业申请单", "质保申请单")), "signed_application")
-        .when(t.contains("有限空间作业申请") | checked("有限空间作业"), "confined_space")
-        .when(contains_any(t, ("高处作业申请", "高空作业申请")) | checked("5米以上高处作业", "5米以上高空作业"), "high_altitude")
-        .when(contains_any(t, ("动火作业申请", "危大工程专项方案", "配电室接电申请")) | checked("动火作业", "危大工程", "配电室接电"), "special_work")
-    )
+    columns = F.lit(True)
+    for word in LIST_COLUMNS:
+        columns = columns & t.contains(word)
+    role = None
+    for name, words, options in TEXT_ROLES:
+        rule = contains_any(t, words)
+        for option in options:
+            rule = rule | option_is_checked(text, option)
+        rule = rule | columns if name == "worker_list" else rule
+        role = F.when(rule, name) if role is None else role.when(rule, name)
+    return role
 
 
 def material_role(file: Column, case: Column) -> Column:
     """The role of a file whose stem begins with the case name, from what follows it."""
     rest = F.ltrim(F.substring(stem(file), F.length(case) + 1, F.lit(1 << 20)), F.lit("_"))
-    role = (
-        F.when((rest == "") & suffix(file).isin(*IMAGES), "signed_application")
-        .when(contains_any(rest, ("工人名单", "人员名单")), "worker_list")
-        .when(rest.contains("有限空间"), "confined_space")
-        .when(contains_any(rest, ("高处", "高空")), "high_altitude")
-        .when(rest != "", "special_work")
-    )
-    return F.when(stem(file).startswith(case), role)
+    role = F.when((rest == "") & suffix(file).isin(*IMAGES), "signed_application")
+    for name, words in NAME_ROLES:
+        role = role.when(contains_any(rest, words), name)
+    return F.when(stem(file).startswith(case), role.when(rest != "", "special_work"))
 
 
 def approval_kind(file: Column, text: Column) -> Column:
     """struct(is_approval, rule): the name's number, the name's title, the text's title, or a title with a number label."""
     name, t = normalize_match_text(stem(file)), normalize_match_text(text)
-    title = "工程类主体质保施工"
     rule = (
         F.when(normalize_digits(file).rlike(APPROVAL_NAME), "name_number")
-        .when(name.contains(title), "name_title")
-        .when(t.contains(title), "text_title")
-        .when(t.contains("主体质保施工") & contains_any(t, ("申请编号", "审批编号")), "text_title_and_number")
+        .when(name.contains(TITLE), "name_title")
+        .when(t.contains(TITLE), "text_title")
+        .when(t.contains(SHORT_TITLE) & contains_any(t, NUMBER_LABELS), "text_title_and_number")
     )
     return F.struct(rule.isNotNull().alias("is_approval"), F.coalesce(rule, F.lit("none")).alias("rule"))
 

@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from .functions import ids, text
+from .functions.forms import form_fields
 from .materialize import materialised
 from .operators import evidence as E
 from .operators import joins as J
 from .operators import review as R
 from .plans import pipelines as P
 from .queries_link import CAND, LEVEL, LIVE, REASON, _nested, _open, _scored, live
-from .queries_text import _form_columns, query
+from .queries_text import query
 from .sources import files as S
 from .streaming.intake import take_in
 from .views import views
@@ -185,7 +186,7 @@ def batch_summary(spark, sf_dir):
     a, f = views(spark, sf_dir, "v_approvals", "v_forms")
     pairs, _ = R.relaxed_candidates(*_open(spark, sf_dir))
     names = J.matched_name_list(pairs.withColumn("name", F.concat(F.lit("case_"), F.col("case_id").cast("string"))), "doc_id", "case_id", "name").withColumnRenamed("doc_id", "case_id")
-    forms = f.select("case_id", *_form_columns(F.col("form_text"))).select("case_id", "area", "content", "start_date")
+    forms = f.select("case_id", *form_fields(F.col("form_text"))).select("case_id", "area", "content", "start_date")
     return forms.join(a.select(F.col("doc_id").alias("case_id")), "case_id", "left_semi").join(names, "case_id", "left").select("case_id", "area", "content", "start_date", F.coalesce("names", F.lit("")).alias("names"))
 
 

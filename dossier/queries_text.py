@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import classify, dates, ids, text
+from .functions import classify, dates, forms, ids, text
 from .operators.review import with_approval_fields
 from .views import views, with_views
 
@@ -140,19 +140,7 @@ def approval_fields(spark, sf_dir):
  from v_forms""")
 def form_fields(spark, sf_dir):
     (f,) = views(spark, sf_dir, "v_forms")
-    return f.select("case_id", *_form_columns(F.col("form_text")))
-
-
-def _form_columns(t):
-    between = lambda a, b: text.capture_between(t, a, b)
-    when = dates.date_range(between("施工日期：", "施工内容："))
-    section = between("施工内容：", "一、影响、改动消防设备设施")
-    return [
-        between("项目名称：", "质保单位（盖章）：").alias("project"), between("质保单位（盖章）：", "分包单位：").alias("unit"), between("分包单位：", "质保负责人：").alias("subunit"),
-        between("质保负责人：", "联系电话：").alias("manager"), between("联系电话：", "施工区域：").alias("manager_phone"), between("施工区域：", "施工日期：").alias("area"),
-        between("施工内容：", "施工负责人：").alias("content"), between("施工负责人：", "联系电话：").alias("foreman"), F.regexp_extract(section, r"联系电话：\s*(\d+)", 1).alias("foreman_phone"),
-        when.start.alias("start_date"), when.end.alias("end_date"), when.days.alias("days"),
-    ]
+    return f.select("case_id", *forms.form_fields(F.col("form_text")))
 
 
 @query("""select case_id, case when case_id % 3 = 0 then cast(strftime(start_date, '%Y-%m-%d') as date) else start_date end as start_date, end_date, area, content from v_cases""")
