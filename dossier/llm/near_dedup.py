@@ -7,7 +7,7 @@ earliest of a coordinate is its value: two documents agree in a coordinate with
 Documents with equal shingle sets are one set. Sets that share a band are first compared with the bucket's representative, the set
 that shares most places with others, and components follow from the verified links. In a further round each component of a bucket sends one member to one of the bucket's largest
 component, which joins dense groups with few comparisons. Last, members of a bucket that are still apart are compared with each other
-if their signatures agree enough, so no likely pair of different components remains untested.
+exactly, unless a map of their shingles proves that they are less similar, so no candidate pair of different components remains untested.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, lower_ascii, ship, stored, text_or_empty, with_groups
@@ -28,9 +28,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair shares no band with a chance of (1 - 0.8 ** 5) ** 30, below 1e-5.
 BANDS, ROWS = 30, 5
 COORDINATES = BANDS * ROWS
-#: Rounds in which components of a bucket meet its largest one; agreement of signatures from which sets still apart are
-#: compared (3.5 standard errors below a similarity of 0.8).
-ROUNDS, AGREEMENT = 1, int(0.68 * BANDS * ROWS)
+#: Rounds in which components of a bucket meet its largest one; bits of the map of a set's shingles.
+ROUNDS, MAP_BITS = 1, 2048
 #: Darts of a document, expected: then a coordinate stays empty with a chance of 5 % in all, and the document gets more.
 DARTS = int(COORDINATES * (np.log(COORDINATES) + 3))
 #: Places (elements x rank cells) and bytes of text that are handled at once.
@@ -132,6 +131,25 @@ def _set_key(hashed: np.ndarray, counts: np.ndarray, counted: bool) -> bytes:
     return xxhash.xxh3_128_digest(hashed.tobytes() + (counts.astype("<i8").tobytes() if counted else b""))
 
 
+def shingle_maps(of: np.ndarray, hashed: np.ndarray, n: int) -> np.ndarray:
+    """A row of MAP_BITS bits, as 64-bit numbers, for each of n sets: those are set that a shingle of the set falls on."""
+    maps = np.zeros((n, MAP_BITS // 64), np.uint64)
+    bit = hashed % np.uint64(MAP_BITS)
+    np.bitwise_or.at(maps, (of, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return maps.view(np.int64)
+
+
+def may_be_similar(least: float) -> Column:
+    """False only for sets (n, map, spare) and (n_b, map_b, spare_b) whose similarity is surely below least.
+
+    spare is n less the bits of the map. A bit that one map alone has stands for at least one shingle that the other set lacks,
+    so sets share at most the bits that both maps have and the smaller spare.
+    """
+    common = F.expr("aggregate(zip_with(map, map_b, (x, y) -> bit_count(x & y)), 0, (a, x) -> a + x)")
+    shared = F.least("spare", "spare_b") + common
+    return shared >= least * (F.col("n") + F.col("n_b")) / (1 + least) - 1e-6
+
+
 def _signed(counted: bool, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -147,9 +165,9 @@ def _signed(counted: bool, size: int):
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(band.reshape(-1).view(np.int64)))
                 keys = [_set_key(hashed[a:b], counts[a:b], counted) for a, b in zip(ends, ends[1:], strict=False)]
                 mass = np.bincount(of, weights=weight, minlength=n).astype(np.int64)
-                values = pa.array((signature ^ (signature >> np.uint64(32))).astype(np.uint32).reshape(-1).view(np.int32))
-                signatures = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * COORDINATES, COORDINATES, dtype=np.int32)), values)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(mass), bands, signatures], names=["id", "key", "n", "bands", "signature"])
+                maps = shingle_maps(of, hashed, n)
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(0, maps.size + 1, maps.shape[1], dtype=np.int32)), pa.array(maps.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(mass), bands, maps], names=["id", "key", "n", "bands", "map"])
 
     return run
 
@@ -241,9 +259,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    signed, _ = stored(rows.mapInArrow(_signed(counted, size), "id long, key binary, n long, bands array<long>, signature array<int>"), "signatures")
+    signed, _ = stored(rows.mapInArrow(_signed(counted, size), "id long, key binary, n long, bands array<long>, map array<long>"), "signatures")
     total = signed.count()
-    first = [F.first(c).alias(c) for c in ("n", "bands", "signature")]
+    first = [F.first(c).alias(c) for c in ("n", "bands", "map")]
     sets = signed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("members"), *first)
     sets, _ = stored(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
 
@@ -278,12 +296,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
             met = parts.join(main, "band").where("own <> main.own").select("one.node", "one.n", F.col("main.one.node").alias("node_b"), F.col("main.one.n").alias("n_b"))
         else:
             # what is still apart from the largest component of its bucket, against all of the bucket
-            told, _ = stored(told.join(sets.select("node", "signature"), "node"), "told")
+            spare = F.col("n") - F.expr("aggregate(map, 0, (a, x) -> a + bit_count(x))")
+            told, _ = stored(told.join(sets.select("node", "map"), "node").withColumn("spare", spare), "told")
             apart = told.join(main.select("band", F.col("main.own").alias("main_own")), "band").where("own <> main_own").drop("main_own")
-            others = told.select("band", *[F.col(c).alias(c + "_b") for c in ("node", "n", "own", "signature")])
-            agreed = F.expr("aggregate(zip_with(signature, signature_b, (x, y) -> if(x = y, 1, 0)), 0, (a, x) -> a + x)") >= AGREEMENT
+            others = told.select("band", *[F.col(c).alias(c + "_b") for c in ("node", "n", "own", "map", "spare")])
             ratio = F.least("n", "n_b") >= least * F.greatest("n", "n_b")
-            met = apart.withColumnRenamed("band", "band_a").join(others, (F.col("band_a") == F.col("band")) & (F.col("own") != F.col("own_b")) & ratio & agreed)
+            met = apart.withColumnRenamed("band", "band_a").join(others, (F.col("band_a") == F.col("band")) & (F.col("own") != F.col("own_b")) & ratio & may_be_similar(least))
         met = met.where(F.least("n", "n_b") >= least * F.greatest("n", "n_b")).select(F.least("node", "node_b").alias("x"), F.greatest("node", "node_b").alias("y")).distinct()
         met, _ = stored(met, "pairs")
         if met.isEmpty():

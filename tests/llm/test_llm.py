@@ -114,6 +114,32 @@ def test_near_dedup_equals_brute_force(spark):
     assert near_dedup.classes(empty(spark)).count() == 0
 
 
+def test_near_dedup_tests_every_pair_that_shares_a_band(spark):
+    texts = []
+    for g in range(25):  # groups whose members lie about the bound from each other, so that many miss their representative
+        r = random.Random(g)
+        base = [f"w{r.randrange(300)}" for _ in range(150)]
+        for _ in range(14):
+            words = list(base)
+            for i in r.sample(range(150), 4):
+                words[i] = f"new{r.randrange(10**6)}"
+            texts.append(" ".join(words))
+    n, least = len(texts), 0.6
+    [signed] = near_dedup._signed(False, 5)(iter([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts)], names=["id", "text"])]))
+    bands = [set(b) for b in signed.column(3).to_pylist()]
+    of, hashed, _ = near_dedup.shingles(pa.array(texts))
+    sets = [hashed[of == i].tobytes() for i in range(n)]
+    label = list(range(n))
+    find = lambda x: x if label[x] == x else find(label[x])
+    for a, b in itertools.combinations(range(n), 2):
+        if bands[a] & bands[b] and near_dedup.similarity(sets[a], sets[b]) >= least:
+            x, y = find(a), find(b)
+            label[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.class_id for r in near_dedup.classes(docs, least=least).collect()}
+    assert got == {i: find(i) for i in range(n)}
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     r = np.random.default_rng(3)
     element = r.integers(0, 2**63, 40).astype(np.uint64)
