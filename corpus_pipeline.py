@@ -42,7 +42,7 @@ STAGES = [
     ("packing", pack_windows),
 ]
 
-#: The language and near-duplicate stages can't be stated in SQL; tests/llm holds them against plain versions.
+#: The language and near-duplicate stages can't be stated in SQL; tests/llm holds near dedup against brute force and language ID against invented alphabets.
 ORACLE_SQL = None
 
 
