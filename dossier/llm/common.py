@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -16,16 +17,22 @@ from pyspark.sql import functions as F
 #: Deleting these and nothing else makes two texts comparable (op3) or separates tokens (op1).
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 
+#: Ids that are broadcast at most, 8 bytes each; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
+
 _own_folder: str | None = None
 _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``. Only a session with a local master may leave it unset; it gets a temporary one."""
     global _own_folder
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="dossier-")
     return _own_folder
@@ -51,6 +58,11 @@ def discard(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def ship(spark: SparkSession) -> None:
     """Puts this package on the executors' import path, once for each application."""
     sc = spark.sparkContext
@@ -91,6 +103,13 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return rows.join(hot, key).unionByName(rest.join(groups.where(F.col(size) <= total // share), key))
 
 
+def without_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """rows less those whose id_col is in ids (id), nulls too; rows are shuffled only if the ids are too many to be broadcast."""
+    ids, _ = stored(ids.select(F.col("id").alias("gone_id_")), "ids")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, F.col(id_col).cast("long").eqNullSafe(F.col("gone_id_")), "left_anti")
+
+
 def lower_ascii(texts: pa.Array) -> pa.Array:
     """Texts with A-Z lower-cased, as large strings."""
     texts = texts.cast(pa.large_string())

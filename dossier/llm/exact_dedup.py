@@ -8,27 +8,39 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, new_path, shuffle_width, stored, text_or_empty
+from .common import ASCII_SPACE, exists, new_path, shuffle_width, stored, text_or_empty, with_groups, without_ids
 
 #: A digest is hot if it holds more than one row in HOT_SHARE; there are fewer than HOT_SHARE such digests.
 HOT_SHARE = 1000
 
 
 class DigestIndex:
-    """Digests seen so far with the row that stands for each, at ``path``; reopened by its path."""
+    """Digests seen so far with the row that stands for each, at ``path``; reopened by its path under any session.
+
+    The number of buckets is written beside the data when the index is made. Opening reads it, whatever the session's shuffle
+    width; another number asked for, or a table of the catalogue that says otherwise, is an error.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path
         self.name = "digest_index_" + hashlib.sha256(path.encode()).hexdigest()[:16]
+        told = f"{path}/_index"
+        if not exists(spark, told):
+            spark.createDataFrame([(buckets or max(8, shuffle_width(spark)),)], "buckets int").coalesce(1).write.mode("overwrite").json(told)
+        self.buckets = spark.read.schema("buckets int").json(told).first().buckets
+        if buckets not in (None, self.buckets):
+            raise ValueError(f"the index at {path} has {self.buckets} buckets, not {buckets}")
         spark.sql(
-            f"""CREATE TABLE IF NOT EXISTS {self.name}
-                (digest BINARY, keep_id BIGINT, keep_row BIGINT, batch STRING, group_size BIGINT)
-                USING parquet CLUSTERED BY (digest) SORTED BY (digest)
-                INTO {buckets or max(8, shuffle_width(spark))} BUCKETS LOCATION '{path}'"""
+            f"""CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, batch STRING, group_size BIGINT)
+                USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"""
         )
+        known = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {self.name}").collect()}
+        if int(known["Num Buckets"]) != self.buckets:
+            raise ValueError(f"the catalogue gives {known['Num Buckets']} buckets for {path}, the index has {self.buckets}")
+        spark.catalog.refreshTable(self.name)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -39,6 +51,10 @@ class DigestIndex:
         new.select(*self.read().columns).write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
+    def forget(self) -> None:
+        """Takes the table out of the catalogue; the index stays at its path."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, id, n_points and the SHA-256 of the text without ASCII white space; null counts as empty."""
@@ -51,7 +67,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """Decides every row of docs and appends the new digests to the index.
 
     Returns row, id, keep_id, group_size (of the batch that brought the digest), kept, digest; one row
@@ -59,32 +75,46 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     the smallest id stays; a text that the index held before is dropped in favour of the earlier row. Null texts equal
     empty ones; a null id loses ties; of fully equal rows (same id and text) one is kept; an empty table gives
     no rows. Only id_col and text_col are read, so other columns may have any name.
+
+    batch names the rows: giving a name again, as after a run that failed half-way, decides them as the first time and
+    appends what is still missing. Without a name each call is a batch of its own.
     """
     spark = docs.sparkSession
     facts, _ = stored(digests(docs, id_col, text_col), "digests")
     total = facts.count()
-    batch = hashlib.sha256(new_path(spark, "batch").encode()).hexdigest()[:16]
+    batch = batch or hashlib.sha256(new_path(spark, "batch").encode()).hexdigest()[:16]
     first = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("id").isNull().alias("no"), "id", "row"))
-    groups = facts.groupBy("digest").agg(first.alias("first"), F.count("*").alias("group_size"))
-    groups = groups.select("digest", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"), F.lit(batch).alias("batch"), "group_size")
-    index.append_new(groups)
-    # Digests with more than total / HOT_SHARE rows are fewer than HOT_SHARE, whatever the input: they are broadcast.
-    hot = F.broadcast(index.read().where((F.col("batch") == batch) & (F.col("group_size") > total // HOT_SHARE)))
-    joined = facts.join(hot, "digest").unionByName(facts.join(hot.select("digest"), "digest", "left_anti").hint("merge").join(index.read(), "digest"))
-    kept = (F.col("batch") == batch) & (F.col("keep_row") == F.col("row"))
-    return joined.select("row", "id", "keep_id", "group_size", kept.alias("kept"), "digest")
-
-
-def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows with equal id and text one stays."""
-    decided, _ = stored(deduplicate(docs, index, id_col, text_col).select("id", "digest", "kept"), "decided")
-    keys = decided.where("kept").select(F.col("id").alias("kept_id_"), F.col("digest").alias("kept_digest_"))
-    repeated = decided.groupBy("id", "digest").count().where("count > 1").select(F.col("id").alias("kept_id_"), F.col("digest").alias("kept_digest_"))
+    groups = facts.groupBy("digest").agg(first.alias("first"), F.count("*").alias("members"))
+    groups = groups.select("digest", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"), F.lit(batch).alias("batch"), "members")
+    groups, _ = stored(groups, "digest-groups")
+    index.append_new(groups.withColumn("group_size", F.col("members")))
+    held = index.read().select("digest", F.col("keep_id").alias("held_id"), F.col("batch").alias("held_batch"), F.col("group_size").alias("held_size"))
+    own = F.col("held_batch") == F.col("batch")
+    told = groups.hint("merge").join(held, "digest").select(
+        "digest", F.when(own, F.col("keep_id")).otherwise(F.col("held_id")).alias("keep_id"), F.when(own, F.col("keep_row")).alias("keep_row"),
+        F.when(own, F.col("members")).otherwise(F.col("held_size")).alias("group_size"), "members",
+    )
+    told, _ = stored(told, "digest-told")
+    # a digest that many rows have isn't dealt to one task: those are few and go to all
+    joined = with_groups(facts, told, "digest", "members", total, HOT_SHARE)
+    return joined.select("row", "id", "keep_id", "group_size", F.col("row").eqNullSafe(F.col("keep_row")).alias("kept"), "digest")
+
+
+def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
+    """The rows of docs that stay, with all their columns; of rows with equal id and text one stays; an empty table gives none.
+
+    Texts aren't shuffled where the ids that go are few enough to be broadcast. Rows that share an id are told apart by their digests.
+    """
+    decided, _ = stored(deduplicate(docs, index, id_col, text_col, batch).select("id", "digest", "kept"), "decided")
+    ids, _ = stored(decided.groupBy("id").agg(F.count("*").alias("rows"), F.count_if("kept").alias("stay")), "decided-ids")
+    stay = without_ids(docs, ids.where("stay = 0").select("id"), id_col)
+    mixed = ids.where("stay > 0 and stay < rows").select("id")
+    if mixed.isEmpty():
+        return stay
+    keys = decided.join(mixed, decided["id"].eqNullSafe(mixed["id"]), "left_semi").where("kept").select(F.col("id").alias("kept_id_"), F.col("digest").alias("kept_digest_"))
     text = F.regexp_replace(text_or_empty(text_col), ASCII_SPACE + "+", "")
-    marked = docs.withColumn("digest_", F.unhex(F.sha2(text, 256)))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("kept_id_")) & (F.col("digest_") == F.col("kept_digest_"))
-    stay = marked.join(keys, same, "left_semi")
-    if not repeated.isEmpty():
-        twice = stay.join(repeated, same, "left_semi").dropDuplicates([id_col, "digest_"])
-        stay = stay.join(repeated, same, "left_anti").unionByName(twice)
-    return stay.drop("digest_")
+    marked = stay.withColumn("digest_", F.unhex(F.sha2(text, 256)))
+    first = marked.join(keys, F.col(id_col).cast("long").eqNullSafe(F.col("kept_id_")) & (F.col("digest_") == F.col("kept_digest_")), "left_semi")
+    longest = Window.partitionBy(id_col, "digest_").orderBy(F.desc(F.length(text_or_empty(text_col))))
+    first = first.withColumn("nth_", F.row_number().over(longest)).where("nth_ = 1").drop("digest_", "nth_")
+    return without_ids(stay, mixed, id_col).unionByName(first)

@@ -21,19 +21,25 @@ ROUNDS_AT_ONCE = 3
 #: Cells that are broadcast at most; more are joined by a shuffle.
 BROADCAST_CELLS = 50_000
 NULL_NAME = "(null)"
+#: Bounds of the topics: letters to a figure in data, code points of short and long texts.
+FIGURES, SHORT, LONG = 20, 400, 8000
 SALT = "mixing-1"
 
 
 def topic(text_col: str = "text") -> Column:
-    """A topic from the form of the text: blank, shout, table, license, short, long or prose."""
+    """A topic from the form of the text, for callers without one of their own: blank, data, shout, short, long or prose.
+
+    data has a digit, bar, tab or semicolon for FIGURES letters or fewer; in a shout every second letter is a capital.
+    """
     text = text_or_empty(text_col)
+    count = lambda kind: F.length(F.regexp_replace(text, f"[^{kind}]+", ""))
+    letters, figures = count(r"\p{L}"), count(r"\p{N}|\t;")
     return (
-        F.when(F.trim(text) == "", "blank")
-        .when(F.contains(text, F.lit("!! ")), "shout")
-        .when(F.contains(text, F.lit(" | ")), "table")
-        .when(F.contains(text, F.lit("licensed under")), "license")
-        .when(F.length(text) < 400, "short")
-        .when(F.length(text) > 8000, "long")
+        F.when(letters + figures == 0, "blank")
+        .when(figures * FIGURES >= letters, "data")
+        .when(count(r"\p{Lu}") * 2 >= letters, "shout")
+        .when(F.length(text) < SHORT, "short")
+        .when(F.length(text) > LONG, "long")
         .otherwise("prose")
     )
 
@@ -108,7 +114,11 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, id_
 
 
 def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", topic_of: Column | None = None) -> DataFrame:
-    """The sampled rows of docs, with all their columns; needs no shuffle of the texts."""
+    """The sampled rows of docs, with all their columns, whatever these are named; needs no shuffle of the texts.
+
+    Rows of one id and cell share their fate, repeated ones too. Null texts, sources, languages and ids count as in mix; an
+    empty table gives no rows. source and lang have to exist; a null constant does where a table has none.
+    """
     cells = raked(features(docs, id_col, text_col, topic_of), targets)
     cells, _ = stored(cells.select(*[F.col(d).alias(d + "_of_cell_") for d in DIMENSIONS], "probability"), "raked")
     keys = _cell(docs, text_col, topic_of)

@@ -21,23 +21,38 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lower_ascii, ship, stored, text_or_empty, with_groups
+from .common import discard, lower_ascii, ship, stored, text_or_empty, with_groups, without_ids
 from .topk_search import small_batches
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: At a similarity of 0.8 a pair shares no band with a chance of (1 - 0.8 ** 5) ** 30, below 1e-5.
-BANDS, ROWS = 30, 5
-COORDINATES = BANDS * ROWS
-#: Rounds in which components of a bucket meet its largest one; bits of the map of a set's shingles.
-ROUNDS, MAP_BITS = 1, 2048
-#: Darts of a document, expected: then a coordinate stays empty with a chance of 5 % in all, and the document gets more.
-DARTS = int(COORDINATES * (np.log(COORDINATES) + 3))
+#: The chance that a pair of the least similarity shares no band is MISS at most; a signature has about COORDINATES values.
+MISS, COORDINATES, MOST_ROWS = 7e-6, 150, 5
+#: Rounds at most in which components of a bucket meet its largest one; they end when a round links less than one pair in GAIN.
+ROUNDS, GAIN = 4, 20
+#: Bits of the map of a set's shingles.
+MAP_BITS = 2048
 #: Places (elements x rank cells) and bytes of text that are handled at once.
 CELLS_AT_ONCE, BYTES_AT_ONCE = 1 << 20, 4 << 20
 EMPTY = np.uint64(2**64 - 1)
 _POISSON = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, i + 1, dtype=float))) for i in range(18)])
 
 
+def banding(least: float) -> tuple[int, int]:
+    """Bands and rows for a least similarity: the most rows for which few enough bands keep the chance of a miss; (30, 5) at 0.8."""
+    if not 0 < least <= 1:
+        raise ValueError("the least similarity is above 0 and at most 1")
+    for rows in range(MOST_ROWS, 0, -1):
+        bands = 1 if least == 1 else int(np.ceil(np.log(MISS) / np.log1p(-(least**rows))))
+        if bands * rows <= COORDINATES or rows == 1:
+            return bands, rows
+    raise AssertionError
+
+
+def darts_for(k: int) -> int:
+    """Darts of a document, expected: then one of k coordinates stays empty with a chance of 5 % in all, and the document gets more."""
+    return int(k * (np.log(k) + 3))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -49,11 +64,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)) * (1.0 / (1 << 53))
 
 
-def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: int, k: int = COORDINATES, darts: int = DARTS) -> np.ndarray:
+def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: int, k: int = COORDINATES, darts: int | None = None) -> np.ndarray:
     """A row of k values for each of docs weighted sets; (doc, element, weight) are sorted by doc, elements distinct within it."""
     found = np.full((docs, k), EMPTY)
     mass = np.bincount(doc, weights=weight, minlength=docs)
-    bound = darts / np.maximum(mass, 1e-12)
+    bound = (darts or darts_for(k)) / np.maximum(mass, 1e-12)
     open_ = mass > 0
     while open_.any():
         own = np.flatnonzero(open_[doc])
@@ -150,7 +165,7 @@ def may_be_similar(least: float) -> Column:
     return shared >= least * (F.col("n") + F.col("n_b")) / (1 + least) - 1e-6
 
 
-def _signed(counted: bool, size: int):
+def _signed(counted: bool, size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _slices(whole, 1):
@@ -158,16 +173,16 @@ def _signed(counted: bool, size: int):
                 of, hashed, counts = shingles(batch.column(1), size)
                 ends = np.searchsorted(of, np.arange(n + 1))
                 weight = counts.astype(float) if counted else np.ones(len(of))
-                signature = dart_signatures(of, hashed, weight, n).reshape(n, BANDS, ROWS)
-                band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (n, BANDS)) + np.uint64(0xA0761D6478BD642F)
-                for r in range(ROWS):
+                signature = dart_signatures(of, hashed, weight, n, bands * rows).reshape(n, bands, rows)
+                band = np.broadcast_to(np.arange(bands, dtype=np.uint64), (n, bands)) + np.uint64(0xA0761D6478BD642F)
+                for r in range(rows):
                     band = mixed(band * np.uint64(0x9E3779B97F4A7C15) + signature[:, :, r])
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(band.reshape(-1).view(np.int64)))
+                banded = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * bands, bands, dtype=np.int32)), pa.array(band.reshape(-1).view(np.int64)))
                 keys = [_set_key(hashed[a:b], counts[a:b], counted) for a, b in zip(ends, ends[1:], strict=False)]
                 mass = np.bincount(of, weights=weight, minlength=n).astype(np.int64)
                 maps = shingle_maps(of, hashed, n)
                 maps = pa.ListArray.from_arrays(pa.array(np.arange(0, maps.size + 1, maps.shape[1], dtype=np.int32)), pa.array(maps.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(mass), bands, maps], names=["id", "key", "n", "bands", "map"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(mass), banded, maps], names=["id", "key", "n", "bands", "map"])
 
     return run
 
@@ -252,14 +267,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     """id, key, class_id, class_size: one row for each row of docs.
 
     Documents are linked if the Jaccard similarity of their shingle sets (of their shingle counts, if counted) is at least
-    least; classes are the components of the links and named by their smallest id. Null texts equal empty ones; texts without words form one
+    least; the bands follow from it, so that a link is missed with a chance of MISS at most. Classes are the components of the links and named by their smallest id. Null texts equal empty ones; texts without words form one
     class; a null id takes part and names a class only if the class has no other; repeated rows are members each; an
     empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    signed, _ = stored(rows.mapInArrow(_signed(counted, size), "id long, key binary, n long, bands array<long>, map array<long>"), "signatures")
+    signed, _ = stored(rows.mapInArrow(_signed(counted, size, *banding(least)), "id long, key binary, n long, bands array<long>, map array<long>"), "signatures")
     total = signed.count()
     first = [F.first(c).alias(c) for c in ("n", "bands", "map")]
     sets = signed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("members"), *first)
@@ -280,6 +295,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     links = _verified(pairs, sets, docs, least, counted, size, id_col, text_col)
     labels = components(links)
 
+    last = False
     for k in range(ROUNDS + 1):
         of = lambda c, d, labels=labels: labels.select(F.col("node").alias(c), F.col("label").alias(d))
         told = members.select("band", "node", "n").join(of("node", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
@@ -292,7 +308,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         parts, _ = stored(parts, "parts")
         main = parts.groupBy("band").agg(F.max(F.struct("size", "own", "one")).alias("main"))
         main, _ = stored(main, "mains")
-        if k < ROUNDS:
+        if not last:
             met = parts.join(main, "band").where("own <> main.own").select("one.node", "one.n", F.col("main.one.node").alias("node_b"), F.col("main.one.n").alias("n_b"))
         else:
             # what is still apart from the largest component of its bucket, against all of the bucket
@@ -304,13 +320,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
             met = apart.withColumnRenamed("band", "band_a").join(others, (F.col("band_a") == F.col("band")) & (F.col("own") != F.col("own_b")) & ratio & may_be_similar(least))
         met = met.where(F.least("n", "n_b") >= least * F.greatest("n", "n_b")).select(F.least("node", "node_b").alias("x"), F.greatest("node", "node_b").alias("y")).distinct()
         met, _ = stored(met, "pairs")
-        if met.isEmpty():
-            continue
-        found = _verified(met, sets, docs, least, counted, size, id_col, text_col)
-        if found.isEmpty():
-            continue
-        links = links.unionByName(found)
-        labels = components(links)
+        tested, linked = met.count(), 0
+        if tested:
+            found = _verified(met, sets, docs, least, counted, size, id_col, text_col)
+            linked = found.count()
+        if linked:
+            links = links.unionByName(found)
+            labels = components(links)
+        if last:
+            break
+        last = linked * GAIN < tested or not tested or k == ROUNDS - 1
 
     named = sets.join(labels, "node", "left").select("key", "rep", "members", F.coalesce("label", "node").alias("label"))
     named, _ = stored(named, "named")
@@ -332,17 +351,22 @@ def _keyed(size: int):
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that name their class, with all their columns; of rows that share an id and a set one stays."""
+    """The rows of docs that name their class, with all their columns; of rows that share an id and a set one stays.
+
+    Null texts equal empty ones; a null id stays only where its class has no other; an empty table gives no rows. Texts aren't
+    shuffled where the ids that go are few enough to be broadcast.
+    """
     found, _ = stored(classes(docs, id_col, text_col).select("id", "key", F.col("id").eqNullSafe(F.col("class_id")).alias("names")), "near-decided")
-    repeated, _ = stored(found.groupBy("id").count().where("count > 1").select(F.col("id").alias("again_id_")), "repeated")
-    kept = found.where("names").select(F.col("id").alias("kept_id_"), F.col("key").alias("kept_key_"))
-    own = F.col(id_col).cast("long")
-    stay = docs.join(kept.select("kept_id_"), own.eqNullSafe(F.col("kept_id_")), "left_semi")
+    ids, _ = stored(found.groupBy("id").agg(F.count("*").alias("rows"), F.count_if("names").alias("stay")), "near-ids")
+    stay = without_ids(docs, ids.where("stay = 0").select("id"), id_col)
+    repeated = ids.where("stay > 0 and rows > 1").select("id")
     if repeated.isEmpty():
         return stay
     # rows that share an id are told apart by their sets
-    again = stay.join(repeated, own.eqNullSafe(F.col("again_id_")), "left_semi").withColumn("key_text_", text_or_empty(text_col))
+    own = F.col(id_col).cast("long")
+    again = stay.join(repeated.withColumnRenamed("id", "again_id_"), own.eqNullSafe(F.col("again_id_")), "left_semi").withColumn("key_text_", text_or_empty(text_col))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", key_ binary"
+    kept = found.where("names").select(F.col("id").alias("kept_id_"), F.col("key").alias("kept_key_"))
     keyed = again.mapInArrow(_keyed(SHINGLE), schema)
     keyed = keyed.join(kept, own.eqNullSafe(F.col("kept_id_")) & (F.col("key_") == F.col("kept_key_")), "left_semi")
-    return stay.join(repeated, own.eqNullSafe(F.col("again_id_")), "left_anti").unionByName(keyed.dropDuplicates([id_col, "key_"]).drop("key_"))
+    return without_ids(stay, repeated, id_col).unionByName(keyed.dropDuplicates([id_col, "key_"]).drop("key_"))

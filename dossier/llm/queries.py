@@ -37,6 +37,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, new_path(spark, "digest-index"))
     found = exact_dedup.deduplicate(table(spark, sf_dir, "documents"), index)
+    index.forget()
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -62,7 +63,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = language_id.learn(docs, crc_mod(4) != 2)
     found = language_id.classify(docs.select("doc_id", "text"), learned)
-    return found.select(F.col("id").alias("doc_id"), (crc_mod(4, "id") == 2).alias("held_out"), "lang_pred", "score")
+    return found.select(F.col("id").alias("doc_id"), (crc_mod(4, "id") == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +107,10 @@ def _mixing_sql(rounds: int = mixing.ROUNDS) -> str:
     targets = ", ".join(f"pow(cast(sum(tokens) over (partition by {d}) as double), {mixing.TEMPER}) / {target(d)} as t_{d}" for d in mixing.DIMENSIONS)
     return rf"""
 with d as (select doc_id, coalesce(source, '(null)') as source, coalesce(lang, '(null)') as lang, coalesce(text, '') as text from documents),
-f as (select doc_id, source, lang, case when trim(text) = '' then 'blank' when contains(text, '!! ') then 'shout' when contains(text, ' | ') then 'table'
-  when contains(text, 'licensed under') then 'license' when length(text) < 400 then 'short' when length(text) > 8000 then 'long' else 'prose' end as topic,
-  cast(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as bigint) as n_tokens from d),
+n as (select doc_id, source, lang, length(text) as n, length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) as letters, length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) as capitals,
+  length(regexp_replace(text, '[^\p{{N}}|\t;]+', '', 'g')) as figures, cast(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as bigint) as n_tokens from d),
+f as (select doc_id, source, lang, case when letters + figures = 0 then 'blank' when figures * {mixing.FIGURES} >= letters then 'data' when capitals * 2 >= letters then 'shout'
+  when n < {mixing.SHORT} then 'short' when n > {mixing.LONG} then 'long' else 'prose' end as topic, n_tokens from n),
 c as (select source, lang, topic, cast(sum(n_tokens) as bigint) as tokens from f group by all),
 c0 as (select *, cast(tokens as double) as w, {targets} from c),
 {", ".join(steps)},
