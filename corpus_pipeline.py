@@ -16,7 +16,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document for each text."""
-    return exact_dedup.keep_first(docs, exact_dedup.DigestIndex(spark, new_path(spark, "digest-index")))
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "digest-index"))
+    kept = exact_dedup.keep_first(docs, index)
+    index.forget()
+    return kept
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
