@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import ship, shuffle_width, stored
 
 PARTS = 2
+#: Entries of each list that phase 1 resolves; the more, the closer tau comes to the k-th score and the fewer entries pass it.
+LIST = 64
 BLOCK, QUERY_BLOCK = 4096, 512
 ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BLOCKS = "block long, part int, ids binary, data binary"
@@ -138,7 +140,7 @@ def search(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec_
     with small_batches(spark, 8):
         lists, _ = stored(q_blocks.join(blocks, ["bucket", "part"]).mapInArrow(_partial(n), PARTIAL), "topk-lists")
     best = Window.partitionBy("qid", "part").orderBy(F.desc("partial"), "cid")
-    seen = lists.withColumn("n", F.row_number().over(best)).where(F.col("n") <= n).select("qid", "cid").distinct()
+    seen = lists.withColumn("n", F.row_number().over(best)).where(F.col("n") <= max(n, LIST)).select("qid", "cid").distinct()
     known, _ = stored(_resolved(seen, classes), "topk-known")
     top = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
     tau = known.withColumn("n", F.row_number().over(top)).where(F.col("n") == n).select("qid", F.col("score").alias("tau"))
