@@ -237,8 +237,12 @@ def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
     cut, _ = stored(cut, "pieces")
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     steps = np.array(sorted(plan(histogram, window)), np.int64).reshape(-1, 5).T.copy()
-    salts = max(1, -(-sum(histogram.values()) // RANKED_AT_ONCE))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.lit(salts)))
+    # only a length that many pieces have is dealt to several groups: at most window lengths, or total / RANKED_AT_ONCE
+    many = {length: -(-n // RANKED_AT_ONCE) for length, n in histogram.items() if n > RANKED_AT_ONCE}
+    salts = F.lit(1)
+    if many:
+        salts = F.coalesce(F.try_element_at(F.map_from_arrays(F.lit(list(many)), F.lit(list(many.values()))), F.col("length").cast("int")), F.lit(1))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "start"), salts))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes, _ = stored(sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "ranks")
