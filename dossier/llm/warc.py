@@ -23,6 +23,8 @@ from .common import new_path, ship, stored, text_or_empty
 LEAST_REVISITED = 0
 #: An archive file is closed at this size; a read covers READ bytes at most and skips gaps of up to GAP bytes.
 FILE_BYTES, READ_BYTES, GAP_BYTES = 256 << 20, 8 << 20, 64 << 10
+#: Bytes that a task reads, about; index rows say nothing about them, so the number of tasks is set and not left to their size.
+TASK_BYTES, MOST_TASKS = 2 * READ_BYTES, 100_000
 LEVEL = 1
 #: A payload is hot if more than one row in HOT_SHARE has it; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
@@ -159,9 +161,15 @@ def _read(folder: str, with_payload: bool):
 
 
 def read(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
-    """The records of the given index rows: page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload)."""
+    """The records of the given index rows: page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload).
+
+    One row for each index row, repeated ones too, in no order; an empty index gives none. A revisit's payload is null. A
+    record that the index misplaces or whose payload doesn't match its digest is an error.
+    """
     ship(index.sparkSession)
-    place = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / (4 * READ_BYTES))).sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = min(MOST_TASKS, max(1, -(-total // TASK_BYTES)))
+    place = index.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return place.mapInArrow(_read(folder, with_payload), schema + ", payload binary" * with_payload)
 
