@@ -63,6 +63,43 @@ def test_exact_dedup(spark):
     kept = exact_dedup.keep_first(docs, fresh)
     assert kept.columns == docs.columns and sorted(squeezed(r.text) for r in kept.collect()) == sorted(groups)
     assert exact_dedup.deduplicate(empty(spark), exact_dedup.DigestIndex(spark, new_path(spark, "index"), 4)).count() == 0
+    assert exact_dedup.keep_first(empty(spark), fresh).count() == 0
+
+
+def test_digest_index_outlives_its_session(spark):
+    rows = [(i, prose(12, 1000 + i % 70)) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "index"), 32)
+    first = {(r.id, r.keep_id, r.kept) for r in exact_dedup.deduplicate(docs, index, batch="one").collect()}
+    assert index.read().count() == 70 and sum(x[2] for x in first) == 70
+    index.forget()
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 3)
+    try:
+        again = exact_dedup.DigestIndex(spark, index.path)
+        assert again.buckets == 32 and again.read().count() == 70
+        assert exact_dedup.keep_first(docs, again, batch="two").count() == 0 and again.read().count() == 70
+        # the batch that brought the digests is decided as before, and what its run left out is appended
+        assert {(r.id, r.keep_id, r.kept) for r in exact_dedup.deduplicate(docs, again, batch="one").collect()} == first and again.read().count() == 70
+        half = exact_dedup.DigestIndex(spark, new_path(spark, "index"))
+        exact_dedup.deduplicate(docs.where("doc_id < 30"), half, batch="one")
+        assert {(r.id, r.keep_id, r.kept) for r in exact_dedup.deduplicate(docs, half, batch="one").collect()} == first and half.read().count() == 70
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, index.path, 8)
+
+
+def test_rows_that_share_an_id_are_told_apart(spark, monkeypatch):
+    rows = [(1, "a  b", 1), (1, "a b", 2), (1, "c", 3), (2, "c", 4), (None, "c", 5), (None, "d", 6), (3, "e", 7), (3, "e", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int")
+    for ids in (exact_dedup.HOT_SHARE, -1):  # few ids, which are broadcast, and more than may be
+        monkeypatch.setattr("dossier.llm.common.BROADCAST_IDS", ids)
+        index = exact_dedup.DigestIndex(spark, new_path(spark, "index"))
+        kept = exact_dedup.keep_first(docs, index).collect()
+        assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "d"), (1, "a  b"), (1, "c"), (3, "e")]
+        kept = near_dedup.keep_one(docs).collect()
+        assert sorted((r.doc_id or 0, re.sub(" +", " ", r.text)) for r in kept) == [(0, "d"), (1, "a b"), (1, "c"), (3, "e")]
 
 
 def test_trigram_queries_hold_for_all_matches():
@@ -114,25 +151,24 @@ def test_near_dedup_equals_brute_force(spark):
     assert near_dedup.classes(empty(spark)).count() == 0
 
 
-def test_near_dedup_tests_every_pair_that_shares_a_band(spark):
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_near_dedup_finds_every_link_about_the_bound(spark, least):
     texts = []
-    for g in range(25):  # groups whose members lie about the bound from each other, so that many miss their representative
+    for g in range(12):  # groups whose members lie about the bound from each other, so that many miss their representative
         r = random.Random(g)
         base = [f"w{r.randrange(300)}" for _ in range(150)]
         for _ in range(14):
             words = list(base)
-            for i in r.sample(range(150), 4):
+            for i in r.sample(range(150), {0.5: 6, 0.6: 4, 0.8: 2}[least]):
                 words[i] = f"new{r.randrange(10**6)}"
             texts.append(" ".join(words))
-    n, least = len(texts), 0.6
-    [signed] = near_dedup._signed(False, 5)(iter([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts)], names=["id", "text"])]))
-    bands = [set(b) for b in signed.column(3).to_pylist()]
+    n = len(texts)
     of, hashed, _ = near_dedup.shingles(pa.array(texts))
     sets = [hashed[of == i].tobytes() for i in range(n)]
     label = list(range(n))
     find = lambda x: x if label[x] == x else find(label[x])
     for a, b in itertools.combinations(range(n), 2):
-        if bands[a] & bands[b] and near_dedup.similarity(sets[a], sets[b]) >= least:
+        if near_dedup.similarity(sets[a], sets[b]) >= least:
             x, y = find(a), find(b)
             label[max(x, y)] = min(x, y)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -140,6 +176,15 @@ def test_near_dedup_tests_every_pair_that_shares_a_band(spark):
     assert got == {i: find(i) for i in range(n)}
 
 
+def test_bands_follow_from_the_bound():
+    assert near_dedup.banding(0.8) == (30, 5) and near_dedup.banding(1) == (1, 5)
+    for least in (0.3, 0.5, 0.6, 0.7, 0.8, 0.9):
+        bands, rows = near_dedup.banding(least)
+        assert (1 - least**rows) ** bands <= near_dedup.MISS
+    with pytest.raises(ValueError):
+        near_dedup.banding(0)
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     r = np.random.default_rng(3)
     element = r.integers(0, 2**63, 40).astype(np.uint64)
@@ -176,9 +221,48 @@ def test_language_id(spark):
     assert all(found[i].lang_pred == "xy"[i % 2] and 0 <= found[i].score <= 1 for i in range(200))
     assert all(found[i].lang_pred == "und" and found[i].rejected for i in (1000, 1001, 1002))
     assert language_id.accepted(docs, learned).count() == 200
+    assert language_id.learn(docs.unionByName(docs), crc_mod(4) != 2).keys() == learned.keys()
     assert language_id.learn(docs.where("false"), F.lit(True)) == {} and language_id.classify(docs, {}).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_id_equals_plain_compression(spark):
+    import zstandard
+
+    learned = {"x": prose(2000, 1).encode(), "y": " ".join(prose(2000, 2)[::-1].split()).encode()}
+    texts = [*TEXTS, "12 !!", "é", LONG[::-1] * 4]  # the last is far longer than a piece
+    docs = frame(spark, texts).withColumn("rejected", F.lit("clash"))
+    found = language_id.classify(docs, learned).collect()
+    assert len(found) == docs.count()
+
+    def size(data, text):
+        own = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        own.precompute_compress(level=language_id.LEVEL)
+        pack = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=own, write_content_size=False, write_dict_id=False)
+        raw = text.lower().encode()
+        return sum(len(pack.compress(raw[i : i + language_id.PIECE_BYTES])) for i in range(0, len(raw), language_id.PIECE_BYTES))
+
+    kept = 0
+    for r in found:
+        text = "null id" if r.id is None else texts[r.id]
+        if not text or not any(map(str.isalpha, text)):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        a, b = (size(d, text) for d in learned.values())
+        assert r.lang_pred == ("x" if a <= b else "y") and r.score == pytest.approx(abs(a - b) / max(a, b))
+        assert r.rejected == (r.score < language_id.MIN_MARGIN)
+        kept += not r.rejected
+    accepted = language_id.accepted(docs, learned)
+    assert accepted.columns == docs.columns and accepted.count() == kept
+    assert language_id.accepted(docs.where("false"), learned).count() == 0 and language_id.accepted(docs, {}).count() == 0
+
+
+def test_length_does_not_narrow_the_margin(spark):
+    learned = {"x": prose(3000, 1).encode(), "y": prose(3000, 2)[::-1].encode()}
+    docs = spark.createDataFrame([(1, prose(3000, 7)), (2, prose(600_000, 7))], "doc_id long, text string")
+    short, long = (r.score for r in language_id.classify(docs, learned).orderBy("id").collect())
+    assert long > 0.7 * short > language_id.MIN_MARGIN
+
+
 def test_topk_equals_brute_force(spark):
     r = np.random.default_rng(1)
     vectors = [[float(x) for x in r.normal(size=6)] for _ in range(120)]
@@ -194,6 +278,8 @@ def test_topk_equals_brute_force(spark):
         if q % 10 == 0:
             scored = sorted((-int(pad(v) @ pad(w)), i) for j, (i, w) in enumerate(valid) if j != k)[:5]
             assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    clash = docs.select("vec_id", "embedding", F.lit(1).alias("id"), F.lit("x").alias("v"), F.lit("y").alias("key"), F.lit(0).alias("cid"))
+    assert topk_search.search(clash, F.col("id") % 10 == 0).count() == sum(map(len, got.values()))
     assert topk_search.search(docs.where("vec_id < 3"), F.col("id") == 0).count() == 2
     assert topk_search.search(docs.where("false"), F.lit(True)).count() == 0
 
@@ -275,7 +361,39 @@ def test_mixing_fits_targets(spark):
         assert all(got[k] == pytest.approx(v, abs=1e-3) for k, v in want.items())
     sampled = {r.doc_id for r in mixing.sample(docs, targets).collect()}
     assert sampled == {r.id for r in mixed.where("sampled").collect()} and 0 < len(sampled) < 400
-    assert mixing.mix(docs.where("false")).count() == 0
+    assert mixing.mix(docs.where("false")).count() == 0 and mixing.sample(docs.where("false")).count() == 0
+    clash = docs.withColumns({c: F.lit("x") for c in ("topic", "tokens", "weight", "probability", "id")})
+    again = mixing.sample(clash.unionByName(clash), targets)
+    assert again.columns == clash.columns and sorted(r.doc_id for r in again.collect()) == sorted([*sampled, *sampled])
+
+
+def test_topics_follow_the_form(spark):
+    forms = {"": "blank", " \n": "blank", "GO NOW " * 9: "shout", "a|1|2\nb|3|4": "data", "word " * 20: "short", "word " * 200: "prose", "word " * 2000: "long", "日本語": "short"}
+    docs = spark.createDataFrame([(t,) for t in [*forms, None]], "text string")
+    assert {r.text: r.topic for r in docs.select("text", mixing.topic().alias("topic")).collect()} == forms | {None: "blank"}
+
+
+def test_warc_reads_in_as_many_tasks_as_bytes_ask_for(spark, monkeypatch):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.sha2(F.col("id").cast("string"), 256).alias("html"))
+    folder = warc.archive_folder(spark)
+    index = warc.write(pages, folder)
+    monkeypatch.setattr(warc, "TASK_BYTES", 10_000)
+    monkeypatch.setattr(warc, "READ_BYTES", 5_000)
+    found = warc.read(index, folder)
+    total = index.agg(F.sum("length")).first()[0]
+    assert found.rdd.getNumPartitions() == -(-total // 10_000) and found.count() == 400
+
+
+def test_packing_deals_out_a_length_that_many_pieces_have(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED_AT_ONCE", 50)
+    docs = spark.createDataFrame([(i, "a b" if i < 300 else prose(i, i)) for i in range(320)], "doc_id long, text string")
+    cut = packing.pieces(docs, tokenizer_path(WORD_BPE))
+    rows = packing.pack(cut).collect()
+    used = Counter()
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert used[r.sequence_id] == r.offset
+        used[r.sequence_id] += r.length
+    assert len(rows) == cut.count() and max(used.values()) <= packing.WINDOW
 
 
 def test_lm_scores(spark):
