@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dates import one_of
 from .ids import APPROVAL_NAME
 from .text import blank, normalize_digits, normalize_match_text, stem, suffix
 
 # Keywords of the rules, and marks that count as ticked.
 IMAGES = (".jpg", ".jpeg", ".png")
 TICKS = "☑☒✓✔√■●◆⊠▣▩◉x×"
-BETWEEN = r"[：:;；,、\[\](){}【】□☐○◇]{0,3}"
+BETWEEN, MOST_BETWEEN = "：:;；,、[](){}【】□☐○◇", 3
+SAID = ("已勾选", "是")
 WORK_TYPES = ("动火作业", "有限空间作业", "5米以上高处作业", "危大工程", "配电室接电")
 CHECKED = "0052"
 STOPS = ("一、", "二、", "三、", "会投工程部意见：", "分公司工程部意见：")
@@ -41,7 +43,8 @@ def contains_any(text: Column, words: tuple[str, ...]) -> Column:
 def option_is_checked(text: Column, option: str) -> Column:
     """The option, at most three separators or empty boxes, then a tick; or a word that says so."""
     t = normalize_match_text(text)
-    return t.rlike(rf"\Q{option}\E{BETWEEN}[{TICKS}]") | t.rlike(rf"\Q{option}\E[：:]?(?:已勾选|是)")
+    ticked = rf"{one_of(BETWEEN)}{{0,{MOST_BETWEEN}}}{one_of(TICKS)}"
+    return t.rlike(rf"\Q{option}\E(?:{ticked}|{one_of(BETWEEN[:2])}?(?:{'|'.join(SAID)}))")
 
 
 def text_role(text: Column) -> Column:
@@ -105,18 +108,19 @@ def selected_options(tokens: Column, options: tuple[str, ...] = WORK_TYPES, chec
 
     The list is walked once: an option is looked for only after the place where the one before was found.
     """
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("picked"))
-    for option in options:
-        from_here = lambda s, o=option: F.array_position(F.transform(tokens, lambda t, i: (i >= s.at) & (t.type == "text") & t.value.contains(o)), True)
-        at = from_here(state)
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("picked"))
+
+    def step(state: Column, option: Column) -> Column:
+        at = F.array_position(F.transform(tokens, lambda t, i: (i >= state.at) & (t.type == "text") & F.contains(t.value, option)), True).cast("int")
+        return F.get(F.transform(F.array(at), lambda found: after(state, option, found)), F.lit(0))
+
+    def after(state: Column, option: Column, at: Column) -> Column:
         rest = F.slice(tokens, at + 1, F.greatest(F.size(tokens), F.lit(1)))
-        telling = F.filter(rest, lambda t: (t.type == "sym") | ((t.type == "text") & contains_any(t.value, options)))
-        on = (F.size(telling) > 0) & (F.try_element_at(telling, F.lit(1)).type == "sym") & (F.try_element_at(telling, F.lit(1)).value == checked)
-        state = F.struct(
-            F.when(at > 0, at).otherwise(F.size(tokens)).cast("int").alias("at"),
-            F.when((at > 0) & on, F.concat(state.picked, F.array(F.lit(option)))).otherwise(state.picked).alias("picked"),
-        )
-    return state.picked
+        telling = F.get(F.filter(rest, lambda t: (t.type == "sym") | ((t.type == "text") & contains_any(t.value, options))), F.lit(0))
+        on = (at > 0) & F.coalesce((telling.type == "sym") & (telling.value == checked), F.lit(False))
+        return F.struct(F.when(at > 0, at).otherwise(F.size(tokens)).alias("at"), F.when(on, F.concat(state.picked, F.array(option))).otherwise(state.picked).alias("picked"))
+
+    return F.aggregate(F.array(*[F.lit(o) for o in options]), none, step).picked
 
 
 def hazard_review(implied: Column, present: Column) -> Column:

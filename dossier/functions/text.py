@@ -46,13 +46,20 @@ def best_text(plain: Column, recognised: Column, least: int = 10) -> Column:
     return F.when(count_cjk_chars(plain) >= least, blank(plain)).when(normalize_whitespace(recognised) != "", recognised).otherwise(blank(plain))
 
 
+#: An item of a bracketed list: in single quotes, in double quotes, or plain.
+ITEM = r"""'(?:[^']|'')*'|"(?:[^"\\]|\\.)*"|[^,]+"""
+QUOTE = "'"
+
+
 def split_name_list(c: Column) -> Column:
-    """Names between commas or semicolons of either width, or the items of a bracketed list."""
+    """Names between commas or semicolons of either width, or the items of a bracketed list, quoted or plain."""
     raw = F.trim(blank(c))
-    listed = F.from_json(raw, "array<string>")
+    single = lambda x: F.replace(F.substring(x, 2, F.length(x) - 2), F.lit(QUOTE * 2), F.lit(QUOTE))
+    double = lambda x: F.coalesce(F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>"), F.lit(0)), x)
+    bare = lambda x: F.when(x.startswith(QUOTE), single(x)).when(x.startswith('"'), double(x)).otherwise(x)
+    listed = F.transform(F.regexp_extract_all(F.substring(raw, 2, F.length(raw) - 2), F.lit(ITEM), F.lit(0)), lambda x: normalize_whitespace(bare(F.trim(x))))
     items = F.transform(F.split(raw, "[,，；;]"), lambda x: normalize_whitespace(x))
-    bracketed = F.transform(listed, lambda x: normalize_whitespace(x))
-    return F.filter(F.when(raw.startswith("[") & raw.endswith("]") & listed.isNotNull(), bracketed).otherwise(items), lambda x: x != "")
+    return F.filter(F.when(raw.startswith("[") & raw.endswith("]"), listed).otherwise(items), lambda x: x != "")
 
 
 def sanitize_filename(c: Column) -> Column:
@@ -75,9 +82,16 @@ def manual_match_key(path: Column) -> Column:
     return F.lower(F.regexp_replace(normalize_digits(stem(path)), "[^0-9A-Za-z\\u4e00-\\u9fff]+", ""))
 
 
+def cut_between(text: Column, start: str, end: str) -> Column:
+    """The shortest text between two labels as it stands; empty if either label is missing."""
+    first = F.position(F.lit(start), text)
+    last = F.position(F.lit(end), text, first + len(start))
+    return F.when((first > 0) & (last > 0), F.substring(text, first + len(start), last - first - len(start))).otherwise(F.lit(""))
+
+
 def capture_between(text: Column, start: str, end: str) -> Column:
-    """The shortest text between two labels, white space normalised; empty if either label is missing."""
-    return normalize_whitespace(F.regexp_extract(blank(text), rf"(?s)\Q{start}\E(.*?)(?=\Q{end}\E)", 1))
+    """As cut_between, white space normalised."""
+    return normalize_whitespace(cut_between(blank(text), start, end))
 
 
 def labelled_field(normalised: Column, label: str, ends: tuple[str, ...]) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import rank_within
+
 ROLES = ("word", "signed_application", "worker_list", "safety_agreement", "confined_space", "high_altitude", "special_work")
 
 
@@ -89,21 +91,21 @@ def role_sequence(files: DataFrame, existing: DataFrame) -> DataFrame:
 def next_free_suffix(newcomers: DataFrame, taken: DataFrame) -> DataFrame:
     """newcomers (row_id, base) with name: the base if nobody has it, else base_02, base_03 and so on, leaving out taken ones.
 
-    The n-th newcomer of a base gets the n-th free number. Free numbers come from the numbers taken, each counted once, not from a loop.
+    The n-th newcomer of a base gets the n-th free number. Below the i-th taken number t lie t - i free ones, so the n-th free
+    number is n and as many more as taken numbers have fewer than n free ones below them. All counts are ranks, so the
+    work is linear and no base is held by one task.
     """
-    number = F.regexp_extract("name", r"^(.*)_(\d{2,})$", 2)
-    used = taken.select(F.col("name").alias("base"), F.lit(1).alias("number")).unionByName(
-        taken.where(number != "").select(F.regexp_extract("name", r"^(.*)_(\d{2,})$", 1).alias("base"), number.cast("int").alias("number")).where("number >= 2")
+    split = r"^(.*)_(\d{2,})$"
+    number = F.regexp_extract("name", split, 2)
+    used = taken.select(F.col("name").alias("base"), F.lit(1).cast("long").alias("number")).unionByName(
+        taken.where(number != "").select(F.regexp_extract("name", split, 1).alias("base"), number.cast("long").alias("number")).where("number >= 2")
     )
-    bases = newcomers.groupBy("base").agg(F.count("*").alias("n"))
-    used = used.distinct().join(bases, "base").groupBy("base").agg(F.collect_set("number").alias("used"))
-    order = Window.partitionBy("base").orderBy("row_id")
-    rows = newcomers.withColumn("k", F.row_number().over(order)).join(bases, "base").join(used, "base", "left")
-    used_ = F.coalesce("used", F.array().cast("array<int>"))
-    free = F.array_except(F.sequence(F.lit(1), (F.col("n") + F.size(used_)).cast("int")), used_)
-    pick = F.element_at(free, F.col("k"))
-    name = F.when(pick == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.when(pick < 100, F.lpad(pick.cast("string"), 2, "0")).otherwise(pick.cast("string"))))
-    return rows.select("row_id", "base", name.alias("name"))
+    used = rank_within(used.distinct(), ["base"], ["number"], "i").select("base", (F.col("number") - F.col("i")).alias("place"), F.lit(1).alias("is_taken"), F.col("number").alias("row_id"))
+    new = rank_within(newcomers.select("row_id", "base"), ["base"], ["row_id"], "place")
+    both = new.select("base", "place", F.lit(0).alias("is_taken"), "row_id").unionByName(used)
+    pick = rank_within(both, ["base"], ["place", "is_taken", "row_id"], "pick").where("is_taken = 0")
+    tail = F.when(F.col("pick") < 100, F.lpad(F.col("pick").cast("string"), 2, "0")).otherwise(F.col("pick").cast("string"))
+    return pick.select("row_id", "base", F.when(F.col("pick") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), tail)).alias("name"))
 
 
 def batch_count_gate(batches: DataFrame) -> DataFrame:

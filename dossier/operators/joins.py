@@ -7,14 +7,14 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ..functions.dates import labelled_dates_match
-from ..functions.text import labelled_field, normalize_match_text, normalize_ocr_text
+from ..functions.dates import dates_agree, with_dates
+from ..functions.text import labelled_field, normalize_match_text, normalize_ocr_text, split_name_list
 from ..materialize import materialised
 
-#: Length of the grams that anchor keys in texts.
-GRAM = 5
+#: Length of the grams that anchor keys in texts; characters of keys that are sent to every task at most.
+GRAM, AUTOMATON_CHARS = 5, 4_000_000
 # Labels that end the content field, and the acceptance rule of fuzzy matches.
 CONTENT_ENDS = ("施工负责人", "影响改动消防", "影响堵塞", "危险作业", "附件", "审批记录")
 FUZZY_LEAST, FUZZY_LEAD = 0.60, 0.15
@@ -29,25 +29,57 @@ def _with_grams(rows: DataFrame, text_col: str, size: int) -> DataFrame:
     return grams.withColumn("gram", F.explode(F.array_distinct("grams_"))).drop("chars_", "grams_")
 
 
-def containment_pairs(texts: DataFrame, id_col: str, text_col: str, keys: DataFrame, key_col: str) -> DataFrame:
-    """(id_col, key) for each distinct non-empty key and each text that contains it.
+def _matched(sent):
+    """(id, text) batches as (id, key): an automaton of all keys reads each text once."""
 
-    Each key is anchored at the gram that fewest keys share; a text can hold the key only if it holds that gram, so an equality
-    join on grams gives all candidates and ``contains`` verifies them. Keys shorter than a gram are joined whole.
-    """
-    keys = keys.select(F.col(key_col).alias("key")).where("key <> ''").distinct()
-    rows = texts.select(id_col, F.col(text_col).alias("text_")).where("text_ <> ''").distinct()
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        keys = sent.value
+        automaton = ahocorasick.Automaton()
+        for k, key in enumerate(keys):
+            automaton.add_word(key, k)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, hits = [], []
+            for r, text in enumerate(batch.column(1).to_pylist()):
+                own = {k for _, k in automaton.iter(text)}
+                rows += [r] * len(own)
+                hits += own
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array([keys[k] for k in hits], pa.string())], names=[batch.schema.names[0], "key"])
+
+    return run
+
+
+def _anchored(rows: DataFrame, id_col: str, keys: DataFrame) -> DataFrame:
+    """(id_col, key) by an equality join of grams; a key is anchored at the gram that fewest keys share, and candidates are verified."""
     own = _with_grams(keys.where(F.length("key") >= GRAM), "key", GRAM).select("key", "gram")
     shared = own.groupBy("gram").agg(F.count("*").alias("n"))
     anchors = own.join(shared, "gram").groupBy("key").agg(F.min(F.struct("n", "gram")).alias("a")).select("key", F.col("a.gram").alias("gram"))
     hits = _with_grams(rows, "text_", GRAM).select(id_col, "gram").join(anchors, "gram").select(id_col, "key")
     short = keys.where(F.length("key") < GRAM)
-    for (size,) in short.select(F.length("key")).distinct().collect():
+    for size in range(1, GRAM):
         whole = short.where(F.length("key") == size)
         hits = hits.unionByName(_with_grams(rows, "text_", size).select(id_col, F.col("gram").alias("key")).join(whole, "key").select(id_col, "key"))
     return hits.distinct().join(rows, id_col).where(F.contains("text_", "key")).select(id_col, "key").distinct()
 
 
+def containment_pairs(texts: DataFrame, id_col: str, text_col: str, keys: DataFrame, key_col: str) -> DataFrame:
+    """(id_col, key) for each distinct non-empty key and each text that contains it; a null id, text or key matches nothing.
+
+    Keys of up to AUTOMATON_CHARS characters in all are sent to every task, which reads each text once and shuffles none. More
+    keys are matched by a shuffle of grams.
+    """
+    keys = materialised(keys.select(F.col(key_col).alias("key")).where("key <> ''").distinct())
+    rows = texts.where(F.col(id_col).isNotNull()).select(id_col, F.col(text_col).alias("text_")).where("text_ <> ''")
+    if (keys.agg(F.sum(F.length("key"))).first()[0] or 0) > AUTOMATON_CHARS:
+        return _anchored(rows, id_col, keys)
+    sent = texts.sparkSession.sparkContext.broadcast([r.key for r in keys.collect()])
+    schema = StructType([texts.schema[id_col], StructField("key", StringType())])
+    return rows.mapInArrow(_matched(sent), schema).distinct()
+
+
 def containment_links(documents: DataFrame, cases: DataFrame) -> DataFrame:
     """doc_id, case_id with every pair whose area key lies in the text and whose content key lies in the content field.
 
@@ -60,9 +92,9 @@ def containment_links(documents: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def document_keys(documents: DataFrame) -> DataFrame:
-    """doc_id, text with text_key and content_key, the forms that containment compares."""
+    """doc_id, text with the forms that containment compares, text_key and content_key, and with the text's dates."""
     keyed = documents.withColumn("t_", normalize_match_text(F.col("text"))).withColumn("text_key", normalize_ocr_text(F.col("text")))
-    return keyed.withColumn("content_key", labelled_field(F.col("t_"), "施工内容", CONTENT_ENDS)).drop("t_")
+    return with_dates(keyed.withColumn("content_key", labelled_field(F.col("t_"), "施工内容", CONTENT_ENDS)).drop("t_"), "text")
 
 
 def case_keys(cases: DataFrame) -> DataFrame:
@@ -71,9 +103,10 @@ def case_keys(cases: DataFrame) -> DataFrame:
 
 def strict_containment_join(documents: DataFrame, cases: DataFrame) -> DataFrame:
     """doc_id, case_id: area in the text, content in the content field, and dates as labelled or both present."""
-    found = containment_links(materialised(document_keys(documents).drop("text")), case_keys(cases).select("case_id", "area_key", "content_key", "start_date", "end_date"))
-    found = found.join(documents.select("doc_id", "text"), "doc_id")
-    return found.where(labelled_dates_match(F.col("text"), F.col("start_date"), F.col("end_date"))).select("doc_id", "case_id")
+    docs = materialised(document_keys(documents).drop("text"))
+    found = containment_links(docs, case_keys(cases).select("case_id", "area_key", "content_key", "start_date", "end_date"))
+    found = found.join(docs.select("doc_id", "labelled", "doc_start", "doc_end", "dates"), "doc_id")
+    return found.where(dates_agree(F.col("start_date"), F.col("end_date"))).select("doc_id", "case_id")
 
 
 def longest_key_match(pairs: DataFrame, id_col: str) -> DataFrame:
@@ -109,11 +142,16 @@ def fuzzy_margin_join(documents: DataFrame, cases: DataFrame) -> DataFrame:
     the only one that lacks the role; otherwise the best ratio of at least FUZZY_LEAST that leads by FUZZY_LEAD.
     documents: doc_id, text; cases: case_id, area, content, start_date, end_date, role_missing. Ratios are worked out once for each distinct pair of contents.
     """
-    docs, keyed = materialised(document_keys(documents)), case_keys(cases)
+    docs, keyed = materialised(document_keys(documents).drop("text")), case_keys(cases).where("content_key <> ''")
+    keyed = keyed.select("case_id", "role_missing", "area_key", "content_key", "start_date", "end_date")
     areas = containment_pairs(docs, "doc_id", "text_key", keyed, "area_key").withColumnRenamed("key", "area_key")
-    texts = docs.select("doc_id", "text", F.col("content_key").alias("image")).where("image <> ''")
-    found = areas.join(keyed.where("content_key <> ''"), "area_key").join(texts, "doc_id")
-    found = found.where(labelled_dates_match(F.col("text"), F.col("start_date"), F.col("end_date"))).select("doc_id", "case_id", "role_missing", "content_key", "image")
+    texts = areas.join(docs.where("content_key <> ''").select("doc_id", "labelled", "doc_start", "doc_end", "dates", F.col("content_key").alias("image")), "doc_id")
+    # documents meet the cases of their area and dates only: labelled dates are joined on, of others each start and then the end
+    told = texts.where("labelled").withColumns({"start_date": F.col("doc_start"), "end_date": F.col("doc_end")}).join(keyed, ["area_key", "start_date", "end_date"])
+    loose = texts.where("not labelled").withColumn("start_date", F.explode("dates")).join(keyed, ["area_key", "start_date"]).where(F.array_contains("dates", F.col("end_date")))
+    found = told.select("doc_id", "case_id", "role_missing", "content_key", "image").unionByName(loose.select("doc_id", "case_id", "role_missing", "content_key", "image"))
+    # a case whose area stands in a text twice, written differently, is one candidate
+    found = found.distinct()
     exact = F.contains("image", "content_key") | F.contains("content_key", "image")
     inexact = found.where(~exact).select("content_key", "image").distinct().withColumn("ratio", gestalt_ratio("content_key", "image"))
     rated = found.join(inexact, ["content_key", "image"], "left").withColumn("ratio", F.when(exact, 1.0).otherwise(F.col("ratio")))
@@ -147,13 +185,14 @@ def recognized_text_lookup(files: DataFrame, recognized: DataFrame, version: str
 
 
 def canonicalize_names(lists: DataFrame, names: DataFrame, number: Column, prefix: str) -> DataFrame:
-    """row_id, names: each name of a list replaced by the one that stands for its number, canonical ones first, then the first seen.
+    """row_id, names: each name of a list replaced by the one that stands for its number: the last canonical one, else the first seen.
 
-    lists: row_id, names joined by the full-width semicolon; names: name, ord; number: a Column over ``name``.
+    lists: row_id, names as split_name_list takes them; names: name, ord; number: a Column over ``name``; canonical names start with prefix.
     """
-    known = names.withColumn("number", number).where("number <> ''")
-    standing = known.groupBy("number").agg(F.min_by("name", F.struct(F.when(F.col("name").startswith(prefix), 0).otherwise(1), "ord")).alias("stands"))
-    each = lists.select("row_id", F.posexplode(F.split("names", "；")).alias("pos", "name")).withColumn("number", number)
+    known = names.withColumn("number", number).where("number <> ''").withColumn("canonical_", F.col("name").startswith(prefix))
+    last = F.max_by(F.when(F.col("canonical_"), F.col("name")), F.when(F.col("canonical_"), F.col("ord")))
+    standing = known.groupBy("number").agg(F.coalesce(last, F.min_by("name", "ord")).alias("stands"))
+    each = lists.select("row_id", F.posexplode(split_name_list(F.col("names"))).alias("pos", "name")).withColumn("number", number)
     each = each.join(standing, "number", "left").withColumn("name", F.coalesce("stands", "name"))
     return matched_name_list(each, "row_id", "pos", "name")
 

@@ -10,6 +10,7 @@ from .functions.dates import date_delta
 from .operators import evidence as E
 from .operators import joins as J
 from .operators import review as R
+from .operators.ranks import rank_within
 from .queries_text import ENDS, query, sql_field, sql_match, sql_ocr
 from .views import views
 
@@ -33,7 +34,7 @@ CAND = candidates_sql()
 # Cases that are not closed, with the start dates that the approvals carry.
 LIVE = candidates_sql("status <> 'terminated'", "start_date + cast(case_id % 40 as int)")
 LEVEL = "case when chosen >= 95 then 'high' when chosen >= 85 then 'middle' else 'low' end"
-EXCLUDED = "doc_id % 10 = 3 and (doc_id + case_id) % 5 = 0"
+EXCLUDED = "(doc_id + case_id) % 5 = 0"
 
 
 def live(cases):
@@ -161,13 +162,14 @@ def recognized_text_lookup(spark, sf_dir):
     return hits.select("doc_id", F.lit(True).alias("hit")).unionByName(misses.select("doc_id", F.lit(False).alias("hit")))
 
 
-@query("""select conv_id as row_id, string_agg(case when turn % 2 = 0 then 'canon-' || lpad(cast(turn as varchar), 3, '0') else 'raw-' || lpad(cast(turn as varchar), 3, '0') end, '；' order by turn) as names from conversations group by conv_id""")
+@query("""select conv_id as row_id, string_agg(case when turn % 2 = 0 then 'canon-2-' || lpad(cast(turn as varchar), 3, '0') else 'raw-' || lpad(cast(turn as varchar), 3, '0') end, '；' order by turn) as names from conversations group by conv_id""")
 def canonicalize_names(spark, sf_dir):
     (c,) = views(spark, sf_dir, "conversations")
     name = lambda p: F.concat(F.lit(p), F.lpad(F.col("turn").cast("string"), 3, "0"))
     lists = J.matched_name_list(c.withColumn("name", name("raw-")), "conv_id", "turn", "name").withColumnRenamed("conv_id", "row_id")
     turns = c.select("turn").distinct()
-    names = turns.select(name("raw-").alias("name"), F.col("turn").alias("ord")).unionByName(turns.where("turn % 2 = 0").select(name("canon-").alias("name"), (F.col("turn") + 1000).alias("ord")))
+    canonical = lambda k: turns.where("turn % 2 = 0").select(F.concat(F.lit(f"canon-{k}-"), F.lpad(F.col("turn").cast("string"), 3, "0")).alias("name"), (F.col("turn") + 1000 * k).alias("ord"))
+    names = turns.select(name("raw-").alias("name"), F.col("turn").alias("ord")).unionByName(canonical(1)).unionByName(canonical(2))
     return J.canonicalize_names(lists, names, F.regexp_extract("name", r"(\d{3})$", 1), "canon-")
 
 
@@ -204,13 +206,13 @@ def stem_prefix_join(spark, sf_dir):
     return J.stem_prefix_join(files, cases)
 
 
-@query("""with f as (select event_id as file_id, cast(ts as date) - 10000 as d, event_id % 10 = 0 as p from events where event_type = 'purchase'), c as (select case_id, start_date from v_cases where case_id % 40 = 7)
+@query("""with f as (select event_id as file_id, cast(ts as date) - 10000 as d, event_id % 10 = 0 as p from events where event_type = 'purchase'), c as (select case_id, start_date from v_cases)
 select file_id, file_id as case_id, 'prefix' as how from f where p union all select file_id, case_id, 'date' from f join c on c.start_date = f.d where not p""")
 def prefix_or_date_join(spark, sf_dir):
     v, c = views(spark, sf_dir, "events", "v_cases")
     files = v.where("event_type = 'purchase'").select(F.col("event_id").alias("file_id"), F.date_sub(F.col("ts").cast("date"), 10000).alias("file_date"))
     prefixed = files.where("file_id % 10 = 0").select("file_id", F.col("file_id").alias("case_id"))
-    return J.prefix_or_date_join(files, prefixed, c.where("case_id % 40 = 7").select("case_id", "start_date"))
+    return J.prefix_or_date_join(files, prefixed, c.select("case_id", "start_date"))
 
 
 _ZIP = """f as (select conv_id as batch, turn as file_id, role, sha256(role) as sha256 from conversations), c as (select conv_id as batch, turn as case_id from conversations where role = 'user')"""
@@ -233,10 +235,10 @@ def identical_group_zip(spark, sf_dir):
     return J.identical_group_zip(files, c.where("role = 'user'").select(F.col("conv_id").alias("batch"), F.col("turn").alias("case_id")))
 
 
-@query("select case_id % 97 as batch, bool_and(case_id % 97 <> 5 or case_id % 2 = 0) as replacement_only from v_cases where case_id % 3 = 0 group by 1")
+@query("select case_id % 97 as batch, bool_and(case_id % 97 <> 5 or case_id % 2 = 0) as replacement_only from v_cases group by 1")
 def replacement_only_check(spark, sf_dir):
     (c,) = views(spark, sf_dir, "v_cases")
-    incoming = c.where("case_id % 3 = 0").withColumn("batch", F.col("case_id") % 97)
+    incoming = c.withColumn("batch", F.col("case_id") % 97)
     changed = incoming.withColumn("end_date", F.when((F.col("batch") == 5) & (F.col("case_id") % 2 != 0), F.date_add("end_date", 4000)).otherwise(F.col("end_date")))
     return J.replacement_only(changed, J.duplicate_key_join(changed, c))
 
@@ -466,14 +468,8 @@ def retain_best_duplicate(spark, sf_dir):
 
 @query("select p_partkey, p_name, row_number() over (order by lower(p_name), p_name, p_partkey) as position from part")
 def stable_listing(spark, sf_dir):
-    from pyspark.sql import Window
-
     (p,) = views(spark, sf_dir, "part")
-    # ranks within ranges of the sort key, and the number of rows before each range: no single task sorts all
-    ranged = p.select("p_partkey", "p_name").repartitionByRange(8, F.lower("p_name"), "p_name", "p_partkey").withColumn("range_", F.spark_partition_id())
-    own = Window.partitionBy("range_").orderBy(F.lower("p_name"), "p_name", "p_partkey")
-    before = ranged.groupBy("range_").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranged.withColumn("rank", F.row_number().over(own)).join(before, "range_").select("p_partkey", "p_name", (F.col("rank") + F.col("before")).cast("long").alias("position"))
+    return rank_within(p.select("p_partkey", "p_name", F.lower("p_name").alias("folded")), [], ["folded", "p_name", "p_partkey"], "position").drop("folded")
 
 
 @query("""with h as (select doc_id, sha256(text) as h, doc_id % 20 as case_id from documents), k as (select case_id, case_id - case_id % 4 as keep_id from h group by all),

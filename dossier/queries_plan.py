@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from .functions import ids, text
-from .functions.forms import form_fields
-from .materialize import materialised
+from .functions.forms import with_form_fields
+from .materialize import materialised, new_folder
 from .operators import evidence as E
 from .operators import joins as J
 from .operators import review as R
@@ -20,22 +18,15 @@ from .streaming.intake import take_in
 from .views import views
 
 
-def _folder(spark, name):
-    """A new folder below the session's shared one."""
-    materialised(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
-@query("""select name, (select cast(count(*) as bigint) from (values (1))) as files from (values ('benchmark.parquet')) t(name)""")
+@query()
 def scan_evidence_files(spark, sf_dir):
-    found = S.scan_evidence_files(spark, sf_dir, "benchmark.parquet", recursive=True)
-    return found.groupBy("name").agg(F.count("*").alias("files"))
+    return S.scan_evidence_files(spark, sf_dir, "*.parquet", recursive=True).select("name", "size", "sha256")
 
 
 @query("select case_id, role, name, size from v_evidence")
 def load_case_dataset(spark, sf_dir):
     (e,) = views(spark, sf_dir, "v_evidence")
-    path = S.save_revision(_nested(e), _folder(spark, "dataset"), 1)
+    path = S.save_revision(_nested(e), new_folder(spark, "dataset"), 1)
     cases = S.load_revision(spark, path).where("schema_version = 1")
     return E.flatten_evidence(cases.withColumn("approvals", F.array().cast("array<struct<position:bigint,name:string,size:bigint>>"))).select("case_id", "role", "name", "size")
 
@@ -43,22 +34,23 @@ def load_case_dataset(spark, sf_dir):
 @query("select cast(2 as bigint) as dataset_revision, count(distinct case_id) as cases from v_evidence")
 def save_case_dataset(spark, sf_dir):
     (e,) = views(spark, sf_dir, "v_evidence")
-    folder = _folder(spark, "dataset")
+    folder = new_folder(spark, "dataset")
     S.save_revision(_nested(e), folder, 1)
     return S.load_revision(spark, S.save_revision(_nested(e), folder, 2)).groupBy("dataset_revision").agg(F.count("*").alias("cases"))
 
 
-@query("select doc_id from documents where doc_id % 3 = 0")
+@query("select doc_id, sha256(case when doc_id % 6 = 0 then '' else text end) as h from documents where doc_id % 3 = 0")
 def load_recognized_text(spark, sf_dir):
     (d,) = views(spark, sf_dir, "documents")
-    rows = d.select("doc_id", F.when(F.col("doc_id") % 3 == 1, "v1").otherwise("v2").alias("version"), F.when(F.col("doc_id") % 3 == 0, "").alias("text"))
-    return S.load_recognized_text(rows, "v2").select("doc_id")
+    held = F.when(F.col("doc_id") % 6 == 0, "").when(F.col("doc_id") % 3 < 2, F.col("text"))
+    rows = d.select("doc_id", F.when(F.col("doc_id") % 3 == 1, "v1").otherwise("v2").alias("version"), held.alias("text"))
+    return S.load_recognized_text(rows, "v2").select("doc_id", F.sha2("text", 256).alias("h"))
 
 
 @query("select area || '|' || content as key, 'n' || max(case_id) as names from v_cases where case_id % 2 = 0 group by 1")
 def load_prior_matches(spark, sf_dir):
     (c,) = views(spark, sf_dir, "v_cases")
-    path = _folder(spark, "prior")
+    path = new_folder(spark, "prior")
     rows = c.select(F.concat("area", F.lit("|"), "content").alias("key"), F.concat(F.lit("n"), F.col("case_id").cast("string")).alias("names"), F.col("case_id").alias("row_no"), F.when(F.col("case_id") % 2 == 0, "2").otherwise("1").alias("version"))
     rows.write.option("header", True).csv(path)
     return S.load_prior_matches(spark, path, "2")
@@ -74,7 +66,7 @@ def load_manual_overrides(spark, sf_dir):
 @query("select cast(case_id as varchar) as case_id, area, content, status, cast(start_date as varchar) as start_date from v_cases")
 def export_flat_summary(spark, sf_dir):
     (c,) = views(spark, sf_dir, "v_cases")
-    path = _folder(spark, "summary")
+    path = new_folder(spark, "summary")
     c.select("case_id", "area", "content", "status", "start_date").write.option("header", True).csv(path)
     return spark.read.option("header", True).csv(path)
 
@@ -97,7 +89,7 @@ def migration_plan(spark, sf_dir):
 
 @query(f"with {_MIGRATION} select action, count(*) as operations from m group by action")
 def export_plan(spark, sf_dir):
-    path = _folder(spark, "plan")
+    path = new_folder(spark, "plan")
     _migration(spark, sf_dir).write.json(path)
     return spark.read.schema("file_id long, action string, target string").json(path).groupBy("action").agg(F.count("*").alias("operations"))
 
@@ -208,7 +200,7 @@ def assign_images(spark, sf_dir):
 
 def _streamed(spark, sf_dir, work=None):
     (d,) = views(spark, sf_dir, "documents")
-    source, store, checkpoint = (_folder(spark, x) for x in ("drop", "store", "stream"))
+    source, store, checkpoint = (new_folder(spark, x) for x in ("drop", "store", "stream"))
     rows = d.select("doc_id", "source", F.sha2("text", 256).alias("sha256"))
     rows.repartition(3).write.parquet(source)
     take_in(spark, source, "doc_id long, source string, sha256 string", "sha256", store, checkpoint, work)
@@ -230,7 +222,7 @@ def stream_route_batches(spark, sf_dir):
 @query("with " + LIVE + " select doc_id, case_id from pairs where same")
 def stream_link(spark, sf_dir):
     a, c = views(spark, sf_dir, "v_approvals", "v_cases")
-    source, store, checkpoint = (_folder(spark, x) for x in ("drop", "store", "stream"))
+    source, store, checkpoint = (new_folder(spark, x) for x in ("drop", "store", "stream"))
     a.write.parquet(source)
     cases = materialised(live(c))
     take_in(spark, source, "doc_id long, text string", "doc_id", store, checkpoint, lambda rows: J.strict_containment_join(rows, cases))

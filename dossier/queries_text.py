@@ -86,7 +86,9 @@ def count_cjk_chars(spark, sf_dir):
 def split_name_list(spark, sf_dir):
     (c,) = views(spark, sf_dir, "conversations")
     listed = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    joined = c.groupBy("conv_id").agg(F.array_join(F.transform(listed, lambda x: x.role), " ； ,").alias("names"))
+    plain = F.array_join(F.transform(listed, lambda x: x.role), " ； ,")
+    quoted = F.concat(F.lit("["), F.array_join(F.transform(listed, lambda x: F.when(x.turn % 2 == 0, x.role).otherwise(F.concat(F.lit("' "), x.role, F.lit("'")))), ", "), F.lit("]"))
+    joined = c.groupBy("conv_id").agg(F.when(F.col("conv_id") % 2 == 0, plain).otherwise(quoted).alias("names"))
     return joined.select("conv_id", F.array_join(text.split_name_list(F.col("names")), "|").alias("names"))
 
 
@@ -119,6 +121,17 @@ def extract_labelled_field(spark, sf_dir):
     return a.select("doc_id", text.labelled_field(t, "施工内容", ENDS).alias("content"), text.labelled_field(t, "施工区域", ("施工开始时间", "施工开始日期")).alias("area"))
 
 
+def form_tokens(text_col: str = "form_text"):
+    """The token list of a rendered form, its boxes ticked by the length of the text."""
+    n = F.length(text_col)
+    word = lambda value: F.struct(F.lit("text").alias("type"), F.lit(value).alias("value"))
+    box = lambda on: F.struct(F.lit("sym").alias("type"), F.when(on, classify.CHECKED).otherwise("00A3").alias("value"))
+    return F.array(
+        word(forms.BOXES[0][1]), box(n % 3 == 0), word("是"), box(n % 3 == 1), word(forms.BOXES[1][1]), box(n % 2 == 0), word("是"), box(n % 2 == 1),
+        word("三、危险作业：动火作业"), box(n % 5 == 0), word("有限空间作业"), box(n % 7 < 3), word("会投工程部意见："),
+    )
+
+
 def _cap(x: str, a: str, b: str) -> str:
     return rf"trim(regexp_replace(regexp_extract({x}, '(?s){a}\s*(.*?)\s*{b}', 1), '\s+', ' ', 'g'))"
 
@@ -136,11 +149,14 @@ def approval_fields(spark, sf_dir):
  regexp_extract(form_text, '施工内容：.*联系电话：\s*(\d+)', 1) as foreman_phone,
  cast(regexp_replace(regexp_extract(form_text, '(\d+年\d+月\d+)日~', 1), '[年月]', '-', 'g') as date) as start_date,
  cast(regexp_replace(regexp_extract(form_text, '~(\d+年\d+月\d+)日', 1), '[年月]', '-', 'g') as date) as end_date,
- cast(cast(regexp_replace(regexp_extract(form_text, '~(\d+年\d+月\d+)日', 1), '[年月]', '-', 'g') as date) - cast(regexp_replace(regexp_extract(form_text, '(\d+年\d+月\d+)日~', 1), '[年月]', '-', 'g') as date) + 1 as integer) as days
+ cast(cast(regexp_replace(regexp_extract(form_text, '~(\d+年\d+月\d+)日', 1), '[年月]', '-', 'g') as date) - cast(regexp_replace(regexp_extract(form_text, '(\d+年\d+月\d+)日~', 1), '[年月]', '-', 'g') as date) + 1 as integer) as days,
+ case when length(form_text) % 3 = 0 then 'yes' when length(form_text) % 3 = 1 then 'no' else '' end as fire_equipment,
+ case when length(form_text) % 2 = 0 then 'yes' else 'no' end as exits,
+ concat_ws('、', case when length(form_text) % 5 = 0 then '动火作业' end, case when length(form_text) % 7 < 3 then '有限空间作业' end) as hazard
  from v_forms""")
 def form_fields(spark, sf_dir):
     (f,) = views(spark, sf_dir, "v_forms")
-    return f.select("case_id", *forms.form_fields(F.col("form_text")))
+    return forms.with_form_fields(f.withColumn("tokens", form_tokens()))
 
 
 @query("""select case_id, case when case_id % 3 = 0 then cast(strftime(start_date, '%Y-%m-%d') as date) else start_date end as start_date, end_date, area, content from v_cases""")
@@ -205,11 +221,14 @@ def stable_ids(spark, sf_dir):
     return c.select("case_id", ids.uuid5(F.concat(F.lit("case:"), F.col("case_id").cast("string"))).alias("id"))
 
 
-@query("select page_id, case page_id % 4 when 0 then false when 1 then true when 2 then true else false end as outside from pages")
+@query(r"""with x as (select page_id, case page_id % 4 when 0 then 'a/../b/' when 1 then 'a/../../b/' when 2 then '/abs/' else './x\y/' end || coalesce(regexp_replace(url, '^[a-z]+://', ''), '') as path from pages),
+y as (select page_id, replace(path, chr(92), '/') as path, list_filter(string_split(replace(path, chr(92), '/'), '/'), lambda p: p not in ('', '.')) as parts from x),
+z as (select page_id, path, list_transform(range(1, len(parts) + 1), lambda i: list_sum(list_transform(parts[1:i], lambda p: case when p = '..' then -1 else 1 end))) as depths from y)
+select page_id, starts_with(path, '/') or coalesce(list_min(depths), 0) < 0 as outside from z""")
 def path_scope_check(spark, sf_dir):
     (p,) = views(spark, sf_dir, "pages")
-    name = F.concat(F.lit("p"), F.col("page_id").cast("string"))
-    path = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("a/../b/"), name)).when(F.col("page_id") % 4 == 1, F.concat(F.lit("a/../../b/"), name)).when(F.col("page_id") % 4 == 2, F.concat(F.lit("/abs/"), name)).otherwise(F.concat(F.lit("./x\\y/"), name))
+    front = F.when(F.col("page_id") % 4 == 0, "a/../b/").when(F.col("page_id") % 4 == 1, "a/../../b/").when(F.col("page_id") % 4 == 2, "/abs/").otherwise("./x\\y/")
+    path = F.concat(front, F.regexp_replace(text.blank(F.col("url")), "^[a-z]+://", ""))
     return p.select("page_id", text.leaves_root(path).alias("outside"))
 
 
@@ -241,8 +260,8 @@ def extract_all_dates(spark, sf_dir):
 @query("""select a.doc_id, c.start_date + cast(c.case_id % 40 as int) = c.start_date as match from v_approvals a join v_cases c on c.case_id = a.doc_id""")
 def construction_dates_match(spark, sf_dir):
     a, c = views(spark, sf_dir, "v_approvals", "v_cases")
-    both = a.join(c, F.col("doc_id") == F.col("case_id"))
-    return both.select("doc_id", dates.labelled_dates_match(F.col("text"), F.col("start_date"), F.col("end_date")).alias("match"))
+    both = dates.with_dates(a, "text").join(c, F.col("doc_id") == F.col("case_id"))
+    return both.select("doc_id", dates.dates_agree(F.col("start_date"), F.col("end_date")).alias("match"))
 
 
 _P = "case when d is null then 0 when d <= 0 then {0} when d <= 3 then {0} - 2 when d <= 7 then greatest(0, {0} - 4) when d <= 14 then greatest(0, {0} - 7) when d <= 31 then greatest(0, {0} - 10) else 0 end"
@@ -277,10 +296,10 @@ def classify_text_role(spark, sf_dir):
     return d.select("doc_id", classify.text_role(line).alias("role"))
 
 
-@query("""select doc_id, doc_id % 7 = 2 as confined, doc_id % 7 = 4 as hot_work from documents""")
+@query(r"""select doc_id, doc_id % 7 = 2 or regexp_matches(text, '有限空间作业[□：]{0,3}[☑√]') as confined, doc_id % 7 = 4 or regexp_matches(text, '动火作业[□：]{0,3}[☑√]') as hot_work from documents""")
 def option_is_checked(spark, sf_dir):
     (d,) = views(spark, sf_dir, "documents")
-    line = F.element_at(F.expr(_LINES), (F.col("doc_id") % 7 + 1).cast("int"))
+    line = F.concat("text", F.lit(" "), F.element_at(F.expr(_LINES), (F.col("doc_id") % 7 + 1).cast("int")))
     return d.select("doc_id", classify.option_is_checked(line, "有限空间作业").alias("confined"), classify.option_is_checked(line, "动火作业").alias("hot_work"))
 
 

@@ -29,7 +29,7 @@ join part p on p.p_partkey = g.pk""",
        case when case_id % 50 = 23 then 'NOWHERE' when case_id % 20 = 3 then replace(area, '-L', '-i') else area end as area,
        case when case_id % 50 = 13 then 'unlisted work' else content end as content,
        start_date + cast(case_id % 40 as int) as s, end_date as e
-     from v_cases where case_id % 10 = 3)
+     from v_cases)
 select doc_id,
   '工程类-主体质保施工 申请编号：' || lpad(cast(doc_id as varchar(20)), 12, '0') || ' 施工区域：' || area ||
   ' 施工开始时间：' || cast(year(s) as varchar(4)) || '年' || cast(month(s) as varchar(2)) || '月' || cast(day(s) as varchar(2)) || '日' ||
