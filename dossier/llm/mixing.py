@@ -21,25 +21,24 @@ ROUNDS_AT_ONCE = 3
 #: Cells that are broadcast at most; more are joined by a shuffle.
 BROADCAST_CELLS = 50_000
 NULL_NAME = "(null)"
-#: Bounds of the topics: letters to a figure in data, code points of short and long texts.
-FIGURES, SHORT, LONG = 20, 400, 8000
+#: Bounds of the topics: code points to a figure in data, code points of short and long texts.
+FIGURES, SHORT, LONG = 25, 400, 8000
 SALT = "mixing-1"
 
 
 def topic(text_col: str = "text") -> Column:
     """A topic from the form of the text, for callers without one of their own: blank, data, shout, short, long or prose.
 
-    data has a digit, bar, tab or semicolon for FIGURES letters or fewer; in a shout every second letter is a capital.
+    data has a digit, bar, tab or semicolon for FIGURES code points or fewer; in a shout every third one is a capital.
     """
     text = text_or_empty(text_col)
-    count = lambda kind: F.length(F.regexp_replace(text, f"[^{kind}]+", ""))
-    letters, figures = count(r"\p{L}"), count(r"\p{N}|\t;")
+    size = F.length(text)
     return (
-        F.when(letters + figures == 0, "blank")
-        .when(figures * FIGURES >= letters, "data")
-        .when(count(r"\p{Lu}") * 2 >= letters, "shout")
-        .when(F.length(text) < SHORT, "short")
-        .when(F.length(text) > LONG, "long")
+        F.when(~text.rlike(r"[\p{L}\p{N}|;]"), "blank")
+        .when(F.regexp_count(text, F.lit(r"[\p{N}|\t;]")) * FIGURES >= size, "data")
+        .when(F.regexp_count(text, F.lit(r"\p{Lu}")) * 3 >= size, "shout")
+        .when(size < SHORT, "short")
+        .when(size > LONG, "long")
         .otherwise("prose")
     )
 

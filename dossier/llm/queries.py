@@ -107,10 +107,9 @@ def _mixing_sql(rounds: int = mixing.ROUNDS) -> str:
     targets = ", ".join(f"pow(cast(sum(tokens) over (partition by {d}) as double), {mixing.TEMPER}) / {target(d)} as t_{d}" for d in mixing.DIMENSIONS)
     return rf"""
 with d as (select doc_id, coalesce(source, '(null)') as source, coalesce(lang, '(null)') as lang, coalesce(text, '') as text from documents),
-n as (select doc_id, source, lang, length(text) as n, length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) as letters, length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) as capitals,
-  length(regexp_replace(text, '[^\p{{N}}|\t;]+', '', 'g')) as figures, cast(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as bigint) as n_tokens from d),
-f as (select doc_id, source, lang, case when letters + figures = 0 then 'blank' when figures * {mixing.FIGURES} >= letters then 'data' when capitals * 2 >= letters then 'shout'
-  when n < {mixing.SHORT} then 'short' when n > {mixing.LONG} then 'long' else 'prose' end as topic, n_tokens from n),
+f as (select doc_id, source, lang, case when not regexp_matches(text, '[\p{{L}}\p{{N}}|;]') then 'blank' when len(regexp_extract_all(text, '[\p{{N}}|\t;]')) * {mixing.FIGURES} >= length(text) then 'data'
+  when len(regexp_extract_all(text, '\p{{Lu}}')) * 3 >= length(text) then 'shout' when length(text) < {mixing.SHORT} then 'short' when length(text) > {mixing.LONG} then 'long' else 'prose' end as topic,
+  cast(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as bigint) as n_tokens from d),
 c as (select source, lang, topic, cast(sum(n_tokens) as bigint) as tokens from f group by all),
 c0 as (select *, cast(tokens as double) as w, {targets} from c),
 {", ".join(steps)},
