@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, tidy
 
 UNKNOWN = "und"
 #: Training texts for each language at most (expected number), and characters cut from each of them: the
@@ -120,7 +120,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_classify(dictionaries, min_margin), "id long, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(tidy(_classify(dictionaries, min_margin)), "id long, lang_pred string, score double, rejected boolean")
 
 
 def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
@@ -139,4 +139,4 @@ def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
             for told in run(iter([texts])):
                 yield batch.filter(pa.compute.invert(told.column("rejected")))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)

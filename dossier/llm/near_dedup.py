@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lower_ascii, ship, stored, text_or_empty, with_groups, without_ids
+from .common import discard, lower_ascii, ship, stored, text_or_empty, tidy, with_groups, without_ids
 from .topk_search import small_batches
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -254,11 +254,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, least: float,
     nodes = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
     need = sets.join(nodes, "node", "left_semi").select("node", "key", F.col("rep").alias("rep_id_"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_"), text_or_empty(text_col).alias("text_")).join(need, F.col("doc_").eqNullSafe(F.col("rep_id_")))
-    data, path = stored(texts.select("node", "key", "text_").mapInArrow(_sets_of(counted, size), "node long, data binary").dropDuplicates(["node"]), "shingles")
+    data, path = stored(texts.select("node", "key", "text_").mapInArrow(tidy(_sets_of(counted, size)), "node long, data binary").dropDuplicates(["node"]), "shingles")
     of = lambda c, d: data.select(F.col("node").alias(c), F.col("data").alias(d))
     with small_batches(spark, 500):
         rows = pairs.join(of("x", "a"), "x").join(of("y", "b"), "y").select("x", "y", "a", "b")
-        links, _ = stored(rows.mapInArrow(_linked(least, counted), "x long, y long"), "near-links")
+        links, _ = stored(rows.mapInArrow(tidy(_linked(least, counted)), "x long, y long"), "near-links")
     discard(spark, path)
     return links
 
@@ -274,7 +274,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    signed, _ = stored(rows.mapInArrow(_signed(counted, size, *banding(least)), "id long, key binary, n long, bands array<long>, map array<long>"), "signatures")
+    signed, _ = stored(rows.mapInArrow(tidy(_signed(counted, size, *banding(least))), "id long, key binary, n long, bands array<long>, map array<long>"), "signatures")
     total = signed.count()
     first = [F.first(c).alias(c) for c in ("n", "bands", "map")]
     sets = signed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("members"), *first)

@@ -19,14 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, ship, stored, text_or_empty
+from .common import lower_ascii, ship, stored, text_or_empty, tidy
 
 WINDOW = 4096
 END_ID = 2
 #: Words that a worker remembers at most, and bytes of text that it handles at once.
-REMEMBERED, BYTES_AT_ONCE = 1_000_000, 8_000_000
+REMEMBERED, BYTES_AT_ONCE = 300_000, 8_000_000
 #: Pieces of one length that are ranked in one task, about.
-RANKED_AT_ONCE = 20_000
+RANKED_AT_ONCE = 2_000
 
 
 #: Between an ASCII letter or digit and such a mark the tokenizer always cuts.
@@ -152,7 +152,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
     """id, start, length, ids_crc32, doc_tokens (and ids): each document's ids and the end id, cut into full windows and a rest."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(_cut(tokenizer, window, end_id, with_ids), "id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(tidy(_cut(tokenizer, window, end_id, with_ids)), "id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
 
 
 def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
