@@ -25,6 +25,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """df, worked out once and written to the checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df, worked out once, written to the checkpoint folder and read again: later plans start there, whatever executors are lost."""
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -70,6 +70,14 @@ def fingerprint_groups(files: DataFrame) -> DataFrame:
     return files.groupBy("sha256").agg(F.count("*").alias("files"), F.min("file_id").alias("first_id"))
 
 
+def filled_approvals(cases: DataFrame, retained: DataFrame, fields: list[str]) -> DataFrame:
+    """case_id and fields of the retained cases: their own values, and where blank those of the removed case with the smallest id that has one."""
+    value = lambda c: F.nullif(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(""))
+    order = F.struct(F.col("case_id") != F.col("keep_id"), "case_id")
+    filled = [F.coalesce(F.min_by(F.col(c), F.when(value(c).isNotNull(), order)).cast("string"), F.lit("")).alias(c) for c in fields]
+    return cases.join(retained, "case_id").groupBy(F.col("keep_id").alias("kept_")).agg(*filled).withColumnRenamed("kept_", "case_id")
+
+
 def merge_unique_evidence(evidence: DataFrame, retained: DataFrame) -> DataFrame:
     """Evidence under the retained cases, once for each content; the retained case's own row comes first.
 
@@ -100,21 +108,21 @@ def next_free_suffix(newcomers: DataFrame, taken: DataFrame) -> DataFrame:
     used = taken.select(F.col("name").alias("base"), F.lit(1).cast("long").alias("number")).unionByName(
         taken.where(number != "").select(F.regexp_extract("name", split, 1).alias("base"), number.cast("long").alias("number")).where("number >= 2")
     )
-    used = rank_within(used.distinct(), ["base"], ["number"], "i").select("base", (F.col("number") - F.col("i")).alias("place"), F.lit(1).alias("is_taken"), F.col("number").alias("row_id"))
+    used = rank_within(used.distinct(), ["base"], ["number"], "i").select("base", (F.col("number") - F.col("i")).alias("place"), F.lit(1).alias("is_taken"), F.lit(None).cast(newcomers.schema["row_id"].dataType).alias("row_id"))
     new = rank_within(newcomers.select("row_id", "base"), ["base"], ["row_id"], "place")
     both = new.select("base", "place", F.lit(0).alias("is_taken"), "row_id").unionByName(used)
-    pick = rank_within(both, ["base"], ["place", "is_taken", "row_id"], "pick").where("is_taken = 0")
+    pick = rank_within(both, ["base"], ["place", "is_taken"], "pick").where("is_taken = 0")
     tail = F.when(F.col("pick") < 100, F.lpad(F.col("pick").cast("string"), 2, "0")).otherwise(F.col("pick").cast("string"))
     return pick.select("row_id", "base", F.when(F.col("pick") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), tail)).alias("name"))
 
 
 def batch_count_gate(batches: DataFrame) -> DataFrame:
-    """batch, forms, lists, accepted: as many lists as forms, unless all forms replace existing ones.
+    """batch, forms, lists, accepted: as many lists as forms, or no list and only forms that replace existing ones.
 
-    batches: batch, kind (form or list), replaces.
+    batches: batch, kind (form, list or another), replaces.
     """
     agg = batches.groupBy("batch").agg(F.count_if(F.col("kind") == "form").alias("forms"), F.count_if(F.col("kind") == "list").alias("lists"), F.count_if((F.col("kind") == "form") & ~F.col("replaces")).alias("new"))
-    accepted = (F.col("forms") == F.col("lists")) | ((F.col("forms") > 0) & (F.col("new") == 0))
+    accepted = (F.col("forms") == F.col("lists")) | ((F.col("lists") == 0) & (F.col("forms") > 0) & (F.col("new") == 0))
     return agg.select("batch", "forms", "lists", accepted.alias("accepted"))
 
 
@@ -174,11 +182,19 @@ def dataset_audit(cases: DataFrame, evidence: DataFrame, inventory: DataFrame) -
     return repeated(cases, "case_id", "case").unionByName(repeated(evidence, "file_id", "file")).unionByName(files)
 
 
-def reclassify_evidence(evidence: DataFrame, recognized: DataFrame, role_of: Column) -> DataFrame:
-    """file_id, role, new_role, outcome: unchanged, moved, or text_missing. role_of is a Column over ``text``."""
+def reclassify_evidence(evidence: DataFrame, recognized: DataFrame, role_of: Column, inventory: DataFrame | None = None) -> DataFrame:
+    """file_id, role, new_role, outcome: unchanged, moved, text_missing, or reference_removed where the file of a new role is gone.
+
+    role_of is a Column over ``text``; an empty text is missing. With an inventory (sha256) files that it lacks are gone.
+    """
     joined = evidence.join(recognized, "sha256", "left").withColumn("new_role", role_of)
-    outcome = F.when(F.col("text").isNull(), "text_missing").when(F.col("new_role").isNull() | (F.col("new_role") == F.col("role")), "unchanged").otherwise("moved")
-    return joined.select("file_id", "role", F.when(outcome == "moved", F.col("new_role")).alias("new_role"), outcome.alias("outcome"))
+    there = F.lit(True)
+    if inventory is not None:
+        joined = joined.join(inventory.select("sha256").distinct().withColumn("there_", F.lit(True)), "sha256", "left")
+        there = F.coalesce("there_", F.lit(False))
+    stays = F.col("new_role").isNull() | (F.col("new_role") == F.col("role"))
+    outcome = F.when(F.coalesce("text", F.lit("")) == "", "text_missing").when(stays, "unchanged").when(there, "moved").otherwise("reference_removed")
+    return joined.select("file_id", "role", F.when(outcome.isin("moved", "reference_removed"), F.col("new_role")).alias("new_role"), outcome.alias("outcome"))
 
 
 def claimed_sources(files: DataFrame, claims: DataFrame, default_role: str) -> DataFrame:
@@ -194,3 +210,153 @@ def retain_unmatched(unmatched: DataFrame, resolved: DataFrame) -> DataFrame:
 def append_once(history: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """history and those rows whose key it doesn't hold."""
     return history.unionByName(rows.dropDuplicates(key).join(history.select(*key).distinct(), key, "left_anti"), allowMissingColumns=True)
+
+
+def recent_window_filter(cases: DataFrame, run: Column, before: int = 2, after: int = 14) -> DataFrame:
+    """Cases that start within some days of the run and have a content to match by."""
+    from ..functions.text import normalize_match_text
+
+    return cases.where(F.col("start_date").between(F.date_sub(run, before), F.date_add(run, after)) & (normalize_match_text(F.col("content")) != ""))
+
+
+def work_queues(cases: DataFrame) -> DataFrame:
+    """case_id, queue: all, and missing_roles (not terminated), ready or approved; cases: case_id, status, missing."""
+    lacking = (F.size("missing") > 0) & (F.col("status") != "terminated")
+    queues = F.array_compact(F.array(F.lit("all"), F.when(lacking, "missing_roles"), F.when(F.col("status") == "materials_ready", "ready"), F.when(F.col("status") == "approved", "approved")))
+    return cases.select("case_id", F.explode(queues).alias("queue"))
+
+
+def view_search(rows: DataFrame, cells: list[str], asked: str) -> DataFrame:
+    """Rows of which a cell holds the asked text in either case; cells are strings or arrays of links (text, href, path); a blank question keeps all."""
+    question = F.lower(F.trim(F.lit(asked)))
+    hit = F.lit(not asked.strip())
+    for cell in cells:
+        if rows.schema[cell].dataType.typeName() == "array":
+            hit = hit | F.exists(F.coalesce(F.col(cell), F.array().cast(rows.schema[cell].dataType)), lambda x: F.contains(F.lower(F.coalesce(x["text"], F.lit(""))), question))
+        else:
+            hit = hit | F.contains(F.lower(F.coalesce(F.col(cell).cast("string"), F.lit(""))), question)
+    return rows.where(hit)
+
+
+def open_cases(cases: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """Cases that are neither terminated nor approved, and without an approval file where evidence is given."""
+    live = cases.where(~F.col("status").isin("terminated", "approved"))
+    return live if evidence is None else live.join(evidence.where("role = 'approval_pdf'").select("case_id"), "case_id", "left_anti")
+
+
+def undated_images(files: DataFrame, name: str) -> DataFrame:
+    """Images whose name doesn't begin with a date."""
+    from ..functions.classify import IMAGES
+    from ..functions.text import suffix
+
+    return files.where(suffix(F.col(name)).isin(*IMAGES) & ~F.col(name).rlike(r"^\d{4}-\d{2}-\d{2}"))
+
+
+def direct_children(files: DataFrame, path: Column, folder: str, kind: str) -> DataFrame:
+    """Files of a kind that lie in the folder itself."""
+    from ..functions.text import suffix
+
+    return files.where(path.rlike(rf"^\Q{folder}\E/[^/]+$") & (suffix(path) == kind))
+
+
+def contains_hash(evidence: DataFrame, known: DataFrame) -> DataFrame:
+    """case_id, holds: whether any evidence of the case has a known content."""
+    hits = known.select("sha256").distinct().withColumn("known_", F.lit(True))
+    return evidence.join(hits, "sha256", "left").groupBy("case_id").agg(F.bool_or(F.coalesce("known_", F.lit(False))).alias("holds"))
+
+
+def existing_files(evidence: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Evidence (path and others) that lies inside the root and in the inventory (path)."""
+    from ..functions.text import leaves_root
+
+    return evidence.where(~leaves_root(F.col("path"))).join(inventory.select("path").distinct(), "path", "left_semi")
+
+
+def first_path(*paths: Column) -> Column:
+    """The first path that isn't blank."""
+    return F.coalesce(*[F.nullif(p, F.lit("")) for p in paths])
+
+
+def summary_metrics(cases: DataFrame, reviews: DataFrame) -> DataFrame:
+    """One row: cases in all, approved, pending and incomplete; review rows pending, decided and unresolved. reviews: decision, case_id."""
+    n = lambda x: F.count_if(F.col("status") == x)
+    own = cases.agg(F.count("*").alias("total"), n("approved").alias("approved"), n("materials_ready").alias("pending"), n("materials_incomplete").alias("incomplete"))
+    found, waits = F.col("case_id").isNotNull(), F.col("decision") == "pending"
+    told = reviews.agg(F.count_if(found & waits).alias("reviews_pending"), F.count_if(~waits).alias("reviews_decided"), F.count_if(~found).alias("reviews_unresolved"))
+    return own.join(told, F.lit(True))
+
+
+def reclassified_counters(told: DataFrame) -> DataFrame:
+    """One row: evidence checked, moved, references removed (the file is gone), texts missing."""
+    n = lambda x: F.count_if(F.col("outcome") == x)
+    return told.agg(F.count("*").alias("checked"), n("moved").alias("moved"), n("reference_removed").alias("removed"), n("text_missing").alias("text_missing"))
+
+
+def audit_summary(cases: DataFrame, issues: DataFrame) -> DataFrame:
+    """name, n of an audit: cases by status, errors, warnings, and valid (1 without errors)."""
+    histogram = cases.groupBy(F.concat(F.lit("status:"), F.coalesce(F.nullif("status", F.lit("")), F.lit("unknown"))).alias("name")).agg(F.count("*").alias("n"))
+    told = issues.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    told = told.withColumn("valid", (F.col("errors") == 0).cast("long"))
+    return histogram.unionByName(told.select(F.explode(F.create_map(F.lit("errors"), "errors", F.lit("warnings"), "warnings", F.lit("valid"), "valid")).alias("name", "n")))
+
+
+# What a status and a role are called.
+STATUS_TEXT = {"approved": "已审批", "materials_ready": "待审批", "materials_incomplete": "材料不全", "needs_review": "待审核", "terminated": "已终止"}
+ROLE_TEXT = {"word": "申请单", "signed_application": "手签", "worker_list": "施工人员名单", "safety_agreement": "安全协议", "confined_space": "有限空间申请", "high_altitude": "高处作业申请", "special_work": "专项作业材料"}
+
+
+def hazard_roles(hazard: Column, fire: Column, exits: Column) -> Column:
+    """Roles that the chosen hazards and both tick boxes ask for."""
+    from ..functions.text import blank
+
+    h = blank(hazard)
+    has = lambda *words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(h, w))
+    special = (blank(fire) == "yes") | (blank(exits) == "yes") | has("动火", "危大工程", "配电室接电")
+    return F.array_compact(F.array(F.when(has("有限空间"), "confined_space"), F.when(has("高处", "高空"), "high_altitude"), F.when(special, "special_work")))
+
+
+def summary_rows(cases: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The view of all cases: case_id, sixteen cells and a tone.
+
+    cases: case_id, status, missing and the business fields; evidence: case_id, role, position, name, path. Cells: status with what is missing, project,
+    units, manager, area, both dates, content, foreman, the hazards against the roles on file, and links to the form, the
+    signed form, worker lists, hazard papers, agreements and approvals. A terminated case has that tone whatever its papers say.
+    """
+    from ..functions.classify import hazard_review
+    from ..functions.text import blank, joined_nonblank
+
+    text = lambda table, c: F.coalesce(F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[c], c)
+    groups = {"word": ["word"], "signed": ["signed_application"], "workers": ["worker_list"], "papers": ["confined_space", "high_altitude", "special_work"], "agreement": ["safety_agreement"], "approval": ["approval_pdf"]}
+    place = {role: i for i, role in enumerate(ROLES)}
+    entry = lambda roles: F.when(F.col("role").isin(*roles), F.struct(F.coalesce(F.create_map(*[F.lit(x) for p in place.items() for x in p])[F.col("role")], F.lit(0)).alias("o"), "position", "name", "path"))
+    listed = evidence.groupBy("case_id").agg(*[F.array_sort(F.collect_list(entry(roles))).alias(k) for k, roles in groups.items()], F.collect_set("role").alias("present"))
+    joined = cases.join(listed, "case_id", "left").withColumn("present", F.coalesce("present", F.array().cast("array<string>")))
+    special = F.array_intersect(F.array(*[F.lit(r) for r in groups["papers"]]), F.col("present"))
+    judged = joined.withColumn("review_", hazard_review(hazard_roles(F.col("hazard"), F.col("fire_equipment"), F.col("exits")), special))
+    lacks = F.array_join(F.transform("missing", lambda r: text(ROLE_TEXT, r)), "、")
+    names = lambda c: F.array_join(F.transform(c, lambda r: text(ROLE_TEXT, r)), "、")
+    verdict = F.concat_ws("：", F.col("review_.verdict"), F.nullif(F.concat_ws("；", F.nullif(names(F.col("review_.missing")), F.lit("")), F.nullif(names(F.col("review_.unexpected")), F.lit(""))), F.lit("")))
+    tone = F.when(F.col("status") == "terminated", "terminated").when(F.col("status") == "approved", "success").when(F.col("status") == "materials_ready", "info").when(F.col("status") == "materials_incomplete", "warning").otherwise("")
+    unit = lambda label, c: F.when(F.btrim(blank(F.col(c))) != "", F.concat(F.lit(label + "："), F.btrim(blank(F.col(c)))))
+    return judged.select(
+        "case_id", F.concat(text(STATUS_TEXT, F.col("status")), F.lit("；\n"), F.when(F.size("missing") > 0, F.concat(F.lit("缺少："), lacks)).otherwise("材料完整")).alias("status_text"),
+        blank(F.col("project")).alias("project"), joined_nonblank(unit("质保", "unit"), unit("分包", "subunit"), separator="；\n").alias("units"), joined_nonblank(F.col("manager"), F.col("manager_phone")).alias("manager"),
+        "area", "start_date", "end_date", "content", joined_nonblank(F.col("foreman"), F.col("foreman_phone")).alias("foreman"), verdict.alias("hazards"),
+        *[file_links(F.coalesce(k, F.array().cast(listed.schema[k].dataType))).alias(k) for k in groups], tone.alias("tone"),
+    )
+
+
+def flat_summary(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(23 columns for each record, notes) of the flat table: the business fields, whether form and folder can be opened, names, path, state.
+
+    records: the business fields, form_path, image_path, folder_path, names, old_name, new_name, state. notes: item, value.
+    """
+    from ..functions.forms import BUSINESS
+    from ..functions.text import blank
+
+    opens = lambda c, word: F.when(blank(F.col(c)) != "", word).otherwise("")
+    image = F.regexp_extract(blank(F.col("image_path")), r"([^/]*)$", 1)
+    rows = records.select(*BUSINESS, opens("form_path", "打开文件").alias("form"), image.alias("image"), opens("folder_path", "打开目录").alias("folder"), blank(F.col("names")).alias("names"), "old_name", "new_name", F.col("form_path").alias("path"), "state")
+    count = records.agg(F.count("*").alias("records"), F.count_if(F.col("state") == "renamed").alias("renamed"))
+    notes = count.select(F.explode(F.create_map(F.lit("records"), "records", F.lit("renamed"), "renamed")).alias("item", "value"))
+    return rows, notes

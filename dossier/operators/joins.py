@@ -292,3 +292,16 @@ def link_integrity(links: DataFrame, inventory: DataFrame) -> DataFrame:
     outside = links.where(leaves_root(F.col("path"))).select("row_id", "path", F.lit("outside").alias("problem"))
     inside = links.where(~leaves_root(F.col("path")))
     return outside.unionByName(inside.join(inventory.select("path").distinct(), "path", "left_anti").select("row_id", "path", F.lit("missing").alias("problem")))
+
+
+def view_integrity(views: DataFrame, cases: DataFrame, expected: list[str]) -> DataFrame:
+    """view, problem: expected views that lack rows, views nobody expects, and a whole view ("all") of another number of rows than cases.
+
+    views: view, row_id; cases: case_id.
+    """
+    counts = views.groupBy("view").agg(F.count("*").alias("rows"))
+    wanted = views.sparkSession.createDataFrame([(v,) for v in expected], "view string")
+    missing = wanted.join(counts, "view", "left_anti").select("view", F.lit("view_missing").alias("problem"))
+    unknown = counts.join(wanted, "view", "left_anti").select("view", F.lit("view_unexpected").alias("problem"))
+    number = counts.where("view = 'all'").join(cases.agg(F.count("*").alias("cases")), F.col("rows") != F.col("cases")).select("view", F.lit("row_count_differs").alias("problem"))
+    return missing.unionByName(unknown).unionByName(number)

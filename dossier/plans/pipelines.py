@@ -1,101 +1,456 @@
-"""Jobs made of the operators."""
+"""Jobs made of the operators.
+
+Tables that jobs share: cases (case_id, case_name, status, the business fields), evidence (case_id, role, name, sha256, derived),
+files (file_id, path, name, sha256), changes (action, source, target, role, case_id).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.classify import approval_kind
+from ..functions import ids
+from ..functions.classify import IMAGES, approval_kind, material_role, required_roles
+from ..functions.text import blank, normalize_match_text, stem, suffix
+from ..materialize import materialised
 from ..operators import evidence as E
 from ..operators import joins as J
 from ..operators import review as R
 
+# Words and names that files are known by.
+LIST_WORD, TEMPLATE, WORD_SUFFIX, PDF_SUFFIX = "工人名单", "安全协议.pdf", ".docx", ".pdf"
+INBOX, CASES, TRASH = "_inbox", "cases", "_trash"
+MIGRATABLE = (*IMAGES, WORD_SUFFIX, PDF_SUFFIX)
+KEY = ["start_date", "end_date", "area_key", "content_key"]
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """rows with the members of the duplicate key; an empty member is null and matches nothing."""
+    member = lambda c: F.nullif(normalize_match_text(F.col(c)), F.lit(""))
+    return rows.withColumns({"area_key": member("area"), "content_key": member("content")})
 
-def route_inputs(files: DataFrame, known: DataFrame, gate: DataFrame) -> DataFrame:
-    """file_id, batch, kind, action: files of accepted batches are approvals or material, and duplicates if their content is known.
 
-    files: file_id, batch, name, text, sha256; known: sha256; gate: batch, accepted.
+def _free_names(rows: DataFrame, name: str, taken: DataFrame) -> DataFrame:
+    """rows (file_id, name) with free: the file name if taken (name) lacks it, else stem_02 and so on with the same suffix."""
+    base = lambda c: F.concat(suffix(F.col(c)), F.lit("/"), stem(F.col(c)))
+    found = E.next_free_suffix(rows.select(F.col("file_id").alias("row_id"), base(name).alias("base")), taken.select(base("name").alias("name")))
+    parts = F.split("name", "/", 2)
+    return found.select(F.col("row_id").alias("file_id"), F.concat(parts[1], parts[0]).alias("free"))
+
+
+def route_inputs(files: DataFrame, inbox: DataFrame, replacing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(routes, gate) of input files by batch.
+
+    files: file_id, batch, name, text, sha256; inbox: name, sha256; replacing: file_id of forms that match an existing case.
+    A batch is refused whole unless it has as many worker lists as forms, or no list and only replacing forms. A PDF is an
+    approval by its name or else by its text; other files are material. A file that the inbox holds under its name
+    with the same content is a duplicate, another gets a free name there. routes: file_id, batch, sha256, kind, reason, method, action, target.
     """
-    accepted = files.join(gate.where("accepted").select("batch"), "batch", "left_semi")
-    kind = F.when(approval_kind(F.col("name"), F.col("text")).is_approval, "approval").otherwise("material")
-    seen = known.select("sha256").distinct().withColumn("seen", F.lit(True))
-    first = accepted.groupBy("sha256").agg(F.min("file_id").alias("first_id"))
-    routed = accepted.withColumn("kind", kind).join(seen, "sha256", "left").join(first, "sha256")
-    action = F.when(F.col("seen") | (F.col("file_id") != F.col("first_id")), "duplicate").otherwise("routed")
-    return routed.select("file_id", "batch", "kind", action.alias("action"))
-
-
-def upsert_cases(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """case_id, contact, action: existing cases with the contact of their match, and new cases; kept, replaced or inserted."""
-    pairs = J.duplicate_key_join(incoming, existing)
-    latest = pairs.join(incoming.select(F.col("case_id").alias("incoming_id"), F.col("contact").alias("new_contact")), "incoming_id")
-    latest = latest.groupBy("case_id").agg(F.max_by("new_contact", "incoming_id").alias("new_contact"))
-    kept = existing.join(latest, "case_id", "left")
-    kept = kept.select("case_id", F.coalesce("new_contact", "contact").alias("contact"), F.when(F.col("new_contact").isNull(), "kept").otherwise("replaced").alias("action"))
-    fresh = incoming.join(pairs.select(F.col("incoming_id").alias("case_id")), "case_id", "left_anti")
-    return kept.unionByName(fresh.select("case_id", "contact", F.lit("inserted").alias("action")))
-
-
-def deduplicate_cases(cases: DataFrame, evidence: DataFrame, key: list[str], score: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cases with keep_id, evidence under the kept cases): the most complete case of a key takes the others' evidence."""
+    image, form = suffix(F.col("name")).isin(*IMAGES), suffix(F.col("name")) == WORD_SUFFIX
+    part = F.when(form, "form").when(image & F.contains(stem(F.col("name")), F.lit(LIST_WORD)), "list").otherwise("other")
+    told = files.withColumn("part_", part)
+    again = replacing.select("file_id").distinct().withColumn("replaces", F.lit(True)) if replacing is not None else files.select("file_id", F.lit(False).alias("replaces")).limit(0)
+    gate = E.batch_count_gate(told.join(again, "file_id", "left").select("batch", F.col("part_").alias("kind"), F.coalesce("replaces", F.lit(False)).alias("replaces")))
+    gate = materialised(gate)
+    accepted = told.join(gate.where("accepted").select("batch"), "batch", "left_semi")
+    by_name, by_text = approval_kind(F.col("name"), F.lit("")), approval_kind(F.col("name"), F.col("text"))
+    pdf = suffix(F.col("name")) == PDF_SUFFIX
+    rule = F.when(~pdf, F.struct(F.lit(False).alias("is_approval"), F.lit("material").alias("rule"))).when(by_name.is_approval, by_name).otherwise(by_text)
+    method = F.when(~pdf, "").when(by_name.is_approval, "filename").otherwise("text")
+    judged = accepted.withColumn("rule_", rule).withColumn("method", method).drop("text")
+    held = inbox.select("name", "sha256").distinct().withColumn("held_", F.lit(True))
+    first = judged.groupBy("name", "sha256").agg(F.min("file_id").alias("first_"))
+    judged = judged.join(held, ["name", "sha256"], "left").join(first, ["name", "sha256"])
+    judged = materialised(judged.withColumn("action", F.when(F.col("held_") | (F.col("file_id") != F.col("first_")), "quarantine_duplicate").otherwise("routed")))
+    free = _free_names(judged.where("action = 'routed'"), "name", inbox)
+    kind = F.when(F.col("rule_.is_approval"), "approval").otherwise("material")
+    target = F.concat(F.lit(INBOX + "/"), F.coalesce("free", "name"))
+    routes = judged.join(free, "file_id", "left").select("file_id", "batch", "sha256", kind.alias("kind"), F.col("rule_.rule").alias("reason"), "method", "action", target.alias("target"))
+    return routes, gate
+
+
+def route_counters(routes: DataFrame) -> DataFrame:
+    """One row: files routed, approvals, material, duplicates."""
+    return routes.agg(
+        F.count_if(F.col("action") == "routed").alias("files_routed"), F.count_if(F.col("kind") == "approval").alias("approvals"),
+        F.count_if(F.col("kind") == "material").alias("material"), F.count_if(F.col("action") == "quarantine_duplicate").alias("duplicates"),
+    )
+
+
+def _agreement_name(name: Column) -> Column:
+    """The derived agreement of a case: date and content of its name, then the template's name."""
+    return F.concat(F.regexp_replace(name, ids.FORM_SUFFIX + r"(_\d{2,})?$", ""), F.lit("_" + TEMPLATE))
+
+
+def _refreshed(cases: DataFrame, evidence: DataFrame, approved: DataFrame | None = None) -> DataFrame:
+    """cases with required, missing and status from their evidence; approved: case_id of cases with an approval."""
+    has = evidence.where("role = 'approval_pdf'").select("case_id")
+    has = (has.unionByName(approved.select("case_id")) if approved is not None else has).distinct().withColumn("approvals", F.lit(1))
+    asked = cases.drop("required", "missing").withColumn("required", required_roles(F.col("hazard"))).join(has, "case_id", "left").fillna({"approvals": 0})
+    told = E.missing_roles_and_status(asked, evidence).withColumnRenamed("status", "new_status_")
+    return asked.join(told, "case_id").withColumn("status", F.col("new_status_")).drop("new_status_", "approvals")
+
+
+def upsert_cases(cases: DataFrame, evidence: DataFrame, forms: DataFrame, agreement: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cases, evidence, changes) after an intake of forms.
+
+    forms: form_id, sha256 and the business fields (area, content, start_date, end_date, hazard and others); agreement: the template's
+    hash. A form that matches a case by dates, area and content replaces its fields and its word evidence; of several the
+    last one counts. Any other form becomes a case with a free canonical name and an id made of it; equal forms become one. A touched case without
+    an agreement gets the derived one. A form without a start or content is refused: change refused_form. Missing key members match nothing.
+    """
+    fields = [c for c in forms.columns if c not in ("form_id", "sha256")]
+    named = F.col("start_date").isNotNull() & (F.btrim(blank(F.col("content"))) != "")
+    sound, refused = forms.where(named), forms.where(~F.coalesce(named, F.lit(False)))
+    whole = reduce(lambda a, c: a & F.col(c).isNotNull(), KEY[1:], F.col(KEY[0]).isNotNull())
+    facts = F.struct("sha256", *fields)
+    groups = _keyed(sound).withColumn("alone", F.when(~whole, F.col("form_id"))).groupBy(*KEY, "alone")
+    groups = groups.agg(F.min("form_id").alias("form_id"), F.min_by(facts, "form_id").alias("first"), F.max_by(facts, "form_id").alias("last"))
+    owners = _keyed(cases).dropna(subset=KEY).groupBy(*KEY).agg(F.min("case_id").alias("case_id"))
+    groups = materialised(groups.join(owners, KEY, "left").select("form_id", "case_id", "first", "last"))
+    fresh = groups.where("case_id is null").drop("case_id")
+    wanted = fresh.select(F.col("form_id").alias("row_id"), ids.case_name(F.col("first.start_date"), F.col("first.content")).alias("base"))
+    names = E.next_free_suffix(wanted, cases.select(F.col("case_name").alias("name"))).select(F.col("row_id").alias("form_id"), F.col("name").alias("case_name"))
+    added = fresh.join(names, "form_id").withColumn("case_id", ids.uuid5(F.col("case_name")))
+    replaced = groups.where("case_id is not null").join(cases.select("case_id", "case_name"), "case_id")
+    touched = added.select("case_id", "case_name", "last", F.lit("inserted").alias("action")).unionByName(replaced.select("case_id", "case_name", "last", F.lit("replaced").alias("action")))
+    touched = materialised(touched)
+
+    new = touched.where("action = 'replaced'").select("case_id", F.col("last").alias("new_"))
+    kept = cases.join(new, "case_id", "left").select("case_id", "case_name", "status", *[F.when(F.col("new_").isNotNull(), F.col(f"new_.{c}")).otherwise(F.col(c)).alias(c) for c in fields])
+    fresh_cases = touched.where("action = 'inserted'").select("case_id", "case_name", F.lit("materials_incomplete").alias("status"), *[F.col(f"last.{c}").alias(c) for c in fields])
+    words = touched.select("case_id", F.lit("word").alias("role"), F.concat("case_name", F.lit(WORD_SUFFIX)).alias("name"), F.col("last.sha256").alias("sha256"), F.lit(False).alias("derived"))
+    old = evidence.join(touched.select("case_id", F.lit("word").alias("role")), ["case_id", "role"], "left_anti").select(*words.columns)
+    lacking = touched.join(evidence.where("role = 'safety_agreement'").select("case_id"), "case_id", "left_anti")
+    copies = materialised(lacking.select("case_id", F.lit("safety_agreement").alias("role"), _agreement_name(F.col("case_name")).alias("name"), F.lit(agreement).alias("sha256"), F.lit(True).alias("derived")))
+    files = materialised(old.unionByName(words).unionByName(copies))
+    now = _refreshed(kept.unionByName(fresh_cases), files)
+
+    change = lambda rows, action, target, role: rows.select(action.alias("action"), target.alias("target"), F.lit(role).alias("role"), "case_id")
+    moves = change(touched, F.when(F.col("action") == "inserted", "move").otherwise("replace_word"), F.concat("case_name", F.lit(WORD_SUFFIX)), "word")
+    gone = change(refused.withColumn("case_id", F.lit("")), F.lit("refused_form"), F.col("form_id").cast("string"), "word")
+    return now, files, moves.unionByName(change(copies, F.lit("copy"), F.col("name"), "safety_agreement")).unionByName(gone)
+
+
+def assign_images(images: DataFrame, batch_cases: DataFrame, created: DataFrame, cases: DataFrame) -> DataFrame:
+    """doc_id, case_id, stage of recognised images that are tied to one case; others are left out.
+
+    images: doc_id, batch, text; batch_cases: batch, case_id of the forms that came in a batch; created: case_id, content of new cases; cases as
+    fuzzy_margin_join takes them. An image goes to the only form of its batch (batch), else to the only new case whose content
+    its text holds (content), else by area, dates and similar content (fuzzy).
+    """
+    single = batch_cases.groupBy("batch").agg(F.count_distinct("case_id").alias("n"), F.min("case_id").alias("case_id")).where("n = 1")
+    by_batch = materialised(images.join(single, "batch").select("doc_id", "case_id", F.lit("batch").alias("stage")))
+    rest = materialised(images.join(by_batch, "doc_id", "left_anti").withColumn("text_key", normalize_match_text(F.col("text"))))
+    wanted = created.withColumn("key", normalize_match_text(F.col("content"))).where("key <> ''")
+    hits = J.containment_pairs(rest, "doc_id", "text_key", wanted, "key").join(wanted.select("key", "case_id"), "key")
+    only = hits.groupBy("doc_id").agg(F.count_distinct("case_id").alias("n"), F.min("case_id").alias("case_id")).where("n = 1")
+    by_content = materialised(only.select("doc_id", "case_id", F.lit("content").alias("stage")))
+    left = rest.join(by_content, "doc_id", "left_anti").select("doc_id", "text")
+    fuzzy = J.fuzzy_margin_join(left, cases).where("case_id is not null").select("doc_id", "case_id", F.lit("fuzzy").alias("stage"))
+    return by_batch.unionByName(by_content).unionByName(fuzzy)
+
+
+def deduplicate_cases(cases: DataFrame, evidence: DataFrame, key: list[str], score: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cases with keep_id, evidence under the kept cases, changes): the most complete case of a key takes the others' evidence."""
     several = E.duplicate_groups(cases, key)
     rated = E.retain_best_duplicate(cases.join(score, "case_id"), key, "score", "case_id")
     best = rated.where("retained").select(*key, F.col("case_id").alias("keep_id"))
     placed = cases.join(several.join(best, key), key, "left").withColumn("keep_id", F.coalesce("keep_id", "case_id"))
-    return placed.select("case_id", "keep_id"), E.merge_unique_evidence(evidence, placed.select("case_id", "keep_id"))
+    placed = materialised(placed.select("case_id", "keep_id"))
+    merged = materialised(E.merge_unique_evidence(evidence, placed))
+    gone = placed.where("case_id <> keep_id").select(F.lit("remove_duplicate_case").alias("action"), F.col("case_id").cast("string").alias("source"), F.col("keep_id").cast("string").alias("target"))
+    moved = merged.where("moved").select(F.lit("merge_evidence").alias("action"), F.col("file_id").cast("string").alias("source"), F.col("case_id").cast("string").alias("target"))
+    return placed, merged, gone.unionByName(moved)
+
+
+def ingest_approvals(files: DataFrame, cases: DataFrame, material: DataFrame, unmatched: DataFrame, recognized: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
+    """(linked, retained) of approval files.
+
+    files: file_id, path, name, sha256; material: sha256 of files routed as material, which are skipped; unmatched: file_id, path,
+    name, sha256 of files waiting since earlier runs, which are tried again (a path that waits already isn't taken in twice); recognized:
+    sha256, version, text. linked: file_id, case_id, application_no, target, action (move, or quarantine_duplicate if the target has
+    the same content already); retained: file_id, reason, candidates (ids).
+    """
+    fresh = J.known_file_antijoin(files, material, unmatched)
+    waiting = materialised(fresh.unionByName(unmatched.select(*fresh.columns)))
+    known, unread = J.recognized_text_lookup(waiting, recognized, version)
+    known = materialised(known)
+    docs = known.select(F.col("file_id").alias("doc_id"), "text")
+    pairs = materialised(J.strict_containment_join(docs, cases))
+    found = J.unique_match_resolution(docs, pairs).withColumnRenamed("doc_id", "file_id")
+    one = found.where("reason = 'linked'").join(known.select("file_id", "name", "sha256", "text"), "file_id").join(cases.select("case_id", "case_name"), "case_id")
+    number = ids.application_no(F.col("name"), F.col("text"))
+    one = one.withColumn("application_no", number)
+    file = F.when(F.col("application_no") != "", F.concat(F.lit(ids.APPROVAL_TITLE + "_编号："), "application_no", F.lit(PDF_SUFFIX))).otherwise(F.col("name"))
+    one = materialised(one.withColumn("target", F.concat(F.lit(CASES + "/"), "case_name", F.lit("/"), file)).drop("text"))
+    first = one.groupBy("target").agg(F.min_by("sha256", "file_id").alias("held_"), F.min("file_id").alias("first_"))
+    one = one.join(first, "target")
+    action = F.when(F.col("file_id") == F.col("first_"), "move").when(F.col("sha256") == F.col("held_"), "quarantine_duplicate").otherwise("target_taken")
+    one = materialised(one.withColumn("action", action))
+    linked = one.where("action <> 'target_taken'").select("file_id", "case_id", "application_no", "target", "action")
+    listed = pairs.groupBy(F.col("doc_id").alias("file_id")).agg(F.array_sort(F.collect_set("case_id")).alias("candidates"))
+    none = F.array().cast(listed.schema["candidates"].dataType)
+    retained = found.where("reason <> 'linked'").select("file_id", "reason").unionByName(one.where("action = 'target_taken'").select("file_id", F.col("action").alias("reason")))
+    retained = retained.unionByName(unread.select("file_id", F.lit("text_missing").alias("reason")))
+    return linked, retained.join(listed, "file_id", "left").withColumn("candidates", F.coalesce("candidates", none))
+
 
+def build_review(files: DataFrame, cases: DataFrame, history: DataFrame, previous: DataFrame) -> DataFrame:
+    """One row for each content among the waiting files: its best open case, or why there is none.
 
-def ingest_approvals(documents: DataFrame, cases: DataFrame, known: DataFrame) -> DataFrame:
-    """doc_id, case_id, candidates, reason of documents that are not known yet; linked if exactly one case matches strictly."""
-    fresh = documents.join(known.select("doc_id"), "doc_id", "left_anti")
-    return J.unique_match_resolution(fresh, J.strict_containment_join(fresh, cases))
+    files: path, name, sha256, text; cases: case_id, case_name, area, content, start_date, end_date (open ones); history: review_id, decision;
+    previous: review_id, sha256, decision, note. Of files with equal content the first path counts. Pairs that were excluded aren't proposed again.
+    The earlier decision and note are carried over, by review id for a proposal and by content for an unresolved document.
+    """
+    one = materialised(E.first_per_key(files, F.col("sha256"), "path"))
+    docs = one.select(F.col("sha256").alias("doc_id"), "text")
+    excluded = history.where("decision = 'exclude'").select(F.col("review_id").alias("gone_")).distinct()
+    pairs, flags = R.relaxed_candidates(docs, cases)
+    pairs = pairs.withColumn("review_id", R.review_id(F.col("doc_id"), F.col("case_id"))).join(excluded, F.col("review_id") == F.col("gone_"), "left_anti")
+    best = R.top_candidate(pairs.drop("review_id").join(cases.select("case_id", "case_name"), "case_id"), "case_name")
+    reason = F.when(F.col("case_id").isNull(), R.unresolved_reason(flags, F.lit(not cases.isEmpty())))
+    found = flags.join(best, "doc_id", "left").select("doc_id", "case_id", "case_name", "start_delta", "end_delta", "candidate_confidence", "runner_up", "gap", "candidates", "confidence", "level", reason.alias("reason"))
+    found = found.withColumn("review_id", F.when(F.col("case_id").isNull(), R.unresolved_id(F.col("doc_id"))).otherwise(R.review_id(F.col("doc_id"), F.col("case_id"))))
+    by_id = previous.groupBy("review_id").agg(F.max_by(F.struct("decision", "note"), "decision").alias("by_id_"))
+    by_hash = previous.groupBy(F.col("sha256").alias("doc_id")).agg(F.max_by(F.struct("decision", "note"), "decision").alias("by_hash_"))
+    carried = found.join(by_id, "review_id", "left").join(by_hash, "doc_id", "left").withColumn("earlier_", F.when(F.col("case_id").isNull(), F.col("by_hash_")).otherwise(F.col("by_id_")))
+    fields = R.with_approval_fields(docs).drop("text")
+    told = carried.join(fields, "doc_id").join(one.select(F.col("sha256").alias("doc_id"), "path", F.col("name").alias("file_name"), ids.application_no(F.col("name"), F.col("text")).alias("application_no")), "doc_id")
+    return told.select(
+        "review_id", F.coalesce("earlier_.decision", F.lit("pending")).alias("decision"), F.coalesce("earlier_.note", F.lit("")).alias("note"), F.col("doc_id").alias("sha256"), "path", "file_name", "application_no",
+        "area", "doc_start", "doc_end", "content", "case_id", "case_name", "candidate_confidence", "runner_up", "gap", "candidates", "confidence", "level", R.matching_evidence().alias("evidence"), "reason",
+    )
 
 
-def apply_decisions(reviews: DataFrame, submitted: DataFrame, revision: int) -> tuple[DataFrame, DataFrame]:
-    """(errors, changes): what is wrong with the decisions, and what they change; changes are empty if anything is wrong.
+def apply_decisions(reviews: DataFrame, submitted: DataFrame, revision: int, history: DataFrame, unmatched: DataFrame, cases: DataFrame) -> dict[str, DataFrame]:
+    """errors, links, history, unmatched, pending and revision after decisions; if anything is wrong, errors say what and nothing changes.
 
-    Confirmed documents that claim several cases, or cases that get several documents, are errors of the whole.
+    reviews: review_id, sha256, case_id (null if unresolved); submitted: revision, review_id, decision, note, sha256, case_id; history: review_id,
+    decision, note, sha256, case_id; unmatched: path, sha256; cases: case_id, status. Errors are broken rules of single decisions, documents confirmed
+    for several cases or cases given several documents, documents that don't wait any more and cases that are gone or terminated.
+    The revision grows by one only if a file moves.
     """
-    checked = R.decision_validation(submitted, reviews, revision)
-    confirmed = checked.where("error is null and decision = 'confirm'").join(reviews, "review_id")
+    checked = materialised(R.decision_validation(submitted, reviews, revision))
+    right = checked.where("error is null").join(reviews, "review_id")
+    confirmed = right.where("decision = 'confirm'")
     conflicts = R.decision_conflicts(confirmed.select(F.col("sha256").alias("doc_id"), "case_id"))
-    errors = checked.where("error is not null").select("review_id", "error").unionByName(conflicts.select(F.col("id").alias("review_id"), F.concat(F.lit("conflict_"), "kind").alias("error")))
-    wrong = errors.limit(1).select(F.lit(True).alias("wrong"))
-    action = F.when(F.col("decision") == "confirm", "linked").when(F.col("decision") == "exclude", "excluded").when(F.col("decision") == "trash", "trashed")
-    changes = checked.join(reviews.select("review_id", "sha256", "case_id"), "review_id").select("review_id", "sha256", "case_id", action.alias("action")).where("action is not null")
-    return errors, changes.join(wrong, F.lit(True), "left_anti")
+    acting = right.where("decision in ('confirm', 'trash')")
+    waiting = unmatched.select("sha256").distinct()
+    absent = acting.join(waiting, "sha256", "left_anti").select("review_id", F.lit("not_waiting").alias("error"))
+    live = cases.where("status <> 'terminated'").select("case_id")
+    closed = confirmed.join(live, "case_id", "left_anti").select("review_id", F.lit("case_gone").alias("error"))
+    errors = checked.where("error is not null").select("review_id", "error").unionByName(conflicts.select(F.col("id").cast("string").alias("review_id"), F.concat(F.lit("conflict_"), "kind").alias("error")))
+    errors = materialised(errors.unionByName(absent).unionByName(closed))
+    if not errors.isEmpty():
+        nothing = right.where("false")
+        return {
+            "errors": errors, "links": nothing.select("review_id", "sha256", "case_id"), "history": history, "unmatched": unmatched, "pending": reviews,
+            "revision": reviews.sparkSession.range(1).select(F.lit(revision).cast("long").alias("revision")),
+        }
+    told = right.where("decision <> 'pending'").select("review_id", "decision", "note", "sha256", "case_id")
+    moved = acting.select("sha256").distinct()
+    settled = right.where("decision in ('exclude', 'trash')").select("review_id").distinct()
+    count = moved.agg(F.count("*").alias("n"))
+    return {
+        "errors": errors,
+        "links": confirmed.select("review_id", "sha256", "case_id"),
+        "history": E.append_once(history, told, ["review_id", "decision"]),
+        "unmatched": E.retain_unmatched(unmatched, moved.withColumn("path", F.lit(None).cast("string"))),
+        "pending": reviews.join(moved, "sha256", "left_anti").join(settled, "review_id", "left_anti"),
+        "revision": count.select((F.lit(revision) + (F.col("n") > 0).cast("int")).cast("long").alias("revision")),
+    }
 
 
-def plan_reconcile(operations: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
-    """op_id, state of planned moves against both inventories: already_exists, conflict, source_missing, source_changed or to_do."""
+def plan_reconcile(operations: DataFrame, source: DataFrame, target: DataFrame, after: DataFrame | None = None) -> DataFrame:
+    """op_id, state of planned moves against both inventories: already_exists, conflict, source_missing, source_changed or to_do.
+
+    With after, the target's inventory once the moves were made, what was to do is completed, or failed if the content isn't there.
+    """
     s = source.select(F.col("path").alias("source"), F.col("sha256").alias("s_sha"))
     t = target.select(F.col("path").alias("target"), F.col("sha256").alias("t_sha"))
     joined = operations.join(s, "source", "left").join(t, "target", "left")
+    done = F.lit("to_do")
+    if after is not None:
+        joined = joined.join(after.select(F.col("path").alias("target"), F.col("sha256").alias("a_sha")), "target", "left")
+        done = F.when(F.col("a_sha") == F.col("sha256"), "completed").otherwise("failed")
     state = (
         F.when(F.col("t_sha") == F.col("sha256"), "already_exists").when(F.col("t_sha").isNotNull(), "conflict")
-        .when(F.col("s_sha").isNull(), "source_missing").when(F.col("s_sha") != F.col("sha256"), "source_changed").otherwise("to_do")
+        .when(F.col("s_sha").isNull(), "source_missing").when(F.col("s_sha") != F.col("sha256"), "source_changed").otherwise(done)
     )
     return joined.select("op_id", state.alias("state"))
 
 
-def migration_plan(files: DataFrame, cases: DataFrame) -> DataFrame:
-    """file_id, action, target: files that a case name claims are archived under it, the rest goes to the inbox."""
-    claims = J.stem_prefix_join(files, cases)
-    placed = claims.join(cases, "case_id").select("file_id", F.lit("archive").alias("action"), F.concat("case_name", F.lit("/"), "case_name", F.lit("_"), "rest").alias("target"))
-    rest = files.join(claims, "file_id", "left_anti")
-    return placed.unionByName(rest.select("file_id", F.lit("inbox").alias("action"), F.concat(F.lit("_inbox/"), "stem").alias("target")))
+def migration_plan(files: DataFrame, forms: DataFrame, prior: DataFrame, template: str) -> dict[str, DataFrame]:
+    """operations, cases, unmatched and warnings of moving a flat folder into cases; nothing is moved.
+
+    files: name, sha256; forms: name (of a file with a canonical name) and the business fields; prior: case_name, file of approvals that an earlier match table
+    gives to a case; template: the name of the agreement's file. Each form is a case. Files whose stem begins with a case's name
+    are its evidence, numbered by role; each case gets a copy of the template, and the approvals that exist; what nobody claims
+    goes to the inbox. operations are ordered by step and place: action, source, target, sha256, case_id, role.
+    """
+    hashes = files.select("name", "sha256")
+    named = forms.withColumn("case_name", stem(F.col("name"))).withColumn("case_id", ids.uuid5(F.col("case_name")))
+    named = materialised(named.join(hashes, "name"))
+    keys = named.select("case_id", "case_name")
+    place = lambda file: F.concat(F.lit(CASES + "/"), "case_name", F.lit("/"), file)
+    op = lambda step, action, source, target, role: [F.lit(step).alias("step"), F.lit(action).alias("action"), source.alias("source"), target.alias("target"), F.col("sha256"), F.col("case_id"), role.alias("role")]
+    words = named.select(*op(1, "move", F.col("name"), place(F.col("name")), F.lit("word")))
+    others = files.join(named.select("name"), "name", "left_anti").where((F.col("name") != template) & suffix(F.col("name")).isin(*MIGRATABLE) & ~F.col("name").startswith("~$"))
+    others = materialised(others.withColumn("stem", stem(F.col("name"))))
+    hits = J.stem_prefix_join(others.select(F.col("name").alias("file_id"), "stem"), keys)
+    owned = hits.join(keys, "case_id").join(hashes.withColumnRenamed("name", "file_id"), "file_id")
+    owned = materialised(owned.withColumn("role", material_role(F.col("file_id"), F.col("case_name"))).where("role is not null").withColumn("name", F.col("file_id")))
+    numbered = owned.join(E.role_sequence(owned.select("case_id", "role", "name"), owned.select("case_id", "role").limit(0)), ["case_id", "role", "name"])
+    material = numbered.select(*op(2, "move", F.col("name"), place(ids.material_name(F.col("case_name"), F.col("role"), F.col("index"), F.col("name"))), F.col("role")))
+    base = hashes.where(F.col("name") == template).select("name", "sha256")
+    moved = base.withColumn("case_id", F.lit("")).select(*op(0, "move", F.col("name"), F.concat(F.lit("templates/"), "name"), F.lit("template")))
+    copies = keys.join(F.broadcast(base.limit(1)), F.lit(True), "left").select(*op(3, "copy", F.concat(F.lit("templates/"), F.lit(template)), place(_agreement_name(F.col("case_name"))), F.lit("safety_agreement")))
+    told = prior.join(keys, "case_name").join(hashes.withColumnRenamed("name", "file"), "file", "left")
+    warnings = told.where("sha256 is null").select("case_id", F.concat(F.lit("approval_missing:"), "file").alias("warning"))
+    # a file is claimed once: by the evidence of a case first, then by the first case that an earlier match names
+    order = Window.partitionBy("file").orderBy("case_name")
+    claimed = told.where("sha256 is not null").join(owned.select(F.col("name").alias("file")), "file", "left_anti").withColumn("n_", F.row_number().over(order)).where("n_ = 1").drop("n_")
+    claimed = materialised(claimed)
+    approvals = claimed.select(*op(4, "move", F.col("file"), place(F.col("file")), F.lit("approval_pdf")))
+    left = others.join(owned.select("name"), "name", "left_anti").join(claimed.select(F.col("file").alias("name")), "name", "left_anti")
+    role = F.when(suffix(F.col("name")) == PDF_SUFFIX, "approval_pdf").otherwise("unclassified")
+    inbox = left.withColumn("case_id", F.lit("")).select(*op(5, "move", F.col("name"), F.concat(F.lit(INBOX + "/"), "name"), role))
+    operations = materialised(reduce(DataFrame.unionByName, [moved, words, material, copies, approvals, inbox]))
+    evidence = operations.where("case_id <> ''").select("case_id", "role")
+    fields = [c for c in forms.columns if c != "name"]
+    cases = _refreshed(named.select("case_id", "case_name", F.lit("").alias("status"), *fields), evidence)
+    number = claimed.groupBy("case_id").agg(F.regexp_extract(F.min("file"), ids.APPROVAL_NAME, 1).alias("application_no"))
+    cases = cases.join(number, "case_id", "left").withColumn("application_no", F.coalesce("application_no", F.lit("")))
+    return {"operations": operations, "cases": cases, "unmatched": inbox.select("source", "target", "sha256", "role"), "warnings": warnings}
 
 
-def rename_plan(documents: DataFrame, title: str) -> DataFrame:
-    """doc_id, target, action: canonical names from numbers; several documents of one number collide, the first is renamed.
+def plan_counters(plan: dict[str, DataFrame]) -> DataFrame:
+    """name, n: what a plan would do, by action and role, and its cases and warnings."""
+    by = plan["operations"].groupBy(F.concat_ws("_", "action", "role").alias("name")).agg(F.count("*").alias("n"))
+    total = lambda name: plan[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    return by.unionByName(total("cases")).unionByName(total("warnings"))
 
-    documents: doc_id, name, number, canonical.
+
+def rename_plan(documents: DataFrame, recognized: DataFrame, version: str, title: str = ids.APPROVAL_TITLE) -> DataFrame:
+    """doc_id, target, action of documents (doc_id, name, sha256): canonical names from the numbers in their texts.
+
+    already_canonical, text_missing, no_number, duplicate_target (the number is taken by a canonical document or an earlier one), rename.
     """
-    target = F.when(F.col("number") != "", F.concat(F.lit(title + "_编号："), "number", F.lit(".pdf")))
-    first = documents.where("number <> ''").groupBy("number").agg(F.max_by("doc_id", F.struct(F.col("canonical"), -F.col("doc_id"))).alias("first_id"), F.max("canonical").alias("taken"))
-    joined = documents.join(first, "number", "left")
+    canonical = ids.is_canonical_name(F.col("name"))
+    known, unread = J.recognized_text_lookup(documents, recognized, version)
+    numbered = known.withColumn("number", F.when(canonical, ids.application_no(F.col("name"), F.lit(""))).otherwise(ids.number_from_text(F.col("text"))))
+    numbered = numbered.unionByName(unread.withColumns({"text": F.lit(None).cast("string"), "number": F.when(canonical, ids.application_no(F.col("name"), F.lit(""))).otherwise("")}))
+    numbered = materialised(numbered.select("doc_id", "number", canonical.alias("canonical"), F.col("text").isNull().alias("unread")))
+    first = numbered.where("number <> ''").groupBy("number").agg(F.max_by("doc_id", F.struct(F.col("canonical"), -F.col("doc_id"))).alias("first_id"), F.max("canonical").alias("taken"))
+    target = F.when(F.col("number") != "", F.concat(F.lit(title + "_编号："), "number", F.lit(PDF_SUFFIX)))
     action = (
-        F.when(F.col("canonical"), "already_canonical").when(target.isNull(), "no_number")
+        F.when(F.col("canonical"), "already_canonical").when(F.col("unread"), "text_missing").when(F.col("number") == "", "no_number")
         .when(F.col("taken") | (F.col("doc_id") != F.col("first_id")), "duplicate_target").otherwise("rename")
     )
-    return joined.select("doc_id", target.alias("target"), action.alias("action"))
+    return numbered.join(first, "number", "left").select("doc_id", target.alias("target"), action.alias("action"))
+
+
+def rename_images(images: DataFrame, cases: DataFrame, run: Column) -> DataFrame:
+    """doc_id, case_id, target, action of recognised images (doc_id, name, text): named after the recent case whose content they hold.
+
+    Of several contents the longest counts. Worker lists get the list's suffix, with or without a case. unmatched, unchanged, target_taken, rename.
+    """
+    from ..functions.classify import text_role
+
+    recent = E.recent_window_filter(cases, run).withColumn("key", normalize_match_text(F.col("content")))
+    texts = materialised(images.withColumns({"text_key": normalize_match_text(F.col("text")), "is_list": F.coalesce(text_role(F.col("text")) == "worker_list", F.lit(False))}))
+    best = J.longest_key_match(J.containment_pairs(texts, "doc_id", "text_key", recent, "key"), "doc_id")
+    owners = recent.groupBy("key").agg(F.min_by(F.struct("case_id", "case_name"), "case_id").alias("case"))
+    told = texts.join(best.join(owners, "key"), "doc_id", "left")
+    file, kind = F.col("name"), suffix(F.col("name"))
+    tail = F.when(F.col("is_list"), "_" + LIST_WORD).otherwise("")
+    own = F.regexp_extract(file, r"(\.[^.]*)$", 1)
+    named = F.when(F.col("case").isNotNull(), F.concat("case.case_name", tail, F.when(F.col("is_list"), own).otherwise(kind)))
+    listed = F.when(F.col("is_list") & ~stem(file).endswith("_" + LIST_WORD), F.concat(stem(file), F.lit("_" + LIST_WORD), own)).when(F.col("is_list"), file)
+    told = told.withColumn("target", F.coalesce(named, listed))
+    taken = images.select(F.col("name").alias("target")).distinct().withColumn("held_", F.lit(True))
+    first = told.groupBy("target").agg(F.min("doc_id").alias("first_"))
+    joined = told.join(taken, "target", "left").join(first, "target", "left")
+    action = F.when(F.col("target").isNull(), "unmatched").when(F.col("target") == file, "unchanged").when(F.col("held_") | (F.col("doc_id") != F.col("first_")), "target_taken").otherwise("rename")
+    return joined.select("doc_id", F.col("case.case_id").alias("case_id"), "target", action.alias("action"))
+
+
+def batch_summary(forms: DataFrame, documents: DataFrame, prior: DataFrame, overrides: DataFrame) -> DataFrame:
+    """forms (form_id, name, the business fields) with new_name, state, names (of matching documents) and how they were found.
+
+    documents: doc_id, name, text; prior: key, names, row_no of an earlier table, key as match_key makes it; overrides: ord, name, name_key, target.
+    A form keeps a canonical name, another is renamed. Earlier matches are used before texts are searched; overrides come last.
+    """
+    from ..functions.text import manual_match_key
+
+    made = ids.case_name(F.col("start_date"), F.col("content"))
+    canonical = ids.parsed_case_name(stem(F.col("name"))).date.isNotNull()
+    rows = forms.withColumns({"new_name": F.when(canonical, F.col("name")).otherwise(F.concat(made, F.lit(WORD_SUFFIX))), "state": F.when(canonical, "canonical").otherwise("renamed"), "key": match_key()})
+    known, open_ = J.prior_match_lookup(rows, prior, ["key"])
+    open_ = materialised(open_)
+    pairs = J.strict_containment_join(documents.select("doc_id", "text"), open_.withColumnRenamed("form_id", "case_id"))
+    listed = J.matched_name_list(pairs.join(documents.select("doc_id", "name"), "doc_id"), "case_id", "doc_id", "name").withColumnRenamed("case_id", "form_id")
+    found = known.withColumn("how", F.lit("prior")).unionByName(open_.join(listed, "form_id", "left").withColumn("how", F.when(F.col("names").isNull(), "none").otherwise("text")).select(*known.columns, "how"))
+    wanted = found.select(F.col("form_id").alias("row_id"), F.col("new_name").alias("name"), manual_match_key(F.col("new_name")).alias("name_key"), F.lit(None).cast("string").alias("target"))
+    forced = J.manual_override_join(wanted, overrides).select(F.col("row_id").alias("form_id"), "target")
+    told = found.join(forced, "form_id")
+    return told.withColumns({"how": F.when(F.col("target").isNotNull(), "override").otherwise(F.col("how")), "names": F.coalesce("target", "names", F.lit(""))}).drop("target", "key")
+
+
+def match_key() -> Column:
+    """The key of earlier matches: area, content and dates in match form."""
+    return F.concat_ws("|", normalize_match_text(F.col("area")), normalize_match_text(F.col("content")), F.col("start_date").cast("string"), F.col("end_date").cast("string"))
+
+
+def archive_run(state: dict[str, DataFrame], inputs: DataFrame, forms: DataFrame, revision: int, version: str, agreement: str) -> dict[str, DataFrame]:
+    """One incremental run: duplicates, routing, intake, approvals, review; then the run's row.
+
+    state: cases, evidence, inbox (name, sha256), unmatched (file_id, path, name, sha256), recognized (sha256, version, text), history, reviews; inputs as
+    route_inputs takes them; forms: form_id (the file's id), sha256 and the business fields of the inputs' forms. Gives the state with
+    review, links, changes and run (revision, counters): the revision grows by one only if something changed.
+    """
+    cases, evidence = state["cases"], state["evidence"]
+    whole = _keyed(cases)
+    score = E.completeness(cases.withColumn("required", required_roles(F.col("hazard"))), evidence.select("case_id", "role", F.col("sha256").alias("file_key"), (F.col("role") == "approval_pdf").alias("approval")))
+    numbered = evidence.withColumn("file_id", F.concat_ws("/", "case_id", "role", "name"))
+    placed, merged, removed = deduplicate_cases(whole.select("case_id", *KEY), numbered.select("case_id", "file_id", "sha256"), KEY, score)
+    removed = materialised(removed)
+    kept_ids = placed.where("case_id = keep_id").select("case_id")
+    cases = materialised(cases.join(kept_ids, "case_id", "left_semi"))
+    evidence = materialised(merged.select("case_id", "file_id").join(numbered.drop("case_id"), "file_id").select("case_id", "role", "name", "sha256", "derived"))
+
+    waiting = forms.select(F.col("form_id").alias("case_id"), "area", "content", "start_date", "end_date")
+    replacing = J.duplicate_key_join(waiting, cases.select("case_id", "area", "content", "start_date", "end_date")).select(F.col("incoming_id").alias("file_id"))
+    routes, gate = route_inputs(inputs, state["inbox"], replacing)
+    routes = materialised(routes)
+    routed = routes.where("action = 'routed'").select("file_id")
+    taken = forms.join(routed.withColumnRenamed("file_id", "form_id"), "form_id", "left_semi")
+    cases, evidence, changes = upsert_cases(cases, evidence, taken, agreement)
+    cases, evidence, changes = materialised(cases), materialised(evidence), materialised(changes)
+
+    arrived = inputs.join(routes.where("kind = 'approval' and action = 'routed'").select("file_id", F.col("target").alias("path")), "file_id")
+    linked, retained = ingest_approvals(arrived.select("file_id", "path", "name", "sha256"), cases.where("status <> 'terminated'"), routes.where("kind = 'material'").select("sha256"), state["unmatched"], state["recognized"], version)
+    linked, retained = materialised(linked), materialised(retained)
+    files = arrived.select("file_id", "path", "name", "sha256").unionByName(state["unmatched"]).dropDuplicates(["file_id"])
+    proof = linked.join(files, "file_id").select("case_id", F.lit("approval_pdf").alias("role"), F.element_at(F.split("target", "/"), -1).alias("name"), "sha256", F.lit(False).alias("derived"))
+    evidence = materialised(evidence.unionByName(proof))
+    cases = materialised(_refreshed(cases, evidence))
+    left = materialised(files.join(retained.select("file_id"), "file_id", "left_semi"))
+    texts, _ = J.recognized_text_lookup(left, state["recognized"], version)
+    review = build_review(texts.select("path", "name", "sha256", "text"), cases.where("status not in ('terminated', 'approved')"), state["history"], state["reviews"])
+
+    counts = reduce(lambda a, b: a.unionByName(b), [
+        changes.groupBy(F.concat(F.lit("cases_"), "action").alias("name")).agg(F.count("*").alias("n")),
+        linked.agg(F.count("*").alias("n")).select(F.lit("approvals_ingested").alias("name"), "n"),
+        removed.where("action = 'remove_duplicate_case'").agg(F.count("*").alias("n")).select(F.lit("duplicates_removed").alias("name"), "n"),
+        routes.groupBy(F.concat(F.lit("routes_"), "action").alias("name")).agg(F.count("*").alias("n")),
+        gate.where("not accepted").agg(F.count("*").alias("n")).select(F.lit("batches_refused").alias("name"), "n"),
+    ])
+    counts = materialised(counts)
+    moved = counts.where("name <> 'batches_refused' and name <> 'cases_refused_form'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("moved"))
+    run = counts.where("n > 0").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "n")))).alias("counters"))
+    run = moved.join(run, F.lit(True)).select((F.lit(revision) + (F.col("moved") > 0).cast("int")).cast("long").alias("revision"), "counters")
+    return {"cases": cases, "evidence": evidence, "routes": routes, "links": linked, "unmatched": left, "review": review, "changes": changes, "run": run}

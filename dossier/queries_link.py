@@ -11,14 +11,15 @@ from .operators import evidence as E
 from .operators import joins as J
 from .operators import review as R
 from .operators.ranks import rank_within
-from .queries_text import ENDS, query, sql_field, sql_match, sql_ocr
+from .plans import pipelines as P
+from .queries_text import ENDS, query, sql_field, sql_match, sql_name_hash, sql_ocr, sql_uuid
 from .views import views
 
 _CJK_DATE = r"cast(regexp_replace(regexp_extract(text, '{0}：(\d+年\d+月\d+)', 1), '[年月]', '-', 'g') as date)"
 _POINTS = "(case when {0} is null then 0 when {0} <= 0 then {1} when {0} <= 3 then {1} - 2 when {0} <= 7 then greatest(0, {1} - 4) when {0} <= 14 then greatest(0, {1} - 7) when {0} <= 31 then greatest(0, {1} - 10) else 0 end)"
 
 
-def candidates_sql(status: str = "status = 'open'", start: str = "start_date") -> str:
+def candidates_sql(status: str = "status = 'open'", start: str = "start_date", keep: str = "true") -> str:
     return f"""a as (select doc_id, {sql_ocr('text')} as tk, {sql_field(sql_match('text'), '施工内容', ENDS)} as ck, {_CJK_DATE.format('施工开始时间')} as ds, {_CJK_DATE.format('施工结束时间')} as de from v_approvals),
 c as (select case_id, {sql_ocr('area')} as ak, {sql_match('content')} as kk, {start} as start_date, end_date from v_cases where {status}),
 areas as (select doc_id, ak from a join (select distinct ak from c) x on contains(a.tk, x.ak)),
@@ -26,7 +27,7 @@ contents as (select doc_id, kk from a join (select distinct kk from c) x on cont
 deltas as (select doc_id, case_id, cast(abs(start_date - ds) as integer) as start_delta, cast(abs(end_date - de) as integer) as end_delta, start_date = ds and end_date = de as same
   from areas join contents using (doc_id) join c using (ak, kk) join a using (doc_id)),
 pairs as (select *, cast(least(100, 80 + {_POINTS.format('start_delta', 12)} + {_POINTS.format('end_delta', 8)}) as integer) as confidence from deltas),
-ranked as (select *, row_number() over (partition by doc_id order by confidence desc, case_id) as n, lead(confidence) over (partition by doc_id order by confidence desc, case_id) as runner_up, count(*) over (partition by doc_id) as candidates from pairs),
+ranked as (select *, row_number() over (partition by doc_id order by confidence desc, case_id) as n, lead(confidence) over (partition by doc_id order by confidence desc, case_id) as runner_up, count(*) over (partition by doc_id) as candidates from pairs where {keep}),
 best as (select *, confidence - runner_up as gap, cast(case when runner_up is null then confidence else least(confidence, 60 + least(40, greatest(0, confidence - runner_up) * 3)) end as integer) as chosen from ranked where n = 1)"""
 
 
@@ -115,10 +116,23 @@ def unresolved_reason(spark, sf_dir):
     return flags.select("doc_id", R.unresolved_reason(flags, F.lit(not c.isEmpty())).alias("reason"))
 
 
-@query(f"""with {CAND} select a.doc_id, b.case_id, b.confidence as candidate_confidence, b.runner_up, cast(b.gap as integer) as gap, b.candidates, b.chosen as confidence, case when b.case_id is not null then {LEVEL} end as level,
-case when b.case_id is null then {REASON} end as reason from a left join best b using (doc_id)""")
+_REVIEWED = candidates_sql(keep="not (doc_id = case_id and doc_id % 7 = 0)")
+
+
+@query(f"""with {_REVIEWED}, x as (select a.doc_id, sha256(v.text) as sha256, a.ck, a.ds, a.de, b.* exclude (doc_id), {LEVEL} as level, case when b.case_id is null then {REASON} end as reason from a join v_approvals v using (doc_id) left join best b using (doc_id)),
+h as (select *, {sql_name_hash("case when case_id is null then 'unresolved:' || sha256 else sha256 || ':' || case_id end")} as h from x)
+select {sql_uuid('h')} as review_id, case when doc_id % 3 = 0 and (case_id is null or case_id = doc_id) then 'confirm' else 'pending' end as decision, case when doc_id % 3 = 0 and (case_id is null or case_id = doc_id) then 'seen' else '' end as note,
+ sha256, '_inbox/' || doc_id || '.pdf' as path, lpad(cast(doc_id as varchar), 12, '0') as application_no, ds as doc_start, de as doc_end, ck as content, case_id, confidence as candidate_confidence, runner_up, cast(gap as integer) as gap, candidates, chosen as confidence,
+ case when case_id is not null then level end as level, reason from h""")
 def build_review(spark, sf_dir):
-    return R.build_review(*_open(spark, sf_dir))
+    a, c = _open(spark, sf_dir)
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))
+    files = a.select(F.concat(F.lit("_inbox/"), name).alias("path"), name.alias("name"), F.sha2("text", 256).alias("sha256"), "text", "doc_id")
+    own = files.select("sha256", "doc_id", R.review_id(F.col("sha256"), F.col("doc_id")).alias("review_id"))
+    history = own.where("doc_id % 7 = 0").select("review_id", F.lit("exclude").alias("decision"))
+    previous = own.where("doc_id % 3 = 0").select("review_id", "sha256", F.lit("confirm").alias("decision"), F.lit("seen").alias("note"))
+    found = P.build_review(files.drop("doc_id"), c.withColumn("case_name", F.lpad(F.col("case_id").cast("string"), 12, "0")), history, previous)
+    return found.drop("area", "file_name", "case_name", "evidence")
 
 
 def _perturbed(spark, sf_dir):
@@ -287,13 +301,14 @@ def decision_validation(spark, sf_dir):
 
 
 @query("""with e as (select doc_id, case when doc_id % 2 = 0 then 'worker_list' else 'word' end as role, case when doc_id % 5 = 0 then null else doc_id % 3 end as k from documents)
-select doc_id as file_id, role, case when k = 0 and role <> 'worker_list' then 'worker_list' when k = 1 then 'signed_application' end as new_role, case when k is null then 'text_missing' when k = 2 or (k = 0 and role = 'worker_list') then 'unchanged' else 'moved' end as outcome from e""")
+select doc_id as file_id, role, case when k = 0 and role <> 'worker_list' then 'worker_list' when k = 1 then 'signed_application' end as new_role, case when k is null then 'text_missing' when k = 2 or (k = 0 and role = 'worker_list') then 'unchanged' when doc_id % 7 = 3 then 'reference_removed' else 'moved' end as outcome from e""")
 def reclassify_evidence(spark, sf_dir):
     (d,) = views(spark, sf_dir, "documents")
     files = d.select(F.col("doc_id").alias("file_id"), F.when(F.col("doc_id") % 2 == 0, "worker_list").otherwise("word").alias("role"), F.sha2(F.concat("text", F.col("doc_id").cast("string")), 256).alias("sha256"))
     rendered = F.when(F.col("doc_id") % 3 == 0, "施工人员名单").when(F.col("doc_id") % 3 == 1, "质保作业申请单").otherwise("")
     texts = d.where("doc_id % 5 <> 0").select(F.sha2(F.concat("text", F.col("doc_id").cast("string")), 256).alias("sha256"), F.concat("text", rendered).alias("text"))
-    return E.reclassify_evidence(files, texts, text_role(F.col("text")))
+    there = files.where("file_id % 7 <> 3").select("sha256")
+    return E.reclassify_evidence(files, texts, text_role(F.col("text")), there)
 
 
 @query("select page_id as row_id, case when page_id % 5 = 1 then '../out/' || page_id else 'p/' || page_id end as path, case when page_id % 5 = 1 then 'outside' else 'missing' end as problem from pages where page_id % 5 in (1, 2)")
@@ -308,30 +323,29 @@ def link_integrity(spark, sf_dir):
 def recent_window_filter(spark, sf_dir):
     (c,) = views(spark, sf_dir, "v_cases")
     run = F.lit("1995-06-15").cast("date")
-    return c.where(F.col("start_date").between(F.date_sub(run, 2), F.date_add(run, 14)) & (text.normalize_match_text(F.col("content")) != "")).select("case_id")
+    return E.recent_window_filter(c, run).select("case_id")
 
 
 @query("""select case_id, 'all' as queue from v_case_status union all select case_id, 'missing_roles' from v_case_status where has_system + has_user + has_assistant < 3 and status <> 'terminated'
 union all select case_id, 'ready' from v_case_status where status = 'materials_ready' union all select case_id, 'approved' from v_case_status where status = 'approved'""")
 def work_queues(spark, sf_dir):
     (s,) = views(spark, sf_dir, "v_case_status")
-    lacking = (F.col("has_system") + F.col("has_user") + F.col("has_assistant") < 3) & (F.col("status") != "terminated")
-    queues = F.array_compact(F.array(F.lit("all"), F.when(lacking, "missing_roles"), F.when(F.col("status") == "materials_ready", "ready"), F.when(F.col("status") == "approved", "approved")))
-    return s.select("case_id", F.explode(queues).alias("queue"))
+    missing = F.array_compact(F.array(*[F.when(F.col("has_" + r) == 0, r) for r in ("system", "user", "assistant")]))
+    return E.work_queues(s.select("case_id", "status", missing.alias("missing")))
 
 
-@query("select c_custkey from customer where contains(lower(c_name), '#00000000') or contains(c_name, '17') or contains(cast(c_nationkey as varchar), '17')")
+@query("select c_custkey from customer where contains(lower(c_name), '#00000001') or contains(cast(c_nationkey as varchar), '#00000001') union all select -p_partkey from part where contains(lower(p_name), 'old ring') or contains(p_type, 'old ring')")
 def view_search(spark, sf_dir):
-    (c,) = views(spark, sf_dir, "customer")
-    cells = F.array("c_name", F.col("c_nationkey").cast("string"))
-    hit = F.exists(cells, lambda x: F.contains(F.lower(x), F.lit("#00000000"))) | F.exists(cells, lambda x: F.contains(F.lower(x), F.lit("17")))
-    return c.where(hit).select("c_custkey")
+    c, p = views(spark, sf_dir, "customer", "part")
+    links = p.withColumn("links", F.array(F.struct(F.col("p_name").alias("text"), F.lit("x").alias("href"), F.lit("x").alias("path"))))
+    named = E.view_search(c, ["c_name", "c_nationkey"], " #00000001").select("c_custkey")
+    return named.unionByName(E.view_search(links, ["links", "p_type"], "OLD Ring").select((-F.col("p_partkey")).alias("c_custkey")))
 
 
 @query("select case_id from v_cases where status not in ('terminated', 'approved')")
 def open_cases(spark, sf_dir):
     (c,) = views(spark, sf_dir, "v_cases")
-    return c.where(~F.col("status").isin("terminated", "approved")).select("case_id")
+    return E.open_cases(c).select("case_id")
 
 
 @query("select case_id, position from v_evidence where (case_id + position) % 3 = 1")
@@ -339,7 +353,7 @@ def undated_images(spark, sf_dir):
     (e,) = views(spark, sf_dir, "v_evidence")
     k = (F.col("case_id") + F.col("position")) % 3
     named = e.withColumn("file", F.when(k == 0, F.concat(F.lit("2020-01-02_"), "role", F.lit(".JPG"))).when(k == 1, F.concat("role", F.lit(".JPG"))).otherwise(F.col("name")))
-    return named.where(text.suffix(F.col("file")).isin(".jpg", ".jpeg", ".png") & ~F.col("file").rlike(r"^\d{4}-\d{2}-\d{2}")).select("case_id", "position")
+    return E.undated_images(named, "file").select("case_id", "position")
 
 
 @query("select page_id from pages where page_id % 3 = 0")
@@ -347,7 +361,7 @@ def direct_child_filter(spark, sf_dir):
     (p,) = views(spark, sf_dir, "pages")
     i = F.col("page_id").cast("string")
     path = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("_inbox/"), i, F.lit(".PDF"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("_inbox/sub/"), i, F.lit(".pdf"))).otherwise(F.concat(F.lit("_inbox/"), i, F.lit(".jpg")))
-    return p.where(path.rlike("^_inbox/[^/]+$") & (text.suffix(path) == ".pdf")).select("page_id")
+    return E.direct_children(p, path, "_inbox", ".pdf").select("page_id")
 
 
 @query("select coalesce(nullif(o_orderstatus, ''), 'unknown') as status, count(*) as cases from orders group by 1")
@@ -356,12 +370,13 @@ def status_counts(spark, sf_dir):
     return o.groupBy(F.coalesce(F.nullif("o_orderstatus", F.lit("")), F.lit("unknown")).alias("status")).agg(F.count("*").alias("cases"))
 
 
-@query("select count(*) as total, count(case when status = 'approved' then 1 end) as approved, count(case when status = 'materials_ready' then 1 end) as pending, count(case when status = 'materials_incomplete' then 1 end) as incomplete from v_case_status")
+@query("""with r as (select case when quality = 1 then 'confirm' when toxic = 1 then 'trash' else 'pending' end as decision, doc_id % 5 = 0 as unresolved from labels)
+select count(*) as total, count(case when status = 'approved' then 1 end) as approved, count(case when status = 'materials_ready' then 1 end) as pending, count(case when status = 'materials_incomplete' then 1 end) as incomplete,
+ (select count(*) from r where not unresolved and decision = 'pending') as reviews_pending, (select count(*) from r where decision <> 'pending') as reviews_decided, (select count(*) from r where unresolved) as reviews_unresolved from v_case_status""")
 def summary_metrics(spark, sf_dir):
-    (s,) = views(spark, sf_dir, "v_case_status")
-    n = lambda x: F.count_if(F.col("status") == x)
-    r = s.agg(F.count("*").alias("total"), n("approved").alias("approved"), n("materials_ready").alias("pending"), n("materials_incomplete").alias("incomplete"))
-    return r
+    s, lab = views(spark, sf_dir, "v_case_status", "labels")
+    decision = F.when(F.col("quality") == 1, "confirm").when(F.col("toxic") == 1, "trash").otherwise("pending")
+    return E.summary_metrics(s, lab.select(decision.alias("decision"), F.when(F.col("doc_id") % 5 != 0, F.col("doc_id")).alias("case_id")))
 
 
 def _scored(spark, sf_dir):
@@ -391,7 +406,7 @@ def missing_roles_and_status(spark, sf_dir):
     return E.missing_roles_and_status(cases, e).withColumn("missing", F.array_join("missing", ","))
 
 
-@query("select conv_id as batch, count(case when role = 'user' then 1 end) as forms, count(case when role = 'assistant' then 1 end) as lists, count(case when role = 'user' then 1 end) = count(case when role = 'assistant' then 1 end) or (count(case when role = 'user' then 1 end) > 0 and conv_id % 3 = 0) as accepted from conversations where role in ('user', 'assistant') group by conv_id")
+@query("select conv_id as batch, count(case when role = 'user' then 1 end) as forms, count(case when role = 'assistant' then 1 end) as lists, count(case when role = 'user' then 1 end) = count(case when role = 'assistant' then 1 end) or (count(case when role = 'user' then 1 end) > 0 and count(case when role = 'assistant' then 1 end) = 0 and conv_id % 3 = 0) as accepted from conversations where role in ('user', 'assistant') group by conv_id")
 def batch_count_gate(spark, sf_dir):
     (c,) = views(spark, sf_dir, "conversations")
     rows = c.where("role in ('user', 'assistant')").select(F.col("conv_id").alias("batch"), F.when(F.col("role") == "user", "form").otherwise("list").alias("kind"), (F.col("conv_id") % 3 == 0).alias("replaces"))
@@ -533,17 +548,16 @@ def nest_case_record(spark, sf_dir):
 @query("select case_id, string_agg(name, '|' order by position) as names from v_evidence where (case_id + position) % 3 <> 0 and position % 5 <> 4 group by case_id")
 def filter_existing_files(spark, sf_dir):
     (e,) = views(spark, sf_dir, "v_evidence")
-    there = e.where((F.col("case_id") + F.col("position")) % 3 != 0).select("name")
-    inside = e.withColumn("path", F.when(F.col("position") % 5 == 4, F.concat(F.lit("../"), "name")).otherwise(F.col("name"))).where(~text.leaves_root(F.col("path")))
-    return J.matched_name_list(inside.join(there, "name", "left_semi"), "case_id", "position", "name", "|")
+    there = e.where((F.col("case_id") + F.col("position")) % 3 != 0).select(F.col("name").alias("path"))
+    placed = e.withColumn("path", F.when(F.col("position") % 5 == 4, F.concat(F.lit("../"), "name")).otherwise(F.col("name")))
+    return J.matched_name_list(E.existing_files(placed, there), "case_id", "position", "name", "|")
 
 
 @query("select case_id, max(case when sha256(text) in (select sha256(text) from v_evidence where case_id % 10 = 0) then 1 else 0 end) = 1 as holds from v_evidence group by case_id")
 def contains_hash(spark, sf_dir):
     (e,) = views(spark, sf_dir, "v_evidence")
     rows = e.select("case_id", F.sha2("text", 256).alias("sha256"))
-    known = rows.where("case_id % 10 = 0").select("sha256").distinct().withColumn("known", F.lit(True))
-    return rows.join(known, "sha256", "left").groupBy("case_id").agg(F.bool_or(F.coalesce("known", F.lit(False))).alias("holds"))
+    return E.contains_hash(rows, rows.where("case_id % 10 = 0"))
 
 
 @query("select case_id, string_agg(case when position % 2 = 0 then name else 'x y.txt' end || '>' || 'd/' || case when position % 2 = 0 then name else 'x%20y.txt' end, '|' order by position) as links from v_evidence where position % 4 <> 3 group by case_id")
@@ -559,15 +573,30 @@ def file_links(spark, sf_dir):
 def batch_file_paths(spark, sf_dir):
     (v,) = views(spark, sf_dir, "events")
     kept = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("target/"), F.col("event_id").cast("string"))).otherwise("")
-    return v.where("event_type = 'click'").select("event_id", F.coalesce(F.nullif(kept, F.lit("")), F.concat(F.lit("source/"), F.get_json_object("props", "$.k"))).alias("path"))
+    return v.where("event_type = 'click'").select("event_id", E.first_path(kept, F.concat(F.lit("source/"), F.get_json_object("props", "$.k"))).alias("path"))
 
 
-@query("""with l as (select case_id, role, string_agg(name, '|' order by position) as names from v_evidence group by all)
-select s.case_id, case s.status when 'terminated' then 'closed' when 'approved' then 'done' when 'materials_ready' then 'waiting' else 'collecting' end as status_text, s.files,
- coalesce((select names from l where l.case_id = s.case_id and role = 'system'), '') as system_files, coalesce((select names from l where l.case_id = s.case_id and role = 'user'), '') as user_files, coalesce((select names from l where l.case_id = s.case_id and role = 'assistant'), '') as assistant_files from v_case_status s""")
+_ROLES_OF = {"system": "word", "user": "worker_list", "assistant": "confined_space", "tool": "approval_pdf"}
+
+
+@query("""with e as (select case_id, position, name, case role when 'system' then 'word' when 'user' then 'worker_list' when 'assistant' then 'confined_space' else 'approval_pdf' end as role from v_evidence),
+l as (select case_id, role, string_agg(name || '>f/' || name, '|' order by position) as links from e group by all),
+c as (select s.case_id, s.status, v.area, v.content, v.start_date, v.end_date, v.contact from v_case_status s join (select *, row_number() over (order by case_id) - 1 as n from v_cases) v on v.n = s.case_id)
+select case_id, case status when 'terminated' then '已终止' when 'approved' then '已审批' when 'materials_ready' then '待审批' else '材料不全' end || '；' || chr(10) || case when case_id % 2 = 0 then '缺少：手签、安全协议' else '材料完整' end as status_text,
+ 'p' || case_id as project, '质保：' || contact || case when case_id % 3 = 0 then '；' || chr(10) || '分包：sub' else '' end as units, contact || chr(10) || '123' as manager, area, start_date, end_date, content, 'b' as foreman,
+ case when case_id % 5 = 0 then case when has then 'consistent' else 'missing：有限空间申请' end else case when has then 'unexpected：有限空间申请' else 'consistent' end end as hazards, word, workers, papers, approval,
+ case status when 'terminated' then 'terminated' when 'approved' then 'success' when 'materials_ready' then 'info' else 'warning' end as tone
+from (select c.*, exists (select 1 from l where l.case_id = c.case_id and role = 'confined_space') as has, coalesce((select links from l where l.case_id = c.case_id and role = 'word'), '') as word, coalesce((select links from l where l.case_id = c.case_id and role = 'worker_list'), '') as workers,
+ coalesce((select links from l where l.case_id = c.case_id and role = 'confined_space'), '') as papers, coalesce((select links from l where l.case_id = c.case_id and role = 'approval_pdf'), '') as approval from c)""")
 def summary_rows(spark, sf_dir):
-    e, s = views(spark, sf_dir, "v_evidence", "v_case_status")
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda x: x["name"]), "|")
-    by_role = e.groupBy("case_id").pivot("role", ["system", "user", "assistant"]).agg(listed)
-    shown = F.create_map(*[F.lit(x) for x in ("terminated", "closed", "approved", "done", "materials_ready", "waiting", "materials_incomplete", "collecting")])
-    return s.join(by_role, "case_id", "left").select("case_id", shown[F.col("status")].alias("status_text"), "files", *[F.coalesce(r, F.lit("")).alias(r + "_files") for r in ("system", "user", "assistant")])
+    e, s, c = views(spark, sf_dir, "v_evidence", "v_case_status", "v_cases")
+    fields = rank_within(c.select("case_id", "area", "content", "start_date", "end_date", "contact"), [], ["case_id"], "n").drop("case_id").withColumn("case_id", F.col("n") - 1)
+    cases = s.select("case_id", "status").join(fields, "case_id").withColumns({
+        "missing": F.when(F.col("case_id") % 2 == 0, F.array(F.lit("signed_application"), F.lit("safety_agreement"))).otherwise(F.array().cast("array<string>")), "project": F.concat(F.lit("p"), F.col("case_id").cast("string")), "unit": F.col("contact"),
+        "subunit": F.when(F.col("case_id") % 3 == 0, "sub"), "manager": F.col("contact"), "manager_phone": F.lit("123"), "foreman": F.lit("b"), "foreman_phone": F.lit(" "), "hazard": F.when(F.col("case_id") % 5 == 0, "有限空间作业").otherwise(""),
+        "fire_equipment": F.lit("no"), "exits": F.lit("")})
+    roles = F.create_map(*[F.lit(x) for pair in _ROLES_OF.items() for x in pair])
+    files = e.select("case_id", roles[F.col("role")].alias("role"), "position", "name", F.concat(F.lit("f/"), "name").alias("path"))
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["text"], F.lit(">"), x["href"])), "|").alias(c)
+    rows = E.summary_rows(cases, files)
+    return rows.select("case_id", "status_text", "project", "units", "manager", "area", "start_date", "end_date", "content", "foreman", "hazards", shown("word"), shown("workers"), shown("papers"), shown("approval"), "tone")

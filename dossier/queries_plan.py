@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import ids, text
+from .functions import ids
 from .functions.forms import with_form_fields
 from .materialize import materialised, new_folder
 from .operators import evidence as E
 from .operators import joins as J
-from .operators import review as R
+from .operators.ranks import rank_within
 from .plans import pipelines as P
-from .queries_link import CAND, LEVEL, LIVE, REASON, _nested, _open, _scored, live
-from .queries_text import query
+from .queries_link import LIVE, _nested, _scored, candidates_sql, live
+from .queries_text import form_tokens, query
 from .sources import files as S
 from .streaming.intake import take_in
 from .views import views
@@ -31,12 +31,14 @@ def load_case_dataset(spark, sf_dir):
     return E.flatten_evidence(cases.withColumn("approvals", F.array().cast("array<struct<position:bigint,name:string,size:bigint>>"))).select("case_id", "role", "name", "size")
 
 
-@query("select cast(2 as bigint) as dataset_revision, count(distinct case_id) as cases from v_evidence")
+@query("select cast(2 as bigint) as dataset_revision, count(distinct case_id) as cases from v_evidence where case_id % 2 = 0")
 def save_case_dataset(spark, sf_dir):
     (e,) = views(spark, sf_dir, "v_evidence")
     folder = new_folder(spark, "dataset")
-    S.save_revision(_nested(e), folder, 1)
-    return S.load_revision(spark, S.save_revision(_nested(e), folder, 2)).groupBy("dataset_revision").agg(F.count("*").alias("cases"))
+    S.publish(spark, folder, 1, S.save_revision(_nested(e), folder, 1))
+    S.publish(spark, folder, 2, S.save_revision(_nested(e.where("case_id % 2 = 0")), folder, 2))
+    S.save_revision(_nested(e), folder, 3)  # written, but nobody is told of it
+    return S.published(spark, folder).groupBy("dataset_revision").agg(F.count("*").alias("cases"))
 
 
 @query("select doc_id, sha256(case when doc_id % 6 = 0 then '' else text end) as h from documents where doc_id % 3 = 0")
@@ -63,55 +65,115 @@ def load_manual_overrides(spark, sf_dir):
     return S.load_manual_overrides(lab.select(F.col("doc_id").alias("ord"), F.to_json(F.array(entry)).alias("json")), "json")
 
 
-@query("select cast(case_id as varchar) as case_id, area, content, status, cast(start_date as varchar) as start_date from v_cases")
+@query("""with r as (select case_id, area, content, start_date, end_date, contact, case when case_id % 2 = 0 then 'renamed' else 'canonical' end as state from v_cases)
+select 'row' as part, 'f' || case_id || '.docx' as item, concat_ws('|', contact, area, start_date, end_date, content, case when case_id % 3 = 0 then '' else '打开文件' end, case when case_id % 5 = 0 then 'i.jpg' else '' end, state) as value from r
+union all select 'note', 'records', cast(count(*) as varchar) from r union all select 'note', 'renamed', cast(count(*) as varchar) from r where state = 'renamed'""")
 def export_flat_summary(spark, sf_dir):
     (c,) = views(spark, sf_dir, "v_cases")
+    empty = {name: F.lit("") for name in ("project", "unit", "subunit", "manager_phone", "foreman", "foreman_phone", "fire_equipment", "exits", "hazard", "folder_path", "names", "old_name")}
+    i = F.col("case_id").cast("string")
+    records = c.withColumns(empty | {
+        "manager": F.col("contact"), "days": F.datediff("end_date", "start_date") + 1, "new_name": F.concat(F.lit("f"), i, F.lit(".docx")), "form_path": F.when(F.col("case_id") % 3 == 0, "").otherwise("a/b.docx"),
+        "image_path": F.when(F.col("case_id") % 5 == 0, "a/i.jpg"), "state": F.when(F.col("case_id") % 2 == 0, "renamed").otherwise("canonical")})
+    rows, notes = E.flat_summary(records)
     path = new_folder(spark, "summary")
-    c.select("case_id", "area", "content", "status", "start_date").write.option("header", True).csv(path)
-    return spark.read.option("header", True).csv(path)
-
-
-_MIGRATION = """m as (select case_id * 1000 + position as file_id, case when case_id % 9 = 0 then 'inbox' else 'archive' end as action,
- case when case_id % 9 = 0 then '_inbox/case_' || case_id || '_' || role || '_' || position else 'case_' || case_id || '/case_' || case_id || '_' || role || '_' || position end as target from v_evidence)"""
+    rows.write.option("header", True).option("emptyValue", "").csv(path)
+    notes.write.option("header", True).csv(path + "-notes")
+    back = spark.read.option("header", True).option("emptyValue", "").csv(path).na.fill("")
+    assert len(back.columns) == 23
+    told = back.select(F.lit("row").alias("part"), F.col("new_name").alias("item"), F.concat_ws("|", "manager", "area", "start_date", "end_date", "content", "form", "image", "state").alias("value"))
+    return told.unionByName(spark.read.option("header", True).csv(path + "-notes").select(F.lit("note").alias("part"), "item", "value"))
+
+
+_MIGRATION = """e as (select * exclude (name), '2026-01-01_case' || case_id || '_质保作业申请单' as cn, case_id % 9 <> 0 as formed from v_evidence),
+x as (select *, case role when 'system' then '_有限空间_' || position || '.png' when 'user' then '_工人名单_' || position || '.jpg' when 'assistant' then '_资料_' || position || '.pdf' end as tail from e),
+f as (select *, case when role = 'tool' then 'loose_' || case_id || '_' || position || '.pdf' else cn || tail end as name from x),
+k as (select distinct case_id, cn from e where formed),
+n as (select *, case role when 'system' then 'confined_space' when 'user' then 'worker_list' else 'special_work' end as r from f where formed and role <> 'tool'),
+o as (select *, row_number() over (partition by case_id, r order by name) as i from n),
+u as (select 0 as step, 'move' as action, '安全协议.pdf' as source, 'templates/安全协议.pdf' as target, 'template' as role
+ union all select 1, 'move', cn || '.docx', 'cases/' || cn || '/' || cn || '.docx', 'word' from k
+ union all select 2, 'move', name, 'cases/' || cn || '/' || cn || case r when 'confined_space' then '_有限空间申请_' when 'worker_list' then '_施工人员名单_' else '_专项作业材料_' end || lpad(cast(i as varchar), cast(greatest(2, length(cast(i as varchar))) as integer), '0') || regexp_extract(name, '(\\.[a-z]+)$', 1), r from o
+ union all select 3, 'copy', 'templates/安全协议.pdf', 'cases/' || cn || '/' || replace(cn, '_质保作业申请单', '') || '_安全协议.pdf', 'safety_agreement' from k
+ union all select 4, 'move', name, 'cases/' || cn || '/' || name, 'approval_pdf' from f where formed and role = 'tool' and position % 2 = 0
+ union all select 5, 'move', name, '_inbox/' || name, case when name like '%.pdf' then 'approval_pdf' else 'unclassified' end as role from f where (role = 'tool' and not (formed and position % 2 = 0)) or (role <> 'tool' and not formed))"""
 
 
 def _migration(spark, sf_dir):
     (e,) = views(spark, sf_dir, "v_evidence")
-    cases = e.where("case_id % 9 <> 0").select("case_id").distinct().withColumn("case_name", F.concat(F.lit("case_"), F.col("case_id").cast("string")))
-    files = e.select((F.col("case_id") * 1000 + F.col("position")).alias("file_id"), text.stem(F.col("name")).alias("stem"))
-    return P.migration_plan(files, cases)
-
-
-@query(f"with {_MIGRATION} select * from m")
+    i, p = F.col("case_id").cast("string"), F.col("position").cast("string")
+    e = e.withColumn("cn", F.concat(F.lit("2026-01-01_case"), i, F.lit("_质保作业申请单")))
+    tail = F.when(F.col("role") == "system", F.concat(F.lit("_有限空间_"), p, F.lit(".png"))).when(F.col("role") == "user", F.concat(F.lit("_工人名单_"), p, F.lit(".jpg"))).when(F.col("role") == "assistant", F.concat(F.lit("_资料_"), p, F.lit(".pdf")))
+    e = materialised(e.withColumn("name", F.when(F.col("role") == "tool", F.concat(F.lit("loose_"), i, F.lit("_"), p, F.lit(".pdf"))).otherwise(F.concat("cn", tail))))
+    formed = e.where("case_id % 9 <> 0").select("case_id", "cn").distinct()
+    forms = formed.select(F.concat("cn", F.lit(".docx")).alias("name"), F.lit("A").alias("area"), F.lit("c").alias("content"), F.lit("").alias("hazard"))
+    files = e.select("name", F.sha2("text", 256).alias("sha256")).unionByName(forms.select("name", F.sha2("name", 256).alias("sha256"))).unionByName(spark.range(1).select(F.lit("安全协议.pdf").alias("name"), F.lit("t").alias("sha256")))
+    prior = e.where("role = 'tool' and position % 2 = 0").select(F.col("cn").alias("case_name"), F.col("name").alias("file"))
+    gone = formed.where("case_id % 5 = 0").select(F.col("cn").alias("case_name"), F.concat(F.lit("gone_"), F.col("case_id").cast("string"), F.lit(".pdf")).alias("file"))
+    return P.migration_plan(files, forms, prior.unionByName(gone), "安全协议.pdf")
+
+
+@query(f"""with {_MIGRATION}, a as (select case_id, cn, (select count(*) from f where f.case_id = k.case_id and role = 'tool' and position % 2 = 0) as ap, (select count(*) from n where n.case_id = k.case_id and r = 'worker_list') as wl from k)
+select 'op' || step as part, action || ':' || source as item, target as value, role as kind from u union all select 'case', cn, case when wl > 0 then 'signed_application' else 'signed_application,worker_list' end, case when ap > 0 then 'approved' else 'materials_incomplete' end from a
+union all select 'warning', cn, 'approval_missing:gone_' || case_id || '.pdf', '' from k where case_id % 5 = 0""")
 def migration_plan(spark, sf_dir):
-    return _migration(spark, sf_dir)
+    plan = _migration(spark, sf_dir)
+    ops = plan["operations"].select(F.concat(F.lit("op"), F.col("step").cast("string")).alias("part"), F.concat_ws(":", "action", "source").alias("item"), F.col("target").alias("value"), F.col("role").alias("kind"))
+    cases = plan["cases"].select(F.lit("case").alias("part"), F.col("case_name").alias("item"), F.array_join("missing", ",").alias("value"), F.col("status").alias("kind"))
+    warned = plan["warnings"].join(plan["cases"].select("case_id", "case_name"), "case_id").select(F.lit("warning").alias("part"), F.col("case_name").alias("item"), F.col("warning").alias("value"), F.lit("").alias("kind"))
+    return ops.unionByName(cases).unionByName(warned)
 
 
-@query(f"with {_MIGRATION} select action, count(*) as operations from m group by action")
+@query(f"with {_MIGRATION} select action || '_' || role as name, count(*) as n from u group by 1 union all select 'cases', count(*) from k union all select 'warnings', count(*) from k where case_id % 5 = 0")
 def export_plan(spark, sf_dir):
+    plan = _migration(spark, sf_dir)
     path = new_folder(spark, "plan")
-    _migration(spark, sf_dir).write.json(path)
-    return spark.read.schema("file_id long, action string, target string").json(path).groupBy("action").agg(F.count("*").alias("operations"))
+    for name in ("operations", "cases", "warnings"):
+        plan[name].write.json(f"{path}/{name}")
+    back = {name: spark.read.schema(plan[name].schema).json(f"{path}/{name}") for name in ("operations", "cases", "warnings")}
+    return P.plan_counters(back)
 
 
-@query("""with f as (select doc_id as file_id, source as batch, sha256(text) as h, doc_id % 6 = 0 as approval from documents), g as (select batch from f group by batch having count(*) % 2 = 0 or batch <> 'src3'),
-a as (select f.* from f join g using (batch)), x as (select h, min(file_id) as first_id from a group by h)
-select file_id, batch, case when approval then 'approval' else 'material' end as kind, case when h in (select h from f where file_id % 50 = 1) or file_id <> first_id then 'duplicate' else 'routed' end as action from a join x using (h)""")
+_ROUTED = """p as (select doc_id as file_id, doc_id % 7 as batch, sha256(text) as sha256, case doc_id % 6 when 0 then '工程类主体质保施工' || doc_id || '.pdf' when 1 then 'f' || doc_id || '.docx' when 2 then 'f' || doc_id || '工人名单.jpg' else 'f' || doc_id || '.pdf' end as name from documents),
+g as (select batch, count(case when file_id % 6 = 1 then 1 end) as forms, count(case when file_id % 6 = 2 then 1 end) as lists from p group by batch)"""
+
+
+@query(f"""with {_ROUTED} select file_id, p.batch, sha256, case when file_id % 6 = 0 then 'approval' else 'material' end as kind, case when file_id % 6 = 0 then 'name_title' when file_id % 6 in (1, 2) then 'material' else 'none' end as reason,
+ case when file_id % 6 = 0 then 'filename' when file_id % 6 in (1, 2) then '' else 'text' end as method, case when file_id % 5 = 0 then 'quarantine_duplicate' else 'routed' end as action,
+ '_inbox/' || case when file_id % 5 = 1 then regexp_replace(name, '(\\.[a-z]+)$', '_02\\1') else name end as target from p join g using (batch) where forms = lists""")
 def route_inputs(spark, sf_dir):
     (d,) = views(spark, sf_dir, "documents")
-    name = F.when(F.col("doc_id") % 6 == 0, "工程类主体质保施工.pdf").otherwise("x.pdf")
-    files = d.select(F.col("doc_id").alias("file_id"), F.col("source").alias("batch"), name.alias("name"), "text", F.sha2("text", 256).alias("sha256"))
-    gate = files.groupBy("batch").agg(F.count("*").alias("n")).select("batch", ((F.col("n") % 2 == 0) | (F.col("batch") != "src3")).alias("accepted"))
-    return P.route_inputs(files, files.where("file_id % 50 = 1"), gate)
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 6
+    name = F.when(k == 0, F.concat(F.lit("工程类主体质保施工"), i, F.lit(".pdf"))).when(k == 1, F.concat(F.lit("f"), i, F.lit(".docx"))).when(k == 2, F.concat(F.lit("f"), i, F.lit("工人名单.jpg"))).otherwise(F.concat(F.lit("f"), i, F.lit(".pdf")))
+    files = d.select(F.col("doc_id").alias("file_id"), (F.col("doc_id") % 7).alias("batch"), name.alias("name"), "text", F.sha2("text", 256).alias("sha256"))
+    held = files.where("file_id % 5 < 2").select("name", F.when(F.col("file_id") % 5 == 0, F.col("sha256")).otherwise("other").alias("sha256"))
+    return P.route_inputs(files, held)[0]
+
 
+_CASE_NAMES = """cn as (select *, row_number() over (partition by start_date, content order by case_id) as r, count(*) over (partition by start_date, content) as m from v_cases)"""
+_NUMBERED = "case when {0} = 1 then '' else '_' || lpad(cast({0} as varchar), cast(greatest(2, length(cast({0} as varchar))) as integer), '0') end"
+_BASE = "strftime(start_date, '%Y-%m-%d') || '_' || content || '_质保作业申请单'"
 
-@query("""select case_id, case when case_id % 4 = 0 then 'changed' else contact end as contact, case when case_id % 4 = 0 then 'replaced' else 'kept' end as action from v_cases
-union all select case_id + 2000000, 'changed', 'inserted' from v_cases where case_id % 4 = 1 and case_id % 3 = 0""")
+
+@query(f"""with {_CASE_NAMES}, fresh as (select *, m + row_number() over (partition by start_date, content order by case_id) as number from cn where case_id % 12 = 9)
+select {_BASE} || {_NUMBERED.format('r')} as case_name, area, case when case_id % 4 = 0 then 'changed' else contact end as contact, case when case_id % 11 = 5 then 'terminated' when case_id % 7 = 0 then 'approved' else 'materials_incomplete' end as status,
+ case when case_id % 4 = 0 then 'signed_application,worker_list,confined_space' else 'signed_application,worker_list' end as missing, 2 + case when case_id % 7 = 0 then 1 else 0 end as files, case when case_id % 8 = 4 then 2 when case_id % 4 = 0 then 1 else 0 end as changes from cn
+union all select {_BASE} || {_NUMBERED.format('number')}, area || ' annex', 'changed', 'materials_incomplete', 'signed_application,worker_list,confined_space', 2, 2 from fresh""")
 def upsert_cases(spark, sf_dir):
     (c,) = views(spark, sf_dir, "v_cases")
-    again = c.where("case_id % 4 = 0").withColumn("case_id", F.col("case_id") + 1000000)
-    fresh = c.where("case_id % 4 = 1 and case_id % 3 = 0").withColumn("case_id", F.col("case_id") + 2000000).withColumn("end_date", F.date_add("end_date", 9999))
-    return P.upsert_cases(c, again.unionByName(fresh).withColumn("contact", F.lit("changed")))
+    named = rank_within(c, ["start_date", "content"], ["case_id"], "r").withColumn("base", ids.case_name(F.col("start_date"), F.col("content")))
+    number = F.when(F.col("r") < 100, F.lpad(F.col("r").cast("string"), 2, "0")).otherwise(F.col("r").cast("string"))
+    named = named.withColumn("case_name", F.when(F.col("r") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), number)))
+    cases = materialised(named.select(F.col("case_id").cast("string"), "case_name", "status", "area", "content", "start_date", "end_date", "contact", "hazard"))
+    own = lambda role, where: cases.where(where).select("case_id", F.lit(role).alias("role"), F.lit("f").alias("name"), F.sha2(F.concat(F.lit(role), "case_id"), 256).alias("sha256"), F.lit(False).alias("derived"))
+    evidence = own("word", "true").unionByName(own("safety_agreement", "case_id % 8 <> 4")).unionByName(own("approval_pdf", "case_id % 7 = 0"))
+    fields = ["area", "content", "start_date", "end_date", F.lit("changed").alias("contact"), F.lit("有限空间作业").alias("hazard"), F.lit("new").alias("sha256")]
+    again = c.where("case_id % 4 = 0").select((F.col("case_id") + 1_000_000_000).alias("form_id"), *fields)
+    fresh = c.where("case_id % 12 = 9").withColumn("area", F.concat("area", F.lit(" annex"))).select(F.col("case_id").alias("form_id"), *fields)
+    now, files, changes = P.upsert_cases(cases, evidence, again.unionByName(fresh), "template")
+    n = lambda rows, name: rows.groupBy("case_id").agg(F.count("*").cast("int").alias(name))
+    told = now.join(n(files, "files"), "case_id").join(n(changes, "changes"), "case_id", "left")
+    return told.select("case_name", "area", "contact", "status", F.array_join("missing", ",").alias("missing"), "files", F.coalesce("changes", F.lit(0)).alias("changes"))
 
 
 _SCORE_SQL = """f as (select case_id, count(distinct case when role <> 'tool' then role end) as filled, count(case when role = 'tool' then 1 end) as approvals, count(distinct sha256(text)) as files, max(case when role = 'system' then 1 else 0 end) + max(case when role = 'user' then 1 else 0 end) as present from v_evidence group by case_id),
@@ -126,66 +188,108 @@ def deduplicate_cases(spark, sf_dir):
     _, score = _scored(spark, sf_dir)
     cases = e.select("case_id").distinct().withColumn("key", F.col("case_id") % 10)
     files = e.select("case_id", (F.col("case_id") * 1000 + F.col("position")).alias("file_id"), F.sha2("text", 256).alias("sha256"))
-    return P.deduplicate_cases(cases, files, ["key"], score)[1].select("case_id", "file_id", "moved")
+    placed, merged, changes = P.deduplicate_cases(cases, files, ["key"], score)
+    return merged.select("case_id", "file_id", "moved")
 
 
-@query("with " + LIVE + """, s as (select doc_id, count(*) as n, min(case_id) as only_ from pairs where same group by doc_id)
-select a.doc_id, case when n = 1 then only_ end as case_id, coalesce(n, 0) as candidates, case when n = 1 then 'linked' when n is null then 'no_candidate' else 'several_candidates' end as reason from a left join s using (doc_id) where a.doc_id % 3 <> 0""")
+@query("with " + LIVE + """, s as (select doc_id, count(*) as n, min(case_id) as only_ from pairs where same group by doc_id), p as (select * from a left join s using (doc_id) where doc_id % 3 <> 0 or doc_id % 10 = 9)
+select doc_id as file_id, case when n = 1 and doc_id % 13 <> 6 then only_ end as case_id, case when doc_id % 13 = 6 then 'text_missing' when n = 1 then 'move' when n is null then 'no_candidate' else 'several_candidates' end as outcome,
+ case when n = 1 and doc_id % 13 <> 6 then lpad(cast(doc_id as varchar), 12, '0') else '' end as number, case when doc_id % 13 = 6 then 0 else coalesce(n, 0) end as candidates from p""")
 def ingest_approvals(spark, sf_dir):
     a, c = views(spark, sf_dir, "v_approvals", "v_cases")
-    return P.ingest_approvals(a, live(c), a.where("doc_id % 3 = 0"))
+    files = a.select(F.col("doc_id").alias("file_id"), F.concat(F.lit("_inbox/"), F.col("doc_id").cast("string")).alias("path"), F.lit("scan.pdf").alias("name"), F.sha2("text", 256).alias("sha256"))
+    recognized = a.select(F.sha2("text", 256).alias("sha256"), F.when(F.col("doc_id") % 13 == 6, "old").otherwise("v").alias("version"), "text")
+    cases = live(c).withColumn("case_name", F.concat(F.lit("case_"), F.col("case_id").cast("string")))
+    linked, retained = P.ingest_approvals(files, cases, files.where("file_id % 3 = 0"), files.where("file_id % 10 = 9"), recognized, "v")
+    told = linked.select("file_id", "case_id", F.col("action").alias("outcome"), F.col("application_no").alias("number"), F.lit(1).cast("long").alias("candidates"))
+    return told.unionByName(retained.select("file_id", F.lit(None).cast("long").alias("case_id"), F.col("reason").alias("outcome"), F.lit("").alias("number"), F.size("candidates").cast("long").alias("candidates")))
 
 
 def _decided(spark, sf_dir, faulty):
     (lab,) = views(spark, sf_dir, "labels")
     i = F.col("doc_id").cast("string")
-    reviews = lab.select(F.concat(F.lit("r"), i).alias("review_id"), i.alias("sha256"), F.concat(F.lit("c"), i).alias("case_id"))
-    decision = F.when(F.col("quality") == 1, "confirm").when(F.col("toxic") == 1, "trash").otherwise("pending")
-    submitted = lab.select(F.lit(7).alias("revision"), F.concat(F.lit("r"), i).alias("review_id"), decision.alias("decision"), F.lit("").alias("note"), F.when((F.col("doc_id") % 97 == 5) & F.lit(faulty), "bad").otherwise(i).alias("sha256"), F.concat(F.lit("c"), i).alias("case_id"))
-    return P.apply_decisions(reviews, submitted, 7)
-
-
-@query("select 'r' || doc_id as review_id, case when quality = 1 then 'linked' else 'trashed' end as result from labels where quality = 1 or toxic = 1 union all select 'r' || doc_id, 'hash_differs' from labels where doc_id % 97 = 5")
+    decision = F.when(F.col("quality") == 1, "confirm").when(F.col("toxic") == 1, "trash").when(F.col("doc_id") % 4 == 0, "exclude").otherwise("pending")
+    rows = materialised(lab.select("doc_id", F.concat(F.lit("r"), i).alias("review_id"), i.alias("sha256"), F.concat(F.lit("c"), i).alias("case_id"), decision.alias("decision")))
+    reviews = rows.select("review_id", "sha256", "case_id")
+    odd = F.lit(faulty)
+    submitted = rows.select(F.lit(7).alias("revision"), "review_id", "decision", F.lit("").alias("note"), F.when((F.col("doc_id") % 97 == 5) & odd, "bad").otherwise(F.col("sha256")).alias("sha256"), "case_id")
+    history = rows.where("doc_id % 2 = 0 and decision <> 'pending'").select("review_id", "decision", F.lit("").alias("note"), "sha256", "case_id")
+    unmatched = rows.where(~((F.col("doc_id") % 101 == 7) & odd)).select(F.concat(F.lit("_inbox/"), "sha256").alias("path"), "sha256")
+    cases = rows.select("case_id", F.when((F.col("doc_id") % 89 == 3) & odd, "terminated").otherwise("open").alias("status"))
+    return P.apply_decisions(reviews, submitted, 7, history, unmatched, cases)
+
+
+@query("""with l as (select *, case when quality = 1 then 'confirm' when toxic = 1 then 'trash' when doc_id % 4 = 0 then 'exclude' else 'pending' end as d from labels)
+select 'links' as part, 'r' || doc_id as item from l where d = 'confirm' union all select 'history', 'r' || doc_id || ':' || d from l where d <> 'pending' union all select 'unmatched', cast(doc_id as varchar) from l where d not in ('confirm', 'trash')
+union all select 'pending', 'r' || doc_id from l where d = 'pending' union all select 'revision', case when exists (select 1 from l where d in ('confirm', 'trash')) then '8' else '7' end
+union all select 'error', 'r' || doc_id || ':hash_differs' from l where doc_id % 97 = 5 union all select 'error', 'r' || doc_id || ':not_waiting' from l where doc_id % 101 = 7 and doc_id % 97 <> 5 and d in ('confirm', 'trash')
+union all select 'error', 'r' || doc_id || ':case_gone' from l where doc_id % 89 = 3 and doc_id % 97 <> 5 and d = 'confirm'
+union all select 'revision', case when exists (select 1 from l where doc_id % 97 = 5) or exists (select 1 from l where doc_id % 101 = 7 and d in ('confirm', 'trash')) or exists (select 1 from l where doc_id % 89 = 3 and d = 'confirm') or not exists (select 1 from l where d in ('confirm', 'trash')) then '7' else '8' end""")
 def apply_decisions(spark, sf_dir):
-    _, changes = _decided(spark, sf_dir, False)
-    errors, none = _decided(spark, sf_dir, True)
-    return changes.select("review_id", F.col("action").alias("result")).unionByName(errors.select("review_id", F.col("error").alias("result"))).unionByName(none.select("review_id", F.col("action").alias("result")))
+    good, bad = _decided(spark, sf_dir, False), _decided(spark, sf_dir, True)
+    part = lambda name, rows, item: rows.select(F.lit(name).alias("part"), item.alias("item"))
+    told = part("links", good["links"], F.col("review_id")).unionByName(part("history", good["history"], F.concat_ws(":", "review_id", "decision"))).unionByName(part("unmatched", good["unmatched"], F.col("sha256")))
+    told = told.unionByName(part("pending", good["pending"], F.col("review_id"))).unionByName(part("revision", good["revision"], F.col("revision").cast("string")))
+    return told.unionByName(part("error", bad["errors"], F.concat_ws(":", "review_id", "error"))).unionByName(part("revision", bad["revision"], F.col("revision").cast("string")))
 
 
-@query("""select doc_id as op_id, case when doc_id % 6 = 0 then 'already_exists' when doc_id % 6 = 1 then 'conflict' when doc_id % 6 = 2 then 'source_missing' when doc_id % 6 = 3 then 'source_changed' else 'to_do' end as state from documents""")
+@query("""select doc_id as op_id, case when doc_id % 6 = 0 then 'already_exists' when doc_id % 6 = 1 then 'conflict' when doc_id % 6 = 2 then 'source_missing' when doc_id % 6 = 3 then 'source_changed' when doc_id % 6 = 4 then 'completed' else 'failed' end as state from documents""")
 def plan_reconcile(spark, sf_dir):
     (d,) = views(spark, sf_dir, "documents")
     k, i = F.col("doc_id") % 6, F.col("doc_id").cast("string")
     h = F.sha2("text", 256)
     ops = d.select(F.col("doc_id").alias("op_id"), F.concat(F.lit("s/"), i).alias("source"), F.concat(F.lit("t/"), i).alias("target"), h.alias("sha256"))
     source = d.where(k != 2).select(F.concat(F.lit("s/"), i).alias("path"), F.when(k == 3, "x").otherwise(h).alias("sha256"))
-    return P.plan_reconcile(ops, source, d.where(k < 2).select(F.concat(F.lit("t/"), i).alias("path"), F.when(k == 1, "x").otherwise(h).alias("sha256")))
+    target = lambda rows: rows.select(F.concat(F.lit("t/"), i).alias("path"), F.when((k == 1) | (k == 5), "x").otherwise(h).alias("sha256"))
+    return P.plan_reconcile(ops, source, target(d.where(k < 2)), target(d.where((k < 2) | (k > 3))))
 
 
-@query("""with x as (select doc_id, lpad(cast(doc_id - doc_id % 20 + 3 as varchar), 12, '0') as number, doc_id % 40 = 3 as canonical from v_approvals),
-y as (select *, max(case when canonical then 1 else 0 end) over (partition by number) as taken, min(doc_id) over (partition by number) as first_id from x)
-select doc_id, '工程类-主体质保施工_编号：' || number || '.pdf' as target, case when canonical then 'already_canonical' when taken = 1 or doc_id <> first_id then 'duplicate_target' else 'rename' end as action from y""")
+@query("""with x as (select doc_id, lpad(cast(doc_id - doc_id % 20 + 3 as varchar), 12, '0') as number, doc_id % 40 = 3 as canonical, doc_id % 7 = 1 and doc_id % 40 <> 3 as unread from v_approvals),
+y as (select *, max(case when canonical then 1 else 0 end) over (partition by number) as taken, min(case when not unread then doc_id end) over (partition by number) as first_id from x)
+select doc_id, case when not unread then '工程类-主体质保施工_编号：' || number || '.pdf' end as target, case when canonical then 'already_canonical' when unread then 'text_missing' when taken = 1 or doc_id <> first_id then 'duplicate_target' else 'rename' end as action from y""")
 def rename_plan(spark, sf_dir):
     (a,) = views(spark, sf_dir, "v_approvals")
     number = F.lpad((F.col("doc_id") - F.col("doc_id") % 20 + 3).cast("string"), 12, "0")
-    docs = a.select("doc_id", F.lit("scan.pdf").alias("name"), number.alias("number"), (F.col("doc_id") % 40 == 3).alias("canonical"))
-    return P.rename_plan(docs, ids.APPROVAL_TITLE)
+    name = F.when(F.col("doc_id") % 40 == 3, F.concat(F.lit(ids.APPROVAL_TITLE + "_编号："), number, F.lit(".pdf"))).otherwise("scan.pdf")
+    docs = a.select("doc_id", name.alias("name"), F.sha2("text", 256).alias("sha256"), number.alias("number"))
+    recognized = docs.select("sha256", F.when(F.col("doc_id") % 7 == 1, "old").otherwise("v").alias("version"), F.concat(F.lit("工程类-主体质保施工 申请编号："), "number").alias("text"))
+    return P.rename_plan(docs.drop("number"), recognized, "v")
 
 
-@query(f"""with {CAND}, n as (select doc_id, string_agg('case_' || case_id, '；' order by case_id) as names from pairs group by doc_id)
-select f.case_id, f.area, f.content, f.start_date, coalesce(n.names, '') as names from v_cases f join v_approvals a on a.doc_id = f.case_id left join n on n.doc_id = f.case_id""")
+@query(f"""with {candidates_sql("true")}, n as (select case_id, string_agg('d' || doc_id, '；' order by doc_id) as names from pairs where same group by case_id)
+select c.case_id as form_id, case when c.case_id % 50 = 1 then '2000-01-01_x' || c.case_id || '_质保作业申请单.docx' else {_BASE} || '.docx' end as new_name, case when c.case_id % 50 = 1 then 'canonical' else 'renamed' end as state,
+ case when c.case_id % 50 = 1 then 'forced' when c.case_id % 3 = 0 then 'prior_' || c.case_id else coalesce(n.names, '') end as names, case when c.case_id % 50 = 1 then 'override' when c.case_id % 3 = 0 then 'prior' when n.names is null then 'none' else 'text' end as how
+from v_cases c left join n using (case_id)""")
 def batch_summary(spark, sf_dir):
     a, f = views(spark, sf_dir, "v_approvals", "v_forms")
-    pairs, _ = R.relaxed_candidates(*_open(spark, sf_dir))
-    names = J.matched_name_list(pairs.withColumn("name", F.concat(F.lit("case_"), F.col("case_id").cast("string"))), "doc_id", "case_id", "name").withColumnRenamed("doc_id", "case_id")
-    forms = f.select("case_id", *form_fields(F.col("form_text"))).select("case_id", "area", "content", "start_date")
-    return forms.join(a.select(F.col("doc_id").alias("case_id")), "case_id", "left_semi").join(names, "case_id", "left").select("case_id", "area", "content", "start_date", F.coalesce("names", F.lit("")).alias("names"))
+    i = F.col("form_id").cast("string")
+    fields = with_form_fields(f.withColumnRenamed("case_id", "form_id").withColumn("tokens", form_tokens()))
+    forms = materialised(fields.withColumn("name", F.when(F.col("form_id") % 50 == 1, F.concat(F.lit("2000-01-01_x"), i, F.lit("_质保作业申请单.docx"))).otherwise(F.concat(F.lit("scan"), i, F.lit(".docx")))))
+    prior = forms.where("form_id % 3 = 0").select(P.match_key().alias("key"), F.concat(F.lit("prior_"), i).alias("names"), F.col("form_id").alias("row_no"))
+    overrides = forms.where("form_id % 50 = 1").select(F.lit(1).alias("ord"), "name", F.lit("").alias("name_key"), F.lit("forced").alias("target"))
+    documents = a.select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), "text")
+    return P.batch_summary(forms, documents, prior, overrides).select("form_id", "new_name", "state", "names", "how")
 
 
-@query(f"""with {CAND}, b as (select a.doc_id, b.case_id, case when b.case_id is null then {REASON} else {LEVEL} end as outcome from a left join best b using (doc_id)) select outcome, count(*) as documents, count(case_id) as with_case from b group by outcome""")
+@query()
 def archive_run(spark, sf_dir):
-    review = R.build_review(*_open(spark, sf_dir))
-    return review.groupBy(F.coalesce("level", "reason").alias("outcome")).agg(F.count("*").alias("documents"), F.count("case_id").alias("with_case"))
+    c, a = views(spark, sf_dir, "v_cases", "v_approvals")
+    text = F.col("case_id").cast("string")
+    cases = materialised(c.select(text.alias("case_id"), F.concat(F.lit("case_"), text).alias("case_name"), "status", "area", "content", "start_date", "end_date", "contact", "hazard"))
+    evidence = cases.select("case_id", F.lit("word").alias("role"), F.lit("f.docx").alias("name"), F.sha2("case_id", 256).alias("sha256"), F.lit(False).alias("derived"))
+    approvals = a.select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("file_id"), F.lit("approvals").alias("batch"), F.concat(F.lit("工程类主体质保施工"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"), "text", F.sha2("text", 256).alias("sha256"))
+    forms = c.where("case_id % 4 = 0").select(F.concat(F.lit("f"), text).alias("form_id"), F.sha2(F.concat(F.lit("f"), text), 256).alias("sha256"), "area", "content", "start_date", "end_date", F.lit("changed").alias("contact"), "hazard")
+    words = forms.select(F.col("form_id").alias("file_id"), F.lit("forms").alias("batch"), F.concat("form_id", F.lit(".docx")).alias("name"), F.lit("").alias("text"), "sha256")
+    none = approvals.limit(0)
+    state = {
+        "cases": cases, "evidence": evidence, "inbox": none.select("name", "sha256"), "unmatched": none.select("file_id", F.lit("").alias("path"), "name", "sha256"), "recognized": approvals.select("sha256", F.lit("v").alias("version"), "text"),
+        "history": none.select(F.lit("").alias("review_id"), F.lit("").alias("decision")), "reviews": none.select(F.lit("").alias("review_id"), "sha256", F.lit("").alias("decision"), F.lit("").alias("note")),
+    }
+    done = P.archive_run(state, approvals.unionByName(words), forms, 7, "v", "template")
+    counters = done["run"].select("revision", F.explode("counters").alias("name", "n"))
+    review = done["review"].groupBy(F.concat(F.lit("review_"), F.coalesce("level", "reason")).alias("name")).agg(F.count("*").alias("n"))
+    status = done["cases"].groupBy(F.concat(F.lit("status_"), "status").alias("name")).agg(F.count("*").alias("n"))
+    return counters.unionByName(review.select(F.lit(8).cast("long").alias("revision"), "name", "n")).unionByName(status.select(F.lit(8).cast("long").alias("revision"), "name", "n"))
 
 
 @query()
@@ -193,9 +297,8 @@ def assign_images(spark, sf_dir):
     from .queries_link import _perturbed
 
     docs, cases = _perturbed(spark, sf_dir)
-    exact = J.unique_match_resolution(docs, J.strict_containment_join(docs, cases)).where("reason = 'linked'")
-    rest = J.fuzzy_margin_join(docs.join(exact, "doc_id", "left_anti"), cases)
-    return exact.select("doc_id", "case_id", F.lit("exact").alias("stage")).unionByName(rest.where("case_id is not null").select("doc_id", "case_id", F.lit("fuzzy").alias("stage")))
+    images = docs.withColumn("batch", F.when(F.col("doc_id") % 5 == 0, F.col("doc_id")))
+    return P.assign_images(images, cases.where("case_id % 10 = 0").select(F.col("case_id").alias("batch"), "case_id"), cases.where("case_id % 50 = 1").select("case_id", "content"), cases)
 
 
 def _streamed(spark, sf_dir, work=None):
@@ -214,9 +317,17 @@ def stream_intake(spark, sf_dir):
     return _streamed(spark, sf_dir).select("sha256")
 
 
-@query("select distinct sha256(text) as sha256, 'material' as kind from documents")
+@query("select distinct sha256(text) as sha256, case when substr(sha256(text), 1, 1) in ('0', '1') then 'approval' else 'material' end as kind, case when substr(sha256(text), 1, 1) in ('0', '1') then 'filename' else 'text' end as method from documents")
 def stream_route_batches(spark, sf_dir):
-    return _streamed(spark, sf_dir, lambda rows: rows.withColumn("kind", F.lit("material"))).select("sha256", "kind")
+    """Each micro-batch is an input batch, which goes through gate, classification and log."""
+    h = F.col("sha256")
+
+    def work(rows):
+        name = F.concat(F.when(F.substring(h, 1, 1).isin("0", "1"), "工程类主体质保施工").otherwise("f"), h, F.lit(".pdf"))
+        files = rows.select(F.col("doc_id").alias("file_id"), F.lit("one").alias("batch"), name.alias("name"), F.lit("").alias("text"), "sha256")
+        return P.route_inputs(files, files.select("name", "sha256").limit(0))[0].select("sha256", "kind", "method")
+
+    return _streamed(spark, sf_dir, work).select("sha256", "kind", "method")
 
 
 @query("with " + LIVE + " select doc_id, case_id from pairs where same")

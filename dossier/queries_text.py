@@ -37,6 +37,15 @@ def sql_ocr(x: str) -> str:
     return OCR.format(MATCH.format(x))
 
 
+def sql_uuid(h: str) -> str:
+    """The version-5 UUID of a SHA-1 in hex."""
+    return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || substr('89ab', cast(('0x' || substr({h}, 17, 1))::int % 4 + 1 as int), 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+
+
+def sql_name_hash(name: str) -> str:
+    return f"sha1(unhex('{ids.NAMESPACE.hex}') || encode({name}))"
+
+
 def sql_field(t: str, label: str, ends: tuple[str, ...]) -> str:
     """The labelled field of a text in match form."""
     at = f"(strpos({t}, '{label}') + {len(label)})"
@@ -211,11 +220,7 @@ def contact_and_unit_text(spark, sf_dir):
     return c.select("c_custkey", text.joined_nonblank(F.col("c_name"), number).alias("contact"), text.joined_nonblank(unit, separator="；\n").alias("unit"))
 
 
-_H = f"sha1(unhex('{ids.NAMESPACE.hex}') || encode('case:' || case_id))"
-
-
-@query(f"""with h as (select case_id, {_H} as h from v_cases)
-select case_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', cast(('0x' || substr(h, 17, 1))::int % 4 + 1 as int), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as id from h""")
+@query(f"""with h as (select case_id, {sql_name_hash("'case:' || case_id")} as h from v_cases) select case_id, {sql_uuid('h')} as id from h""")
 def stable_ids(spark, sf_dir):
     (c,) = views(spark, sf_dir, "v_cases")
     return c.select("case_id", ids.uuid5(F.concat(F.lit("case:"), F.col("case_id").cast("string"))).alias("id"))

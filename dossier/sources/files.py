@@ -26,6 +26,19 @@ def save_revision(cases: DataFrame, folder: str, revision: int) -> str:
     return path
 
 
+def publish(spark: SparkSession, folder: str, revision: int, path: str) -> None:
+    """Appends a row to the folder's pointers that says where a revision lies, once it is written whole."""
+    spark.createDataFrame([(revision, path)], "revision long, path string").coalesce(1).write.mode("append").json(f"{folder}/pointers")
+
+
+def published(spark: SparkSession, folder: str) -> DataFrame:
+    """Nested cases of the latest published revision; nothing published is an error."""
+    last = spark.read.schema("revision long, path string").json(f"{folder}/pointers").orderBy(F.desc("revision")).first()
+    if last is None:
+        raise ValueError(f"nothing is published at {folder}")
+    return load_revision(spark, last.path)
+
+
 def load_revision(spark: SparkSession, path: str) -> DataFrame:
     """Nested cases; another schema version is an error."""
     rows = spark.read.schema(DATASET).json(path)
