@@ -47,7 +47,7 @@ def best_text(plain: Column, recognised: Column, least: int = 10) -> Column:
 
 
 #: An item of a bracketed list: in single quotes, in double quotes, or plain.
-ITEM = r"""'(?:[^']|'')*'|"(?:[^"\\]|\\.)*"|[^,]+"""
+ITEM = r"""\s*'(?:[^']|'')*'|\s*"(?:[^"\\]|\\.)*"|[^,]+"""
 QUOTE = "'"
 
 

@@ -9,6 +9,7 @@ from dossier.functions import classify, dates, ids, text
 from dossier.operators import evidence as E
 from dossier.operators import joins as J
 from dossier.operators import review as R
+from dossier.plans import pipelines as P
 
 
 def values(spark, column, *rows):
@@ -20,6 +21,7 @@ def test_match_text(spark):
     assert values(spark, text.normalize_match_text, " L3 －（a，B、c）　", None, "") == ["l3~(a,b,c)", "", ""]
     assert values(spark, text.normalize_ocr_text, "i3M1层", "i5i6", "hi5") == ["l3m1层", "l5l6", "hi5"]
     assert values(spark, text.split_name_list, "a，b; ;c", '["x", " y "]', "") == [["a", "b", "c"], ["x", "y"], []]
+    assert values(spark, text.split_name_list, "[a, b]", "['it''s', \"x, y\", z]", "[]") == [["a", "b"], ["it's", "x, y", "z"], []]
     assert values(spark, text.leaves_root, "a/../b", "../b", "/a", "a\\..\\..\\b") == [False, True, True, True]
 
 
@@ -76,3 +78,59 @@ def test_containment_equals_nested_loop(spark):
     keys = spark.createDataFrame([("old ring",), ("ab",), ("",), ("é",), ("ring saw",)], "key string")
     found = {tuple(r) for r in J.containment_pairs(texts, "id", "text", keys, "key").collect()}
     assert found == {(1, "old ring"), (1, "ring saw"), (4, "ab"), (4, "é")}
+    monkeypatched = J.AUTOMATON_CHARS
+    try:
+        J.AUTOMATON_CHARS = 0  # more keys than may be sent: grams are shuffled
+        assert {tuple(r) for r in J.containment_pairs(texts, "id", "text", keys, "key").collect()} == found
+    finally:
+        J.AUTOMATON_CHARS = monkeypatched
+
+
+def test_last_canonical_name_stands(spark):
+    lists = spark.createDataFrame([(1, "a 1；b 2；c")], "row_id long, names string")
+    names = spark.createDataFrame([("a 1", 1), ("k 1", 2), ("k x1", 3), ("b 2", 4), ("d 2", 5)], "name string, ord int")
+    found = J.canonicalize_names(lists, names, F.regexp_extract("name", r"(\d)$", 1), "k").first()
+    assert found.names == "k x1；b 2；c"
+
+
+def test_list_gate(spark):
+    rows = [("a", "form", False), ("a", "list", False), ("b", "form", True), ("c", "form", False), ("d", "form", True), ("d", "list", True), ("d", "list", True), ("e", "other", False)]
+    gate = {r.batch: r.accepted for r in E.batch_count_gate(spark.createDataFrame(rows, "batch string, kind string, replaces boolean")).collect()}
+    assert gate == {"a": True, "b": True, "c": False, "d": False, "e": True}
+
+
+def test_images_go_to_batch_content_and_similar_case(spark):
+    form = "施工区域：A区 施工开始时间：2026年7月24日 施工结束时间：2026年7月24日 施工内容：{} 施工负责人：甲"
+    images = spark.createDataFrame([(1, "b1", "anything"), (2, "b2", "新建水管 现场"), (3, None, form.format("维修水塔")), (4, None, "nothing")], "doc_id long, batch string, text string")
+    day = datetime.date(2026, 7, 24)
+    cases = spark.createDataFrame([(10, "A区", "维修冷塔", day, day, True)], "case_id long, area string, content string, start_date date, end_date date, role_missing boolean")
+    batch = spark.createDataFrame([("b1", 20), ("b2", 21), ("b2", 22)], "batch string, case_id long")
+    created = spark.createDataFrame([(30, "新建水管"), (31, "x")], "case_id long, content string")
+    found = {(r.doc_id, r.case_id, r.stage) for r in P.assign_images(images, batch, created.where("case_id = 30"), cases).collect()}
+    assert found == {(1, 20, "batch"), (2, 30, "content"), (3, 10, "fuzzy")}
+
+
+def test_recent_images_are_named_after_their_case(spark):
+    day = datetime.date(2026, 7, 24)
+    cases = spark.createDataFrame([(1, "n1", "冷塔", day), (2, "n2", "维修冷塔", day), (3, "n3", "老塔", datetime.date(2020, 1, 1))], "case_id long, case_name string, content string, start_date date")
+    images = spark.createDataFrame([(1, "x.JPG", "维修冷塔"), (2, "y.jpg", "维修冷塔 工人名单"), (3, "z.jpg", "老塔"), (4, "w.jpg", "工人名单")], "doc_id long, name string, text string")
+    found = {r.doc_id: (r.case_id, r.target, r.action) for r in P.rename_images(images, cases, F.lit("2026-07-24").cast("date")).collect()}
+    assert found == {1: (2, "n2.jpg", "rename"), 2: (2, "n2_工人名单.jpg", "rename"), 3: (None, None, "unmatched"), 4: (None, "w_工人名单.jpg", "rename")}
+
+
+def test_ratio_equals_difflib_on_long_texts(spark):
+    import difflib
+    import random
+
+    r = random.Random(2)
+    pairs = [("".join(r.choice("abcd ") for _ in range(n)), "".join(r.choice("abcd ") for _ in range(n + 20))) for n in (0, 5, 150, 250, 400)]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    found = [x.ratio for x in rows.select("i", J.gestalt_ratio("a", "b").alias("ratio")).orderBy("i").collect()]
+    assert found == [difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+
+
+def test_blank_approval_fields_are_filled(spark):
+    cases = spark.createDataFrame([(1, "", "x"), (2, "12", ""), (3, "13", "y")], "case_id long, number string, source string")
+    keep = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "case_id long, keep_id long")
+    found = {r.case_id: (r.number, r.source) for r in E.filled_approvals(cases, keep, ["number", "source"]).collect()}
+    assert found == {1: ("12", "x"), 3: ("13", "y")}
