@@ -45,7 +45,7 @@ STAGES = [
     ("packing", pack_windows),
 ]
 
-#: The language and near-duplicate stages can't be stated in SQL; tests/llm holds near dedup against brute force and language ID against invented alphabets.
+#: The language and near-duplicate stages can't be stated in SQL; tests/llm holds every stage and run() against plain versions.
 ORACLE_SQL = None
 
 
