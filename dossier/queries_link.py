@@ -157,21 +157,22 @@ def gestalt_ratio(spark, sf_dir):
     return pairs.select("content", "other", J.gestalt_ratio("content", "other").alias("ratio"))
 
 
-@query("""with k as (select area, content, max(case_id) as last_id from v_cases where case_id % 2 = 0 group by area, content)
+@query("""with k as (select area, case when case_id % 2 = 0 then content else content || ' before' end as content, max(case_id) as last_id from v_cases group by all)
 select case_id, case when k.area is null then 'to_match' else 'names_' || last_id end as outcome from v_cases left join k using (area, content)""")
 def prior_match_lookup(spark, sf_dir):
     (c,) = views(spark, sf_dir, "v_cases")
-    prior = c.where("case_id % 2 = 0").select("area", "content", F.concat(F.lit("names_"), F.col("case_id").cast("string")).alias("names"), F.col("case_id").alias("row_no"))
+    content = F.when(F.col("case_id") % 2 == 0, F.col("content")).otherwise(F.concat("content", F.lit(" before"))).alias("content")
+    prior = c.select("area", content, F.concat(F.lit("names_"), F.col("case_id").cast("string")).alias("names"), F.col("case_id").alias("row_no"))
     known, left = J.prior_match_lookup(c, prior, ["area", "content"])
     return known.select("case_id", F.col("names").alias("outcome")).unionByName(left.select("case_id", F.lit("to_match").alias("outcome")))
 
 
-@query("""with r as (select distinct sha256(text) as h from documents where doc_id % 3 = 0)
+@query("""with c as (select sha256(text) as h, case when doc_id % 3 = 0 then 'v2' else 'v1' end as version from documents), r as (select distinct h from c where version = 'v2')
 select doc_id, r.h is not null as hit from documents d left join r on r.h = sha256(d.text)""")
 def recognized_text_lookup(spark, sf_dir):
     (d,) = views(spark, sf_dir, "documents")
     files = d.select("doc_id", F.sha2("text", 256).alias("sha256"))
-    cache = d.where("doc_id % 3 < 2").select(F.sha2("text", 256).alias("sha256"), F.when(F.col("doc_id") % 3 == 0, "v2").otherwise("v1").alias("version"), "text")
+    cache = d.select(F.sha2("text", 256).alias("sha256"), F.when(F.col("doc_id") % 3 == 0, "v2").otherwise("v1").alias("version"), "text")
     hits, misses = J.recognized_text_lookup(files, cache, "v2")
     return hits.select("doc_id", F.lit(True).alias("hit")).unionByName(misses.select("doc_id", F.lit(False).alias("hit")))
 
@@ -205,10 +206,10 @@ def file_index_lookup(spark, sf_dir):
     return J.file_index_lookup(p.select(F.col("page_id").alias("row_id"), F.concat(base, F.lit(".jpg")).alias("name")), files, [".jpeg", ".png"]).select("row_id", "path")
 
 
-@query("select i.case_id + 1000000 as incoming_id, e.case_id from v_cases i join v_cases e using (start_date, end_date, area, content) where i.case_id % 4 = 0")
+@query("select i.case_id + 1000000 as incoming_id, e.case_id from v_cases i join v_cases e using (start_date, end_date, area, content)")
 def duplicate_key_join(spark, sf_dir):
     (c,) = views(spark, sf_dir, "v_cases")
-    incoming = c.where("case_id % 4 = 0").withColumn("case_id", F.col("case_id") + 1000000).withColumn("area", F.concat(F.lit(" "), F.upper("area"))).withColumn("contact", F.lit("changed"))
+    incoming = c.withColumn("case_id", F.col("case_id") + 1000000).withColumn("area", F.concat(F.lit(" "), F.upper("area"))).withColumn("contact", F.lit("changed"))
     return J.duplicate_key_join(incoming, c)
 
 
@@ -265,16 +266,16 @@ def known_file_antijoin(spark, sf_dir):
     return J.known_file_antijoin(files, told.where("toxic = 1"), told.where("quality = 0")).select("doc_id")
 
 
-_DIFF = """l as (select 'd/' || doc_id as path, n_chars as size, sha256(text) as h from documents where doc_id % 10 <> 4), r as (select 'd/' || doc_id as path, n_chars as size, sha256(case when doc_id % 10 = 1 then text || '!' else text end) as h from documents where doc_id % 10 <> 0),
+_DIFF = """l as (select case when doc_id % 10 = 4 then 'd/old/' else 'd/' end || doc_id as path, n_chars as size, sha256(text) as h from documents), r as (select case when doc_id % 10 = 0 then 'd/new/' else 'd/' end || doc_id as path, n_chars as size, sha256(case when doc_id % 10 = 1 then text || '!' else text end) as h from documents),
 x as (select path, case when r.h is null then 'only_left' when l.h is null then 'only_right' when l.h <> r.h or l.size <> r.size then 'changed' end as difference from l full join r using (path))"""
 
 
 def _inventories(spark, sf_dir):
     (d,) = views(spark, sf_dir, "documents")
-    path = F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path")
-    left = d.where("doc_id % 10 <> 4").select(path, F.col("n_chars").alias("size"), F.sha2("text", 256).alias("sha256"))
+    path = lambda moved, folder: F.concat(F.when(F.col("doc_id") % 10 == moved, folder).otherwise("d/"), F.col("doc_id").cast("string")).alias("path")
+    left = d.select(path(4, "d/old/"), F.col("n_chars").alias("size"), F.sha2("text", 256).alias("sha256"))
     altered = F.when(F.col("doc_id") % 10 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    return left, d.where("doc_id % 10 <> 0").select(path, F.col("n_chars").alias("size"), F.sha2(altered, 256).alias("sha256"))
+    return left, d.select(path(0, "d/new/"), F.col("n_chars").alias("size"), F.sha2(altered, 256).alias("sha256"))
 
 
 @query(f"with {_DIFF} select path, difference from x where difference is not null")
@@ -306,8 +307,8 @@ def reclassify_evidence(spark, sf_dir):
     (d,) = views(spark, sf_dir, "documents")
     files = d.select(F.col("doc_id").alias("file_id"), F.when(F.col("doc_id") % 2 == 0, "worker_list").otherwise("word").alias("role"), F.sha2(F.concat("text", F.col("doc_id").cast("string")), 256).alias("sha256"))
     rendered = F.when(F.col("doc_id") % 3 == 0, "施工人员名单").when(F.col("doc_id") % 3 == 1, "质保作业申请单").otherwise("")
-    texts = d.where("doc_id % 5 <> 0").select(F.sha2(F.concat("text", F.col("doc_id").cast("string")), 256).alias("sha256"), F.concat("text", rendered).alias("text"))
-    there = files.where("file_id % 7 <> 3").select("sha256")
+    texts = d.select(F.sha2(F.concat("text", F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, "?").otherwise("")), 256).alias("sha256"), F.concat("text", rendered).alias("text"))
+    there = files.select(F.when(F.col("file_id") % 7 == 3, F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256"))
     return E.reclassify_evidence(files, texts, text_role(F.col("text")), there)
 
 
@@ -316,7 +317,7 @@ def link_integrity(spark, sf_dir):
     (p,) = views(spark, sf_dir, "pages")
     i = F.col("page_id").cast("string")
     links = p.select(F.col("page_id").alias("row_id"), F.when(F.col("page_id") % 5 == 1, F.concat(F.lit("../out/"), i)).otherwise(F.concat(F.lit("p/"), i)).alias("path"))
-    return J.link_integrity(links, p.where("page_id % 5 <> 2").select(F.concat(F.lit("p/"), i).alias("path")))
+    return J.link_integrity(links, p.select(F.concat(F.when(F.col("page_id") % 5 == 2, "q/").otherwise("p/"), i).alias("path")))
 
 
 @query("select case_id from v_cases where start_date between date '1995-06-15' - 2 and date '1995-06-15' + 14 and content <> ''")
