@@ -12,7 +12,7 @@ import zipfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Deleting these and nothing else makes two texts comparable (op3) or separates tokens (op1).
@@ -130,3 +130,29 @@ def lower_ascii(texts: pa.Array) -> pa.Array:
     if len(texts) and (texts.offset or np.frombuffer(texts.buffers()[1], np.int64, 1)[0]):  # ascii_lower misplaces the offsets of a slice
         texts = texts.take(pa.array(np.arange(len(texts))))
     return pc.ascii_lower(texts)
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """rows with group (the number of their keys in ascending order), rank (their number in order among these) and total (how many these are).
+
+    All count from 0, nulls come first. Rows are dealt out by ranges of keys and order, so a key with many rows spans several ranges and no
+    task sorts or counts it whole; order should tell rows apart as far as possible, since rows that are equal in it share a range.
+    """
+    spark = rows.sparkSession
+    by = [*keys, *order]
+    dealt = rows.repartitionByRange(shuffle_width(spark), *by).sortWithinPartitions(*by).withColumn("seq", F.monotonically_increasing_id())
+    placed, _ = stored(dealt.withColumn("part", F.shiftright("seq", 33)), "ranked")
+    named = [F.col(k).alias(f"key{i}") for i, k in enumerate(keys)]
+    counts = placed.groupBy("part", *named).agg(F.min("seq").alias("low"), F.count("*").alias("n")).withColumnRenamed("part", "of_part")
+    own = Window.partitionBy(*[f"key{i}" for i in range(len(keys))])
+    before = own.orderBy("of_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(own).alias("total"), F.min("low").over(own).alias("start"))
+    # a group starts in one range: its number is that of the groups that start in earlier ranges, and earlier in its own
+    starts = counts.where("low = start").select(F.col("of_part").alias("at"), "low", F.row_number().over(Window.partitionBy("of_part").orderBy("low")).alias("nth"))
+    earlier = starts.groupBy("at").count().select("at", F.coalesce(F.sum("count").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("groups"))
+    groups = starts.join(earlier, "at").select(F.col("low").alias("start"), (F.col("groups") + F.col("nth") - 1).alias("group"))
+    told, _ = stored(counts.join(groups, "start"), "ranked-groups")
+    same = F.col("part") == F.col("of_part")
+    for i, k in enumerate(keys):
+        same = same & placed[k].eqNullSafe(told[f"key{i}"])
+    return placed.join(told, same).select(*[placed[c] for c in rows.columns], "group", (F.col("seq") - F.col("low") + F.col("before")).alias("rank"), "total")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, lm_score, mixing, near_dedup, packing, secret_scan, token_counts, topk_search, warc
+from . import exact_dedup, language_id, lm_score, merkle, mixing, near_dedup, packing, secret_scan, token_counts, topk_search, warc
 from .common import new_path, table
 
 WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -120,9 +122,52 @@ from f join p using (source, lang, topic)
 """
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate(F.col("text"), ascii_uppercase, ascii_lowercase)
+    found = merkle.manifest(table(spark, sf_dir, "documents"), {"text": F.when(crc_mod(5) == 0, lower).otherwise(F.col("text"))})
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII text, bit by bit."""
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce([4294967295::bigint] || list_transform(string_split({text}, ''), lambda c: ascii(c)::bigint), lambda c, b: {bits}), 4294967295)"
+
+
+def _merkle_sql(deep: int = 7, wide: int = 5) -> str:
+    """The levels written out: sources of at most 16^deep documents, at most 16^wide sources."""
+    told = lambda c: f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+    head = " || ".join(told(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    crc = _crc32_sql("doc_id::varchar")
+    steps = [
+        f"""h as (select doc_id, source, sha256({head} || {told("text")}) as leaf,
+  case when coalesce({crc}, 0) % 5 = 0 then sha256({head} || {told(f"translate(text, '{ascii_uppercase}', '{ascii_lowercase}')")}) end as other from documents)""",
+        """l0 as materialized (select dense_rank() over (order by source nulls first) - 1 as t, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as p,
+  count(*) over (partition by source) as n, leaf as h, doc_id, coalesce(other, leaf) as other from h)""",
+    ]
+    up = "as materialized (select t, p // 16 as p, any_value((n + 15) // 16) as n, string_agg(h, '' order by p) as run, sha256(string_agg(h, '' order by p)) as h from {} where n > 1 group by t, p // 16)"
+    steps += [f"l{k + 1} {up.format(f'l{k}')}" for k in range(deep)]
+    steps.append("s as materialized (" + " union all ".join(f"select t, h from l{k} where n = 1" for k in range(deep + 1)) + ")")
+    steps.append("t0 as (select 0 as t, t as p, (select count(*) from s) as n, h from s)")
+    steps += [f"t{k + 1} {up.format(f't{k}')}" for k in range(wide)]
+    steps.append("r as (" + " union all ".join(f"select h as root from t{k} where n = 1" for k in range(wide + 1)) + ")")
+    steps.append("w as (select doc_id, h as leaf, t as tree, t, p, n, other as cur, '' as proof from l0)")
+    last = "w"
+    for level in [*[f"l{k + 1}" for k in range(deep)], "", *[f"t{k + 1}" for k in range(wide)]]:
+        if not level:
+            steps.append(f"w_top as (select * replace (0 as t, t as p, (select count(*) from s) as n) from {last})")
+            last = "w_top"
+            continue
+        left, right = "substr(u.run, 1, 64 * (w.p % 16))", "substr(u.run, 64 * (w.p % 16) + 65)"
+        steps.append(f"""w_{level} as (select w.* replace (w.p // 16 as p, (w.n + 15) // 16 as n, case when u.run is null then cur else sha256({left} || cur || {right}) end as cur,
+  case when u.run is null then proof else proof || {left} || {right} end as proof) from {last} w left join {level} u on u.t = w.t and u.p = w.p // 16 and w.n > 1)""")
+        last = f"w_{level}"
+    return f"with {', '.join(steps)}\nselect doc_id, leaf, s.h as subroot, root, sha256(proof) as proof_sha256, cur as folded_root, cur = root as verified from {last} join s on s.t = tree cross join r"
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_exact_dedup, op4_minhash_dedup, op5_token_counts, op6_language_id, op7_topk_search, op8_packing, op9_warc, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_exact_dedup, op4_minhash_dedup, op5_token_counts, op6_language_id, op7_topk_search, op8_packing, op9_warc, op10_source_mixing, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op7_topk_search": OP7_SQL, "op10_source_mixing": _mixing_sql()}
+    return {"op3_exact_dedup": OP3_SQL, "op7_topk_search": OP7_SQL, "op10_source_mixing": _mixing_sql(), "op13_merkle_manifest": _merkle_sql()}
