@@ -7,7 +7,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, lm_score, merkle, mixing, near_dedup, packing, secret_scan, token_counts, topk_search, warc
+from . import conversation_repair, exact_dedup, language_id, lm_score, merkle, mixing, near_dedup, packing, secret_scan, token_counts, topk_search, vector_dedup, warc
 from .common import new_path, table
 
 WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -122,6 +122,72 @@ from f join p using (source, lang, topic)
 """
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = conversation_repair.summaries(conversation_repair.damaged(rows))
+    every = rows.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    told = every.join(found, every["conv_id"].eqNullSafe(found["conv"]), "left")
+    return told.select("conv_id", *map(count, conversation_repair.COUNTS), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(conversation_repair.NOTHING_SHA256)).alias("repaired_sha256"))
+
+
+def _repair_sql() -> str:
+    """The dynamic programme as a recursion from the last row of every conversation to the first.
+
+    The best of a state is one text: cost (8 digits), edits, a separator and the repaired turns, so the least text is the least cost and the ASCII-least edits.
+    """
+    space, joint = r"[\x20\x09-\x0D]", "chr(1)"
+    told = lambda c: f"coalesce({c}::varchar, ' ')"
+    # before(x, cost, letter, turn): one edit in front of x
+    before = lambda x, cost, letter, turn: f"printf('%08d', substr({x}, 1, 8)::int + {cost}) || '{letter}' || split_part(substr({x}, 9), {joint}, 1) || {joint} || {turn} || split_part({x}, {joint}, 2)"
+    turn = lambda role, text: f"chr(10) || {role} || ':' || {text}"
+    follows = {"n": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+    goes, role = {"n": "u", "s": "u", "u": "a", "a": "u"}, {"n": "user", "s": "user", "u": "assistant", "a": "user"}
+    extra = "(case when f = 3 then 3 else 0 end)"
+    base = []
+    for q in "nsua":
+        # texts greater than every other one where an edit isn't possible
+        keep = " ".join(f"when '{i}' then {before(f'b.{to}', extra, 'K', turn('e.role', 'e.text'))}" for i, to in follows[q].items())
+        keep = f"case when f in (1, 2) then '~' else case e.initial {keep} when '' then {before(f'b.{q}', extra, 'K', turn('e.role', 'e.text'))} else '~' end end"
+        rerole = f"case when f in (1, 2) then '~' else {before(f'b.{goes[q]}', '3 + ' + extra, 'R', turn(f"'{role[q]}'", 'e.text'))} end"
+        base.append(f"least({before(f'b.{q}', 4, 'D', "''")}, {keep}, {rerole}) as {q}")
+    insert = lambda x, q: before(x, 3, "I", turn(f"'{role[q]}'", "''"))
+    close = lambda n, s, u, a: (
+        f"select * replace (least({n}, {insert(f'least({u}, {insert(a, "u")})', 'n')}) as n, least({s}, {insert(f'least({u}, {insert(a, "u")})', 's')}) as s, least({u}, {insert(a, 'u')}) as u, least({a}, {insert(u, 'a')}) as a)"
+    )
+    return rf"""
+with recursive k as (select *, {_crc32_sql(f"{told('conv_id')} || ':' || {told('turn')}")} % 20 as kind from conversations),
+d as (select conv_id, turn, case when kind = 4 then 'user' else {told('role')} end as role, case kind when 1 then '' when 2 then translate({told('text')}, '.!?', '') else {told('text')} end as text, unnest(range(case when kind = 3 then 2 else 1 end)) as nth from k where kind <> 0),
+o as (select conv_id, turn, role, text, substr(role, 1, 1) as initial, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, row_number() over (partition by conv_id, role, text order by turn nulls first) as same from d),
+e as materialized (select *, case when not regexp_matches(text, '[^ 	-]') then 1 when same > 1 then 2 when not regexp_matches(text, '[.!?]{space}*$') then 3 else 0 end as f from o),
+p as (select conv_id, count(*) filter (i > 1 and not pair in ('su', 'ua', 'au')) as illegal from (select conv_id, i, lag(initial) over (partition by conv_id order by i) || initial as pair from e) group by conv_id),
+c as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (f = 1) as blank, count(*) filter (f = 2) as duplicate, count(*) filter (f = 3) as truncated, max(i) as last from e group by conv_id),
+r as (
+  select conv_id, last as i, '00000000' || {joint} as n, '00000006II' || {joint} || {turn("'user'", "''")} || {turn("'assistant'", "''")} as s, '00000003I' || {joint} || {turn("'assistant'", "''")} as u, '00000000' || {joint} as a from c
+  union all
+  {close("n", "s", "u", "a")} from (select b.conv_id, b.i - 1 as i, {", ".join(base)} from r b join e on e.conv_id is not distinct from b.conv_id and e.i = b.i)),
+w as (select c.*, illegal, r.n from r join c on c.conv_id is not distinct from r.conv_id and r.i = 0 join p on p.conv_id is not distinct from r.conv_id)
+select v.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(substr(n, 1, 8)::bigint, 0) as cost,
+  coalesce(split_part(substr(n, 9), {joint}, 1), '') as audit, sha256(coalesce(substr(split_part(n, {joint}, 2), 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) v left join w on w.conv_id is not distinct from v.conv_id
+"""
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.classes(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+OP12_SQL = f"""
+with recursive e as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p as materialized (select a.vec_id as x, b.vec_id as y from e a join e b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.v, b.v) >= {vector_dedup.COSINE}),
+r(x, y) as (select vec_id, vec_id from e union select r.x, p.y from r join p on p.x = r.y),
+c as (select x, min(y) as component_id from r group by x), n as (select x, count(*) as n_links from p group by x)
+select vec_id, coalesce(n_links, 0) as n_links, coalesce(component_id, vec_id) as component_id, coalesce(component_id, vec_id) = vec_id as kept
+from embeddings left join c on c.x = vec_id left join n on n.x = vec_id
+"""
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     lower = F.translate(F.col("text"), ascii_uppercase, ascii_lowercase)
     found = merkle.manifest(table(spark, sf_dir, "documents"), {"text": F.when(crc_mod(5) == 0, lower).otherwise(F.col("text"))})
@@ -166,8 +232,8 @@ def _merkle_sql(deep: int = 7, wide: int = 5) -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_exact_dedup, op4_minhash_dedup, op5_token_counts, op6_language_id, op7_topk_search, op8_packing, op9_warc, op10_source_mixing, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_exact_dedup, op4_minhash_dedup, op5_token_counts, op6_language_id, op7_topk_search, op8_packing, op9_warc, op10_source_mixing, op11_conversation_repair, op12_embedding_dedup, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op7_topk_search": OP7_SQL, "op10_source_mixing": _mixing_sql(), "op13_merkle_manifest": _merkle_sql()}
+    return {"op3_exact_dedup": OP3_SQL, "op7_topk_search": OP7_SQL, "op10_source_mixing": _mixing_sql(), "op11_conversation_repair": _repair_sql(), "op12_embedding_dedup": OP12_SQL, "op13_merkle_manifest": _merkle_sql()}
