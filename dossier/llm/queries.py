@@ -158,8 +158,10 @@ def _repair_sql() -> str:
     return rf"""
 with recursive k as (select *, {_crc32_sql(f"{told('conv_id')} || ':' || {told('turn')}")} % 20 as kind from conversations),
 d as (select conv_id, turn, case when kind = 4 then 'user' else {told('role')} end as role, case kind when 1 then '' when 2 then translate({told('text')}, '.!?', '') else {told('text')} end as text, unnest(range(case when kind = 3 then 2 else 1 end)) as nth from k where kind <> 0),
-o as (select conv_id, turn, role, text, substr(role, 1, 1) as initial, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, row_number() over (partition by conv_id, role, text order by turn nulls first) as same from d),
-e as materialized (select *, case when not regexp_matches(text, '[^ 	-]') then 1 when same > 1 then 2 when not regexp_matches(text, '[.!?]{space}*$') then 3 else 0 end as f from o),
+o as (select conv_id, turn, role, text, substr(role, 1, 1) as initial, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from d),
+m as (select *, row_number() over (partition by conv_id, role, text order by i) as same from o),
+e as materialized (select *, case when not regexp_matches(text, '[^ 	-
+]') then 1 when same > 1 then 2 when not regexp_matches(text, '[.!?]{space}*$') then 3 else 0 end as f from m),
 p as (select conv_id, count(*) filter (i > 1 and not pair in ('su', 'ua', 'au')) as illegal from (select conv_id, i, lag(initial) over (partition by conv_id order by i) || initial as pair from e) group by conv_id),
 c as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (f = 1) as blank, count(*) filter (f = 2) as duplicate, count(*) filter (f = 3) as truncated, max(i) as last from e group by conv_id),
 r as (
