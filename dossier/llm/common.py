@@ -117,11 +117,36 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return rows.join(hot, key).unionByName(rest.join(groups.where(F.col(size) <= total // share), key))
 
 
+def own_name(name: str) -> str:
+    """A column name that no caller's table has."""
+    return f"_{name}_{uuid.uuid4().hex}"
+
+
 def without_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """rows less those whose id_col is in ids (id), nulls too; rows are shuffled only if the ids are too many to be broadcast."""
-    ids, _ = stored(ids.select(F.col("id").alias("gone_id_")), "ids")
+    gone = own_name("gone")
+    ids, _ = stored(ids.select(F.col("id").alias(gone)), "ids")
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, F.col(id_col).cast("long").eqNullSafe(F.col("gone_id_")), "left_anti")
+    return rows.join(F.broadcast(ids) if few else ids, F.col(id_col).cast("long").eqNullSafe(F.col(gone)), "left_anti")
+
+
+def with_payloads(rows: DataFrame, data: DataFrame, key: str, payload: str, sides: dict[str, str], strip: int = 64) -> DataFrame:
+    """rows with the payload that data has for their value of each column in sides, under the name given there.
+
+    A payload is sent once for each strip of at most about that many rows, so no key's rows meet in one task and no payload is
+    repeated by row in a shuffle of its own side.
+    """
+    hashed = F.xxhash64(*rows.columns)
+    copies = {}
+    for side in sides:
+        parts, _ = stored(rows.groupBy(side).agg(F.ceil(F.count("*") / strip).alias("parts_" + side)), "parts")
+        every = F.sequence(F.lit(0).cast("long"), F.col("parts_" + side) - 1)
+        copies[side] = data.select(F.col(key).alias(side), F.col(payload).alias(sides[side])).join(parts, side).withColumn("strip_" + side, F.explode(every)).drop("parts_" + side)
+        rows = with_groups(rows, parts, side, "parts_" + side, parts.agg(F.sum("parts_" + side)).first()[0] or 0)
+    dealt, _ = stored(rows.select("*", *[F.pmod(hashed, "parts_" + side).alias("strip_" + side) for side in sides]).drop(*["parts_" + side for side in sides]), "dealt")
+    for side in sides:
+        dealt = dealt.join(copies[side], [side, "strip_" + side])
+    return dealt.drop(*["strip_" + side for side in sides])
 
 
 def lower_ascii(texts: pa.Array) -> pa.Array:

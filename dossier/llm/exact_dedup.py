@@ -11,7 +11,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, exists, new_path, shuffle_width, stored, text_or_empty, with_groups, without_ids
+from .common import ASCII_SPACE, exists, new_path, own_name, shuffle_width, stored, text_or_empty, with_groups, without_ids
 
 #: A digest is hot if it holds more than one row in HOT_SHARE; there are fewer than HOT_SHARE such digests.
 HOT_SHARE = 1000
@@ -101,9 +101,10 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
 
 def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows with equal id and text one stays; an empty table gives none.
+    """The rows of docs that stay, with all their columns, whatever these are called; of rows with equal id and text one stays.
 
-    Texts aren't shuffled where the ids that go are few enough to be broadcast. Rows that share an id are told apart by their digests.
+    Null texts equal empty ones, ties go to the longest original text and then the smallest id, a null id loses them; an empty table gives no
+    rows. Texts aren't shuffled where the ids that go are few enough to be broadcast. Rows that share an id are told apart by their digests.
     """
     decided, _ = stored(deduplicate(docs, index, id_col, text_col, batch).select("id", "digest", "kept"), "decided")
     ids, _ = stored(decided.groupBy("id").agg(F.count("*").alias("rows"), F.count_if("kept").alias("stay")), "decided-ids")
@@ -111,10 +112,11 @@ def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text
     mixed = ids.where("stay > 0 and stay < rows").select("id")
     if mixed.isEmpty():
         return stay
-    keys = decided.join(mixed, decided["id"].eqNullSafe(mixed["id"]), "left_semi").where("kept").select(F.col("id").alias("kept_id_"), F.col("digest").alias("kept_digest_"))
+    kept_id, kept_digest, digest, nth = (own_name(x) for x in ("kept_id", "kept_digest", "digest", "nth"))
+    keys = decided.join(mixed, decided["id"].eqNullSafe(mixed["id"]), "left_semi").where("kept").select(F.col("id").alias(kept_id), F.col("digest").alias(kept_digest))
     text = F.regexp_replace(text_or_empty(text_col), ASCII_SPACE + "+", "")
-    marked = stay.withColumn("digest_", F.unhex(F.sha2(text, 256)))
-    first = marked.join(keys, F.col(id_col).cast("long").eqNullSafe(F.col("kept_id_")) & (F.col("digest_") == F.col("kept_digest_")), "left_semi")
-    longest = Window.partitionBy(id_col, "digest_").orderBy(F.desc(F.length(text_or_empty(text_col))))
-    first = first.withColumn("nth_", F.row_number().over(longest)).where("nth_ = 1").drop("digest_", "nth_")
+    marked = stay.withColumn(digest, F.unhex(F.sha2(text, 256)))
+    first = marked.join(keys, F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(kept_digest)), "left_semi")
+    longest = Window.partitionBy(id_col, digest).orderBy(F.desc(F.length(text_or_empty(text_col))))
+    first = first.withColumn(nth, F.row_number().over(longest)).where(F.col(nth) == 1).drop(digest, nth)
     return without_ids(stay, mixed, id_col).unionByName(first)

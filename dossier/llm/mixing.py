@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, stored, text_or_empty
+from .common import ASCII_SPACE, own_name, stored, text_or_empty
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Targets where none are given: shares proportional to the observed share to this power.
@@ -119,10 +119,10 @@ def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     empty table gives no rows. source and lang have to exist; a null constant does where a table has none.
     """
     cells = raked(features(docs, id_col, text_col, topic_of), targets)
-    cells, _ = stored(cells.select(*[F.col(d).alias(d + "_of_cell_") for d in DIMENSIONS], "probability"), "raked")
+    of_cell, probability = [own_name(d) for d in DIMENSIONS], own_name("probability")
+    cells, _ = stored(cells.select(*[F.col(d).alias(c) for d, c in zip(DIMENSIONS, of_cell, strict=True)], F.col("probability").alias(probability)), "raked")
     keys = _cell(docs, text_col, topic_of)
     if cells.count() <= BROADCAST_CELLS:
         cells = F.broadcast(cells)
-    on = [key == F.col(d + "_of_cell_") for d, key in zip(DIMENSIONS, keys, strict=True)]
-    cells = cells.withColumnRenamed("probability", "probability_of_cell_")
-    return docs.join(cells, on).where(_chance(id_col) < F.col("probability_of_cell_")).select(*[docs[c] for c in docs.columns])
+    on = [key == F.col(c) for c, key in zip(of_cell, keys, strict=True)]
+    return docs.join(cells, on).where(_chance(id_col) < F.col(probability)).select(*[docs[c] for c in docs.columns])

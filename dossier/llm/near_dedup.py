@@ -6,8 +6,9 @@ earliest of a coordinate is its value: two documents agree in a coordinate with
 
 Documents with equal shingle sets are one set. Sets that share a band are first compared with the bucket's representative, the set
 that shares most places with others, and components follow from the verified links. In a further round each component of a bucket sends one member to one of the bucket's largest
-component, which joins dense groups with few comparisons. Last, members of a bucket that are still apart are compared with each other
-exactly, unless a map of their shingles proves that they are less similar, so no candidate pair of different components remains untested.
+component, which joins dense groups with few comparisons. Last, sets that are still apart in a bucket meet by a prefix filter: shingles are
+ordered from rare to frequent; of a pair of the least similarity the larger set's first (1 - t) share and the smaller one's first (1 - t) / (1 + t) have a
+shingle in common. What meets by length and by place is verified exactly, so no pair of different components remains untested.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lower_ascii, ship, stored, text_or_empty, tidy, with_groups, without_ids
+from .common import discard, lower_ascii, own_name, ship, stored, text_or_empty, tidy, with_groups, with_payloads, without_ids
 from .topk_search import small_batches
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -29,8 +30,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 MISS, COORDINATES, MOST_ROWS = 7e-6, 150, 5
 #: Rounds at most in which components of a bucket meet its largest one; they end when a round links less than one pair in GAIN.
 ROUNDS, GAIN = 4, 20
-#: Bits of the map of a set's shingles.
-MAP_BITS = 2048
+#: Counters that shingles are counted in to order them by frequency; any order is right, a good one lets few pairs meet.
+COUNTERS = 1 << 20
 #: Places (elements x rank cells) and bytes of text that are handled at once.
 CELLS_AT_ONCE, BYTES_AT_ONCE = 1 << 20, 4 << 20
 EMPTY = np.uint64(2**64 - 1)
@@ -146,23 +147,77 @@ def _set_key(hashed: np.ndarray, counts: np.ndarray, counted: bool) -> bytes:
     return xxhash.xxh3_128_digest(hashed.tobytes() + (counts.astype("<i8").tobytes() if counted else b""))
 
 
-def shingle_maps(of: np.ndarray, hashed: np.ndarray, n: int) -> np.ndarray:
-    """A row of MAP_BITS bits, as 64-bit numbers, for each of n sets: those are set that a shingle of the set falls on."""
-    maps = np.zeros((n, MAP_BITS // 64), np.uint64)
-    bit = hashed % np.uint64(MAP_BITS)
-    np.bitwise_or.at(maps, (of, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
-    return maps.view(np.int64)
+def _tokens(data: bytes, counted: bool) -> np.ndarray:
+    """The distinct tokens of a stored set; a shingle that counts several times is as many tokens."""
+    x = np.frombuffer(data, np.uint64)
+    if not counted:
+        return x
+    x, times = x[: len(x) // 2], x[len(x) // 2 :].astype(np.int64)
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return mixed(np.repeat(x, times) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _frequencies(counted: bool):
+    """counter, n: how often a task's tokens fall on each counter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                np.add.at(n, (_tokens(data, counted) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["counter", "n"])
+
+    return run
 
 
-def may_be_similar(least: float) -> Column:
-    """False only for sets (n, map, spare) and (n_b, map_b, spare_b) whose similarity is surely below least.
+def prefixes(tokens: np.ndarray, often: np.ndarray, least: float) -> tuple[np.ndarray, int]:
+    """The first tokens of a set from rare to frequent, as many as it needs where it is the larger one of a pair, and how many it needs as the smaller one.
 
-    spare is n less the bits of the map. A bit that one map alone has stands for at least one shingle that the other set lacks,
-    so sets share at most the bits that both maps have and the smaller spare.
+    A pair of at least least has a token in common among the larger set's first n - ceil(least n) + 1 and the smaller one's first
+    n - ceil(2 least / (1 + least) n) + 1.
     """
-    common = F.expr("aggregate(zip_with(map, map_b, (x, y) -> bit_count(x & y)), 0, (a, x) -> a + x)")
-    shared = F.least("spare", "spare_b") + common
-    return shared >= least * (F.col("n") + F.col("n_b")) / (1 + least) - 1e-6
+    n = len(tokens)
+    order = np.lexsort((tokens, often[(tokens % np.uint64(COUNTERS)).astype(np.int64)]))
+    whole = n - int(np.ceil(least * n - 1e-9)) + 1
+    own = n - int(np.ceil(2 * least / (1 + least) * n - 1e-9)) + 1
+    return tokens[order[: min(n, whole)]], min(n, own)
+
+
+def _prefixed(sent, least: float, counted: bool):
+    """node, own, apart, n, token, place, early (among the first of the smaller set) of sets (node, own, apart, data)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.frombuffer(sent.value, np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tokens = _tokens(batch.column(3)[i].as_py(), counted)
+                first, own = prefixes(tokens, often, least)
+                k = len(first)
+                row = [pa.array([batch.column(c)[i].as_py()] * k, batch.column(c).type) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*row, pa.array(np.full(k, len(tokens))), pa.array(first.view(np.int64)), pa.array(np.arange(k)), pa.array(np.arange(k) < own)], names=["node", "own", "apart", "n", "token", "place", "early"])
+
+    return run
+
+
+PREFIXED = "node long, own long, apart boolean, n long, token long, place long, early boolean"
+
+
+def _meeting(sets: DataFrame, data: DataFrame, least: float, counted: bool) -> DataFrame:
+    """x, y of sets (node, own, apart) of different own, one of them apart, whose similarity may be at least least; data: node, data."""
+    spark = sets.sparkSession
+    with small_batches(spark, 500):
+        often = np.zeros(COUNTERS, np.int64)
+        for r in data.select("data").mapInArrow(tidy(_frequencies(counted)), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).where("n > 1").toLocalIterator():
+            often[r.counter] = r.n
+        sent = spark.sparkContext.broadcast(often.tobytes())
+        rows, _ = stored(sets.join(data, "node").select("node", "own", "apart", "data").mapInArrow(tidy(_prefixed(sent, least, counted)), PREFIXED), "prefixes")
+    early = rows.where("early").select("token", *[F.col(c).alias(c + "_b") for c in ("node", "own", "apart", "n", "place")])
+    smaller = (F.col("n_b") < F.col("n")) | ((F.col("n_b") == F.col("n")) & (F.col("node_b") < F.col("node")))
+    # at the first token in common, all others lie behind it in both sets
+    able = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) >= least / (1 + least) * (F.col("n") + F.col("n_b")) - 1e-6
+    met = rows.join(early, "token").where(smaller & (F.col("own") != F.col("own_b")) & (F.col("apart") | F.col("apart_b")) & (F.col("n_b") >= least * F.col("n") - 1e-6) & able)
+    return met.select(F.least("node", "node_b").alias("x"), F.greatest("node", "node_b").alias("y")).distinct()
 
 
 def _signed(counted: bool, size: int, bands: int, rows: int):
@@ -180,9 +235,7 @@ def _signed(counted: bool, size: int, bands: int, rows: int):
                 banded = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * bands, bands, dtype=np.int32)), pa.array(band.reshape(-1).view(np.int64)))
                 keys = [_set_key(hashed[a:b], counts[a:b], counted) for a, b in zip(ends, ends[1:], strict=False)]
                 mass = np.bincount(of, weights=weight, minlength=n).astype(np.int64)
-                maps = shingle_maps(of, hashed, n)
-                maps = pa.ListArray.from_arrays(pa.array(np.arange(0, maps.size + 1, maps.shape[1], dtype=np.int32)), pa.array(maps.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(mass), banded, maps], names=["id", "key", "n", "bands", "map"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(mass), banded], names=["id", "key", "n", "bands"])
 
     return run
 
@@ -229,132 +282,154 @@ def _linked(least: float, counted: bool):
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node that links (x, y) connect each node with; nodes without links are left out.
 
-    Each round takes the smallest label among a node and its neighbours and then the label of that label, until none changes.
+    Each round takes the smallest label among a node and its neighbours and then the label of that label, until none changes. The few nodes that
+    have more than a thousandth of the links are told to all tasks.
     """
     spark = links.sparkSession
     both, _ = stored(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct(), "links")
+    total = both.count()
+    degrees, _ = stored(both.groupBy("y").agg(F.count("*").alias("links")), "degrees")
     labels, path = stored(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).withColumnRenamed("x", "node"), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").select(F.col("x").alias("node"), "label")
+        told, middle_told = stored(labels.withColumnRenamed("node", "y").join(degrees, "y"), "labels")
+        near = with_groups(both, told, "y", "links", total).select(F.col("x").alias("node"), "label")
         least = near.unionByName(labels).groupBy("node").agg(F.min("label").alias("new"))
         least, middle = stored(least, "labels")
         of = least.select(F.col("node").alias("new"), F.col("new").alias("jump"))
         jumped = least.join(of, "new").join(labels.withColumnRenamed("label", "old"), "node")
         now, after = stored(jumped.select("node", F.least("new", "jump").alias("label"), (F.least("new", "jump") != F.col("old")).alias("changed")), "labels")
-        discard(spark, path, middle)
+        discard(spark, path, middle, middle_told)
         path = after
         if now.where("changed").isEmpty():
             return now.select("node", "label")
         labels = now.select("node", "label")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, least: float, counted: bool, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Those (x, y) of pairs whose similarity is at least least; docs are read for the sets in pairs only."""
-    spark = docs.sparkSession
-    nodes = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-    need = sets.join(nodes, "node", "left_semi").select("node", "key", F.col("rep").alias("rep_id_"))
+def _data_of(nodes: DataFrame, sets: DataFrame, docs: DataFrame, counted: bool, size: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """node, data (the set's shingles) of nodes, and the path where they are; docs are read for these sets only."""
+    need = sets.join(nodes.distinct(), "node", "left_semi").select("node", "key", F.col("rep").alias("rep_id_"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_"), text_or_empty(text_col).alias("text_")).join(need, F.col("doc_").eqNullSafe(F.col("rep_id_")))
-    data, path = stored(texts.select("node", "key", "text_").mapInArrow(tidy(_sets_of(counted, size)), "node long, data binary").dropDuplicates(["node"]), "shingles")
-    of = lambda c, d: data.select(F.col("node").alias(c), F.col("data").alias(d))
-    with small_batches(spark, 500):
-        rows = pairs.join(of("x", "a"), "x").join(of("y", "b"), "y").select("x", "y", "a", "b")
-        links, _ = stored(rows.mapInArrow(tidy(_linked(least, counted)), "x long, y long"), "near-links")
-    discard(spark, path)
-    return links
+    return stored(texts.select("node", "key", "text_").mapInArrow(tidy(_sets_of(counted, size)), "node long, data binary").dropDuplicates(["node"]), "shingles")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, size: int = SHINGLE, counted: bool = False) -> DataFrame:
-    """id, key, class_id, class_size: one row for each row of docs.
+def _verified(pairs: DataFrame, data: DataFrame, least: float, counted: bool) -> DataFrame:
+    """Those (x, y) of pairs whose similarity is at least least; data: node, data."""
+    with small_batches(pairs.sparkSession, 500):
+        rows = with_payloads(pairs, data, "node", "data", {"x": "a", "y": "b"}).select("x", "y", "a", "b")
+        return stored(rows.mapInArrow(tidy(_linked(least, counted)), "x long, y long"), "near-links")[0]
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, size: int = SHINGLE, counted: bool = False, report: dict | None = None) -> DataFrame:
+    """id, key, class_id, class_size, links: one row for each row of docs.
 
     Documents are linked if the Jaccard similarity of their shingle sets (of their shingle counts, if counted) is at least
-    least; the bands follow from it, so that a link is missed with a chance of MISS at most. Classes are the components of the links and named by their smallest id. Null texts equal empty ones; texts without words form one
+    least; the bands follow from it, so that a link is missed with a chance of MISS at most. Classes are the components of the links and named by their smallest id.
+    links tells how many verified links the document's set has: enough to connect its class, not all. Null texts equal empty ones; texts without words form one
     class; a null id takes part and names a class only if the class has no other; repeated rows are members each; an
-    empty table gives no rows. Other columns are not read.
+    empty table gives no rows. Other columns are not read. report gets the number of pairs that the last step verifies.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    signed, _ = stored(rows.mapInArrow(tidy(_signed(counted, size, *banding(least))), "id long, key binary, n long, bands array<long>, map array<long>"), "signatures")
+    signed, _ = stored(rows.mapInArrow(tidy(_signed(counted, size, *banding(least))), "id long, key binary, n long, bands array<long>"), "signatures")
     total = signed.count()
-    first = [F.first(c).alias(c) for c in ("n", "bands", "map")]
+    first = [F.first(c).alias(c) for c in ("n", "bands")]
     sets = signed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("members"), *first)
     sets, _ = stored(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    data_of = lambda nodes: _data_of(nodes, sets, docs, counted, size, id_col, text_col)
+    ends = lambda pairs: pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node")))
 
     bands, _ = stored(sets.select("node", "n", F.explode("bands").alias("band")), "bands")
-    # the representative of a bucket is the set that shares most places with others: the original of its copies, if there is one
-    sizes = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    shared, _ = stored(bands.join(sizes, "band"), "shared")
+    placed = bands.count()
+    # the representative of a bucket is the set that shares most places with others: the original of its copies, if there is one;
+    # a bucket that holds many sets is told to all tasks, so none is dealt to one of them
+    sizes, _ = stored(bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    shared, _ = stored(with_groups(bands, sizes, "band", "size", placed), "shared")
     places, _ = stored(shared.groupBy("node").agg(F.sum("size").alias("places")), "places")
     order = F.struct("places", F.xxhash64("node").alias("h"), "node", "n")
-    buckets = shared.join(places, "node").groupBy("band").agg(F.max(order).alias("rep"))
-    buckets, _ = stored(buckets.select("band", F.col("rep.node").alias("rep_node"), F.col("rep.n").alias("rep_n")), "buckets")
-    members, _ = stored(shared.drop("size").join(buckets, "band"), "members")
+    buckets = shared.join(places, "node").groupBy("band").agg(F.max(order).alias("rep"), F.first("size").alias("size"))
+    buckets, _ = stored(buckets.select("band", "size", F.col("rep.node").alias("rep_node"), F.col("rep.n").alias("rep_n")), "buckets")
+    members, _ = stored(with_groups(shared.drop("size"), buckets, "band", "size", placed), "members")
     near_size = F.least("n", "rep_n") >= least * F.greatest("n", "rep_n")
     pairs = members.where((F.col("node") != F.col("rep_node")) & near_size)
     pairs, _ = stored(pairs.select(F.col("node").alias("x"), F.col("rep_node").alias("y")).distinct(), "pairs")
-    links = _verified(pairs, sets, docs, least, counted, size, id_col, text_col)
+    data, path = data_of(ends(pairs))
+    links = _verified(pairs, data, least, counted)
+    discard(spark, path)
     labels = components(links)
-
-    last = False
-    for k in range(ROUNDS + 1):
-        of = lambda c, d, labels=labels: labels.select(F.col("node").alias(c), F.col("label").alias(d))
-        told = members.select("band", "node", "n").join(of("node", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
-        if k == 0:
-            # only buckets with several components matter from here on
-            several = told.groupBy("band").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("band")
-            members, _ = stored(told.join(several, "band", "left_semi").select("band", "node", "n"), "apart")
-            told = members.join(of("node", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
-        parts = told.groupBy("band", "own").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "band", F.lit(k)).alias("h"), "node", "n")).alias("one"))
+    of = lambda c, d: labels.select(F.col("node").alias(c), F.col("label").alias(d))
+    with_own = lambda rows: rows.join(of("node", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
+
+    # only buckets with several components matter from here on
+    several = lambda told: told.groupBy("band").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("size")).where("low <> high").select("band", "size")
+    told = with_own(members.select("band", "node", "n"))
+    apart, _ = stored(several(told), "several")
+    members, _ = stored(with_groups(told, apart, "band", "size", placed).select("band", "node", "n"), "apart")
+    for k in range(ROUNDS):
+        parts = with_own(members).groupBy("band", "own").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "band", F.lit(k)).alias("h"), "node", "n")).alias("one"))
         parts, _ = stored(parts, "parts")
-        main = parts.groupBy("band").agg(F.max(F.struct("size", "own", "one")).alias("main"))
+        main = parts.groupBy("band").agg(F.max(F.struct("size", "own", "one")).alias("main"), F.count("*").alias("parts"))
         main, _ = stored(main, "mains")
-        if not last:
-            met = parts.join(main, "band").where("own <> main.own").select("one.node", "one.n", F.col("main.one.node").alias("node_b"), F.col("main.one.n").alias("n_b"))
-        else:
-            # what is still apart from the largest component of its bucket, against all of the bucket
-            spare = F.col("n") - F.expr("aggregate(map, 0, (a, x) -> a + bit_count(x))")
-            told, _ = stored(told.join(sets.select("node", "map"), "node").withColumn("spare", spare), "told")
-            apart = told.join(main.select("band", F.col("main.own").alias("main_own")), "band").where("own <> main_own").drop("main_own")
-            others = told.select("band", *[F.col(c).alias(c + "_b") for c in ("node", "n", "own", "map", "spare")])
-            ratio = F.least("n", "n_b") >= least * F.greatest("n", "n_b")
-            met = apart.withColumnRenamed("band", "band_a").join(others, (F.col("band_a") == F.col("band")) & (F.col("own") != F.col("own_b")) & ratio & may_be_similar(least))
+        met = with_groups(parts, main, "band", "parts", parts.count()).where("own <> main.own").select("one.node", "one.n", F.col("main.one.node").alias("node_b"), F.col("main.one.n").alias("n_b"))
         met = met.where(F.least("n", "n_b") >= least * F.greatest("n", "n_b")).select(F.least("node", "node_b").alias("x"), F.greatest("node", "node_b").alias("y")).distinct()
         met, _ = stored(met, "pairs")
         tested, linked = met.count(), 0
         if tested:
-            found = _verified(met, sets, docs, least, counted, size, id_col, text_col)
+            data, path = data_of(ends(met))
+            found = _verified(met, data, least, counted)
+            discard(spark, path)
             linked = found.count()
         if linked:
             links = links.unionByName(found)
             labels = components(links)
-        if last:
+        if linked * GAIN < tested or not tested:
             break
-        last = linked * GAIN < tested or not tested or k == ROUNDS - 1
 
-    named = sets.join(labels, "node", "left").select("key", "rep", "members", F.coalesce("label", "node").alias("label"))
+    # what is still apart from the largest component of a bucket, against all sets of such buckets
+    told, _ = stored(with_own(members), "told")
+    parts = told.groupBy("band", "own").agg(F.count("*").alias("size"))
+    main = parts.groupBy("band").agg(F.max(F.struct("size", "own")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("size")).where("parts > 1")
+    main, _ = stored(main.select("band", "size", F.col("main.own").alias("main_own")), "mains")
+    inside = with_groups(told, main, "band", "size", placed).groupBy("node").agg(F.first("own").alias("own"), F.max(F.col("own") != F.col("main_own")).alias("apart"))
+    inside, _ = stored(inside, "inside")
+    tested = 0
+    if not inside.isEmpty():
+        data, path = data_of(inside.select("node"))
+        met, _ = stored(_meeting(inside, data, least, counted), "pairs")
+        tested = met.count()
+        if tested:
+            links = links.unionByName(_verified(met, data, least, counted))
+            labels = components(links)
+        discard(spark, path)
+    if report is not None:
+        report["last_pairs"] = tested
+
+    degree = ends(links.distinct()).groupBy("node").agg(F.count("*").alias("links"))
+    named = sets.join(labels, "node", "left").join(degree, "node", "left").select("key", "rep", "members", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     named, _ = stored(named, "named")
-    groups = named.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("members").alias("class_size"))
+    groups = named.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("members").alias("class_size"), F.count("*").alias("sets"))
     groups, _ = stored(groups, "classes")
-    known, _ = stored(named.join(groups, "label").select("key", "members", "class_id", "class_size"), "known")
-    return with_groups(signed.select("id", "key"), known, "key", "members", total).select("id", "key", "class_id", "class_size")
+    known = with_groups(named, groups, "label", "sets", named.count())
+    known, _ = stored(known.select("key", "members", "class_id", "class_size", "links"), "known")
+    return with_groups(signed.select("id", "key"), known, "key", "members", total).select("id", "key", "class_id", "class_size", "links")
 
 
-def _keyed(size: int):
+def _keyed(size: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, hashed, counts = shingles(batch.column(batch.num_columns - 1), size)
             ends = np.searchsorted(of, np.arange(batch.num_rows + 1))
             keys = [_set_key(hashed[a:b], counts[a:b], False) for a, b in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.binary())], names=[*batch.schema.names[:-1], "key_"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.binary())], names=[*batch.schema.names[:-1], name])
 
     return run
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that name their class, with all their columns; of rows that share an id and a set one stays.
+    """The rows of docs that name their class, with all their columns, whatever these are called; of rows that share an id and a set one stays.
 
-    Null texts equal empty ones; a null id stays only where its class has no other; an empty table gives no rows. Texts aren't
-    shuffled where the ids that go are few enough to be broadcast.
+    Null texts equal empty ones; texts of any length are read whole; a null id stays only where its class has no other; an empty table gives no
+    rows. Texts aren't shuffled where the ids that go are few enough to be broadcast.
     """
     found, _ = stored(classes(docs, id_col, text_col).select("id", "key", F.col("id").eqNullSafe(F.col("class_id")).alias("names")), "near-decided")
     ids, _ = stored(found.groupBy("id").agg(F.count("*").alias("rows"), F.count_if("names").alias("stay")), "near-ids")
@@ -363,10 +438,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if repeated.isEmpty():
         return stay
     # rows that share an id are told apart by their sets
+    again_id, text, key, kept_id, kept_key = (own_name(x) for x in ("again", "text", "key", "kept_id", "kept_key"))
     own = F.col(id_col).cast("long")
-    again = stay.join(repeated.withColumnRenamed("id", "again_id_"), own.eqNullSafe(F.col("again_id_")), "left_semi").withColumn("key_text_", text_or_empty(text_col))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", key_ binary"
-    kept = found.where("names").select(F.col("id").alias("kept_id_"), F.col("key").alias("kept_key_"))
-    keyed = again.mapInArrow(_keyed(SHINGLE), schema)
-    keyed = keyed.join(kept, own.eqNullSafe(F.col("kept_id_")) & (F.col("key_") == F.col("kept_key_")), "left_semi")
-    return without_ids(stay, repeated, id_col).unionByName(keyed.dropDuplicates([id_col, "key_"]).drop("key_"))
+    again = stay.join(repeated.withColumnRenamed("id", again_id), own.eqNullSafe(F.col(again_id)), "left_semi").withColumn(text, text_or_empty(text_col))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {key} binary"
+    kept = found.where("names").select(F.col("id").alias(kept_id), F.col("key").alias(kept_key))
+    keyed = again.mapInArrow(_keyed(SHINGLE, key), schema)
+    keyed = keyed.join(kept, own.eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_key)), "left_semi")
+    return without_ids(stay, repeated, id_col).unionByName(keyed.dropDuplicates([id_col, key]).drop(key))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, ship, stored, text_or_empty, tidy
+from .common import lower_ascii, own_name, ship, stored, text_or_empty, tidy
 
 WINDOW = 4096
 END_ID = 2
@@ -149,7 +149,11 @@ def _cut(path: str, window: int, end_id: int, with_ids: bool):
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, start, length, ids_crc32, doc_tokens (and ids): each document's ids and the end id, cut into full windows and a rest."""
+    """id, start, length, ids_crc32, doc_tokens (and ids): each document's ids and the end id, cut into full windows and a rest.
+
+    A null or empty text is its end id alone; a text of any length is encoded whole, in runs of words; repeated rows are cut each; an empty table gives no
+    pieces. Other columns aren't read.
+    """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(tidy(_cut(tokenizer, window, end_id, with_ids)), "id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
@@ -212,15 +216,15 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, int
     return steps
 
 
-def _placed(steps: np.ndarray, names: list[str]):
+def _placed(steps: np.ndarray, names: list[str], rank: str):
     """steps: the plan's columns, sorted by length and first rank."""
     key = steps[0] << 44 | steps[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            at = np.searchsorted(key, length << 44 | rank, "right") - 1
-            sequence = steps[3][at] + rank - steps[1][at]
+            length, nth = batch.column("length").to_numpy(), batch.column(rank).to_numpy()
+            at = np.searchsorted(key, length << 44 | nth, "right") - 1
+            sequence = steps[3][at] + nth - steps[1][at]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(steps[4][at])], names=[*names, "sequence_id", "offset"])
 
     return run
@@ -242,12 +246,13 @@ def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
     salts = F.lit(1)
     if many:
         salts = F.coalesce(F.try_element_at(F.map_from_arrays(F.lit(list(many)), F.lit(list(many.values()))), F.col("length").cast("int")), F.lit(1))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "start"), salts))
-    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    sizes, _ = stored(sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "ranks")
-    own = Window.partitionBy("length", "salt").orderBy("id", "start", "ids_crc32", "doc_tokens")
-    ranked = salted.withColumn("rank", F.row_number().over(own).cast("long") - 1).join(sizes, ["length", "salt"])
-    ranked = ranked.select(*cut.columns, (F.col("rank") + F.col("before")).alias("rank"))
+    salt, n, ahead, rank = (own_name(x) for x in ("salt", "n", "ahead", "rank"))
+    salted = cut.withColumn(salt, F.pmod(F.xxhash64("id", "start"), salts))
+    sizes = salted.groupBy("length", salt).agg(F.count("*").alias(n))
+    before = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    sizes, _ = stored(sizes.select("length", salt, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(ahead)), "ranks")
+    own = Window.partitionBy("length", salt).orderBy("id", "start", "ids_crc32", "doc_tokens")
+    ranked = salted.withColumn(rank, F.row_number().over(own).cast("long") - 1).join(sizes, ["length", salt])
+    ranked = ranked.select(*cut.columns, (F.col(rank) + F.col(ahead)).alias(rank))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
-    return ranked.mapInArrow(_placed(steps, cut.columns), schema + ", sequence_id long, offset long")
+    return ranked.mapInArrow(_placed(steps, cut.columns, rank), schema + ", sequence_id long, offset long")

@@ -53,7 +53,7 @@ select doc_id, keep_id, cast(group_size as bigint) as group_size, r = 1 as kept,
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.classes(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

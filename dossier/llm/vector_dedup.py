@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, shuffle_width, stored, tidy, with_groups
+from .common import ship, shuffle_width, stored, tidy, with_groups, with_payloads
 from .near_dedup import components
 from .topk_search import small_batches
 
@@ -32,8 +32,6 @@ HALF, MISS = 1.5, 1e-6
 LEAF, BLOCK, PART = 256, 2048, 8192
 #: Projections count in steps of REACH / STEPS and are held within REACH; beyond it windows only grow.
 REACH, STEPS = 3.0, 16000
-#: Blocks that one row of a block's data is sent to.
-STRIP = 64
 SEED = 20240607
 BLOCKS = "block long, label string, data binary, lo array<int>, hi array<int>"
 
@@ -218,14 +216,6 @@ def _meet(least: float, half: int, need: int):
     return run
 
 
-def _sent(meetings: DataFrame, side: str, blocks: DataFrame) -> DataFrame:
-    """meetings with the data of the block in side: a block that meets many others is sent in strips, so no key holds all its meetings."""
-    parts = meetings.groupBy(side).agg(F.ceil(F.count("*") / STRIP).alias("parts"))
-    copies = blocks.select(F.col("block").alias(side), F.col("data").alias("data_" + side)).join(parts, side).withColumn("strip", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = meetings.join(parts, side).withColumn("strip", F.pmod(F.xxhash64("a", "b"), "parts"))
-    return dealt.join(copies.drop("parts"), [side, "strip"]).drop("parts", "strip")
-
-
 def _usable(v: Column) -> Column:
     finite = F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x))
     return F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
@@ -265,7 +255,7 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     meetings = heads.join(others, ["label", "bucket"]).where(F.col("block") <= F.col("b")).where(near >= need).select(F.col("block").alias("a"), "b")
     meetings, _ = stored(meetings, "vector-meetings")
     with small_batches(spark, 8):
-        pairs = _sent(_sent(meetings.where("a <> b"), "a", blocks), "b", blocks).select("data_a", "data_b")
+        pairs = with_payloads(meetings.where("a <> b"), blocks, "block", "data", {"a": "data_a", "b": "data_b"}).select("data_a", "data_b")
         own = blocks.select(F.col("data").alias("data_a"), F.lit(None).cast("binary").alias("data_b"))
         met, _ = stored(pairs.unionByName(own).mapInArrow(tidy(_meet(least, half, need)), "node long, links long, top long"), "vector-links")
     labels = components(met.where("node <> top").select(F.col("node").alias("x"), F.col("top").alias("y")).distinct()).withColumnRenamed("label", "top")

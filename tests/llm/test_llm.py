@@ -424,3 +424,35 @@ def test_class_chances_sum_to_one_and_descend():
         lm_score.descend(table, squares, f, own)
     after = lm_score.log_chances(table, f)
     assert after[np.arange(500), own].mean() > before[np.arange(500), own].mean()
+
+
+@pytest.mark.parametrize("n", [200, 400, 800])
+def test_templates_just_below_the_bound_dont_meet_in_squares(spark, n):
+    """Members share 160 words and have 20 of their own, a similarity of about 0.796: no links, and no more pairs to verify than members."""
+    shared = " ".join(f"w{i}" for i in range(160))
+    rows = [(i, shared + " " + " ".join(f"own{i}x{k}" for k in range(20))) for i in range(n)]
+    report = {}
+    found = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), report=report)
+    assert {r.class_size for r in found.collect()} == {1}
+    assert report["last_pairs"] <= n
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8])
+@pytest.mark.parametrize("counted", [False, True])
+def test_prefixes_of_similar_sets_meet(least, counted):
+    rng = np.random.default_rng(3)
+    often = rng.integers(0, 50, near_dedup.COUNTERS)
+    near = 0
+    for _ in range(2000):
+        base = rng.integers(0, 2**63, rng.integers(1, 60)).astype(np.uint64)
+        a, b = (np.unique(np.append(base[rng.random(len(base)) < 0.93], rng.integers(0, 2**63, rng.integers(0, 4)).astype(np.uint64))) for _ in range(2))
+        if not len(a) or not len(b):
+            continue
+        blobs = [x.tobytes() + (x % np.uint64(2) + np.uint64(1)).astype("<i8").tobytes() if counted else x.tobytes() for x in (a, b)]
+        if near_dedup.similarity(*blobs, counted) < least:
+            continue
+        near += 1
+        x, y = sorted((near_dedup._tokens(d, counted) for d in blobs), key=len)
+        (small, own), (large, _) = (near_dedup.prefixes(t, often, least) for t in (x, y))
+        assert set(small[:own].tolist()) & set(large.tolist())
+    assert near > 200
