@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..materialize import materialised
 from .ranks import rank_within
 
 ROLES = ("word", "signed_application", "worker_list", "safety_agreement", "confined_space", "high_altitude", "special_work")
@@ -55,14 +56,19 @@ def duplicate_groups(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def retain_best_duplicate(rows: DataFrame, key: list[str], score: str, position: str) -> DataFrame:
-    """rows with retained: the best score of each key, the first position among equals."""
-    order = Window.partitionBy(*key).orderBy(F.desc(score), position)
-    return rows.withColumn("retained", F.row_number().over(order) == 1)
+    """rows with keep: the position of the best score of their key, the first among equals; null where a member of the key is null.
+
+    score is a struct of numbers, compared member by member. One hash aggregate finds the best of each key, so no group is sorted or held by a task.
+    """
+    worst = [-F.col(f"{score}.{f.name}") for f in rows.schema[score].dataType.fields]
+    best = rows.dropna(subset=key).groupBy(*key).agg(F.min(F.struct(*[w.alias(f"s{i}") for i, w in enumerate(worst)], F.col(position).alias("at"))).alias("best"))
+    return rows.join(best.select(*key, F.col("best.at").alias("keep")), key, "left")
 
 
 def first_per_key(rows: DataFrame, key: Column, position: str) -> DataFrame:
-    order = Window.partitionBy(key).orderBy(position)
-    return rows.withColumn("n_", F.row_number().over(order)).where("n_ = 1").drop("n_")
+    """The row of each key that is first by position; one hash aggregate, columns may have any name."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.groupBy(key).agg(F.min_by(whole, F.col(position))).toDF("key", "first").select("first.*")
 
 
 def fingerprint_groups(files: DataFrame) -> DataFrame:
@@ -83,9 +89,8 @@ def merge_unique_evidence(evidence: DataFrame, retained: DataFrame) -> DataFrame
 
     evidence: case_id, file_id, sha256; retained: case_id, keep_id.
     """
-    moved = evidence.join(retained, "case_id").withColumn("moved", F.col("case_id") != F.col("keep_id"))
-    order = Window.partitionBy("keep_id", "sha256").orderBy("moved", "file_id")
-    return moved.withColumn("n_", F.row_number().over(order)).where("n_ = 1").select(F.col("keep_id").alias("case_id"), "file_id", "sha256", "moved")
+    placed = evidence.join(retained, "case_id").groupBy(F.col("keep_id").alias("kept"), "sha256").agg(F.min(F.struct((F.col("case_id") != F.col("keep_id")).alias("moved"), "file_id")).alias("first"))
+    return placed.select(F.col("kept").alias("case_id"), "first.file_id", "sha256", "first.moved")
 
 
 def role_sequence(files: DataFrame, existing: DataFrame) -> DataFrame:
@@ -286,18 +291,29 @@ def summary_metrics(cases: DataFrame, reviews: DataFrame) -> DataFrame:
     return own.join(told, F.lit(True))
 
 
-def reclassified_counters(told: DataFrame) -> DataFrame:
-    """One row: evidence checked, moved, references removed (the file is gone), texts missing."""
+def counted(rows: DataFrame, counters: list[Column]) -> tuple[DataFrame, dict]:
+    """(rows, written once; counters by name), the counters observed in the pass that writes the rows."""
+    seen = Observation()
+    written = materialised(rows.observe(seen, *counters))
+    return written, seen.get
+
+
+def reclassified_counters() -> list[Column]:
+    """Counters of reclassified evidence: checked, moved, references removed (the file is gone), texts missing."""
     n = lambda x: F.count_if(F.col("outcome") == x)
-    return told.agg(F.count("*").alias("checked"), n("moved").alias("moved"), n("reference_removed").alias("removed"), n("text_missing").alias("text_missing"))
+    return [F.count(F.lit(1)).alias("checked"), n("moved").alias("moved"), n("reference_removed").alias("removed"), n("text_missing").alias("text_missing")]
+
+
+def audit_counters() -> list[Column]:
+    """Counters of an audit's issues."""
+    return [F.count_if(F.col("severity") == x).alias(x + "s") for x in ("error", "warning")]
 
 
-def audit_summary(cases: DataFrame, issues: DataFrame) -> DataFrame:
-    """name, n of an audit: cases by status, errors, warnings, and valid (1 without errors)."""
+def audit_summary(cases: DataFrame, counters: dict) -> DataFrame:
+    """name, n of an audit: cases by status, errors and warnings (from audit_counters), and valid (1 without errors)."""
     histogram = cases.groupBy(F.concat(F.lit("status:"), F.coalesce(F.nullif("status", F.lit("")), F.lit("unknown"))).alias("name")).agg(F.count("*").alias("n"))
-    told = issues.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
-    told = told.withColumn("valid", (F.col("errors") == 0).cast("long"))
-    return histogram.unionByName(told.select(F.explode(F.create_map(F.lit("errors"), "errors", F.lit("warnings"), "warnings", F.lit("valid"), "valid")).alias("name", "n")))
+    told = {"errors": counters["errors"], "warnings": counters["warnings"], "valid": int(counters["errors"] == 0)}
+    return histogram.unionByName(cases.sparkSession.createDataFrame(list(told.items()), "name string, n long"))
 
 
 # What a status and a role are called.

@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from ..functions.dates import dates_agree, with_dates
 from ..functions.text import labelled_field, normalize_match_text, normalize_ocr_text, split_name_list
 from ..materialize import materialised
+from .ranks import rank_within
 
 #: Length of the grams that anchor keys in texts; characters of keys that are sent to every task at most.
 GRAM, AUTOMATON_CHARS = 5, 4_000_000
@@ -135,41 +136,88 @@ def gestalt_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-def fuzzy_margin_join(documents: DataFrame, cases: DataFrame) -> DataFrame:
+def ratio_bound(a: Column | str, b: Column | str, a_chars: Column | str, b_chars: Column | str) -> Column:
+    """At least the ratio of two texts: matched characters are common ones, counted with repetition. a_chars, b_chars: maps of characters to counts."""
+    common = F.aggregate(F.map_entries(a_chars), F.lit(0), lambda n, e: n + F.least(e["value"], F.coalesce(F.try_element_at(b_chars, e["key"]), F.lit(0))))
+    total = F.length(a) + F.length(b)
+    return F.when(total == 0, 1.0).otherwise(2.0 * common / total)
+
+
+def _with_counts(texts: DataFrame, column: str) -> DataFrame:
+    """texts (column) with chars, the map of their characters to counts."""
+    chars = F.filter(F.split(column, ""), lambda c: c != "")
+    return texts.withColumn("chars", F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(c, F.size(F.filter(chars, lambda x: x == c))))))
+
+
+def _rated(pairs: DataFrame) -> DataFrame:
+    """content_key, image, ratio for each distinct pair of texts."""
+    return materialised(pairs.select("content_key", "image").distinct().withColumn("ratio", gestalt_ratio("content_key", "image")))
+
+
+def fuzzy_margin_join(documents: DataFrame, cases: DataFrame, report: dict | None = None) -> DataFrame:
     """doc_id, case_id (if one is chosen), reason, best, runner_up.
 
     Candidates share area and dates. A content that contains the other is a ratio of 1: one such case is taken; of several
     the only one that lacks the role; otherwise the best ratio of at least FUZZY_LEAST that leads by FUZZY_LEAD.
-    documents: doc_id, text; cases: case_id, area, content, start_date, end_date, role_missing. Ratios are worked out once for each distinct pair of contents.
+    documents: doc_id, text, and role where it differs by document; cases: case_id, area, content, start_date, end_date, and role_missing, or missing
+    (roles) where documents have a role. best is the best ratio, 0 below FUZZY_LEAST; runner_up the next one, 0 if it trails by FUZZY_LEAD or more
+    (beside a contained content only other contained ones count).
+
+    Ratios are worked out in Python for distinct pairs of contents that can matter only: not for documents with a contained content or whose
+    bounds by common characters are all below FUZZY_LEAST, nor for pairs whose bound trails FUZZY_LEAST, or the ratio of the document's most
+    promising case, by FUZZY_LEAD or more. report gets the numbers of distinct pairs and of those rated.
     """
+    by_role = "role" in documents.columns
     docs, keyed = materialised(document_keys(documents).drop("text")), case_keys(cases).where("content_key <> ''")
-    keyed = keyed.select("case_id", "role_missing", "area_key", "content_key", "start_date", "end_date")
+    lacking = "missing" if by_role else "role_missing"
+    keyed = keyed.select("case_id", lacking, "area_key", "content_key", "start_date", "end_date")
     areas = containment_pairs(docs, "doc_id", "text_key", keyed, "area_key").withColumnRenamed("key", "area_key")
-    texts = areas.join(docs.where("content_key <> ''").select("doc_id", "labelled", "doc_start", "doc_end", "dates", F.col("content_key").alias("image")), "doc_id")
+    own = docs.where("content_key <> ''").select("doc_id", "labelled", "doc_start", "doc_end", "dates", F.col("content_key").alias("image"), *(["role"] if by_role else []))
+    texts = areas.join(own, "doc_id")
     # documents meet the cases of their area and dates only: labelled dates are joined on, of others each start and then the end
     told = texts.where("labelled").withColumns({"start_date": F.col("doc_start"), "end_date": F.col("doc_end")}).join(keyed, ["area_key", "start_date", "end_date"])
     loose = texts.where("not labelled").withColumn("start_date", F.explode("dates")).join(keyed, ["area_key", "start_date"]).where(F.array_contains("dates", F.col("end_date")))
-    found = told.select("doc_id", "case_id", "role_missing", "content_key", "image").unionByName(loose.select("doc_id", "case_id", "role_missing", "content_key", "image"))
+    lacks = F.array_contains("missing", F.col("role")) if by_role else F.col("role_missing")
+    columns = ["doc_id", "case_id", lacks.alias("role_missing"), "content_key", "image"]
     # a case whose area stands in a text twice, written differently, is one candidate
-    found = found.distinct()
     exact = F.contains("image", "content_key") | F.contains("content_key", "image")
-    inexact = found.where(~exact).select("content_key", "image").distinct().withColumn("ratio", gestalt_ratio("content_key", "image"))
-    rated = found.join(inexact, ["content_key", "image"], "left").withColumn("ratio", F.when(exact, 1.0).otherwise(F.col("ratio")))
+    found = materialised(told.select(*columns).unionByName(loose.select(*columns)).distinct().withColumn("exact", exact))
+    settled = found.where("exact").select("doc_id").distinct()
+    open_ = materialised(found.join(settled, "doc_id", "left_anti"))
+
+    pairs = open_.select("content_key", "image").distinct()
+    contents = _with_counts(pairs.select("content_key").distinct(), "content_key").withColumnRenamed("chars", "content_chars")
+    images = _with_counts(pairs.select("image").distinct(), "image").withColumnRenamed("chars", "image_chars")
+    bound = ratio_bound("content_key", "image", "content_chars", "image_chars")
+    # a hair of room, as the bound and the ratio are rounded apart
+    bounds = pairs.join(contents, "content_key").join(images, "image").select("content_key", "image", (bound + 1e-9).alias("bound"))
+    hopeful = open_.join(bounds.where(F.col("bound") > FUZZY_LEAST - FUZZY_LEAD), ["content_key", "image"])
+    hopeful = materialised(hopeful.join(hopeful.where(F.col("bound") >= FUZZY_LEAST).select("doc_id").distinct(), "doc_id", "left_semi"))
+    first = _rated(hopeful.groupBy("doc_id").agg(F.max(F.struct("bound", "content_key", "image")).alias("m")).select("m.*"))
+    reached = hopeful.join(first, ["content_key", "image"]).groupBy("doc_id").agg(F.max("ratio").alias("reached"))
+    rest = hopeful.join(reached, "doc_id", "left").where(F.col("bound") > F.coalesce("reached", F.lit(0.0)) - FUZZY_LEAD).join(first, ["content_key", "image"], "left_anti")
+    ratios = first.unionByName(_rated(rest))
+    if report is not None:
+        report["pairs"], report["rated"] = found.where("not exact").select("content_key", "image").distinct().count(), ratios.count()
+
+    rated = found.join(ratios, ["content_key", "image"], "left")
+    rated = rated.withColumn("ratio", F.when(F.col("exact"), 1.0).otherwise(F.coalesce("ratio", F.lit(0.0))))
     of = Window.partitionBy("doc_id")
     order = of.orderBy(F.desc("ratio"), F.desc("role_missing"), F.desc("case_id"))
-    rated = rated.withColumn("n", F.row_number().over(order)).withColumn("runner_up", F.coalesce(F.lead("ratio").over(order), F.lit(0.0)))
-    rated = rated.withColumn("exact_n", F.count_if(F.col("ratio") == 1).over(of)).withColumn("lacking_n", F.count_if((F.col("ratio") == 1) & F.col("role_missing")).over(of))
-    lead = (F.col("ratio") >= FUZZY_LEAST) & (F.col("ratio") - F.col("runner_up") >= FUZZY_LEAD)
+    rated = rated.withColumn("n", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("ratio").over(order), F.lit(0.0)))
+    rated = rated.withColumn("exact_n", F.count_if(F.col("exact")).over(of)).withColumn("lacking_n", F.count_if(F.col("exact") & F.col("role_missing")).over(of))
+    best = F.when(F.col("ratio") >= FUZZY_LEAST, F.col("ratio")).otherwise(0.0)
+    runner_up = F.when((F.col("best") > 0) & (F.col("best") - F.col("next") < FUZZY_LEAD), F.col("next")).otherwise(0.0)
     reason = (
         F.when(F.col("exact_n") == 1, "exact")
         .when((F.col("exact_n") > 1) & (F.col("lacking_n") == 1), "exact_only_missing")
         .when(F.col("exact_n") > 1, "several_exact")
-        .when(lead, "fuzzy")
+        .when((F.col("best") > 0) & (F.col("best") - F.col("next") >= FUZZY_LEAD), "fuzzy")
         .otherwise("not_unique")
     )
-    best = rated.where("n = 1").withColumn("reason", reason)
+    top = rated.where("n = 1").withColumn("best", best).withColumn("runner_up", runner_up).withColumn("reason", reason)
     chosen = F.when(F.col("reason").isin("exact", "exact_only_missing", "fuzzy"), F.col("case_id"))
-    return best.select("doc_id", chosen.alias("case_id"), "reason", F.col("ratio").alias("best"), "runner_up")
+    return top.select("doc_id", chosen.alias("case_id"), "reason", "best", "runner_up")
 
 
 def prior_match_lookup(rows: DataFrame, prior: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -245,11 +293,12 @@ def prefix_or_date_join(files: DataFrame, prefixed: DataFrame, cases: DataFrame)
 
 
 def ordinal_zip_join(files: DataFrame, cases: DataFrame) -> DataFrame:
-    """batch, file_id, case_id: files and cases of a batch paired in order if there are as many of both."""
-    f, c = Window.partitionBy("batch"), Window.partitionBy("batch")
-    left = files.withColumn("rn", F.row_number().over(f.orderBy("file_id"))).withColumn("n", F.count("*").over(f))
-    right = cases.withColumn("rn", F.row_number().over(c.orderBy("case_id"))).withColumn("m", F.count("*").over(c))
-    return left.join(right, ["batch", "rn"]).where("n = m").select("batch", "file_id", "case_id")
+    """batch, file_id, case_id: files and cases of a batch paired in order if there are as many of both; no task holds a batch."""
+    counted = lambda rows, name: rows.groupBy("batch").agg(F.count("*").alias(name))
+    even = materialised(counted(files, "n").join(counted(cases, "m"), "batch").where("n = m").select("batch"))
+    left = rank_within(files.join(even, "batch", "left_semi").select("batch", "file_id"), ["batch"], ["file_id"], "rn")
+    right = rank_within(cases.join(even, "batch", "left_semi").select("batch", "case_id"), ["batch"], ["case_id"], "rn")
+    return left.join(right, ["batch", "rn"]).select("batch", "file_id", "case_id")
 
 
 def identical_group_zip(files: DataFrame, cases: DataFrame) -> DataFrame:

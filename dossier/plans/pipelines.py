@@ -12,16 +12,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..functions.classify import IMAGES, approval_kind, material_role, required_roles
+from ..functions.classify import IMAGES, approval_kind, material_role, required_roles, text_role
 from ..functions.text import blank, normalize_match_text, stem, suffix
 from ..materialize import materialised
 from ..operators import evidence as E
 from ..operators import joins as J
 from ..operators import review as R
+from ..sources.state import StateStore
 
 # Words and names that files are known by.
 LIST_WORD, TEMPLATE, WORD_SUFFIX, PDF_SUFFIX = "工人名单", "安全协议.pdf", ".docx", ".pdf"
-INBOX, CASES, TRASH = "_inbox", "cases", "_trash"
+LISTS = (LIST_WORD, "人员名单")
+INBOX, CASES, TRASH, QUARANTINE = "_inbox", "cases", "_trash", "_quarantine"
 MIGRATABLE = (*IMAGES, WORD_SUFFIX, PDF_SUFFIX)
 KEY = ["start_date", "end_date", "area_key", "content_key"]
 
@@ -137,8 +139,8 @@ def upsert_cases(cases: DataFrame, evidence: DataFrame, forms: DataFrame, agreem
 def assign_images(images: DataFrame, batch_cases: DataFrame, created: DataFrame, cases: DataFrame) -> DataFrame:
     """doc_id, case_id, stage of recognised images that are tied to one case; others are left out.
 
-    images: doc_id, batch, text; batch_cases: batch, case_id of the forms that came in a batch; created: case_id, content of new cases; cases as
-    fuzzy_margin_join takes them. An image goes to the only form of its batch (batch), else to the only new case whose content
+    images: doc_id, batch, text, and role as fuzzy_margin_join takes it; batch_cases: batch, case_id of the forms that came in a batch; created: case_id,
+    content of new cases; cases as fuzzy_margin_join takes them. An image goes to the only form of its batch (batch), else to the only new case whose content
     its text holds (content), else by area, dates and similar content (fuzzy).
     """
     single = batch_cases.groupBy("batch").agg(F.count_distinct("case_id").alias("n"), F.min("case_id").alias("case_id")).where("n = 1")
@@ -148,24 +150,42 @@ def assign_images(images: DataFrame, batch_cases: DataFrame, created: DataFrame,
     hits = J.containment_pairs(rest, "doc_id", "text_key", wanted, "key").join(wanted.select("key", "case_id"), "key")
     only = hits.groupBy("doc_id").agg(F.count_distinct("case_id").alias("n"), F.min("case_id").alias("case_id")).where("n = 1")
     by_content = materialised(only.select("doc_id", "case_id", F.lit("content").alias("stage")))
-    left = rest.join(by_content, "doc_id", "left_anti").select("doc_id", "text")
+    left = rest.join(by_content, "doc_id", "left_anti").select("doc_id", "text", *(["role"] if "role" in images.columns else []))
     fuzzy = J.fuzzy_margin_join(left, cases).where("case_id is not null").select("doc_id", "case_id", F.lit("fuzzy").alias("stage"))
     return by_batch.unionByName(by_content).unionByName(fuzzy)
 
 
 def deduplicate_cases(cases: DataFrame, evidence: DataFrame, key: list[str], score: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(cases with keep_id, evidence under the kept cases, changes): the most complete case of a key takes the others' evidence."""
-    several = E.duplicate_groups(cases, key)
+    """(case_id, keep_id of all cases, evidence under the kept cases, changes): the most complete case of a key takes the others' evidence."""
     rated = E.retain_best_duplicate(cases.join(score, "case_id"), key, "score", "case_id")
-    best = rated.where("retained").select(*key, F.col("case_id").alias("keep_id"))
-    placed = cases.join(several.join(best, key), key, "left").withColumn("keep_id", F.coalesce("keep_id", "case_id"))
-    placed = materialised(placed.select("case_id", "keep_id"))
+    placed = materialised(rated.select("case_id", F.coalesce("keep", "case_id").alias("keep_id")))
     merged = materialised(E.merge_unique_evidence(evidence, placed))
     gone = placed.where("case_id <> keep_id").select(F.lit("remove_duplicate_case").alias("action"), F.col("case_id").cast("string").alias("source"), F.col("keep_id").cast("string").alias("target"))
     moved = merged.where("moved").select(F.lit("merge_evidence").alias("action"), F.col("file_id").cast("string").alias("source"), F.col("case_id").cast("string").alias("target"))
     return placed, merged, gone.unionByName(moved)
 
 
+#: What an approval tells of its case.
+APPROVAL_FIELDS = ["application_no", "match_source"]
+
+
+def merge_duplicate_cases(cases: DataFrame, evidence: DataFrame, approvals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(cases, evidence, approvals, changes) without duplicates by dates, area and content.
+
+    The most complete case of each key stays, takes evidence that it lacks, fills blanks of its approval (case_id and APPROVAL_FIELDS) from the others, and
+    its status follows from what it then holds.
+    """
+    keyed = _keyed(cases)
+    approved = evidence.select("case_id", "role", F.col("sha256").alias("file_key"), (F.col("role") == "approval_pdf").alias("approval"))
+    score = E.completeness(cases.withColumn("required", required_roles(F.col("hazard"))), approved)
+    numbered = materialised(evidence.withColumn("file_id", F.concat_ws("/", "case_id", "role", "name", "sha256")))
+    placed, merged, changes = deduplicate_cases(keyed.select("case_id", *KEY), numbered.select("case_id", "file_id", "sha256"), KEY, score)
+    kept = cases.join(placed.where("case_id = keep_id").select("case_id"), "case_id", "left_semi")
+    files = materialised(merged.select("case_id", "file_id").join(numbered.drop("case_id").dropDuplicates(["file_id"]), "file_id").select("case_id", "role", "name", "sha256", "derived"))
+    filled = materialised(E.filled_approvals(approvals, placed, APPROVAL_FIELDS).select("case_id", *APPROVAL_FIELDS))
+    return materialised(_refreshed(kept, files, filled)), files, filled, materialised(changes)
+
+
 def ingest_approvals(files: DataFrame, cases: DataFrame, material: DataFrame, unmatched: DataFrame, recognized: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
     """(linked, retained) of approval files.
 
@@ -405,52 +425,210 @@ def match_key() -> Column:
     return F.concat_ws("|", normalize_match_text(F.col("area")), normalize_match_text(F.col("content")), F.col("start_date").cast("string"), F.col("end_date").cast("string"))
 
 
+STATE = {
+    "cases": None,
+    "evidence": "case_id string, role string, name string, sha256 string, derived boolean",
+    "approvals": "case_id string, application_no string, match_source string",
+    "inbox": "file_id string, name string, sha256 string, modified date",
+    "unmatched": "file_id string, path string, name string, sha256 string",
+    "recognized": "sha256 string, version string, text string",
+    "history": "review_id string, decision string, note string, sha256 string, case_id string",
+    "reviews": None,
+    "routes": "file_id string, batch string, sha256 string, kind string, reason string, method string, action string, target string",
+    "changes": "action string, source string, target string, role string, case_id string",
+    "runs": "revision long, counters map<string, long>",
+}
+
+
+def _file_name(target: Column | str) -> Column:
+    return F.element_at(F.split(target, "/"), -1)
+
+
+def _is_list(name: Column, words: tuple[str, ...] = LISTS) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(stem(name), F.lit(w)) for w in words])
+
+
+def claim_materials(pool: DataFrame, touched: DataFrame, cases: DataFrame, evidence: DataFrame, texts: DataFrame) -> DataFrame:
+    """file_id, case_id, role, stage of the files in the inbox that are tied to one case; others stay where they are.
+
+    pool: file_id, batch (null for files of earlier runs), name, sha256, modified; touched: case_id, case_name, batch, form (the form's file name), content, fresh,
+    the cases that this run's forms made or replaced; cases: case_id, case_name, missing and the fields of the key; texts: sha256, text.
+    In this order: files that begin with a form's or its case's name (named), this batch's named worker lists in order, if there are as
+    many as cases (listed); then images by what their text says they are: by the only form of the batch (batch), the only new case whose
+    content the text holds (content), or area, dates and similar content (fuzzy); worker lists of equal content if as many cases of the batch, or of the day of their
+    making, lack one (identical).
+    """
+    own_list = F.col("batch").isNotNull() & _is_list(F.col("name"), (LIST_WORD,)) & suffix(F.col("name")).isin(*IMAGES)
+    pool = materialised(pool.withColumn("own_list", own_list).withColumn("stem", stem(F.col("name"))))
+    usable = suffix(F.col("name")).isin(*IMAGES, PDF_SUFFIX) & ~F.col("own_list")
+    bases = touched.select("case_id", stem(F.col("form")).alias("case_name")).unionByName(touched.select("case_id", "case_name"))
+    bases = materialised(bases.groupBy("case_name").agg(F.min("case_id").alias("case_id")))
+    hits = J.stem_prefix_join(pool.where(usable).select("file_id", "stem"), bases).join(pool.select("file_id", "name", "stem"), "file_id")
+    base = F.when(F.col("rest") == "", F.col("stem")).otherwise(F.expr("left(stem, length(stem) - length(rest) - 1)"))
+    named = materialised(hits.select("file_id", "case_id", material_role(F.col("name"), base).alias("role"), F.lit("named").alias("stage")).where("role is not null"))
+
+    batches = touched.select("batch", F.col("case_name").alias("order"), "case_id").distinct()
+    lists = pool.where("own_list").select("batch", F.col("name").alias("order"), "file_id")
+    zipped = J.ordinal_zip_join(lists.select("batch", F.struct("order", "file_id").alias("file_id")), batches.select("batch", F.struct("order", "case_id").alias("case_id")))
+    listed = materialised(zipped.select("file_id.file_id", "case_id.case_id", F.lit("worker_list").alias("role"), F.lit("listed").alias("stage")))
+
+    images = pool.where(suffix(F.col("name")).isin(*IMAGES) & ~F.col("own_list")).join(named.select("file_id"), "file_id", "left_anti").join(texts, "sha256")
+    images = materialised(images.withColumn("role", text_role(F.col("text"))).where("role is not null"))
+    single = touched.groupBy("batch").agg(F.count_distinct("form").alias("forms"), F.min("case_id").alias("only")).where("forms = 1").select("batch", "only")
+    told = images.join(single, "batch", "left")
+    pending = materialised(told.where("role = 'worker_list' and only is null"))
+    rest = told.where("not (role = 'worker_list' and only is null)").select(F.col("file_id").alias("doc_id"), "batch", "text", "role")
+    tied = assign_images(rest, single.select("batch", F.col("only").alias("case_id")), touched.where("fresh").select("case_id", "content"), cases)
+    by_text = materialised(tied.join(rest.select("doc_id", "role"), "doc_id").select(F.col("doc_id").alias("file_id"), "case_id", "role", "stage"))
+
+    # cases that lack a worker list, now that named ones are given out
+    given = named.where("role = 'worker_list'").unionByName(listed).unionByName(by_text.where("role = 'worker_list'")).select("case_id")
+    having = evidence.where("role = 'worker_list'").select("case_id").unionByName(given).distinct()
+    lacking = materialised(cases.join(having, "case_id", "left_anti").select("case_id", "case_name", "start_date"))
+    of_batch = lacking.join(touched.select("case_id", "batch").distinct(), "case_id").select("batch", F.struct("case_name", "case_id").alias("case_id"))
+    first = J.identical_group_zip(pending.where("batch is not null").select("batch", "sha256", F.struct("name", "file_id").alias("file_id")), of_batch)
+    first = materialised(first.select("file_id.file_id", "case_id.case_id"))
+    still = pending.join(first.select("file_id"), "file_id", "left_anti")
+    one_day = still.groupBy("sha256").agg(F.count_distinct("modified").alias("days")).where("days = 1").select("sha256")
+    by_day = still.join(one_day, "sha256", "left_semi").select(F.col("modified").cast("string").alias("batch"), "sha256", F.struct("name", "file_id").alias("file_id"))
+    waiting = lacking.join(first.select("case_id"), "case_id", "left_anti").select(F.col("start_date").cast("string").alias("batch"), F.struct("case_name", "case_id").alias("case_id"))
+    second = J.identical_group_zip(by_day, waiting).select("file_id.file_id", "case_id.case_id")
+    identical = first.unionByName(second).select("file_id", "case_id", F.lit("worker_list").alias("role"), F.lit("identical").alias("stage"))
+    return named.unionByName(listed).unionByName(by_text).unionByName(identical)
+
+
+def late_worker_lists(pool: DataFrame, cases: DataFrame) -> DataFrame:
+    """file_id, case_id, derived: worker lists of earlier runs by their name, copied to the case that it begins with, else to every case that starts on the day of
+    their making; derived tells copies of a list that several cases get. pool: file_id, name, modified."""
+    files = pool.where(suffix(F.col("name")).isin(*IMAGES, PDF_SUFFIX) & _is_list(F.col("name"))).withColumns({"stem": stem(F.col("name")), "file_date": F.col("modified")})
+    files = materialised(files)
+    hits = J.prefix_or_date_join(files, J.stem_prefix_join(files.select("file_id", "stem"), cases.select("case_id", "case_name")), cases.select("case_id", "start_date"))
+    hits = materialised(hits.select("file_id", "case_id").distinct())
+    several = hits.groupBy("file_id").agg((F.count("*") > 1).alias("derived"))
+    return hits.join(several, "file_id")
+
+
+def _archived(claims: DataFrame, pool: DataFrame, cases: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new evidence, changes) of claims (file_id, case_id, role, derived): a content that the case holds already goes to quarantine."""
+    told = claims.join(pool.select("file_id", "name", "sha256"), "file_id").join(cases.select("case_id", "case_name"), "case_id")
+    held = evidence.select("case_id", "sha256").distinct().withColumn("held", F.lit(True))
+    first = told.groupBy("case_id", "sha256").agg(F.min("file_id").alias("first"))
+    told = materialised(told.join(held, ["case_id", "sha256"], "left").join(first, ["case_id", "sha256"]).withColumn("again", F.coalesce("held", F.lit(False)) | (F.col("file_id") != F.col("first"))))
+    new = told.where("not again")
+    # numbered by name, then file, in each case and role
+    order = F.concat_ws("/", "name", "file_id")
+    index = E.role_sequence(new.select("case_id", "role", order.alias("name")), evidence.select("case_id", "role")).withColumnRenamed("name", "order")
+    new = materialised(new.withColumn("order", order).join(index, ["case_id", "role", "order"]).withColumn("target", ids.material_name(F.col("case_name"), F.col("role"), F.col("index"), F.col("name"))))
+    change = lambda rows, action, target: rows.select(action.alias("action"), F.col("name").alias("source"), target.alias("target"), "role", "case_id")
+    place = F.concat(F.lit(CASES + "/"), "case_name", F.lit("/"), "target")
+    changes = change(new, F.when(F.col("derived"), "copy").otherwise("move"), place).unionByName(change(told.where("again"), F.lit("quarantine_duplicate"), F.concat(F.lit(QUARANTINE + "/"), "name")))
+    return new.select("case_id", "role", F.col("target").alias("name"), "sha256", "derived"), changes
+
+
 def archive_run(state: dict[str, DataFrame], inputs: DataFrame, forms: DataFrame, revision: int, version: str, agreement: str) -> dict[str, DataFrame]:
-    """One incremental run: duplicates, routing, intake, approvals, review; then the run's row.
+    """One incremental run: duplicates, routing, intake of forms and material, approvals, worker lists, review; then the run's row.
 
-    state: cases, evidence, inbox (name, sha256), unmatched (file_id, path, name, sha256), recognized (sha256, version, text), history, reviews; inputs as
-    route_inputs takes them; forms: form_id (the file's id), sha256 and the business fields of the inputs' forms. Gives the state with
-    review, links, changes and run (revision, counters): the revision grows by one only if something changed.
+    state: the tables of STATE (missing ones are empty but for cases); cases: case_id, case_name, status and the business fields. inputs: file_id,
+    batch, name, text, sha256, modified (a date); forms: form_id (the file's id), sha256 and the business fields of the inputs' forms.
+    Inputs that an earlier run routed are gone from the drop zone and left out, those of refused batches come again. Gives every table
+    of STATE as it is after the run, with links (approvals tied by it), routed (its routes) and run (revision, counters). The
+    revision grows by one only if something changed, so a second run over the same inputs leaves the state as it is.
     """
-    cases, evidence = state["cases"], state["evidence"]
-    whole = _keyed(cases)
-    score = E.completeness(cases.withColumn("required", required_roles(F.col("hazard"))), evidence.select("case_id", "role", F.col("sha256").alias("file_key"), (F.col("role") == "approval_pdf").alias("approval")))
-    numbered = evidence.withColumn("file_id", F.concat_ws("/", "case_id", "role", "name"))
-    placed, merged, removed = deduplicate_cases(whole.select("case_id", *KEY), numbered.select("case_id", "file_id", "sha256"), KEY, score)
-    removed = materialised(removed)
-    kept_ids = placed.where("case_id = keep_id").select("case_id")
-    cases = materialised(cases.join(kept_ids, "case_id", "left_semi"))
-    evidence = materialised(merged.select("case_id", "file_id").join(numbered.drop("case_id"), "file_id").select("case_id", "role", "name", "sha256", "derived"))
-
-    waiting = forms.select(F.col("form_id").alias("case_id"), "area", "content", "start_date", "end_date")
-    replacing = J.duplicate_key_join(waiting, cases.select("case_id", "area", "content", "start_date", "end_date")).select(F.col("incoming_id").alias("file_id"))
-    routes, gate = route_inputs(inputs, state["inbox"], replacing)
+    spark = inputs.sparkSession
+    state = {name: spark.createDataFrame([], schema) for name, schema in STATE.items() if schema} | state
+    text_ = lambda rows, *names: rows.withColumns({n: F.col(n).cast("string") for n in names})
+    inputs = text_(inputs if "modified" in inputs.columns else inputs.withColumn("modified", F.lit(None).cast("date")), "file_id", "batch")
+    forms = text_(forms, "form_id")
+    recognized = state["recognized"]
+    known = recognized.where(F.col("version") == version).select("sha256")
+    read = inputs.where("text is not null").groupBy("sha256").agg(F.min("text").alias("text")).join(known, "sha256", "left_anti")
+    recognized = materialised(recognized.unionByName(read.select("sha256", F.lit(version).alias("version"), "text")))
+
+    cases, evidence, approvals, removed = merge_duplicate_cases(state["cases"], state["evidence"], state["approvals"])
+
+    fresh = materialised(inputs.join(state["routes"].select("file_id"), "file_id", "left_anti"))
+    incoming = forms.join(fresh.select(F.col("file_id").alias("form_id")), "form_id", "left_semi")
+    as_case = lambda rows, name: rows.select(F.col(name).alias("case_id"), "area", "content", "start_date", "end_date")
+    replacing = J.duplicate_key_join(as_case(incoming, "form_id"), as_case(cases, "case_id")).select(F.col("incoming_id").alias("file_id"))
+    there = state["inbox"].select("name", "sha256").unionByName(state["unmatched"].select(_file_name("path").alias("name"), "sha256"))
+    routes, gate = route_inputs(fresh.drop("modified"), there, replacing)
     routes = materialised(routes)
-    routed = routes.where("action = 'routed'").select("file_id")
-    taken = forms.join(routed.withColumnRenamed("file_id", "form_id"), "form_id", "left_semi")
+    routed = routes.where("action = 'routed'").select("file_id", "target", "kind")
+    arrived = materialised(fresh.join(routed, "file_id").withColumn("own_name", F.col("name")).withColumn("name", _file_name("target")))
+
+    taken = materialised(incoming.join(arrived.select(F.col("file_id").alias("form_id")), "form_id", "left_semi"))
+    before = materialised(cases.select("case_id"))
     cases, evidence, changes = upsert_cases(cases, evidence, taken, agreement)
     cases, evidence, changes = materialised(cases), materialised(evidence), materialised(changes)
 
-    arrived = inputs.join(routes.where("kind = 'approval' and action = 'routed'").select("file_id", F.col("target").alias("path")), "file_id")
-    linked, retained = ingest_approvals(arrived.select("file_id", "path", "name", "sha256"), cases.where("status <> 'terminated'"), routes.where("kind = 'material'").select("sha256"), state["unmatched"], state["recognized"], version)
+    # forms meet their cases by the key, or by the name where the key is not whole
+    keyed = _keyed(cases).dropna(subset=KEY).groupBy(*KEY).agg(F.min_by(F.struct("case_id", "case_name", "content"), "case_id").alias("case"))
+    by_key = _keyed(taken).join(keyed, KEY).select("form_id", "case.*")
+    by_name = taken.join(by_key.select("form_id"), "form_id", "left_anti").select("form_id", ids.uuid5(ids.case_name(F.col("start_date"), F.col("content"))).alias("case_id")).join(cases.select("case_id", "case_name", "content"), "case_id")
+    touched = by_key.unionByName(by_name.select("form_id", "case_id", "case_name", "content")).join(arrived.select(F.col("file_id").alias("form_id"), "batch", F.col("own_name").alias("form")), "form_id")
+    touched = materialised(touched.join(before.withColumn("old", F.lit(True)), "case_id", "left").withColumn("fresh", F.col("old").isNull()).drop("old", "form_id"))
+
+    material = arrived.where((F.col("kind") == "material") & (suffix(F.col("name")) != WORD_SUFFIX))
+    pool = materialised(material.select("file_id", "batch", "name", "sha256", "modified").unionByName(state["inbox"].select("file_id", F.lit(None).cast("string").alias("batch"), "name", "sha256", "modified")))
+    texts = recognized.where((F.col("version") == version) & F.col("text").isNotNull()).groupBy("sha256").agg(F.min("text").alias("text"))
+    claims = materialised(claim_materials(pool, touched, cases.where("status <> 'terminated'"), evidence, texts).join(cases.select("case_id"), "case_id", "left_semi"))
+    added, moves = _archived(claims.select("file_id", "case_id", "role", F.lit(False).alias("derived")), pool, cases, evidence)
+    evidence = materialised(evidence.unionByName(added))
+    pool = materialised(pool.join(claims.select("file_id"), "file_id", "left_anti"))
+
+    waiting = arrived.where("kind = 'approval'").select("file_id", F.col("target").alias("path"), F.col("own_name").alias("name"), "sha256")
+    linked, retained = ingest_approvals(waiting, cases.where("status <> 'terminated'"), routes.where("kind = 'material'").select("sha256"), state["unmatched"], recognized, version)
     linked, retained = materialised(linked), materialised(retained)
-    files = arrived.select("file_id", "path", "name", "sha256").unionByName(state["unmatched"]).dropDuplicates(["file_id"])
-    proof = linked.join(files, "file_id").select("case_id", F.lit("approval_pdf").alias("role"), F.element_at(F.split("target", "/"), -1).alias("name"), "sha256", F.lit(False).alias("derived"))
+    files = materialised(waiting.unionByName(state["unmatched"].select(*waiting.columns)).dropDuplicates(["file_id"]))
+    proof = linked.where("action = 'move'").join(files, "file_id").select("case_id", F.lit("approval_pdf").alias("role"), _file_name("target").alias("name"), "sha256", F.lit(False).alias("derived"))
     evidence = materialised(evidence.unionByName(proof))
-    cases = materialised(_refreshed(cases, evidence))
+    newest = linked.groupBy("case_id").agg(F.max_by("application_no", "file_id").alias("application_no")).select("case_id", "application_no", F.lit("content_recognition").alias("match_source"))
+    approvals = materialised(approvals.join(newest.select("case_id"), "case_id", "left_anti").unionByName(newest))
+
+    late = materialised(late_worker_lists(pool.where("batch is null"), cases))
+    copies, copied = _archived(late.withColumn("role", F.lit("worker_list")), pool, cases, evidence)
+    evidence = materialised(evidence.unionByName(copies))
+    inbox = materialised(pool.join(late.select("file_id"), "file_id", "left_anti").select("file_id", "name", "sha256", "modified"))
+    cases = materialised(_refreshed(cases, evidence, approvals))
+
     left = materialised(files.join(retained.select("file_id"), "file_id", "left_semi"))
-    texts, _ = J.recognized_text_lookup(left, state["recognized"], version)
-    review = build_review(texts.select("path", "name", "sha256", "text"), cases.where("status not in ('terminated', 'approved')"), state["history"], state["reviews"])
-
-    counts = reduce(lambda a, b: a.unionByName(b), [
-        changes.groupBy(F.concat(F.lit("cases_"), "action").alias("name")).agg(F.count("*").alias("n")),
-        linked.agg(F.count("*").alias("n")).select(F.lit("approvals_ingested").alias("name"), "n"),
-        removed.where("action = 'remove_duplicate_case'").agg(F.count("*").alias("n")).select(F.lit("duplicates_removed").alias("name"), "n"),
-        routes.groupBy(F.concat(F.lit("routes_"), "action").alias("name")).agg(F.count("*").alias("n")),
-        gate.where("not accepted").agg(F.count("*").alias("n")).select(F.lit("batches_refused").alias("name"), "n"),
-    ])
-    counts = materialised(counts)
-    moved = counts.where("name <> 'batches_refused' and name <> 'cases_refused_form'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("moved"))
-    run = counts.where("n > 0").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "n")))).alias("counters"))
-    run = moved.join(run, F.lit(True)).select((F.lit(revision) + (F.col("moved") > 0).cast("int")).cast("long").alias("revision"), "counters")
-    return {"cases": cases, "evidence": evidence, "routes": routes, "links": linked, "unmatched": left, "review": review, "changes": changes, "run": run}
+    seen, _ = J.recognized_text_lookup(left, recognized, version)
+    open_ = cases.where("status not in ('terminated', 'approved')")
+    reviews = materialised(build_review(seen.select("path", "name", "sha256", "text"), open_, state["history"], state.get("reviews", spark.createDataFrame([], "review_id string, sha256 string, decision string, note string"))))
+
+    no_source = lambda rows: rows.select("action", F.lit("").alias("source"), "target", "role", "case_id")
+    settled = linked.join(files, "file_id").select("action", F.col("path").alias("source"), "target", F.lit("approval_pdf").alias("role"), "case_id")
+    merged = removed.select("action", "source", "target", F.lit("").alias("role"), F.col("target").alias("case_id"))
+    turned = routes.join(fresh.select("file_id", "name"), "file_id").select(F.when(F.col("action") == "routed", "route_input").otherwise(F.col("action")).alias("action"), F.col("name").alias("source"), "target", F.col("kind").alias("role"), F.lit("").alias("case_id"))
+    new_changes = materialised(reduce(DataFrame.unionByName, [merged, turned, no_source(changes), moves, settled, copied]))
+
+    n = lambda rows, name, where=F.lit(True): rows.agg(F.count_if(where).alias("n")).select(F.lit(name).alias("name"), "n")
+    role, action = F.col("role"), F.col("action")
+    counts = materialised(reduce(DataFrame.unionByName, [
+        n(changes, "cases_inserted", action == "move"), n(changes, "cases_replaced", action == "replace_word"), n(changes, "forms_refused", action == "refused_form"),
+        n(removed, "duplicates_removed", action == "remove_duplicate_case"), n(routes, "files_routed", action == "routed"), n(routes, "inputs_quarantined", action == "quarantine_duplicate"),
+        n(gate, "batches_refused", ~F.col("accepted")), n(added, "worker_lists_archived", role == "worker_list"), n(added, "materials_archived", role != "worker_list"), n(copies, "worker_lists_copied"), n(linked, "approvals_ingested"),
+    ]))
+    nothing = ("batches_refused", "forms_refused")
+    moved = counts.agg(F.sum(F.when(~F.col("name").isin(*nothing), F.col("n")).otherwise(0)).alias("moved"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("name", "n"))))).alias("counters"))
+    run = materialised(moved.select((F.lit(revision) + (F.col("moved") > 0).cast("int")).cast("long").alias("revision"), "counters"))
+    return {
+        "cases": cases, "evidence": evidence, "approvals": approvals, "inbox": inbox, "unmatched": left, "recognized": recognized, "history": state["history"], "reviews": reviews,
+        "routes": state["routes"].unionByName(text_(routes, "file_id", "batch").select(*state["routes"].columns)), "changes": state["changes"].unionByName(new_changes), "runs": state["runs"].unionByName(run),
+        "links": linked, "routed": routes, "run": run,
+    }
+
+
+def run_archive(store: StateStore, inputs: DataFrame, forms: DataFrame, version: str, agreement: str) -> dict[str, DataFrame]:
+    """archive_run over the latest published state; all tables of the next one are published at once.
+
+    Another run that publishes first makes this one fail with RevisionTaken, and nothing of it is seen. A store without cases is an error.
+    """
+    base, state = store.read()
+    if "cases" not in state:
+        raise ValueError(f"no cases are published at {store.folder}; migrate first")
+    told = store.told(base)["note"]
+    done = archive_run(state, inputs, forms, told.get("dataset_revision", 0), version, agreement)
+    revision = done["run"].first()["revision"]
+    store.publish(base, {name: done[name] for name in STATE}, {"dataset_revision": revision})
+    return done

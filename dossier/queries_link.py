@@ -302,22 +302,29 @@ def decision_validation(spark, sf_dir):
 
 
 @query("""with e as (select doc_id, case when doc_id % 2 = 0 then 'worker_list' else 'word' end as role, case when doc_id % 5 = 0 then null else doc_id % 3 end as k from documents)
-select doc_id as file_id, role, case when k = 0 and role <> 'worker_list' then 'worker_list' when k = 1 then 'signed_application' end as new_role, case when k is null then 'text_missing' when k = 2 or (k = 0 and role = 'worker_list') then 'unchanged' when doc_id % 7 = 3 then 'reference_removed' else 'moved' end as outcome from e""")
+select doc_id as file_id, role, case when k = 0 and role <> 'worker_list' then 'worker_list' when k = 1 then 'signed_application' end as new_role, case when k is null then 'text_missing' when k = 2 or (k = 0 and role = 'worker_list') then 'unchanged' when doc_id % 7 = 3 then 'reference_removed' else 'moved' end as outcome from e union all select null, 'counters', concat_ws(',', count(*), count(case when not (k is null) and (k = 1 or k = 0 and role <> 'worker_list') and doc_id % 7 <> 3 then 1 end)), concat_ws(',', count(case when not (k is null) and (k = 1 or k = 0 and role <> 'worker_list') and doc_id % 7 = 3 then 1 end), count(case when k is null then 1 end)) from e""")
 def reclassify_evidence(spark, sf_dir):
+    """The evidence and, counted in the same pass, how much was checked, moved, removed or without text."""
     (d,) = views(spark, sf_dir, "documents")
     files = d.select(F.col("doc_id").alias("file_id"), F.when(F.col("doc_id") % 2 == 0, "worker_list").otherwise("word").alias("role"), F.sha2(F.concat("text", F.col("doc_id").cast("string")), 256).alias("sha256"))
     rendered = F.when(F.col("doc_id") % 3 == 0, "施工人员名单").when(F.col("doc_id") % 3 == 1, "质保作业申请单").otherwise("")
     texts = d.select(F.sha2(F.concat("text", F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, "?").otherwise("")), 256).alias("sha256"), F.concat("text", rendered).alias("text"))
     there = files.select(F.when(F.col("file_id") % 7 == 3, F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256"))
-    return E.reclassify_evidence(files, texts, text_role(F.col("text")), there)
+    told, counters = E.counted(E.reclassify_evidence(files, texts, text_role(F.col("text")), there), E.reclassified_counters())
+    text_ = lambda *names: ",".join(str(counters[n]) for n in names)
+    return told.unionByName(spark.createDataFrame([(None, "counters", text_("checked", "moved"), text_("removed", "text_missing"))], told.schema))
 
 
-@query("select page_id as row_id, case when page_id % 5 = 1 then '../out/' || page_id else 'p/' || page_id end as path, case when page_id % 5 = 1 then 'outside' else 'missing' end as problem from pages where page_id % 5 in (1, 2)")
+@query("select page_id as row_id, case when page_id % 5 = 1 then '../out/' || page_id else 'p/' || page_id end as path, case when page_id % 5 = 1 then 'outside' else 'missing' end as problem from pages where page_id % 5 in (1, 2) union all select null, 'lacking', 'view_missing' union all select null, 'odd', 'view_unexpected' union all select null, 'all', 'row_count_differs'")
 def link_integrity(spark, sf_dir):
+    """Links that lead nowhere, and views that lack rows, are unknown or don't show every page."""
     (p,) = views(spark, sf_dir, "pages")
     i = F.col("page_id").cast("string")
     links = p.select(F.col("page_id").alias("row_id"), F.when(F.col("page_id") % 5 == 1, F.concat(F.lit("../out/"), i)).otherwise(F.concat(F.lit("p/"), i)).alias("path"))
-    return J.link_integrity(links, p.select(F.concat(F.when(F.col("page_id") % 5 == 2, "q/").otherwise("p/"), i).alias("path")))
+    found = J.link_integrity(links, p.select(F.concat(F.when(F.col("page_id") % 5 == 2, "q/").otherwise("p/"), i).alias("path")))
+    shown = p.select(F.explode(F.array(F.when(F.col("page_id") > 0, "all"), F.when(F.col("page_id") % 3 == 0, "odd"), F.lit("approved"))).alias("view"), F.col("page_id").alias("row_id")).where("view is not null")
+    views_ = J.view_integrity(shown, p.select(F.col("page_id").alias("case_id")), ["all", "approved", "lacking"])
+    return found.unionByName(views_.select(F.lit(None).cast("long").alias("row_id"), F.col("view").alias("path"), "problem"))
 
 
 @query("select case_id from v_cases where start_date between date '1995-06-15' - 2 and date '1995-06-15' + 14 and content <> ''")
@@ -447,14 +454,22 @@ union all select cast(case when i % 17 = 3 then 1 else i end as varchar), 'error
 union all select cast(case when i % 17 = 3 then 1 else i end as varchar), 'error', 'file_missing' from f where i % 13 <> 1 and i % 19 = 2
 union all select cast(case when i % 17 = 3 then 1 else i end as varchar), 'error', 'size_differs' from f where i % 13 <> 1 and i % 19 <> 2 and i % 23 = 4
 union all select cast(case when i % 17 = 3 then 1 else i end as varchar), 'error', 'hash_differs' from f where i % 13 <> 1 and i % 19 <> 2 and i % 29 = 5 and i % 31 <> 6
-union all select cast(case when i % 17 = 3 then 1 else i end as varchar), 'warning', 'hash_absent' from f where i % 31 = 6""")
+union all select cast(case when i % 17 = 3 then 1 else i end as varchar), 'warning', 'hash_absent' from f where i % 31 = 6
+union all select name, 'summary', cast(n as varchar) from (
+  select 'status:' || status as name, count(*) as n from v_case_status group by 1
+  union all select 'errors', (select count(*) from (select i % 17 = 3 as r from f where i % 17 = 3 group by all having count(*) > 1)) + count(case when i % 13 = 1 then 1 end) + count(case when i % 13 <> 1 and i % 19 = 2 then 1 end) + count(case when i % 13 <> 1 and i % 19 <> 2 and i % 23 = 4 then 1 end) + count(case when i % 13 <> 1 and i % 19 <> 2 and i % 29 = 5 and i % 31 <> 6 then 1 end) from f
+  union all select 'warnings', count(*) from f where i % 31 = 6 union all select 'valid', 0)""")
 def dataset_audit(spark, sf_dir):
+    """The issues, and the audit's summary from counts taken in the same pass."""
     (e,) = views(spark, sf_dir, "v_evidence")
     i = F.col("case_id") * 1000 + F.col("position")
     path = F.concat(F.lit("f/"), i.cast("string"))
     files = e.select("case_id", F.when(i % 17 == 3, 1).otherwise(i).alias("file_id"), F.when(i % 13 == 1, F.concat(F.lit("../"), path)).otherwise(path).alias("path"), F.when(i % 23 == 4, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.when(i % 31 == 6, "").when(i % 29 == 5, "bad").otherwise(F.sha2("text", 256)).alias("sha256"))
     inventory = e.where(i % 19 != 2).select(path.alias("path"), "size", F.sha2("text", 256).alias("sha256"))
-    return E.dataset_audit(e.select("case_id").distinct(), files, inventory)
+    (status,) = views(spark, sf_dir, "v_case_status")
+    issues, counters = E.counted(E.dataset_audit(e.select("case_id").distinct(), files, inventory), E.audit_counters())
+    summary = E.audit_summary(status.select("case_id", "status"), counters)
+    return issues.unionByName(summary.select(F.col("name").alias("subject"), F.lit("summary").alias("severity"), F.col("n").cast("string").alias("issue")))
 
 
 @query("""select case_id, role, name, row_number() over (partition by case_id, role order by name) + case when role = 'user' then 2 else 0 end as index from v_evidence""")
@@ -479,7 +494,8 @@ s as (select case_id, case_id % 10 as key, present, case when approvals > 0 or s
 select case_id, key, row_number() over (partition by key order by present desc, approved desc, approvals desc, filled desc, files desc, original desc, case_id) = 1 as retained from s""")
 def retain_best_duplicate(spark, sf_dir):
     cases, score = _scored(spark, sf_dir)
-    return E.retain_best_duplicate(score.withColumn("key", F.col("case_id") % 10), ["key"], "score", "case_id").select("case_id", "key", "retained")
+    rated = E.retain_best_duplicate(score.withColumn("key", F.col("case_id") % 10), ["key"], "score", "case_id")
+    return rated.select("case_id", "key", (F.col("keep") == F.col("case_id")).alias("retained"))
 
 
 @query("select p_partkey, p_name, row_number() over (order by lower(p_name), p_name, p_partkey) as position from part")

@@ -14,7 +14,7 @@ from .plans import pipelines as P
 from .queries_link import LIVE, _nested, _scored, candidates_sql, live
 from .queries_text import form_tokens, query
 from .sources import files as S
-from .streaming.intake import take_in
+from .streaming.intake import route_work, take_in
 from .views import views
 
 
@@ -317,17 +317,39 @@ def stream_intake(spark, sf_dir):
     return _streamed(spark, sf_dir).select("sha256")
 
 
-@query("select distinct sha256(text) as sha256, case when substr(sha256(text), 1, 1) in ('0', '1') then 'approval' else 'material' end as kind, case when substr(sha256(text), 1, 1) in ('0', '1') then 'filename' else 'text' end as method from documents")
-def stream_route_batches(spark, sf_dir):
-    """Each micro-batch is an input batch, which goes through gate, classification and log."""
-    h = F.col("sha256")
+_STREAMED = """f as (select doc_id % 5 as batch, sha256(doc_id % 5 || ':' || text) as h from documents group by all),
+x as (select *, case when substr(h, 1, 1) in ('0', '1') then 'named' when substr(h, 1, 1) = '2' and batch % 2 = 1 then 'form' when substr(h, 1, 1) = '3' and batch = 1 then 'list' when substr(h, 1, 1) in ('4', '5') then 'titled' else 'plain' end as part from f),
+g as (select batch, count(case when part = 'form' then 1 end) as forms, count(case when part = 'list' then 1 end) as lists from x group by batch)"""
 
-    def work(rows):
-        name = F.concat(F.when(F.substring(h, 1, 1).isin("0", "1"), "工程类主体质保施工").otherwise("f"), h, F.lit(".pdf"))
-        files = rows.select(F.col("doc_id").alias("file_id"), F.lit("one").alias("batch"), name.alias("name"), F.lit("").alias("text"), "sha256")
-        return P.route_inputs(files, files.select("name", "sha256").limit(0))[0].select("sha256", "kind", "method")
 
-    return _streamed(spark, sf_dir, work).select("sha256", "kind", "method")
+@query(f"""with {_STREAMED} select 'route' as part, h as item, case when part in ('named', 'titled') then 'approval' else 'material' end as kind, case part when 'named' then 'filename' when 'form' then '' when 'list' then '' else 'text' end as method,
+ case when substr(h, 2, 1) = 'a' then 'quarantine_duplicate' when substr(h, 2, 1) = 'b' then 'renamed' else 'routed' end as outcome from x join g using (batch) where forms = lists
+union all select 'gate', cast(batch as varchar), cast(forms as varchar), cast(lists as varchar), case when forms = lists then 'accepted' else 'refused' end from g
+union all select 'log', '', cast((select count(*) from x) as varchar), cast((select count(*) from x join g using (batch) where forms = lists) as varchar), cast((select count(*) from g where forms <> lists) as varchar)""")
+def stream_route_batches(spark, sf_dir):
+    """Input batches go through gate, classification and log in micro-batches; the inbox and the texts are tables."""
+    (d,) = views(spark, sf_dir, "documents")
+    source, store, checkpoint = (new_folder(spark, x) for x in ("drop", "store", "stream"))
+    first = lambda *x: F.substring("sha256", 1, 1).isin(*x)
+    rows = d.select("doc_id", (F.col("doc_id") % 5).alias("batch"), "text").withColumn("sha256", F.sha2(F.concat(F.col("batch").cast("string"), F.lit(":"), "text"), 256))
+    part = F.when(first("0", "1"), "named").when(first("2") & (F.col("batch") % 2 == 1), "form").when(first("3") & (F.col("batch") == 1), "list").when(first("4", "5"), "titled").otherwise("plain")
+    tail = F.when(F.col("part") == "form", ".docx").when(F.col("part") == "list", "工人名单.jpg").otherwise(".pdf")
+    rows = rows.withColumn("part", part).withColumn("name", F.concat(F.when(F.col("part") == "named", "工程类主体质保施工").otherwise("f"), "sha256", tail))
+    rows = materialised(rows)
+    recognized = rows.select("sha256", F.lit("v").alias("version"), F.when(F.col("part") == "titled", F.concat(F.lit("工程类主体质保施工 "), "text")).otherwise(F.col("text")).alias("text"))
+    held = F.substring("sha256", 2, 1)
+    inbox = rows.where(held.isin("a", "b")).select("name", F.when(held == "a", F.col("sha256")).otherwise("other").alias("sha256")).distinct()
+    files = rows.select(F.col("doc_id").alias("file_id"), "batch", "name", "sha256")
+    files.repartitionByRange(3, "batch").write.parquet(source)
+    take_in(spark, source, "file_id long, batch long, name string, sha256 string", "sha256", store, checkpoint, route_work(store, inbox, recognized, "v"))
+    text = lambda c: F.col(c).cast("string")
+    routes = spark.read.parquet(f"{store}/routes")
+    renamed = (F.col("action") == "routed") & F.col("target").contains("_02.")
+    told = routes.select(F.lit("route").alias("part"), F.col("sha256").alias("item"), "kind", "method", F.when(renamed, "renamed").otherwise(F.col("action")).alias("outcome"))
+    gate = spark.read.parquet(f"{store}/gate")
+    told = told.unionByName(gate.select(F.lit("gate").alias("part"), text("input_batch").alias("item"), text("forms").alias("kind"), text("lists").alias("method"), F.when(F.col("accepted"), "accepted").otherwise("refused").alias("outcome")))
+    log = spark.read.parquet(f"{store}/log").agg(F.sum("files").alias("files"), (F.sum("files_routed") + F.sum("duplicates")).alias("routed"), F.sum("batches_refused").alias("refused"))
+    return told.unionByName(log.select(F.lit("log").alias("part"), F.lit("").alias("item"), text("files").alias("kind"), text("routed").alias("method"), text("refused").alias("outcome")))
 
 
 @query("with " + LIVE + " select doc_id, case_id from pairs where same")
@@ -336,5 +358,5 @@ def stream_link(spark, sf_dir):
     source, store, checkpoint = (new_folder(spark, x) for x in ("drop", "store", "stream"))
     a.write.parquet(source)
     cases = materialised(live(c))
-    take_in(spark, source, "doc_id long, text string", "doc_id", store, checkpoint, lambda rows: J.strict_containment_join(rows, cases))
+    take_in(spark, source, "doc_id long, text string", "doc_id", store, checkpoint, lambda rows, _: J.strict_containment_join(rows, cases))
     return spark.read.schema("doc_id long, case_id long").parquet(store).select("doc_id", "case_id")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .state import RevisionTaken, create_whole, exists, names_in, read_file
+
 SCHEMA_VERSION = 1
 FILE = "struct<position: bigint, name: string, size: bigint>"
 DATASET = f"schema_version int, dataset_revision bigint, case_id bigint, materials map<string, array<{FILE}>>"
@@ -27,23 +30,31 @@ def save_revision(cases: DataFrame, folder: str, revision: int) -> str:
 
 
 def publish(spark: SparkSession, folder: str, revision: int, path: str) -> None:
-    """Appends a row to the folder's pointers that says where a revision lies, once it is written whole."""
-    spark.createDataFrame([(revision, path)], "revision long, path string").coalesce(1).write.mode("append").json(f"{folder}/pointers")
+    """Says where a revision lies, once it is written whole; RevisionTaken if another writer has published the revision before."""
+    told = json.dumps({"schema_version": SCHEMA_VERSION, "revision": revision, "path": path})
+    if not create_whole(spark, f"{folder}/pointers/{revision:012d}.json", told):
+        raise RevisionTaken(f"revision {revision} of {folder} is published already")
 
 
 def published(spark: SparkSession, folder: str) -> DataFrame:
-    """Nested cases of the latest published revision; nothing published is an error."""
-    last = spark.read.schema("revision long, path string").json(f"{folder}/pointers").orderBy(F.desc("revision")).first()
-    if last is None:
-        raise ValueError(f"nothing is published at {folder}")
-    return load_revision(spark, last.path)
+    """Nested cases of the latest published revision; no rows if nothing is published, an error if it has another schema version."""
+    told = [n for n in names_in(spark, f"{folder}/pointers") if n.endswith(".json") and not n.startswith(".")]
+    if not told:
+        return spark.createDataFrame([], DATASET)
+    last = json.loads(read_file(spark, f"{folder}/pointers/{told[-1]}"))
+    if last["schema_version"] != SCHEMA_VERSION:
+        raise ValueError(f"schema version {last['schema_version']} at {folder}, not {SCHEMA_VERSION}")
+    return load_revision(spark, last["path"])
 
 
 def load_revision(spark: SparkSession, path: str) -> DataFrame:
-    """Nested cases; another schema version is an error."""
+    """Nested cases; a missing dataset has no rows. Another schema version, or none, is an error whatever columns are selected: it is asked of
+    every row in a filter, which column pruning keeps."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], DATASET)
     rows = spark.read.schema(DATASET).json(path)
     wrong = F.raise_error(F.concat(F.lit("schema version "), F.coalesce(F.col("schema_version").cast("string"), F.lit("missing"))))
-    return rows.withColumn("schema_version", F.when(F.col("schema_version") == SCHEMA_VERSION, F.col("schema_version")).otherwise(wrong.cast("int")))
+    return rows.where(F.when(F.col("schema_version") == SCHEMA_VERSION, F.lit(True)).otherwise(wrong.cast("boolean")))
 
 
 def load_recognized_text(rows: DataFrame, version: str) -> DataFrame:
