@@ -14,7 +14,7 @@ NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "record-evidence-linkage")
 # Parts of canonical file names.
 FORM_SUFFIX = "_质保作业申请单"
 APPROVAL_TITLE = "工程类-主体质保施工"
-APPROVAL_NAME = r"(?i)^工程类-主体质保施工_编号：(\d{12})\.pdf$"
+NUMBER_LABEL, NUMBER_DIGITS = "_编号：", 12
 ROLE_LABELS = {
     "signed_application": "手签",
     "worker_list": "施工人员名单",
@@ -22,6 +22,8 @@ ROLE_LABELS = {
     "high_altitude": "高处作业申请",
     "special_work": "专项作业材料",
 }
+#: A canonical approval's name; the group is its number.
+APPROVAL_NAME = rf"(?i)^{APPROVAL_TITLE}{NUMBER_LABEL}(\d{{{NUMBER_DIGITS}}})\.pdf$"
 
 
 def uuid5(name: Column, namespace: uuid.UUID = NAMESPACE) -> Column:

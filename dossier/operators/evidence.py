@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..materialize import materialised
 from .ranks import rank_within
 
+#: Rows of a base name that one task numbers at most.
+HOT_BASE = 100_000
 ROLES = ("word", "signed_application", "worker_list", "safety_agreement", "confined_space", "high_altitude", "special_work")
 
 
@@ -113,10 +115,19 @@ def next_free_suffix(newcomers: DataFrame, taken: DataFrame) -> DataFrame:
     used = taken.select(F.col("name").alias("base"), F.lit(1).cast("long").alias("number")).unionByName(
         taken.where(number != "").select(F.regexp_extract("name", split, 1).alias("base"), number.cast("long").alias("number")).where("number >= 2")
     )
-    used = rank_within(used.distinct(), ["base"], ["number"], "i").select("base", (F.col("number") - F.col("i")).alias("place"), F.lit(1).alias("is_taken"), F.lit(None).cast(newcomers.schema["row_id"].dataType).alias("row_id"))
-    new = rank_within(newcomers.select("row_id", "base"), ["base"], ["row_id"], "place")
-    both = new.select("base", "place", F.lit(0).alias("is_taken"), "row_id").unionByName(used)
-    pick = rank_within(both, ["base"], ["place", "is_taken"], "pick").where("is_taken = 0")
+    no_row = F.lit(None).cast(newcomers.schema["row_id"].dataType)
+    both = newcomers.select("base", F.lit(None).cast("long").alias("number"), F.lit(0).alias("is_taken"), "row_id")
+    both = materialised(both.unionByName(used.join(newcomers.select("base").distinct(), "base", "left_semi").distinct().select("base", "number", F.lit(1).alias("is_taken"), no_row.alias("row_id"))))
+    hot = materialised(both.groupBy("base").agg(F.count("*").alias("n")).where(F.col("n") > HOT_BASE).select("base"))
+    # one shuffle by base serves all ranks; bases that many rows have are ranked by ranges
+    own = Window.partitionBy("base", "is_taken").orderBy("number", "row_id")
+    cold = both.join(hot, "base", "left_anti").withColumn("i", F.row_number().over(own)).withColumn("place", F.when(F.col("is_taken") == 1, F.col("number") - F.col("i")).otherwise(F.col("i")))
+    pick = cold.withColumn("pick", F.row_number().over(Window.partitionBy("base").orderBy("place", "is_taken"))).where("is_taken = 0").select("base", "row_id", F.col("pick").cast("long").alias("pick"))
+    if not hot.isEmpty():
+        rest = both.join(F.broadcast(hot), "base", "left_semi")
+        ranked = rank_within(rest.where("is_taken = 1"), ["base"], ["number"], "i").withColumn("place", F.col("number") - F.col("i")).drop("i")
+        ranked = rank_within(rest.where("is_taken = 0"), ["base"], ["row_id"], "place").unionByName(ranked)
+        pick = pick.unionByName(rank_within(ranked, ["base"], ["place", "is_taken"], "pick").where("is_taken = 0").select("base", "row_id", "pick"))
     tail = F.when(F.col("pick") < 100, F.lpad(F.col("pick").cast("string"), 2, "0")).otherwise(F.col("pick").cast("string"))
     return pick.select("row_id", "base", F.when(F.col("pick") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), tail)).alias("name"))
 

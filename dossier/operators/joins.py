@@ -11,25 +11,16 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions.dates import dates_agree, with_dates
 from ..functions.text import labelled_field, normalize_match_text, normalize_ocr_text, split_name_list
-from ..materialize import materialised
+from ..materialize import materialised, new_folder
 from .ranks import rank_within
 
-#: Length of the grams that anchor keys in texts; characters of keys that are sent to every task at most.
-GRAM, AUTOMATON_CHARS = 5, 4_000_000
+#: Characters of keys that are sent to every task at once.
+AUTOMATON_CHARS = 4_000_000
 # Labels that end the content field, and the acceptance rule of fuzzy matches.
 CONTENT_ENDS = ("施工负责人", "影响改动消防", "影响堵塞", "危险作业", "附件", "审批记录")
 FUZZY_LEAST, FUZZY_LEAD = 0.60, 0.15
 
 
-def _with_grams(rows: DataFrame, text_col: str, size: int) -> DataFrame:
-    """rows with gram, one row for each distinct gram of the text; linear in its length."""
-    chars = rows.withColumn("chars_", F.split(text_col, ""))
-    count = F.size("chars_") - size + 1
-    gram = lambda i: F.concat(*[F.get("chars_", i + k) for k in range(size)])
-    grams = chars.where(count > 0).withColumn("grams_", F.transform(F.sequence(F.lit(0), count - 1), gram))
-    return grams.withColumn("gram", F.explode(F.array_distinct("grams_"))).drop("chars_", "grams_")
-
-
 def _matched(sent):
     """(id, text) batches as (id, key): an automaton of all keys reads each text once."""
 
@@ -53,32 +44,32 @@ def _matched(sent):
     return run
 
 
-def _anchored(rows: DataFrame, id_col: str, keys: DataFrame) -> DataFrame:
-    """(id_col, key) by an equality join of grams; a key is anchored at the gram that fewest keys share, and candidates are verified."""
-    own = _with_grams(keys.where(F.length("key") >= GRAM), "key", GRAM).select("key", "gram")
-    shared = own.groupBy("gram").agg(F.count("*").alias("n"))
-    anchors = own.join(shared, "gram").groupBy("key").agg(F.min(F.struct("n", "gram")).alias("a")).select("key", F.col("a.gram").alias("gram"))
-    hits = _with_grams(rows, "text_", GRAM).select(id_col, "gram").join(anchors, "gram").select(id_col, "key")
-    short = keys.where(F.length("key") < GRAM)
-    for size in range(1, GRAM):
-        whole = short.where(F.length("key") == size)
-        hits = hits.unionByName(_with_grams(rows, "text_", size).select(id_col, F.col("gram").alias("key")).join(whole, "key").select(id_col, "key"))
-    return hits.distinct().join(rows, id_col).where(F.contains("text_", "key")).select(id_col, "key").distinct()
-
-
-def containment_pairs(texts: DataFrame, id_col: str, text_col: str, keys: DataFrame, key_col: str) -> DataFrame:
+def containment_pairs(texts: DataFrame, id_col: str, text_col: str, keys: DataFrame, key_col: str, most_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """(id_col, key) for each distinct non-empty key and each text that contains it; a null id, text or key matches nothing.
 
-    Keys of up to AUTOMATON_CHARS characters in all are sent to every task, which reads each text once and shuffles none. More
-    keys are matched by a shuffle of grams.
+    Keys are sent to every task, which reads each text once and shuffles none. Keys of more than most_chars characters in all are dealt to
+    shards by their hash, each of about so many; shards are sent in turn, and texts are read once for each. So neither driver nor task
+    holds more than a shard, and no part of a key or text is a key of a shuffle that texts could have in common.
     """
+    spark = texts.sparkSession
     keys = materialised(keys.select(F.col(key_col).alias("key")).where("key <> ''").distinct())
     rows = texts.where(F.col(id_col).isNotNull()).select(id_col, F.col(text_col).alias("text_")).where("text_ <> ''")
-    if (keys.agg(F.sum(F.length("key"))).first()[0] or 0) > AUTOMATON_CHARS:
-        return _anchored(rows, id_col, keys)
-    sent = texts.sparkSession.sparkContext.broadcast([r.key for r in keys.collect()])
     schema = StructType([texts.schema[id_col], StructField("key", StringType())])
-    return rows.mapInArrow(_matched(sent), schema).distinct()
+    chars = keys.agg(F.sum(F.length("key"))).first()[0]
+    if not chars:
+        return spark.createDataFrame([], schema)
+    shards = -(-chars // most_chars)
+    if shards == 1:
+        return rows.mapInArrow(_matched(spark.sparkContext.broadcast([r.key for r in keys.collect()])), schema).distinct()
+    rows, found = materialised(rows), new_folder(spark, "hits")
+    for shard in range(shards):
+        own = [r.key for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(shards)) == shard).collect()]
+        if not own:
+            continue
+        sent = spark.sparkContext.broadcast(own)
+        rows.mapInArrow(_matched(sent), schema).write.mode("append").parquet(found)
+        sent.destroy()
+    return spark.read.schema(schema).parquet(found).distinct()
 
 
 def containment_links(documents: DataFrame, cases: DataFrame) -> DataFrame:

@@ -204,7 +204,7 @@ def ingest_approvals(files: DataFrame, cases: DataFrame, material: DataFrame, un
     one = found.where("reason = 'linked'").join(known.select("file_id", "name", "sha256", "text"), "file_id").join(cases.select("case_id", "case_name"), "case_id")
     number = ids.application_no(F.col("name"), F.col("text"))
     one = one.withColumn("application_no", number)
-    file = F.when(F.col("application_no") != "", F.concat(F.lit(ids.APPROVAL_TITLE + "_编号："), "application_no", F.lit(PDF_SUFFIX))).otherwise(F.col("name"))
+    file = F.when(F.col("application_no") != "", F.concat(F.lit(ids.APPROVAL_TITLE + ids.NUMBER_LABEL), "application_no", F.lit(PDF_SUFFIX))).otherwise(F.col("name"))
     one = materialised(one.withColumn("target", F.concat(F.lit(CASES + "/"), "case_name", F.lit("/"), file)).drop("text"))
     first = one.groupBy("target").agg(F.min_by("sha256", "file_id").alias("held_"), F.min("file_id").alias("first_"))
     one = one.join(first, "target")
@@ -365,7 +365,7 @@ def rename_plan(documents: DataFrame, recognized: DataFrame, version: str, title
     numbered = numbered.unionByName(unread.withColumns({"text": F.lit(None).cast("string"), "number": F.when(canonical, ids.application_no(F.col("name"), F.lit(""))).otherwise("")}))
     numbered = materialised(numbered.select("doc_id", "number", canonical.alias("canonical"), F.col("text").isNull().alias("unread")))
     first = numbered.where("number <> ''").groupBy("number").agg(F.max_by("doc_id", F.struct(F.col("canonical"), -F.col("doc_id"))).alias("first_id"), F.max("canonical").alias("taken"))
-    target = F.when(F.col("number") != "", F.concat(F.lit(title + "_编号："), "number", F.lit(PDF_SUFFIX)))
+    target = F.when(F.col("number") != "", F.concat(F.lit(title + ids.NUMBER_LABEL), "number", F.lit(PDF_SUFFIX)))
     action = (
         F.when(F.col("canonical"), "already_canonical").when(F.col("unread"), "text_missing").when(F.col("number") == "", "no_number")
         .when(F.col("taken") | (F.col("doc_id") != F.col("first_id")), "duplicate_target").otherwise("rename")

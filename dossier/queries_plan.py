@@ -20,7 +20,7 @@ from .views import views
 
 @query()
 def scan_evidence_files(spark, sf_dir):
-    return S.scan_evidence_files(spark, sf_dir, "*.parquet", recursive=True).select("name", "size", "sha256")
+    return S.scan_evidence_files(spark, sf_dir, (".parquet",), recursive=True).select("name", "size", "sha256")
 
 
 @query("select case_id, role, name, size from v_evidence")
@@ -182,14 +182,20 @@ k as (select s.case_id, b.case_id as keep_id from s join s b on b.key = s.key an
 
 
 @query(f"""with {_SCORE_SQL}, m as (select k.keep_id as case_id, e.case_id * 1000 + position as file_id, sha256(text) as sha256, k.case_id <> k.keep_id as moved from v_evidence e join k using (case_id)),
-n as (select *, row_number() over (partition by case_id, sha256 order by moved, file_id) as r from m) select case_id, file_id, moved from n where r = 1""")
+n as (select *, row_number() over (partition by case_id, sha256 order by moved, file_id) as r from m)
+select 'evidence' as part, cast(case_id as varchar) as item, cast(file_id as varchar) as of_, cast(moved as varchar) as told from n where r = 1 union all select 'case', cast(case_id as varchar), cast(keep_id as varchar), '' from k
+union all select 'change', cast(case_id as varchar), cast(keep_id as varchar), 'remove_duplicate_case' from k where case_id <> keep_id union all select 'change', cast(file_id as varchar), cast(case_id as varchar), 'merge_evidence' from n where r = 1 and moved""")
 def deduplicate_cases(spark, sf_dir):
+    """The kept evidence, each case with the one that stays for it, and the change rows."""
     (e,) = views(spark, sf_dir, "v_evidence")
     _, score = _scored(spark, sf_dir)
     cases = e.select("case_id").distinct().withColumn("key", F.col("case_id") % 10)
     files = e.select("case_id", (F.col("case_id") * 1000 + F.col("position")).alias("file_id"), F.sha2("text", 256).alias("sha256"))
     placed, merged, changes = P.deduplicate_cases(cases, files, ["key"], score)
-    return merged.select("case_id", "file_id", "moved")
+    text = lambda c: F.col(c).cast("string")
+    told = merged.select(F.lit("evidence").alias("part"), text("case_id").alias("item"), text("file_id").alias("of_"), text("moved").alias("told"))
+    told = told.unionByName(placed.select(F.lit("case").alias("part"), text("case_id").alias("item"), text("keep_id").alias("of_"), F.lit("").alias("told")))
+    return told.unionByName(changes.select(F.lit("change").alias("part"), F.col("source").alias("item"), F.col("target").alias("of_"), F.col("action").alias("told")))
 
 
 @query("with " + LIVE + """, s as (select doc_id, count(*) as n, min(case_id) as only_ from pairs where same group by doc_id), p as (select * from a left join s using (doc_id) where doc_id % 3 <> 0 or doc_id % 10 = 9)
@@ -297,8 +303,10 @@ def assign_images(spark, sf_dir):
     from .queries_link import _perturbed
 
     docs, cases = _perturbed(spark, sf_dir)
-    images = docs.withColumn("batch", F.when(F.col("doc_id") % 5 == 0, F.col("doc_id")))
-    return P.assign_images(images, cases.where("case_id % 10 = 0").select(F.col("case_id").alias("batch"), "case_id"), cases.where("case_id % 50 = 1").select("case_id", "content"), cases)
+    # every case came in a batch, alone or with the next one; an image is of its document's batch, or of an unknown one
+    batch = (F.col("case_id") - F.when(F.col("case_id") % 3 == 0, 0).otherwise(F.col("case_id") % 2)).alias("batch")
+    images = docs.withColumn("batch", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    return P.assign_images(images, cases.select(batch, "case_id"), cases.select("case_id", "content"), cases)
 
 
 def _streamed(spark, sf_dir, work=None):

@@ -1,6 +1,8 @@
 """Rules on literal cases."""
 
 import datetime
+import hashlib
+import random
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from dossier.operators import evidence as E
 from dossier.operators import joins as J
 from dossier.operators import review as R
 from dossier.plans import pipelines as P
+from dossier.sources import files as S
 
 
 def values(spark, column, *rows):
@@ -78,12 +81,8 @@ def test_containment_equals_nested_loop(spark):
     keys = spark.createDataFrame([("old ring",), ("ab",), ("",), ("é",), ("ring saw",)], "key string")
     found = {tuple(r) for r in J.containment_pairs(texts, "id", "text", keys, "key").collect()}
     assert found == {(1, "old ring"), (1, "ring saw"), (4, "ab"), (4, "é")}
-    monkeypatched = J.AUTOMATON_CHARS
-    try:
-        J.AUTOMATON_CHARS = 0  # more keys than may be sent: grams are shuffled
-        assert {tuple(r) for r in J.containment_pairs(texts, "id", "text", keys, "key").collect()} == found
-    finally:
-        J.AUTOMATON_CHARS = monkeypatched
+    # more keys than are sent at once: shards in turn
+    assert {tuple(r) for r in J.containment_pairs(texts, "id", "text", keys, "key", most_chars=6).collect()} == found
 
 
 def test_last_canonical_name_stands(spark):
@@ -134,3 +133,80 @@ def test_blank_approval_fields_are_filled(spark):
     keep = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "case_id long, keep_id long")
     found = {r.case_id: (r.number, r.source) for r in E.filled_approvals(cases, keep, ["number", "source"]).collect()}
     assert found == {1: ("12", "x"), 3: ("13", "y")}
+
+
+def test_sharded_keys_have_no_hot_task(spark):
+    """A gram that every text and key has is no key of any shuffle: texts are read where they are, once for each shard."""
+    texts = spark.range(4000).repartition(8).selectExpr("id", "concat('common ', id, ' common ', id % 7) as text")
+    keys = spark.range(300).selectExpr("concat('common ', id * 13) as key")
+    want = {(i, f"common {k * 13}") for i in range(4000) for k in range(300) if f"common {k * 13}" in f"common {i} common {i % 7}"}
+    assert {tuple(r) for r in J.containment_pairs(texts, "id", "text", keys, "key", most_chars=1000).collect()} == want
+
+
+def test_free_names_of_hot_and_other_bases(spark, monkeypatch):
+    r = random.Random(3)
+    new = [(i, f"b{r.randrange(3) if i % 4 else 0}") for i in range(300)]
+    taken = sorted({f"b{r.randrange(4)}" + (f"_{r.randrange(2, 90):02d}" if r.random() < 0.9 else "") for _ in range(80)})
+    want, used = {}, set(taken)
+    for i, base in new:
+        name, n = base, 1
+        while name in used:
+            n += 1
+            name = f"{base}_{n:02d}"
+        used.add(name)
+        want[i] = name
+    frames = spark.createDataFrame(new, "row_id long, base string"), spark.createDataFrame([(x,) for x in taken], "name string")
+    for most in (10**6, 150, 0):
+        monkeypatch.setattr(E, "HOT_BASE", most)
+        assert {x.row_id: x.name for x in E.next_free_suffix(*frames).collect()} == want
+
+
+def test_scan_hashes_files_of_any_size(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    files = {"x.DOCX": b"one", "~$x.docx": b"temporary", "y.txt": b"other", "a/z.docx": b"", "a/b/w.jpg": b"deep" * 1_000_000, "a/b/~$t.jpg": b"t"}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    big = tmp_path / "a" / "big.docx"
+    with open(big, "wb") as out:
+        out.truncate((1 << 31) + 5)
+    scan = lambda *a, **k: {r.name: (r.size, r.sha256) for r in S.scan_evidence_files(spark, *a, **k).collect()}
+    digest = lambda b: (len(b), hashlib.sha256(b).hexdigest())
+    assert scan(str(tmp_path), (".docx", ".jpg")) == {"x.DOCX": digest(b"one")}
+    zeros = hashlib.sha256()
+    for _ in range(1 << 11):
+        zeros.update(bytes(1 << 20))
+    zeros.update(bytes(5))
+    assert scan(f"file://{tmp_path}", (".docx", ".jpg"), recursive=True) == {"x.DOCX": digest(b"one"), "z.docx": digest(b""), "w.jpg": digest(b"deep" * 1_000_000), "big.docx": ((1 << 31) + 5, zeros.hexdigest())}
+    assert set(scan(str(tmp_path))) == {"x.DOCX", "y.txt"} and scan(str(tmp_path / "nowhere")) == {}
+    (row,) = S.scan_evidence_files(spark, str(tmp_path), (".txt",)).collect()
+    assert abs(row.modified.timestamp() - (tmp_path / "y.txt").stat().st_mtime) < 1 and row.path.endswith("/y.txt")
+
+
+def test_no_single_batch_means_content_or_similarity(spark):
+    """assign_images against plain rules on whole tables: the only case of the batch, else the only content that the text holds."""
+    from dossier.functions.text import normalize_match_text
+    from dossier.queries_link import _perturbed
+
+    docs, cases = _perturbed(spark, "/root/testdata/sf0.001")
+    images = docs.withColumn("batch", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    batch = (F.col("case_id") - F.when(F.col("case_id") % 3 == 0, 0).otherwise(F.col("case_id") % 2)).alias("batch")
+    batches, created = cases.select(batch, "case_id"), cases.select("case_id", "content")
+    got = {(x.doc_id, x.case_id, x.stage) for x in P.assign_images(images, batches, created, cases).collect()}
+    members, contents = {}, {}
+    for x in batches.collect():
+        members.setdefault(x.batch, set()).add(x.case_id)
+    for x in created.withColumn("k", normalize_match_text(F.col("content"))).collect():
+        contents.setdefault(x.k, set()).add(x.case_id)
+    want, left = set(), []
+    for x in images.withColumn("t", normalize_match_text(F.col("text"))).collect():
+        own = members.get(x.batch, set())
+        held = set().union(*(c for k, c in contents.items() if k and k in x.t))
+        if x.batch is not None and len(own) == 1:
+            want.add((x.doc_id, min(own), "batch"))
+        elif len(held) == 1:
+            want.add((x.doc_id, min(held), "content"))
+        else:
+            left.append((x.doc_id, x.text))
+    rest = J.fuzzy_margin_join(spark.createDataFrame(left, "doc_id long, text string"), cases).where("case_id is not null").collect()
+    assert got == want | {(x.doc_id, x.case_id, "fuzzy") for x in rest}
+    assert len({stage for _, _, stage in got}) >= 2
