@@ -2,8 +2,9 @@
 
 The dimensions are split into parts; a part holds one list of partial scores for each query. Phase 1 gathers each
 list's best entries and scores those vectors exactly: the k-th of these scores, tau, is a safe cutoff. Phase 2 sends tau to all
-parts, which give every entry of at least tau / parts: a vector that no part gives scores below tau. Phase 3 drops
-what can't reach tau and scores the rest exactly.
+parts, which give every entry of at least their share of it: a vector that no part gives scores below tau. Phase 3 drops
+what can't reach tau and scores the rest exactly. A part's share is in proportion to the root of its width, as partial scores spread by that:
+the threshold is uniform in units of each list's spread. One wide part beside a narrow one lets far fewer entries pass than equal ones.
 
 Equal vectors are one candidate that carries its k + 1 smallest ids; more can't be among the best k of any query.
 """
@@ -21,9 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import ship, shuffle_width, stored
 
-PARTS = 2
-#: Entries of each list that phase 1 resolves; the more, the closer tau comes to the k-th score and the fewer entries pass it.
-LIST = 64
+#: Widths of the parts, in proportion; shares of tau are counted in WHOLE.
+SPLIT, WHOLE = (7, 1), 1000
+#: Entries of each list that phase 1 resolves; the more, the closer tau comes to the k-th score and the fewer entries pass it. A block of few gives as many.
+LIST = 128
 BLOCK, QUERY_BLOCK = 4096, 512
 ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BLOCKS = "block long, part int, ids binary, data binary"
@@ -48,7 +50,16 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * 256)).alias("v"))
 
 
-def _blocks(parts: int, width: int, size: int):
+def widths_and_shares(most: int, split: tuple[int, ...] = SPLIT) -> tuple[list[int], list[int]]:
+    """The widths of the parts of most dimensions, empty ones left out, and their shares of tau, which add up to WHOLE."""
+    ends = [round(most * sum(split[: i + 1]) / sum(split)) for i in range(len(split))]
+    widths = [w for w in np.diff([0, *ends]).tolist() if w] or [1]
+    roots = np.sqrt(widths)
+    shares = np.floor(WHOLE * roots / roots.sum()).astype(int).tolist()
+    return widths, [WHOLE - sum(shares[1:]), *shares[1:]]
+
+
+def _blocks(widths: list[int], size: int):
     """Packs (cid, v) rows into blocks of at most size rows, one row for each part of the dimensions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,12 +69,12 @@ def _blocks(parts: int, width: int, size: int):
                 some = batch.slice(at, size)
                 ids, v = some.column(0).to_numpy(), some.column(1)
                 lengths = v.value_lengths().to_numpy()
-                matrix = np.zeros((len(ids), parts * width))
+                matrix = np.zeros((len(ids), sum(widths)))
                 row = np.repeat(np.arange(len(ids)), lengths)
                 within = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 matrix[row, within] = v.flatten().to_numpy()
-                for g in range(parts):
-                    own = np.ascontiguousarray(matrix[:, g * width : (g + 1) * width])
+                for g, (end, width) in enumerate(zip(np.cumsum(widths), widths, strict=True)):
+                    own = np.ascontiguousarray(matrix[:, end - width : end])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([first], pa.int64()), pa.array([g], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([own.tobytes()], pa.binary())],
                         names=["block", "part", "ids", "data"],
@@ -92,9 +103,10 @@ def _partial(k: int | None):
                     raise OverflowError("inner products beyond 64 bits")
                 if k is None:
                     cut = dict(zip(at["cut"][r].as_py()[0::2], at["cut"][r].as_py()[1::2], strict=True))
-                    # partial * parts >= tau, in whole numbers
-                    least = np.array([cut.get(i, -(2**62)) for i in qids.tolist()])
-                    qi, vi = np.nonzero(scores * at["parts"][r].as_py() >= least[:, None])
+                    # partial >= tau * share / WHOLE, in whole numbers
+                    share = at["share"][r].as_py()
+                    least = np.array([-(-cut[i] * share // WHOLE) if i in cut else -(2**63) for i in qids.tolist()])
+                    qi, vi = np.nonzero(scores >= least[:, None])
                 else:
                     n = min(k, len(ids))
                     vi = np.argpartition(-scores, n - 1, axis=1)[:, :n].ravel()
@@ -110,12 +122,14 @@ def _partial(k: int | None):
 PARTIAL = "qid long, cid long, part int, partial long"
 
 
-def search(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", parts: int = PARTS) -> DataFrame:
+def search(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", split: tuple[int, ...] = SPLIT, report: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best rows of vectors by inner product, ties to smaller ids.
 
     queries is a condition on the column ``id`` that selects the rows of vectors that are queries; a query's own row is
     no candidate of it, an equal row is. Vectors that are null, hold a null or a non-finite component or have a null id take no part; missing trailing
     components count as 0. Fewer than k rows are all given; an empty table gives none. Scores beyond 64 bits raise an error.
+    Rows that share an id are candidates each, with their own vectors, and a query's own row is the one with its vector.
+    report gets the number of pairs of queries and vectors, and of the entries that phase 2 sends.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -130,15 +144,17 @@ def search(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec_
     asking = classes.join(asked.select(F.col("qid").alias("cid")).distinct(), "cid", "left_semi")
 
     most = classes.agg(F.max(F.size("v"))).first()[0]
-    width = max(1, -(-(most or 1) // parts))
+    widths, shares = widths_and_shares(most or 1, split)
+    parts = len(widths)
     buckets = shuffle_width(spark)
-    blocks, _ = stored(classes.select("cid", "v").mapInArrow(_blocks(parts, width, BLOCK), BLOCKS).withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets))), "topk-blocks")
-    q_rows, _ = stored(asking.select("cid", "v").mapInArrow(_blocks(parts, width, QUERY_BLOCK), BLOCKS), "topk-queries")
+    blocks, _ = stored(classes.select("cid", "v").mapInArrow(_blocks(widths, BLOCK), BLOCKS).withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets))), "topk-blocks")
+    q_rows, _ = stored(asking.select("cid", "v").mapInArrow(_blocks(widths, QUERY_BLOCK), BLOCKS), "topk-queries")
     q_blocks = q_rows.select(F.col("block").alias("qblock"), "part", F.col("ids").alias("qids"), F.col("data").alias("qdata"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("bucket"))
 
     n = k + 1
+    each = max(n, -(-LIST // max(1, blocks.where("part = 0").count())))
     with small_batches(spark, 8):
-        lists, _ = stored(q_blocks.join(blocks, ["bucket", "part"]).mapInArrow(_partial(n), PARTIAL), "topk-lists")
+        lists, _ = stored(q_blocks.join(blocks, ["bucket", "part"]).mapInArrow(_partial(each), PARTIAL), "topk-lists")
     best = Window.partitionBy("qid", "part").orderBy(F.desc("partial"), "cid")
     seen = lists.withColumn("n", F.row_number().over(best)).where(F.col("n") <= max(n, LIST)).select("qid", "cid").distinct()
     known, _ = stored(_resolved(seen, classes), "topk-known")
@@ -147,11 +163,16 @@ def search(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec_
     # a query without n candidates has no cutoff: every entry is sent
     members = q_rows.where("part = 0").select(F.col("block").alias("qblock"), "ids").mapInArrow(_ids_of, "qblock long, qid long")
     cuts = members.join(tau, "qid").groupBy("qblock").agg(F.flatten(F.collect_list(F.array("qid", "tau"))).alias("cut"))
+    share_of = F.get(F.lit(shares), F.col("part"))
     with small_batches(spark, 8):
-        told = q_blocks.join(cuts, "qblock", "left").withColumn("cut", F.coalesce("cut", F.array().cast("array<bigint>"))).withColumn("parts", F.lit(parts))
+        told = q_blocks.join(cuts, "qblock", "left").withColumn("cut", F.coalesce("cut", F.array().cast("array<bigint>"))).withColumn("share", share_of)
         sent, _ = stored(told.join(blocks, ["bucket", "part"]).mapInArrow(_partial(None), PARTIAL), "topk-sent")
-    sums = sent.groupBy("qid", "cid").agg(F.sum("partial").alias("sum"), F.count("*").alias("got")).join(tau, "qid", "left")
-    able = sums.where(F.col("tau").isNull() | (F.col("sum") * parts + (parts - F.col("got")) * F.col("tau") >= F.col("tau") * parts))
+    if report is not None:
+        report["pairs"], report["sent"] = classes.count() * asked.select("qid").distinct().count(), sent.count()
+    sums = sent.groupBy("qid", "cid").agg(F.sum("partial").alias("sum"), F.count("*").alias("got"), F.sum(share_of).alias("share")).join(tau, "qid", "left")
+    # what wasn't sent is below its share of tau
+    wide = lambda c: F.col(c).cast("decimal(24,0)")
+    able = sums.where(F.col("tau").isNull() | (wide("sum") * WHOLE >= wide("tau") * F.col("share")))
     able, _ = stored(able.select("qid", "cid", F.when(F.col("got") == parts, F.col("sum")).alias("score")), "topk-able")
     exact = able.where("score is not null").unionByName(_resolved(able.where("score is null").select("qid", "cid"), classes))
 

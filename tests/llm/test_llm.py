@@ -456,3 +456,22 @@ def test_prefixes_of_similar_sets_meet(least, counted):
         (small, own), (large, _) = (near_dedup.prefixes(t, often, least) for t in (x, y))
         assert set(small[:own].tolist()) & set(large.tolist())
     assert near > 200
+
+
+@pytest.mark.parametrize("split", [(7, 1), (1, 1), (1,), (3, 2, 1)])
+def test_shares_of_the_cutoff_lose_no_vector(spark, split):
+    """Any split gives the same rows; an uneven one sends few entries."""
+    r = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in r.standard_normal(24)]) for i in range(400)]
+    report = {}
+    got = topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, split=split, report=report).collect()
+    v = np.floor(256 * np.array([x for _, x in rows])).astype(int)
+    want = []
+    for q in range(0, 400, 20):
+        best = sorted(((int(v[q] @ v[c]), -c) for c in range(400) if c != q), reverse=True)[:5]
+        want += [(q, i + 1, -c, score) for i, (score, c) in enumerate(best)]
+    assert sorted(map(tuple, got)) == want
+    assert report["sent"] < 0.15 * report["pairs"]
+    for most in (1, 2, 24, 100):
+        widths, shares = topk_search.widths_and_shares(most, split)
+        assert sum(widths) == most and sum(shares) == topk_search.WHOLE and min(widths) > 0
