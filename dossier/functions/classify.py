@@ -106,21 +106,22 @@ def checkbox_state(tokens: Column, label: str, checked: str = CHECKED, stops: tu
 def selected_options(tokens: Column, options: tuple[str, ...] = WORK_TYPES, checked: str = CHECKED) -> Column:
     """The options, in their fixed order, whose next symbol comes before another option and is checked.
 
-    The list is walked once: an option is looked for only after the place where the one before was found.
+    One walk: an option is looked for only behind the place where the one before was found, so the state is the number of options found, whether the
+    last of them waits for its symbol, and the checked ones as bits.
     """
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("picked"))
-
-    def step(state: Column, option: Column) -> Column:
-        at = F.array_position(F.transform(tokens, lambda t, i: (i >= state.at) & (t.type == "text") & F.contains(t.value, option)), True).cast("int")
-        return F.get(F.transform(F.array(at), lambda found: after(state, option, found)), F.lit(0))
-
-    def after(state: Column, option: Column, at: Column) -> Column:
-        rest = F.slice(tokens, at + 1, F.greatest(F.size(tokens), F.lit(1)))
-        telling = F.get(F.filter(rest, lambda t: (t.type == "sym") | ((t.type == "text") & contains_any(t.value, options))), F.lit(0))
-        on = (at > 0) & F.coalesce((telling.type == "sym") & (telling.value == checked), F.lit(False))
-        return F.struct(F.when(at > 0, at).otherwise(F.size(tokens)).alias("at"), F.when(on, F.concat(state.picked, F.array(option))).otherwise(state.picked).alias("picked"))
-
-    return F.aggregate(F.array(*[F.lit(o) for o in options]), none, step).picked
+    listed = F.array(*[F.lit(o) for o in options])
+    start = F.struct(F.lit(0).alias("found"), F.lit(False).alias("waits"), F.lit(0).alias("bits"))
+
+    def step(state: Column, t: Column) -> Column:
+        text = t.type == "text"
+        here = text & F.coalesce(F.contains(t.value, F.get(listed, state.found)), F.lit(False))
+        told = (t.type == "sym") | (text & contains_any(t.value, options))
+        on = state.waits & (t.type == "sym") & (t.value == checked)
+        bits = F.when(on, state.bits.bitwiseOR(F.call_function("shiftleft", F.lit(1), state.found - 1))).otherwise(state.bits)
+        return F.struct(F.when(here, state.found + 1).otherwise(state.found).alias("found"), (here | (state.waits & ~told)).alias("waits"), bits.alias("bits"))
+
+    picked = lambda s: F.filter(listed, lambda _, i: s.bits.bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0)
+    return F.aggregate(tokens, start, step, picked)
 
 
 def hazard_review(implied: Column, present: Column) -> Column:

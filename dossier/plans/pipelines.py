@@ -420,6 +420,20 @@ def batch_summary(forms: DataFrame, documents: DataFrame, prior: DataFrame, over
     return told.withColumns({"how": F.when(F.col("target").isNotNull(), "override").otherwise(F.col("how")), "names": F.coalesce("target", "names", F.lit(""))}).drop("target", "key")
 
 
+HOW = ("prior", "text", "none", "override")
+
+
+def batch_tables(found: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
+    """(the flat table, its notes, counters) of what batch_summary gives: forms by how their names were found, renamed and canonical ones.
+
+    The counters are observed in the pass that works the forms out.
+    """
+    counters = [F.count_if(F.col("how") == x).alias(x) for x in HOW] + [F.count_if(F.col("state") == x).alias(x) for x in ("renamed", "canonical")]
+    written, told = E.counted(found, counters)
+    records = written.withColumns({"form_path": F.col("new_name"), "image_path": F.lit(""), "folder_path": F.lit(""), "old_name": F.col("name")})
+    return *E.flat_summary(records), told
+
+
 def match_key() -> Column:
     """The key of earlier matches: area, content and dates in match form."""
     return F.concat_ws("|", normalize_match_text(F.col("area")), normalize_match_text(F.col("content")), F.col("start_date").cast("string"), F.col("end_date").cast("string"))

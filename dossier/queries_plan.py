@@ -251,22 +251,37 @@ def plan_reconcile(spark, sf_dir):
 
 
 @query("""with x as (select doc_id, lpad(cast(doc_id - doc_id % 20 + 3 as varchar), 12, '0') as number, doc_id % 40 = 3 as canonical, doc_id % 7 = 1 and doc_id % 40 <> 3 as unread from v_approvals),
-y as (select *, max(case when canonical then 1 else 0 end) over (partition by number) as taken, min(case when not unread then doc_id end) over (partition by number) as first_id from x)
-select doc_id, case when not unread then '工程类-主体质保施工_编号：' || number || '.pdf' end as target, case when canonical then 'already_canonical' when unread then 'text_missing' when taken = 1 or doc_id <> first_id then 'duplicate_target' else 'rename' end as action from y""")
+y as (select *, max(case when canonical then 1 else 0 end) over (partition by number) as taken, min(case when not unread then doc_id end) over (partition by number) as first_id from x),
+rc as (select replace(content, ' ', '') as key, min(case_id) as case_id from v_cases where start_date between date '1995-06-15' - 2 and date '1995-06-15' + 14 group by 1),
+i as (select doc_id, doc_id % 5 = 0 as listed, lower(replace(text, ' ', '')) as t from v_approvals),
+h as (select doc_id, case_id, row_number() over (partition by doc_id order by length(key) desc, key) as n from i join rc on contains(t, key)),
+g as (select i.doc_id, case_id, case when case_id is not null then 'case_' || case_id || case when listed then '_工人名单.JPG' else '.jpg' end when listed then 'i' || i.doc_id || '_工人名单.JPG' end as target from i left join h on h.doc_id = i.doc_id and h.n = 1)
+select 'document' as part, doc_id, case when not unread then '工程类-主体质保施工_编号：' || number || '.pdf' end as target, case when canonical then 'already_canonical' when unread then 'text_missing' when taken = 1 or doc_id <> first_id then 'duplicate_target' else 'rename' end as action from y
+union all select 'image', doc_id, target, case when target is null then 'unmatched' when row_number() over (partition by target order by doc_id) > 1 then 'target_taken' else 'rename' end from g""")
 def rename_plan(spark, sf_dir):
+    """New names of approvals from their numbers, and of images from the recent case whose content they hold."""
     (a,) = views(spark, sf_dir, "v_approvals")
     number = F.lpad((F.col("doc_id") - F.col("doc_id") % 20 + 3).cast("string"), 12, "0")
     name = F.when(F.col("doc_id") % 40 == 3, F.concat(F.lit(ids.APPROVAL_TITLE + "_编号："), number, F.lit(".pdf"))).otherwise("scan.pdf")
     docs = a.select("doc_id", name.alias("name"), F.sha2("text", 256).alias("sha256"), number.alias("number"))
     recognized = docs.select("sha256", F.when(F.col("doc_id") % 7 == 1, "old").otherwise("v").alias("version"), F.concat(F.lit("工程类-主体质保施工 申请编号："), "number").alias("text"))
-    return P.rename_plan(docs.drop("number"), recognized, "v")
+    found = P.rename_plan(docs.drop("number"), recognized, "v").select(F.lit("document").alias("part"), "doc_id", "target", "action")
+    (c,) = views(spark, sf_dir, "v_cases")
+    cases = c.withColumn("case_name", F.concat(F.lit("case_"), F.col("case_id").cast("string")))
+    images = a.select("doc_id", F.concat(F.lit("i"), F.col("doc_id").cast("string"), F.lit(".JPG")).alias("name"), F.concat("text", F.when(F.col("doc_id") % 5 == 0, "工人名单").otherwise("")).alias("text"))
+    shown = P.rename_images(images, cases, F.lit("1995-06-15").cast("date"))
+    return found.unionByName(shown.select(F.lit("image").alias("part"), "doc_id", "target", "action"))
 
 
-@query(f"""with {candidates_sql("true")}, n as (select case_id, string_agg('d' || doc_id, '；' order by doc_id) as names from pairs where same group by case_id)
-select c.case_id as form_id, case when c.case_id % 50 = 1 then '2000-01-01_x' || c.case_id || '_质保作业申请单.docx' else {_BASE} || '.docx' end as new_name, case when c.case_id % 50 = 1 then 'canonical' else 'renamed' end as state,
+@query(f"""with {candidates_sql("true")}, n as (select case_id, string_agg('d' || doc_id, '；' order by doc_id) as names from pairs where same group by case_id),
+b as (select c.case_id as form_id, case when c.case_id % 50 = 1 then '2000-01-01_x' || c.case_id || '_质保作业申请单.docx' else {_BASE} || '.docx' end as new_name, case when c.case_id % 50 = 1 then 'canonical' else 'renamed' end as state,
  case when c.case_id % 50 = 1 then 'forced' when c.case_id % 3 = 0 then 'prior_' || c.case_id else coalesce(n.names, '') end as names, case when c.case_id % 50 = 1 then 'override' when c.case_id % 3 = 0 then 'prior' when n.names is null then 'none' else 'text' end as how
-from v_cases c left join n using (case_id)""")
+from v_cases c left join n using (case_id))
+select 'form' as part, new_name, state, names, how from b union all select 'flat', new_name, state, names, '' from b
+union all select 'note', 'records', '', '', cast(count(*) as varchar) from b union all select 'note', 'renamed', '', '', cast(count(case when state = 'renamed' then 1 end) as varchar) from b
+union all select 'counter', x, '', '', cast((select count(*) from b where how = x or state = x) as varchar) from (select unnest(['prior', 'text', 'none', 'override', 'renamed', 'canonical']) as x)""")
 def batch_summary(spark, sf_dir):
+    """The forms, the flat table made of them, its notes and the counters."""
     a, f = views(spark, sf_dir, "v_approvals", "v_forms")
     i = F.col("form_id").cast("string")
     fields = with_form_fields(f.withColumnRenamed("case_id", "form_id").withColumn("tokens", form_tokens()))
@@ -274,7 +289,12 @@ def batch_summary(spark, sf_dir):
     prior = forms.where("form_id % 3 = 0").select(P.match_key().alias("key"), F.concat(F.lit("prior_"), i).alias("names"), F.col("form_id").alias("row_no"))
     overrides = forms.where("form_id % 50 = 1").select(F.lit(1).alias("ord"), "name", F.lit("").alias("name_key"), F.lit("forced").alias("target"))
     documents = a.select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), "text")
-    return P.batch_summary(forms, documents, prior, overrides).select("form_id", "new_name", "state", "names", "how")
+    found = materialised(P.batch_summary(forms, documents, prior, overrides))
+    flat, notes, counters = P.batch_tables(found)
+    blank = F.lit("")
+    told = found.select(F.lit("form").alias("part"), "new_name", "state", "names", "how").unionByName(flat.select(F.lit("flat").alias("part"), "new_name", "state", "names", blank.alias("how")))
+    told = told.unionByName(notes.select(F.lit("note").alias("part"), F.col("item").alias("new_name"), blank.alias("state"), blank.alias("names"), F.col("value").cast("string").alias("how")))
+    return told.unionByName(spark.createDataFrame([("counter", name, "", "", str(n)) for name, n in counters.items()], told.schema))
 
 
 @query()
