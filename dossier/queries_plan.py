@@ -14,6 +14,7 @@ from .plans import pipelines as P
 from .queries_link import LIVE, _nested, _scored, candidates_sql, live
 from .queries_text import form_tokens, query
 from .sources import files as S
+from .sources.state import StateStore
 from .streaming.intake import route_work, take_in
 from .views import views
 
@@ -297,25 +298,40 @@ def batch_summary(spark, sf_dir):
     return told.unionByName(spark.createDataFrame([("counter", name, "", "", str(n)) for name, n in counters.items()], told.schema))
 
 
-@query()
+_RUN = f"""kept as (select * from (select case_id, status, row_number() over (partition by area, content, start_date + cast(case_id % 40 as int), end_date order by status = 'approved' desc, cast(case_id as varchar)) as r from v_cases) where r = 1),
+{candidates_sql("status <> 'terminated' and case_id in (select case_id from kept)", "start_date + cast(case_id % 40 as int)")},
+l as (select doc_id, min(case_id) as case_id from pairs where same group by doc_id having count(*) = 1),
+f as (select distinct area, content, start_date + cast(case_id % 40 as int) as s, end_date from v_cases where case_id % 4 = 0),
+n as (select (select count(*) from v_cases) as cases, (select count(*) from kept) as kept, (select count(*) from l) as links, (select count(*) from f) as forms, (select count(*) from v_cases where case_id % 4 = 0) as sent, (select count(*) from v_approvals) as approvals)"""
+
+
+@query(f"""with {_RUN}
+select 1 as run, x as name, cast(y as bigint) as n from (select unnest(['revision', 'approvals_ingested', 'cases_replaced', 'duplicates_removed', 'files_routed']) as x, unnest([8, links, forms, cases - kept, sent + approvals]) as y from n) where y > 0
+union all select 2, 'revision', 8 union all select 2, x, cast(y as bigint) from (select unnest(['waiting', 'routes', 'recognized', 'inbox', 'history']) as x, unnest([approvals - links, sent + approvals, approvals, 0, 0]) as y from n)
+union all select 2, 'reviews', count(*) from a where doc_id not in (select doc_id from l)
+union all select 2, 'status_' || case when status = 'terminated' then 'terminated' when case_id in (select case_id from l) then 'approved' else 'materials_incomplete' end, count(*) from kept group by all""")
 def archive_run(spark, sf_dir):
+    """Two runs over the same inputs from a published state: the second one changes nothing."""
     c, a = views(spark, sf_dir, "v_cases", "v_approvals")
     text = F.col("case_id").cast("string")
-    cases = materialised(c.select(text.alias("case_id"), F.concat(F.lit("case_"), text).alias("case_name"), "status", "area", "content", "start_date", "end_date", "contact", "hazard"))
+    shifted = c.withColumn("start_date", F.expr("date_add(start_date, cast(case_id % 40 as int))"))
+    cases = materialised(shifted.select(text.alias("case_id"), F.concat(F.lit("case-"), text).alias("case_name"), "status", "area", "content", "start_date", "end_date", "contact", "hazard"))
     evidence = cases.select("case_id", F.lit("word").alias("role"), F.lit("f.docx").alias("name"), F.sha2("case_id", 256).alias("sha256"), F.lit(False).alias("derived"))
     approvals = a.select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("file_id"), F.lit("approvals").alias("batch"), F.concat(F.lit("工程类主体质保施工"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"), "text", F.sha2("text", 256).alias("sha256"))
-    forms = c.where("case_id % 4 = 0").select(F.concat(F.lit("f"), text).alias("form_id"), F.sha2(F.concat(F.lit("f"), text), 256).alias("sha256"), "area", "content", "start_date", "end_date", F.lit("changed").alias("contact"), "hazard")
-    words = forms.select(F.col("form_id").alias("file_id"), F.lit("forms").alias("batch"), F.concat("form_id", F.lit(".docx")).alias("name"), F.lit("").alias("text"), "sha256")
-    none = approvals.limit(0)
-    state = {
-        "cases": cases, "evidence": evidence, "inbox": none.select("name", "sha256"), "unmatched": none.select("file_id", F.lit("").alias("path"), "name", "sha256"), "recognized": approvals.select("sha256", F.lit("v").alias("version"), "text"),
-        "history": none.select(F.lit("").alias("review_id"), F.lit("").alias("decision")), "reviews": none.select(F.lit("").alias("review_id"), "sha256", F.lit("").alias("decision"), F.lit("").alias("note")),
-    }
-    done = P.archive_run(state, approvals.unionByName(words), forms, 7, "v", "template")
-    counters = done["run"].select("revision", F.explode("counters").alias("name", "n"))
-    review = done["review"].groupBy(F.concat(F.lit("review_"), F.coalesce("level", "reason")).alias("name")).agg(F.count("*").alias("n"))
-    status = done["cases"].groupBy(F.concat(F.lit("status_"), "status").alias("name")).agg(F.count("*").alias("n"))
-    return counters.unionByName(review.select(F.lit(8).cast("long").alias("revision"), "name", "n")).unionByName(status.select(F.lit(8).cast("long").alias("revision"), "name", "n"))
+    forms = materialised(shifted.where("case_id % 4 = 0").select(F.concat(F.lit("f"), text).alias("form_id"), F.sha2(F.concat(F.lit("f"), text), 256).alias("sha256"), "area", "content", "start_date", "end_date", F.lit("changed").alias("contact"), "hazard"))
+    words = forms.select(F.col("form_id").alias("file_id"), F.lit("forms").alias("batch"), F.concat("form_id", F.lit(".docx")).alias("name"), F.lit(None).cast("string").alias("text"), "sha256")
+    inputs = materialised(approvals.unionByName(words).withColumn("modified", F.lit(None).cast("date")))
+    store = StateStore(spark, new_folder(spark, "state"))
+    store.publish(0, {"cases": cases, "evidence": evidence}, {"dataset_revision": 7})
+    first = P.run_archive(store, inputs, forms, "v", "template")["run"]
+    second = P.run_archive(store, inputs, forms, "v", "template")["run"]
+    _, state = store.read()
+    ran = lambda number, run: run.select(F.lit(number).alias("run"), F.lit("revision").alias("name"), F.col("revision").alias("n")).unionByName(run.select(F.lit(number).alias("run"), F.explode("counters").alias("name", "n")))
+    held = lambda name, table: state[table].agg(F.count("*").alias("n")).select(F.lit(2).alias("run"), F.lit(name).alias("name"), "n")
+    told = ran(1, first).unionByName(ran(2, second))
+    for name, table in (("waiting", "unmatched"), ("routes", "routes"), ("recognized", "recognized"), ("inbox", "inbox"), ("history", "history"), ("reviews", "reviews")):
+        told = told.unionByName(held(name, table))
+    return told.unionByName(state["cases"].groupBy(F.concat(F.lit("status_"), "status").alias("name")).agg(F.count("*").alias("n")).select(F.lit(2).alias("run"), "name", "n"))
 
 
 @query()
