@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dossier.llm import language_id, mixing
+from dossier.llm import language_id, mixing, packing
 from dossier.llm.queries import WORD_BPE, crc_mod, tokenizer_path
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -184,8 +184,20 @@ def test_run_on_an_empty_table(spark, tmp_path):
 
 def test_stages_keep_columns_with_clashing_names(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id >= 80")
-    clash = docs.withColumns({c: F.lit("x") for c in ("id", "key", "digest", "topic", "rejected", "class_id", "label", "node")})
+    clash = docs.withColumns({c: F.lit("x") for c in ("id", "key", "digest", "topic", "rejected", "class_id", "label", "node", "rank", "salt", "n", "before", "gone_id_", "digest_", "nth_", "kept_id_", "kept_digest_", "key_", "again_id_", "key_text_", "source_of_cell_", "probability_of_cell_", "weight", "tokens")})
+    # two rows share an id with other texts, so that rows are told apart by their digests and sets
+    docs, clash = (d.unionByName(d.where("doc_id = 81").withColumn("text", F.lit("another text of the same id, long enough for a shingle"))) for d in (docs, clash))
     for name in ("exact_dedup", "near_dedup", "mixing"):
         kept = STAGES[name](spark, clash, folder)
         assert kept.columns == clash.columns
         assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in STAGES[name](spark, docs, folder).collect())
+
+
+def test_packing_keeps_columns_with_clashing_names(spark):
+    cut = spark.createDataFrame([(i, 0, 1 + i % 5, i, 1 + i % 5, "x", "y", "z") for i in range(40)], "id long, start long, length long, ids_crc32 long, doc_tokens long, rank string, salt string, before string")
+    packed = packing.pack(cut, window=8)
+    assert packed.columns == [*cut.columns, "sequence_id", "offset"] and {(r["rank"], r.salt, r.before) for r in packed.collect()} == {("x", "y", "z")}
+    filled = {}
+    for r in packed.collect():
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in f) <= 8 and [o for o, _ in sorted(f)] == [sum(n for _, n in sorted(f)[:i]) for i in range(len(f))] for f in filled.values())
