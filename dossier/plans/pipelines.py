@@ -488,6 +488,8 @@ def claim_materials(pool: DataFrame, touched: DataFrame, cases: DataFrame, evide
 
     images = pool.where(suffix(F.col("name")).isin(*IMAGES) & ~F.col("own_list")).join(named.select("file_id"), "file_id", "left_anti").join(texts, "sha256")
     images = materialised(images.withColumn("role", text_role(F.col("text"))).where("role is not null"))
+    if images.isEmpty():
+        return named.unionByName(listed)
     single = touched.groupBy("batch").agg(F.count_distinct("form").alias("forms"), F.min("case_id").alias("only")).where("forms = 1").select("batch", "only")
     told = images.join(single, "batch", "left")
     pending = materialised(told.where("role = 'worker_list' and only is null"))
@@ -585,10 +587,12 @@ def archive_run(state: dict[str, DataFrame], inputs: DataFrame, forms: DataFrame
     material = arrived.where((F.col("kind") == "material") & (suffix(F.col("name")) != WORD_SUFFIX))
     pool = materialised(material.select("file_id", "batch", "name", "sha256", "modified").unionByName(state["inbox"].select("file_id", F.lit(None).cast("string").alias("batch"), "name", "sha256", "modified")))
     texts = recognized.where((F.col("version") == version) & F.col("text").isNotNull()).groupBy("sha256").agg(F.min("text").alias("text"))
-    claims = materialised(claim_materials(pool, touched, cases.where("status <> 'terminated'"), evidence, texts).join(cases.select("case_id"), "case_id", "left_semi"))
-    added, moves = _archived(claims.select("file_id", "case_id", "role", F.lit(False).alias("derived")), pool, cases, evidence)
-    evidence = materialised(evidence.unionByName(added))
-    pool = materialised(pool.join(claims.select("file_id"), "file_id", "left_anti"))
+    added, moves = evidence.limit(0), spark.createDataFrame([], STATE["changes"])
+    if not pool.isEmpty():
+        claims = materialised(claim_materials(pool, touched, cases.where("status <> 'terminated'"), evidence, texts).join(cases.select("case_id"), "case_id", "left_semi"))
+        added, moves = _archived(claims.select("file_id", "case_id", "role", F.lit(False).alias("derived")), pool, cases, evidence)
+        evidence = materialised(evidence.unionByName(added))
+        pool = materialised(pool.join(claims.select("file_id"), "file_id", "left_anti"))
 
     waiting = arrived.where("kind = 'approval'").select("file_id", F.col("target").alias("path"), F.col("own_name").alias("name"), "sha256")
     linked, retained = ingest_approvals(waiting, cases.where("status <> 'terminated'"), routes.where("kind = 'material'").select("sha256"), state["unmatched"], recognized, version)
@@ -599,10 +603,12 @@ def archive_run(state: dict[str, DataFrame], inputs: DataFrame, forms: DataFrame
     newest = linked.groupBy("case_id").agg(F.max_by("application_no", "file_id").alias("application_no")).select("case_id", "application_no", F.lit("content_recognition").alias("match_source"))
     approvals = materialised(approvals.join(newest.select("case_id"), "case_id", "left_anti").unionByName(newest))
 
-    late = materialised(late_worker_lists(pool.where("batch is null"), cases))
-    copies, copied = _archived(late.withColumn("role", F.lit("worker_list")), pool, cases, evidence)
-    evidence = materialised(evidence.unionByName(copies))
-    inbox = materialised(pool.join(late.select("file_id"), "file_id", "left_anti").select("file_id", "name", "sha256", "modified"))
+    copies, copied, inbox = evidence.limit(0), moves.limit(0), pool.select("file_id", "name", "sha256", "modified")
+    if not pool.where("batch is null").isEmpty():
+        late = materialised(late_worker_lists(pool.where("batch is null"), cases))
+        copies, copied = _archived(late.withColumn("role", F.lit("worker_list")), pool, cases, evidence)
+        evidence = materialised(evidence.unionByName(copies))
+        inbox = materialised(inbox.join(late.select("file_id"), "file_id", "left_anti"))
     cases = materialised(_refreshed(cases, evidence, approvals))
 
     left = materialised(files.join(retained.select("file_id"), "file_id", "left_semi"))
