@@ -6,16 +6,17 @@ import itertools
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from dossier.llm import exact_dedup, language_id, lm_score, mixing, near_dedup, packing, secret_scan, token_counts, topk_search, warc
 from dossier.llm.common import new_path
-from dossier.llm.queries import PIECES, WORD_BPE, crc_mod, tokenizer_path
+from dossier.llm.queries import PIECES, WORD_BPE, crc_mod, queries, tokenizer_path
 
 rng = random.Random(7)
 WORDS = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(300)]
@@ -414,16 +415,96 @@ def test_lm_scores(spark):
     assert lm_score.score(empty(spark), F.lit(False)).count() == 0
 
 
-def test_class_chances_sum_to_one_and_descend():
+def plain_scores(texts, held):
+    """The model word by word, with dictionaries of weights, in double precision; for one block of texts."""
+    ways, bits, low = lm_score.WAYS, lm_score.FEATURE_BITS, (1 << 32) - 1
+    tokens = [[w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))] + [None] for t in texts]
+    digest = lambda w: int(lm_score.END_HASH) if w is None else xxhash.xxh3_64_intdigest(w)
+    form = lambda w: lm_score.SHAPES if w is None else xxhash.xxh3_64_intdigest(w if len(w) <= 3 else b"~" + w[-3:]) % lm_score.SHAPES
+    short = lambda w: digest(w) >> 32
+    count = Counter(w for ws, h in zip(tokens, held, strict=True) if not h for w in ws)
+    pairs, sums = np.zeros((lm_score.SHAPES + 1,) * 2), np.zeros(lm_score.SHAPES + 1)
+    for ws, h in zip(tokens, held, strict=True):
+        for a, b in itertools.pairwise([] if h else ws):
+            pairs[form(a), form(b)] += 1
+    for w, n in count.items():
+        sums[form(w)] += n
+    tree = lm_score.shape_tree(pairs, sums)
+    path = lambda w: (int(tree[0][form(w)]), int(tree[1][form(w)]), short(w) % ways)
+    mass = Counter()
+    for w, n in count.items():
+        mass[path(w)] += n + 0.5
+
+    def mixed(x):
+        return (((x ^ x >> 15) * 0x2C1B3C6D) & low) >> 32 - bits
+
+    def keys(ws, k):
+        """For each level, the rows that word k's history names."""
+        one, two, three = (short(ws[k - d]) | 1 if k >= d else 0 for d in (1, 2, 3))
+        both = ((one * 0x165667B1 & low) + (two * 0xD3A2646D & low) & low) ^ two >> 3
+        seen = [x * odd & low for x, odd in ((one, 0x9E3779B1), (two, 0x85EBCA77), (three, 0xC2B2AE3D), (both, 0x27D4EB2F))]
+        above = 0
+        for parts, branch in zip(((0, 1, 2, 3), (0, 1), (0,)), path(ws[k]), strict=True):
+            salt = (above + 1) * 0x9E3779B9 & low
+            yield [*[mixed(seen[i] ^ salt) for i in parts], mixed(salt)]
+            above = above * ways + branch + 1
+
+    weight, squares = ([defaultdict(lambda zero=zero: zero) for _ in range(3)] for zero in (np.zeros(ways), 0.0))
+    chances = lambda level, rows: (lambda e: e / e.sum())(np.exp(sum(weight[level][r] for r in rows)))
+    learnt = [(path(w), list(keys(ws, k))) for ws, h in zip(tokens, held, strict=True) if not h for k, w in enumerate(ws)]
+    for at in range(0, len(learnt), lm_score.STEP_TOKENS):
+        for level in range(3):
+            slope = defaultdict(lambda: np.zeros(ways))
+            for branches, rows in learnt[at : at + lm_score.STEP_TOKENS]:
+                wrong = chances(level, rows[level])
+                wrong[branches[level]] -= 1
+                for r in rows[level]:
+                    slope[r] += wrong
+            for r, g in slope.items():
+                squares[level][r] += (g * g).mean()
+                weight[level][r] = weight[level][r] - lm_score.RATE * g / (np.sqrt(squares[level][r]) + 1e-6)
+    score = lambda ws, k: sum(np.log10(chances(level, rows)[branch]) for level, (rows, branch) in enumerate(zip(keys(ws, k), path(ws[k]), strict=True))) + np.log10((count[ws[k]] + 0.5) / (mass[path(ws[k])] + 0.5))
+    return [sum(score(ws, k) for k in range(len(ws))) for ws in tokens], [len(ws) for ws in tokens]
+
+
+def test_lm_scores_equal_a_plain_version(spark):
+    texts = ["", "a", "A b", prose(9_000, 4), prose(9_000, 5), *[prose(40, 100 + i) for i in range(20)], "unseen words only zzz yyy", "Ä é 日本"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).sortWithinPartitions("doc_id")
+    found = {r.id: r for r in lm_score.score(docs, crc_mod(5) == 1).collect()}
+    want, lengths = plain_scores(texts, [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))])
+    assert sum(lengths) > lm_score.STEP_TOKENS, "more than one step"
+    for i, (w, n) in enumerate(zip(want, lengths, strict=True)):
+        assert found[i].score / n == pytest.approx(w / n, abs=2e-3)
+
+
+def test_history_tells_more_than_the_base_on_held_out_text(spark):
+    r = queries()["op1_lm_score"](spark, "/root/testdata/sf0.01").where("held_out").agg(*[(F.sum(c) / F.sum("n_tokens")).alias(c) for c in ("score", "base_score")]).first()
+    assert r.score > -3.83 and r.base_score == pytest.approx(-4.129, abs=1e-3)
+
+
+def test_branch_chances_sum_to_one_and_descend():
     r = np.random.default_rng(0)
-    table, squares = r.normal(size=(1 << lm_score.FEATURE_BITS, 32)).astype(np.float32), np.zeros((1 << lm_score.FEATURE_BITS, 32), np.float32)
-    f, own = r.integers(1, 1 << lm_score.FEATURE_BITS, (500, 4)).astype(np.uint16), r.integers(0, 32, 500)
-    before = lm_score.log_chances(table, f)
-    assert np.allclose(np.exp(before).sum(1), 1, atol=1e-4)
+    table, squares = r.normal(size=(1 << lm_score.FEATURE_BITS, lm_score.WAYS)).astype(np.float32), np.zeros(1 << lm_score.FEATURE_BITS, np.float32)
+    f, own = r.integers(0, 1 << lm_score.FEATURE_BITS, (5, 500)).astype(np.uint16), r.integers(0, lm_score.WAYS, 500)
+    each = [lm_score.log_chances(table, f, np.full(500, k)) for k in range(lm_score.WAYS)]
+    assert np.allclose(np.exp(each).sum(0), 1, atol=1e-4)
+    before = lm_score.log_chances(table, f, own).mean()
     for _ in range(5):
         lm_score.descend(table, squares, f, own)
-    after = lm_score.log_chances(table, f)
-    assert after[np.arange(500), own].mean() > before[np.arange(500), own].mean()
+    assert lm_score.log_chances(table, f, own).mean() > before
+
+
+def test_steps_of_tasks_are_merged_by_row():
+    shape = (len(lm_score.LEVELS), 1 << lm_score.FEATURE_BITS)
+    before = np.zeros((*shape, lm_score.WAYS), np.float32), np.zeros(shape, np.float32)
+    tasks = [tuple(x.copy() for x in before) for _ in range(2)]
+    for k, (t, q) in enumerate(tasks):
+        t[0, 5 + k], q[0, 5 + k] = 0.5, 1  # rows of one task alone
+        t[0, 9], q[0, 9] = 1 + k, 1e9  # a row that both know well
+    first = [next(lm_score.slices(before, own)) for own in tasks]
+    t, q = lm_score.merged_slices([x[1] for x in first], [x[2] for x in first])
+    assert np.allclose(t[5], 0.5) and np.allclose(t[6], 0.5) and np.allclose(t[9], 1.5, atol=1e-3) and not t[7].any()
+    assert (q[5], q[9], q[7]) == (1, 2e9, 0)
 
 
 @pytest.mark.parametrize("n", [200, 400, 800])
