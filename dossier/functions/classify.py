@@ -93,14 +93,21 @@ def required_roles(hazard: Column) -> Column:
 def checkbox_state(tokens: Column, label: str, checked: str = CHECKED, stops: tuple[str, ...] = STOPS) -> Column:
     """yes, no or empty: of the first text token with the label, the next two symbols before a stop marker.
 
-    tokens: array<struct<type, value>>, type text or sym.
+    tokens: array<struct<type, value>>, type text or sym. One walk whose state is a number: 0 looks for the label, 1 for the first symbol, 2 and 3
+    for the second (the first wasn't or was checked); 4 is yes, 5 no and 6 neither.
     """
-    at = F.array_position(F.transform(tokens, lambda t: (t.type == "text") & t.value.contains(label)), True)
-    after = F.slice(tokens, at + 1, F.greatest(F.size(tokens), F.lit(1)))
-    stop = F.array_position(F.transform(after, lambda t: (t.type == "text") & contains_any(t.value, stops)), True)
-    before = F.when(stop > 0, F.slice(after, 1, stop - 1)).otherwise(after)
-    symbols = F.transform(F.filter(before, lambda t: t.type == "sym"), lambda t: t.value)
-    return F.when((at == 0) | (F.size(symbols) < 2) | at.isNull(), "").when(symbols[0] == checked, "yes").when(symbols[1] == checked, "no").otherwise("")
+
+    def step(state: Column, t: Column) -> Column:
+        text, symbol, on = t.type == "text", t.type == "sym", t.value == checked
+        return (
+            F.when(state >= 4, state)
+            .when(state == 0, F.when(text & t.value.contains(label), 1).otherwise(0))
+            .when(symbol, F.when(state == 3, 4).when(state == 1, F.when(on, 3).otherwise(2)).when(on, 5).otherwise(6))
+            .when(text & contains_any(t.value, stops), 6)
+            .otherwise(state)
+        )
+
+    return F.coalesce(F.aggregate(tokens, F.lit(0), step, lambda s: F.when(s == 4, "yes").when(s == 5, "no").otherwise("")), F.lit(""))
 
 
 def selected_options(tokens: Column, options: tuple[str, ...] = WORK_TYPES, checked: str = CHECKED) -> Column:

@@ -38,6 +38,15 @@ def test_checked_options(spark):
     assert values(spark, classify.text_role, "高空作业☒", "高空作业申请", "5米以上高空作业☒", "动火作业：已勾选", "质保作业申请单", "") == [None, "high_altitude", "high_altitude", "special_work", "signed_application", None]
 
 
+def test_box_states(spark):
+    """Each letter is a token: L the label, S a stop, w another word, 1 a checked symbol, 0 another, n a symbol without value, - null."""
+    tokens = {"L": ("text", "一、影响"), "S": ("text", "二、其他"), "w": ("text", "是"), "1": ("sym", classify.CHECKED), "0": ("sym", "00A3"), "n": ("sym", None), "-": None}
+    cases = {"L10": "yes", "L01": "no", "L00": "", "Lw1w0": "yes", "11L01": "no", "L1S0": "", "L1": "", "LS10": "", "w10": "", "": "", "L011": "no", "L001": "", "L11": "yes", "Ln1": "no", "L-1-0": "yes", "L0L1": ""}
+    rows = [(k, [tokens[x] for x in k]) for k in cases] + [("none", None)]
+    frame = spark.createDataFrame(rows, "k string, t array<struct<type: string, value: string>>")
+    assert {r.k: r.s for r in frame.select("k", classify.checkbox_state(F.col("t"), "一、影响").alias("s")).collect()} == {**cases, "none": ""}
+
+
 def test_uuid5(spark):
     names = ["", "a", "维修冷塔", "x" * 300]
     assert values(spark, ids.uuid5, *names) == [str(uuid.uuid5(ids.NAMESPACE, n)) for n in names]
