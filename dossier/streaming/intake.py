@@ -32,14 +32,14 @@ def take_batch(rows: DataFrame, batch: int, fingerprint: str, store: str, index:
     index.add(asked, batch)
 
 
-def take_in(spark: SparkSession, source: str, schema: str, fingerprint: str, store: str, checkpoint: str, work: Work | None = None, seen: str | None = None) -> None:
+def take_in(spark: SparkSession, source: str, schema: str, fingerprint: str, store: str, checkpoint: str, work: Work | None = None, seen: str | None = None, files: int = 1) -> None:
     """Runs one pass over the new files below source: appends rows of new content, after work(rows, batch), to store by batch.
 
     What was seen is kept in an index of its own at seen (store + "-seen" if not given): contents that work leaves out aren't worked on again, and
-    a micro-batch reads filters and the pages of contents that come again, not the store.
+    a micro-batch reads filters and the pages of contents that come again, not the store. It takes in up to so many files.
     """
     index = SeenIndex(spark, seen or f"{store}-seen")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     handle = lambda rows, batch: take_batch(rows, batch, fingerprint, store, index, work or (lambda fresh, _: fresh))
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
