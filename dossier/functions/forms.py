@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .classify import checkbox_state, selected_options
-from .dates import date_range
+from .dates import with_date_range
 from .text import cut_between, normalize_whitespace
 
 # The labels before and after each field, and those of the tick boxes.
@@ -39,5 +39,5 @@ def with_form_fields(forms: DataFrame, text_col: str = "form_text", tokens_col:
     between = {name: F.btrim(cut_between(F.col("form_"), start, end)) for name, start, end in (*FIELDS, ("dates_", *DATES), ("section_", *FOREMAN_SECTION))}
     boxes = {name: checkbox_state(F.col(tokens_col), label) for name, label in BOXES}
     cut = plain.select(*rest, *[c.alias(name) for name, c in (between | boxes).items()], F.array_join(selected_options(F.col(tokens_col)), SEPARATOR).alias("hazard"))
-    dated = cut.withColumns({"when_": date_range(F.col("dates_")), "foreman_phone": F.regexp_extract("section_", PHONE, 1)})
+    dated = with_date_range(cut, "dates_", "when_").withColumn("foreman_phone", F.regexp_extract("section_", PHONE, 1))
     return dated.withColumns({"start_date": F.col("when_.start"), "end_date": F.col("when_.end"), "days": F.col("when_.days")}).select(*rest, *BUSINESS)
