@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dates import one_of
@@ -74,13 +74,27 @@ def material_role(file: Column, case: Column) -> Column:
 
 def approval_kind(file: Column, text: Column) -> Column:
     """struct(is_approval, rule): the name's number, the name's title, the text's title, or a title with a number label."""
-    name, t = normalize_match_text(stem(file)), normalize_match_text(text)
-    rule = (
-        F.when(normalize_digits(file).rlike(APPROVAL_NAME), "name_number")
-        .when(name.contains(TITLE), "name_title")
-        .when(t.contains(TITLE), "text_title")
-        .when(t.contains(SHORT_TITLE) & contains_any(t, NUMBER_LABELS), "text_title_and_number")
-    )
+    return _approval(F.coalesce(_name_rule(file), _text_rule(normalize_match_text(text))))
+
+
+def with_approval_kind(rows: DataFrame, file: Column, text: Column, name: str = "kind") -> DataFrame:
+    """rows with approval_kind; each step is a projection of its own, so a text is normalised once, and only where the name tells nothing."""
+    named = rows.withColumn("name_rule_", _name_rule(file))
+    read = named.withColumn("match_text_", F.when(F.col("name_rule_").isNull(), normalize_match_text(text)))
+    ruled = read.withColumn("rule_", F.coalesce("name_rule_", _text_rule(F.col("match_text_")))).drop("name_rule_", "match_text_")
+    return ruled.withColumn(name, _approval(F.col("rule_"))).drop("rule_")
+
+
+def _name_rule(file: Column) -> Column:
+    name = normalize_match_text(stem(file))
+    return F.when(normalize_digits(file).rlike(APPROVAL_NAME), "name_number").when(name.contains(TITLE), "name_title")
+
+
+def _text_rule(t: Column) -> Column:
+    return F.when(t.contains(TITLE), "text_title").when(t.contains(SHORT_TITLE) & contains_any(t, NUMBER_LABELS), "text_title_and_number")
+
+
+def _approval(rule: Column) -> Column:
     return F.struct(rule.isNotNull().alias("is_approval"), F.coalesce(rule, F.lit("none")).alias("rule"))
 
 
