@@ -276,3 +276,42 @@ def test_first_and_best_of_a_key_keep_columns_of_any_name(spark):
     assert rows(E.first_per_key(table, F.col("key"), "first"), "key", "first", "n_") == [(1, 3, "b"), (None, 9, "c")]
     scored = spark.createDataFrame([(1, 10, (1, 2)), (1, 11, (1, 3)), (1, 12, (1, 3)), (None, 13, (9, 9))], "k int, id int, score struct<a:int,b:int>")
     assert rows(E.retain_best_duplicate(scored, ["k"], "score", "id"), "id", "keep") == [(10, 11), (11, 11), (12, 11), (13, None)]
+
+
+def test_a_growing_table_writes_new_rows_only_and_a_run_leaves_no_tables_behind(spark, tmp_path, monkeypatch):
+    import os
+
+    from dossier.materialize import materialised, shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    tables = lambda: {x for x in os.listdir(folder) if x.startswith("table-")}
+    store = StateStore(spark, f"file://{tmp_path}/g")
+    some = lambda n: spark.range(n).select(F.col("id").cast("string").alias("case_id"))
+    store.publish(0, {"cases": some(1), "runs": spark.createDataFrame([(1, {})], P.STATE["runs"])})
+
+    def run(state, inputs, forms, revision, version, agreement):
+        passing = materialised(inputs)
+        one = spark.createDataFrame([(revision + 1, {"n": 1})], P.STATE["runs"])
+        none = {name: spark.createDataFrame([], schema) for name, schema in P.STATE.items() if schema}
+        return none | {"cases": passing, "reviews": passing, "recognized": spark.createDataFrame([(str(revision), "v", "t")], P.STATE["recognized"]), "runs": one, "run": one, "links": passing.limit(0), "routed": passing.limit(0)}
+
+    monkeypatch.setattr(P, "_run_tables", run)
+    before = tables()
+    for n in (2, 3):
+        told = P.run_archive(store, some(n), None, "v", "t")
+        assert told["cases"].count() == n and told["run"].first()["revision"] == n - 1
+    assert len(tables() - before) == 6  # links, routed and run of two runs
+    assert rows(store.read()[1]["runs"], "revision") == [(1,), (1,), (2,)] and rows(store.read()[1]["recognized"], "sha256") == [("0",), ("1",)]
+    assert rows(store.read(2)[1]["recognized"], "sha256") == [("0",)] and store.read(2)[1]["runs"].count() == 2
+    written = [x for x in os.listdir(tmp_path / "g/tables") if x.startswith("routes-")]
+    assert len(written) == 1  # no new routes, so the table is named again
+
+    def failing(*_):
+        materialised(some(9))
+        raise RevisionTaken("x")
+
+    monkeypatch.setattr(P, "_run_tables", failing)
+    left = tables()
+    with pytest.raises(RevisionTaken):
+        P.run_archive(store, some(1), None, "v", "t")
+    assert tables() == left
