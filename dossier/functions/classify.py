@@ -86,8 +86,14 @@ def with_approval_kind(rows: DataFrame, file: Column, text: Column, name: str =
 
 
 def with_text_rule(rows: DataFrame, text: Column, name: str = "text_rule") -> DataFrame:
-    """rows with the rule by which a text alone is an approval's, null if none holds; a text is normalised once."""
-    return rows.withColumn("match_text_", normalize_match_text(text)).withColumn(name, _text_rule(F.col("match_text_"))).drop("match_text_")
+    """rows with the rule by which a text alone is an approval's, null if none holds.
+
+    A text is normalised once, and only if it has every character of the short title, which both titles hold; normalising brings none of them into being.
+    """
+    may = F.lit(True)
+    for char in dict.fromkeys(SHORT_TITLE):
+        may = may & text.contains(char)
+    return rows.withColumn("match_text_", F.when(may, normalize_match_text(text))).withColumn(name, _text_rule(F.col("match_text_"))).drop("match_text_")
 
 
 def approval_by(file: Column, text_rule: Column) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import joins as J
+from ..functions.classify import with_text_rule
+from ..materialize import materialised
 from ..plans import pipelines as P
 from ..sources.state import exists
 from .seen import SeenIndex
@@ -44,18 +45,33 @@ def take_in(spark: SparkSession, source: str, schema: str, fingerprint: str, sto
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def text_rules(recognized: DataFrame, version: str) -> DataFrame:
+    """sha256, text_rule (null if no rule holds) of the texts of a version; of several texts of a content the least one counts.
+
+    Rules are worked out where texts are read. Texts are only compared, and so shuffled, where those of a content tell different rules.
+    """
+    valid = recognized.where((F.col("version") == version) & F.col("text").isNotNull()).select("sha256", "text")
+    told = with_text_rule(valid, F.col("text")).select("sha256", F.coalesce("text_rule", F.lit("")).alias("rule"))
+    told = materialised(told.groupBy("sha256").agg(F.min("rule").alias("rule"), F.max("rule").alias("last")))
+    rules, open_ = told.where("rule = last").select("sha256", F.nullif("rule", F.lit("")).alias("text_rule")), told.where("rule <> last")
+    if open_.isEmpty():
+        return rules
+    least = valid.join(open_, "sha256", "left_semi").groupBy("sha256").agg(F.min("text").alias("text"))
+    return rules.unionByName(with_text_rule(least, F.col("text")).select("sha256", "text_rule"))
+
+
 def route_work(store: str, inbox: DataFrame, recognized: DataFrame, version: str, replacing: DataFrame | None = None) -> Work:
     """The work of routing input files (file_id, batch, name, sha256) of micro-batches: routes, gate and log.
 
     Texts come from recognized (sha256, version, text); the inbox is the given one (name, sha256) and what earlier micro-batches routed. gate has the verdict on
     each input batch, refused ones too, log a row with the counters of the micro-batch; it is written last, so a micro-batch without a
-    log row isn't done.
+    log row isn't done. Texts are read once, when this is called: micro-batches read the rule that each text tells.
     """
+    rules = materialised(text_rules(recognized, version))
 
     def work(rows: DataFrame, batch: int) -> dict[str, DataFrame]:
         spark = rows.sparkSession
-        known, unread = J.recognized_text_lookup(rows, recognized, version)
-        files = known.unionByName(unread.withColumn("text", F.lit("")))
+        files = materialised(rows.join(rules, "sha256", "left"))
         there = inbox.select("name", "sha256")
         if exists(spark, f"{store}/routes"):
             before = spark.read.option("basePath", f"{store}/routes").parquet(f"{store}/routes").where((F.col("batch") != batch) & (F.col("action") == "routed"))

@@ -22,3 +22,26 @@ def test_approval_kind_by_steps(spark):
     assert told.columns == ["file", "text", "kind"]
     assert [r.kind.rule for r in told.collect()] == ["name_number", "name_title", "text_title", "text_title_and_number", "none", "none", "none"]
     assert told.where(F.col("kind") != classify.approval_kind(F.col("file"), F.col("text"))).isEmpty()
+
+
+def test_rules_of_texts_are_read_once_for_a_stream(spark, tmp_path):
+    from dossier.streaming import intake
+
+    texts = [("h1", "v", "工程类主体 质保\n施工"), ("h2", "v", "主体质保施工 申请编号：1"), ("h3", "v", "主体质保施工"), ("h4", "old", "工程类主体质保施工"), ("h5", "v", None), ("h6", "v", "b"), ("h6", "v", "工程类主体质保施工"), ("h7", "v", "工程类主体质保施工"), ("h7", "v", "工程类主体质保施工 x")]
+    recognized = spark.createDataFrame(texts, "sha256 string, version string, text string")
+    told = intake.text_rules(recognized, "v")
+    assert sorted((r.sha256, r.text_rule) for r in told.collect()) == [("h1", "text_title"), ("h2", "text_title_and_number"), ("h3", None), ("h6", None), ("h7", "text_title")]
+    assert TITLES == [(r.rule or "none") for r in classify.with_text_rule(recognized.where("sha256 in ('h1', 'h2', 'h3')").orderBy("sha256"), F.col("text"), "rule").collect()]
+
+    folder = str(tmp_path / "recognized")
+    recognized.write.parquet(folder)
+    work = intake.route_work(f"file://{tmp_path}/store", spark.createDataFrame([], "name string, sha256 string"), spark.read.schema(recognized.schema).parquet(folder), "v")
+    files = spark.createDataFrame([(1, 1, "x.pdf", "h1"), (2, 1, "y.pdf", "h3"), (3, 1, "z.pdf", "none"), (4, 1, "m.jpg", "h2")], "file_id long, batch long, name string, sha256 string")
+    made = work(files, 0)
+    assert sorted((r.file_id, r.kind, r.reason, r.method) for r in made["routes"].collect()) == [(1, "approval", "text_title", "text"), (2, "material", "none", "text"), (3, "material", "none", "text"), (4, "material", "material", "")]
+    for table in made.values():
+        assert folder not in str(table.inputFiles())
+        assert "text#" not in table._jdf.queryExecution().optimizedPlan().toString()
+
+
+TITLES = ["text_title", "text_title_and_number", "none"]
