@@ -1,6 +1,7 @@
 """Cases and documents that are copies meet once, by class, and give what pairs would give."""
 
 import datetime
+import re
 
 from pyspark.sql import functions as F
 
@@ -71,3 +72,29 @@ def test_names_are_listed_once_for_a_set_of_classes(spark):
     listed = J.matched_name_list_of_classes(links, "doc_id", members.withColumn("name", F.col("case_id").cast("string")), "case_id", "name")
     pairs = R.relaxed_candidates(docs, cases)[0].withColumn("name", F.col("case_id").cast("string"))
     assert got(listed, "doc_id", "names") == got(J.matched_name_list(pairs, "doc_id", "case_id", "name"), "doc_id", "names")
+
+
+def test_what_patterns_and_classes_give_is_not_shuffled_by_confidence(spark):
+    day = F.expr("date_add(date'2024-01-01', cast(id % 90 as int))")
+    cases = spark.range(90).select(F.col("id").alias("case_id"), F.lit("A1").alias("area"), F.lit("paint").alias("content"), day.alias("start_date"), F.expr("date_add(date'2024-06-01', cast(id % 7 as int))").alias("end_date"))
+    told = F.date_format(day, "yyyy年M月d日")
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("施工区域：A1 施工开始时间："), told, F.lit(" 施工结束时间：2024年6月4日 施工内容：paint 施工负责人：甲")).alias("text"))
+    best, _ = R.best_candidates(docs, cases)
+    # neither levels of confidence nor rated rows are keys or values of a shuffle
+    assert not re.search(r"Aggregate\(keys?=\[[^\]]*confidence", best._jdf.queryExecution().executedPlan().toString())
+    want = R.top_candidate(R.relaxed_candidates(docs, cases)[0])
+    assert got(best.na.fill(-1), *want.columns) == got(want.na.fill(-1), *want.columns)
+
+
+def test_a_cell_is_dealt_out_in_blocks(spark):
+    classes = spark.range(30).selectExpr("0L as cell_id", "id as number", "if(id % 4 = 0, 2L, 1L) as members", "struct(id as tie, id as case_id) as first", "date_add(date'2024-01-01', cast(id % 12 as int)) as start_date", "date'2024-02-01' as end_date")
+    asked = spark.range(25).selectExpr("id as pattern_id", "0L as cell_id", "if(id = 9, null, date_add(date'2024-01-01', cast(id as int))) as doc_start", "date'2024-02-02' as doc_end", "if(id = 24, sequence(0L, 29L), array(id)) as out")
+    whole, blocks = (R._best_two(asked, classes, ["pattern_id"], side) for side in (1000, 3))
+    columns = ["pattern_id", "best", "runner_up", "candidates"]
+    assert got(whole, *columns) == got(blocks, *columns) and whole.count() == 24
+    pairs = R._with_confidence(asked.join(classes, "cell_id").where("not array_contains(out, number)"))
+    for p in (0, 5, 9, 23):
+        rows = sorted((-r.confidence, r.number, r.members) for r in pairs.where(F.col("pattern_id") == p).collect())
+        each = [c for c, _, n in rows for _ in range(n)]
+        r = whole.where(F.col("pattern_id") == p).first()
+        assert (r.best.lead, r.best.first.case_id, r.runner_up, r.candidates) == (rows[0][0], rows[0][1], -each[1], len(each))
