@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from dossier.functions import classify, dates
+from dossier.functions import classify, dates, ids
 
 
 def test_date_ranges_by_steps(spark):
@@ -24,6 +24,24 @@ def test_approval_kind_by_steps(spark):
     assert told.where(F.col("kind") != classify.approval_kind(F.col("file"), F.col("text"))).isEmpty()
 
 
+def test_application_numbers_by_steps(spark):
+    title, n = "工程类-主体质保施工", "123456789012"
+    names = [f"{title}_编号：{n}.pdf", "a.pdf", f"{n}.pdf", "编号 1234567890123.pdf", "", None]
+    texts = [f"{title} 申请编号：2" + n[1:], f"工程类 -主体质保施工 申请 编号: {n}", f"{title} 申请编号：123", f"申请编号：{n}", "工程类—主体质保施工 申请编号：１２３４５６７８９０１２", "", None]
+    rows = spark.createDataFrame([(f, t) for f in names for t in texts], "file string, body string")
+    told = ids.with_application_no(rows, "file", "body")
+    assert told.columns == ["file", "body", "application_no"]
+    assert told.where(~F.col("application_no").eqNullSafe(ids.application_no(F.col("file"), F.col("body")))).isEmpty()
+    assert {r.application_no for r in told.collect()} >= {n, "2" + n[1:], ""}
+
+
+def test_other_dates_are_searched_where_a_text_has_no_labelled_ones(spark):
+    texts = ["施工开始时间：2024年5月1日 施工结束时间：2024年5月9日", "施工开始时间：2024年5月1日 2024-05-09", None]
+    told = dates.with_dates(spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect()
+    assert [r.labelled for r in told] == [True, False, False]
+    assert told[0].dates is None and [str(d) for d in told[1].dates] == ["2024-05-01", "2024-05-09"] and told[2].dates == []
+
+
 def test_rules_of_texts_are_read_once_for_a_stream(spark, tmp_path):
     from dossier.streaming import intake
 
