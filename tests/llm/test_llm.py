@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from dossier.llm import exact_dedup, language_id, lm_score, mixing, near_dedup, packing, secret_scan, token_counts, topk_search, warc
+from dossier.llm import common, exact_dedup, language_id, lm_score, mixing, near_dedup, packing, secret_scan, token_counts, topk_search, warc
 from dossier.llm.common import new_path
 from dossier.llm.queries import PIECES, WORD_BPE, crc_mod, queries, tokenizer_path
 
@@ -556,3 +556,18 @@ def test_shares_of_the_cutoff_lose_no_vector(spark, split):
     for most in (1, 2, 24, 100):
         widths, shares = topk_search.widths_and_shares(most, split)
         assert sum(widths) == most and sum(shares) == topk_search.WHOLE and min(widths) > 0
+
+
+def test_topk_broadcasts_no_vectors(spark, monkeypatch):
+    plans = {}
+
+    def stored(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return common.stored(df, name)
+
+    monkeypatch.setattr(topk_search, "stored", stored)
+    rows = [(i, [float((i * 7 + k) % 11) / 8 for k in range(8)]) for i in range(40)]
+    assert topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 10 == 0).count() == 20
+    for name in ("topk-asked", "topk-lists", "topk-sent", "topk-known"):
+        broadcast = [line for line in plans[name].splitlines() if "BroadcastExchange" in line]
+        assert not broadcast or name == "topk-sent" and len(broadcast) == 2, (name, broadcast)  # of topk-sent only the cutoffs
